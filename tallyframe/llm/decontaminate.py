@@ -163,3 +163,9 @@ def contamination(
     rows = rows.withColumn("n_hit", covered)
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return rows.select(*names, "n_words", "n_hit", F.col("found_").alias("items"), bad.alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without the contaminated ones, under their own column names; options as for contamination()."""
+    found = contamination(docs, benchmark, **options).where(~F.col("contaminated"))
+    return found.select(*(F.col(f"in_{c}" if f"in_{c}" in found.columns and f"in_{c}" not in docs.columns else c).alias(c) for c in docs.columns))

@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import free_name
+
 #: Bounds of the labelled sample, for each language: documents, and bytes of its dictionary.
 SAMPLE_DOCS, DICTIONARY = 400, 96 * 1024
 #: All dictionaries together are broadcast; with very many languages each gets an equal part of this.
@@ -103,4 +105,4 @@ def identify(
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, lang_accepted boolean"
-    return docs.select(*keep, F.col(text).alias("text_")).mapInArrow(predict, schema)
+    return docs.select(*keep, F.col(text).alias(free_name(docs, "text_"))).mapInArrow(predict, schema)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, language, line_dedup, mixing, secrets, token_counts, toxicity
+from tallyframe.llm import decontaminate, language, line_dedup, mixing, nearest, passages, secrets, simhash, token_counts, toxicity
 from tallyframe.llm.common import table
 from tallyframe.llm.oracles import ORACLES
 from tallyframe.registry import Registry
@@ -19,17 +19,28 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(REGISTRY.queries)
+    """Queries of the ten operators, and the pipeline."""
+    import corpus_pipeline
+
+    return REGISTRY.queries | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(REGISTRY.oracles)
+    """Their SQL, where SQL can express them."""
+    import corpus_pipeline
+
+    return REGISTRY.oracles | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 def _remainder(divisor: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+@REGISTRY.add("op1_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add("op2_source_mixing", ORACLES["op2"])
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -41,6 +52,11 @@ def line_dedup_(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_lines(docs)
 
 
+@REGISTRY.add("op4_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @REGISTRY.add("op5_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -49,6 +65,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held, "text"), content, keep=("doc_id", "held_out"))
 
 
+@REGISTRY.add("op6_nearest_neighbours", ORACLES["op6"])
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @REGISTRY.add("op7_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))

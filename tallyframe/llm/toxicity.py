@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import free_name
+
 #: Rows of the labelled sample that the model is fitted to (as expected value), and features kept of them at most.
 SAMPLE_ROWS, SAMPLE_FEATURES = 24_000, 24_000_000
 #: Hashed features: 2 to this power.
@@ -94,9 +96,13 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label:
 
 
 def score(
-    docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame,
+    model: tuple[np.ndarray, np.ndarray, float],
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    name: str = "score",
 ) -> DataFrame:
-    """The kept columns with score, the probability of label 1, of each whole text.
+    """The kept columns with the score (under the given name), the probability of label 1, of each whole text.
 
     Null and empty texts have no features and score by the bias alone. One row per document,
     repeated rows included; no shuffle; the broadcast holds the non-zero weights only.
@@ -113,8 +119,8 @@ def score(
                 batch = whole.slice(at, 512)
                 sums = [float(weights[features(t, hashes)].sum(dtype=np.float64)) + bias for t in batch.column(len(keep)).to_pylist()]
                 out = 1 / (1 + np.exp(-np.clip(np.array(sums), -35, 35)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, name])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double"
-    return docs.select(*keep, F.col(text).alias("text_")).mapInArrow(predict, schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double"
+    return docs.select(*keep, F.col(text).alias(free_name(docs, "text_"))).mapInArrow(predict, schema)
