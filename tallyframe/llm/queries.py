@@ -82,10 +82,10 @@ def token_counts_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text and label of the rows that toxicity may be learned from."""
-    labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    docs = table(spark, sf_dir, "documents").where(_remainder(5) != 0)
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    """doc_id, text and label of a bounded sample of the rows that toxicity may be learned from."""
+    learn = _remainder(5) != 0
+    labels = table(spark, sf_dir, "labels").where(learn).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.labelled_sample(table(spark, sf_dir, "documents").where(learn).select("doc_id", "text"), labels)
 
 
 @REGISTRY.add("op9_toxicity")
