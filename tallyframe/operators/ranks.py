@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_ranks(df: DataFrame, value: str, name: str, slices: int = 1024) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, name: str, slices: int = 64) -> DataFrame:
     """df with the average rank of a value; ties share the mean of their places, null has none.
 
     Rows are counted per distinct value. Values are then numbered within slices of their range, cut
@@ -14,7 +14,7 @@ def average_ranks(df: DataFrame, value: str, name: str, slices: int = 1024) -> D
     """
     known = df.where(F.col(value).isNotNull())
     counts = known.groupBy(value).agg(F.count("*").alias("n_"))
-    cuts = sorted(set(known.approxQuantile(value, [i / 16 for i in range(1, 16)], 0.01))) if slices else []
+    cuts = sorted(set(known.approxQuantile(value, [i / slices for i in range(1, slices)], 0.005)))
     place = sum((F.when(F.col(value) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     counts = counts.withColumn("slice_", place)
     totals = counts.groupBy("slice_").agg(F.sum("n_").alias("t_"))

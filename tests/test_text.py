@@ -64,3 +64,15 @@ def test_probability(spark):
 def test_split_and_prompt(spark):
     assert values(spark, [" a, ,b "], X.split_markers) == [["a", "b"]]
     assert values(spark, [" a,b"], lambda c: X.prompt("Q", X.split_markers(c))) == ["Q\n1. a\n2. b"]
+
+
+def test_korean_marks(spark):
+    from tallyframe.functions import korean
+
+    pairs = dict(zip("을 은 으로 과 이라 인댄 은댄 은가 인가 으니 으면 으리라 하야 니라 하고 면".split(), "를 는 로 와 라 ㄴ댄 ㄴ댄 ㄴ가 ㄴ가 니 면 리라 하여 니라 하고 면".split()))
+    assert values(spark, list(pairs), lambda c: X.rewrite(c, korean.RULES)) == list(pairs.values())
+    assert (len(korean.RULES), sum(k == v for k, v in korean.RULES.items())) == (170, 11)
+    tags = ["하나니라하니", "하시니라", "하노라", "호니", "니이다", "하고", "라하소서", None]
+    want = ["인용내(汎論以斷),연결", "존경,종결(夬絶之斷)", "自稱,종결(微絶之斷)", "自稱,연결", "겸양,종결", "", "인용내(微絶之斷),연결", ""]
+    assert values(spark, tags, korean.compound_tags) == want
+    assert values(spark, ["니라", "없음"], lambda c: X.exact_class(c, korean.CLOSINGS)) == ["夬絶之斷", ""]
