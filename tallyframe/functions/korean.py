@@ -76,3 +76,21 @@ def compound_tags(marker: Column | str) -> Column:
     modest = m.contains("소이") | m.contains("소니") | m.endswith("이다")
     tags = F.array_compact(F.array(quote, F.when(m.contains("시"), "존경"), F.when(own, "自稱"), F.when(modest, "겸양")))
     return F.when(F.size(tags) > 0, F.array_join(F.concat(tags, F.array(end)), ",")).otherwise("")
+
+
+def variant_rules(marker: str = "marker") -> list[tuple[str, Column]]:
+    """Rewrites under which two marks may be spellings of one, for profile.variant_pairs; null where one does not apply."""
+    m = F.col(marker)
+    swap = lambda a, b: F.when(m.contains(a), F.replace(m, F.lit(a), F.lit(b)))
+    cut = lambda a, b="": F.when(m.startswith(a) & (F.length(m) > len(a)), F.concat(F.lit(b), F.substr(m, F.lit(len(a) + 1))))
+    return [
+        ("을-를", swap("을", "를")),
+        ("은-는", swap("은", "는")),
+        ("으", cut("으")),
+        ("이", cut("이")),
+        ("인-은", cut("인", "은")),
+        ("인-ㄴ", cut("인", "ㄴ")),
+        ("야-여", swap("야", "여")),
+        ("았-었", swap("았", "었")),
+        ("과-와", swap("과", "와")),
+    ]

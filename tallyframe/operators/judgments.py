@@ -136,3 +136,29 @@ def coverage(long: DataFrame, base: DataFrame, key: list[str], raters: list[str]
     every = long.sparkSession.createDataFrame([(r,) for r in raters], f"{rater} string")
     out = every.join(judged, rater, "left").crossJoin(F.broadcast(n)).withColumn("judged", F.coalesce("judged", F.lit(0).cast("long")))
     return out.withColumn("complete", F.col("judged") == F.col("base_items"))
+
+
+def panels(df: DataFrame, members: dict[str, list[str]], target: str, control: str, arm: str = "arm") -> DataFrame:
+    """Several panels of raters over one table: O/S/X by arm, chi-squared, Cramer's V and Fleiss' kappa of each.
+
+    df has a boolean column per rater; an item counts for a panel if all its members judged it. One
+    scan serves all panels.
+    """
+    votes = []
+    for name, raters in members.items():
+        known = [F.col(r).cast("int") for r in raters]
+        votes.append(F.struct(F.lit(name).alias("panel"), F.lit(len(raters)).alias("raters"), sum(known[1:], known[0]).alias("vote_sum")))
+    rows = df.where(F.col(arm).isin(target, control)).select(arm, F.explode(F.array(*votes)).alias("v")).select(arm, "v.*")
+    rows = rows.where(F.col("vote_sum").isNotNull())
+    kind = F.when(F.col("vote_sum") == F.col("raters"), "o").when(F.col("vote_sum") == 0, "x").otherwise("s")
+    cells = [
+        F.count_if((F.col(arm) == a) & (kind == k)).alias(f"{name}_{k}") for name, a in (("target", target), ("control", control)) for k in "osx"
+    ]
+    r, s = F.col("raters").cast("double"), F.col("vote_sum").cast("double")
+    sums = rows.groupBy("panel", "raters").agg(*cells, F.count("*").alias("n"), F.sum(s).alias("s_"), F.sum(s * s + (r - s) * (r - s)).alias("q_"))
+    n = F.col("n").cast("double")
+    p = F.col("s_") / (n * r)
+    seen, chance = (F.col("q_") - n * r) / (n * r * (r - 1)), p * p + (1 - p) * (1 - p)
+    kappa = F.when(chance >= 1, F.when(seen >= 1, F.lit(1.0))).otherwise((seen - chance) / (1 - chance))
+    chi = stats.chi2_table([[f"{name}_{k}" for k in "osx"] for name in ("target", "control")])
+    return sums.withColumn("chi2", chi).withColumn("cramers_v", stats.cramers_v("chi2", "n")).withColumn("fleiss_kappa", kappa).drop("s_", "q_")

@@ -167,3 +167,11 @@ def affix_variants(vocabulary: DataFrame, prefixes: list[str], marker: str = "ma
     """Markers whose form with a prefix is in the same class."""
     a = vocabulary.select(F.col(by), F.col(marker).alias("base"), F.explode(F.array(*(F.concat(F.lit(p), F.col(marker)) for p in prefixes))).alias("variant"))
     return a.join(vocabulary.select(F.col(by), F.col(marker).alias("variant")), [by, "variant"], "left_semi").select(by, "base", "variant")
+
+
+def ordered_rates(df: DataFrame, by: str, order: list[str], positive: Column) -> DataFrame:
+    """Rows, hits and percent of the groups of a fixed order; absent groups have 0."""
+    groups = df.sparkSession.createDataFrame([(g, i + 1) for i, g in enumerate(order)], f"`{by}` string, ord int")
+    counts = df.where(F.col(by).isin(order)).groupBy(by).agg(F.count("*").alias("n"), F.count_if(positive).alias("hits"))
+    out = groups.join(counts, by, "left").fillna(0, ["n", "hits"])
+    return out.withColumn("pct", stats.percent("hits", "n"))

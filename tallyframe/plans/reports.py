@@ -786,3 +786,38 @@ def html_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("file_manifest")
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.manifest(spark, sf_dir, "*.parquet")
+
+
+# --- composite reports -------------------------------------------------------------------------
+
+PANELS = {"first_two": ["r1", "r2"], "last_two": ["r2", "r3"], "all": ["r1", "r2", "r3"]}
+_PANEL_ROWS = " UNION ALL ".join(
+    f"SELECT '{name}' AS panel, {len(m)} AS raters, arm, {' + '.join(r + '::INT' for r in m)} AS s FROM j WHERE arm IN ('O', 'F')" for name, m in PANELS.items()
+)
+_PANEL_CELLS = ", ".join(
+    f"count(*) FILTER (arm = '{a}' AND s {k})::BIGINT AS {n}_{x}"
+    for n, a in (("target", "O"), ("control", "F"))
+    for x, k in (("o", "= raters"), ("s", "> 0 AND s < raters"), ("x", "= 0"))
+)
+
+
+@query(
+    "rater_panels",
+    f"""WITH {A.SQL_WIDE}, v AS ({_PANEL_ROWS}),
+g AS (SELECT panel, raters, {_PANEL_CELLS}, count(*)::BIGINT AS n, count(*) FILTER (arm = 'O') AS tn, count(*) FILTER (arm = 'F') AS cn,
+  avg((s * s + (raters - s) * (raters - s) - raters)::DOUBLE / (raters * (raters - 1))) AS seen, power(avg(s::DOUBLE / raters), 2) + power(1 - avg(s::DOUBLE / raters), 2) AS chance FROM v GROUP BY panel, raters),
+h AS (SELECT *, {_CHI6} AS chi2 FROM g)
+SELECT * EXCLUDE (tn, cn, seen, chance) REPLACE (round(chi2, 6) AS chi2), round(sqrt(chi2 / n), 6) AS cramers_v, round((seen - chance) / (1 - chance), 6) AS fleiss_kappa FROM h""",
+)
+def rater_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(judgments.panels(A.wide(spark, sf_dir), PANELS, "O", "F"))
+
+
+@query(
+    "group_rates",
+    """WITH d(genre, ord) AS (VALUES ('en', 1), ('fr', 2), ('xx', 3)), g AS (SELECT lang, count(*)::BIGINT AS n, count(*) FILTER (contains(text, 'the '))::BIGINT AS hits FROM documents GROUP BY lang)
+SELECT genre, ord, coalesce(n, 0)::BIGINT AS n, coalesce(hits, 0)::BIGINT AS hits, round(coalesce(100.0::DOUBLE * hits / n, 0), 6) AS pct FROM d LEFT JOIN g ON lang = genre""",
+)
+def group_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rounded(profile.ordered_rates(docs, "lang", ["en", "fr", "xx"], F.col("text").contains("the ")).withColumnRenamed("lang", "genre"))

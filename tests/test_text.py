@@ -76,3 +76,12 @@ def test_korean_marks(spark):
     want = ["인용내(汎論以斷),연결", "존경,종결(夬絶之斷)", "自稱,종결(微絶之斷)", "自稱,연결", "겸양,종결", "", "인용내(微絶之斷),연결", ""]
     assert values(spark, tags, korean.compound_tags) == want
     assert values(spark, ["니라", "없음"], lambda c: X.exact_class(c, korean.CLOSINGS)) == ["夬絶之斷", ""]
+
+
+def test_variant_rules(spark):
+    from tallyframe.functions import korean
+    from tallyframe.operators import profile
+
+    vocabulary = spark.createDataFrame([("이니라", 5), ("니라", 9), ("하야", 2), ("하여", 3), ("고", 1)], "marker string, n int")
+    got = profile.variant_pairs(vocabulary, korean.variant_rules()).collect()
+    assert sorted((r.rule, r.marker, r.form, r.n, r.form_n) for r in got) == [("야-여", "하야", "하여", 2, 3), ("이", "이니라", "니라", 5, 9)]
