@@ -118,6 +118,12 @@ def relative_risk(a, b, c, d) -> Column:
     return ratio(p1, p2, INF)
 
 
+def rate_ratio(first: Column | str, second: Column | str, digits: int = 2) -> Column:
+    """Ratio of two rates that were rounded for display; null where the second is 0."""
+    a, b = F.round(num(first), digits), F.round(num(second), digits)
+    return F.when(b != 0, F.round(a / F.nullif(b, F.lit(0.0)), digits))
+
+
 def expected(row: Column | str, column: Column | str, n: Column | str) -> Column:
     return ratio(num(row) * num(column), n)
 

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import parse_votes
@@ -22,6 +22,27 @@ def mock_rater(prompt: str) -> str:
     return "\n".join(f"{i}. {'O' if i % 2 else 'X'}" for i in range(1, len(lines) + 1))
 
 
+def fallback(*raters: Rater) -> Rater:
+    """A rater that passes to the next one when one fails, and stays with it."""
+    at = [0]
+
+    def call(prompt: str) -> str:
+        while True:
+            try:
+                return raters[at[0]](prompt)
+            except Exception:  # noqa: BLE001  a rater may fail in any way
+                if at[0] + 1 == len(raters):
+                    raise
+                at[0] += 1
+
+    return call
+
+
+def question(state: Column, ask: str, choices: tuple[str, ...] = ("yes", "no"), framing: str = "pos") -> Column:
+    """One probability question: state, question, choices, framing."""
+    return F.struct(state.alias("state"), F.lit(ask).alias("question"), F.array(*map(F.lit, choices)).alias("choices"), F.lit(framing).alias("framing"))
+
+
 def plan(items: DataFrame, text: str, order: list[str], size: int = 20, arm: str = "arm", instruction: str = "Mark each line O or X.") -> DataFrame:
     """Prompts of `size` items of one arm: arm, batch, keys, prompt."""
     rows = batches(items, size, order, arm)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -69,6 +72,22 @@ def cluster(df: DataFrame, vector: str, key: str, k: int, seed: int = 42) -> Dat
     return placed.select(key, "cluster", cosine(vector, "centre", 1e-9).alias("similarity"))
 
 
+def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], size: int = 200) -> DataFrame:
+    """key and vector of each text, from an injected embedder called with up to `size` texts.
+
+    Write the result with writers.append_new: rows that are there are then not asked for again.
+    """
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                made = embedder([t or "" for t in batch.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float32()))], [key, "vector"])
+
+    return df.select(key, text).mapInArrow(call, f"`{key}` {dict(df.dtypes)[key]}, vector array<float>")
+
+
 def chunks(df: DataFrame, by: str, order: str, text: str, size: int = 50, header: str = "") -> DataFrame:
     """Documents of at most `size` texts of a group, in order, each with a header line of group and part."""
     w = Window.partitionBy(by).orderBy(order)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats, text
-from tallyframe.operators import agreement, judgments, profile, ranks, sampling, strata, vectors
+from tallyframe.operators import agreement, joins, judgments, profile, ranks, sampling, strata, vectors
 from tallyframe.operators.bootstrap import cramers_v_interval
 from tallyframe.plans import adapters as A
 from tallyframe.plans import provenance
@@ -821,3 +821,38 @@ SELECT genre, ord, coalesce(n, 0)::BIGINT AS n, coalesce(hits, 0)::BIGINT AS hit
 def group_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rounded(profile.ordered_rates(docs, "lang", ["en", "fr", "xx"], F.col("text").contains("the ")).withColumnRenamed("lang", "genre"))
+
+
+# --- joins -------------------------------------------------------------------------------------
+
+
+@query(
+    "attach_first",
+    """WITH f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations)
+SELECT doc_id, role, length(f.text)::INT AS size FROM documents d LEFT JOIN f ON f.conv_id = d.doc_id AND k = 1""",
+)
+def attach_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", F.col("text").alias("said"))
+    rows = joins.attach(table(spark, sf_dir, "documents").select("doc_id"), turns, ["doc_id"], ["turn", "role", "said"])
+    return rows.select("doc_id", "role", F.length("said").alias("size"))
+
+
+@query("lookup_default", "SELECT doc_id, coalesce(quality, -1)::INT AS quality, coalesce(toxic, 0)::INT AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return joins.lookup(docs, table(spark, sf_dir, "labels"), ["doc_id"], {"quality": -1, "toxic": 0})
+
+
+@query("strict_lookup", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def strict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return joins.strict(table(spark, sf_dir, "customer"), nation, ["c_nationkey"]).select("c_custkey", "n_name")
+
+
+@query(
+    "four_cells",
+    f"WITH {A.SQL_WIDE} SELECT CASE WHEN arm = 'O' THEN CASE WHEN vs = 3 THEN 'I' ELSE 'II' END ELSE CASE WHEN vs = 3 THEN 'III' ELSE 'IV' END END AS cell, count(*)::BIGINT AS n, min(flag || ' ||| ' || arm) AS sample FROM j WHERE vs IN (0, 3) GROUP BY 1",
+)
+def four_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.items(spark, sf_dir).where("vote_sum in (0, 3)").withColumn("cell", joins.cell("arm", F.col("vote_sum") == 3, "O"))
+    return rows.groupBy("cell").agg(F.count("*").alias("n"), F.min(joins.parallel("flag", "arm")).alias("sample"))

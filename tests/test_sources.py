@@ -104,3 +104,28 @@ def test_samples_do_not_depend_on_partitions(spark):
     df = spark.range(1000)
     a, b = (sorted(r.id for r in sampling.hashed(df.repartition(n), 20, ["id"], 1).collect()) for n in (2, 7))
     assert a == b and len(a) == 20
+
+
+def test_joins(spark):
+    from tallyframe.operators import joins
+
+    df = spark.createDataFrame([(1,), (2,)], "k int")
+    with pytest.raises(Exception, match="no attributes for 2"):
+        joins.strict(df, spark.createDataFrame([(1, "a")], "k int, v string"), ["k"]).collect()
+    books = spark.createDataFrame([("권8",), ("권7",), ("다른9",), (None,)], "b string")
+    assert [r[0] for r in books.select(joins.out_of_scope("b", "권", 7)).collect()] == [True, False, False, False]
+    refs = spark.createDataFrame([("a", ["x-b"]), ("a", ["x-a"]), ("b", None)], "own string, refs array<string>")
+    assert [(r.own, r.refs) for r in joins.drop_foreign(refs, "refs", "own", ["a", "b"]).collect()] == [("a", ["x-a"]), ("b", None)]
+
+
+def test_embed_and_fallback(spark):
+    from tallyframe.operators import vectors
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(450)], "k int, t string")
+    got = vectors.embed(df, "k", "t", lambda texts: [[float(len(t)), float(len(texts) <= 200)] for t in texts])
+    assert sorted((r.k, r.vector[0], r.vector[1]) for r in got.collect()) == [(i, float(i), 1.0) for i in range(450)]
+
+    def broken(prompt):
+        raise OSError
+
+    assert raters.fallback(broken, raters.mock_rater)("Q\n1. a\n2. b") == "1. O\n2. X"
