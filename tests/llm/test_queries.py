@@ -1,0 +1,73 @@
+"""Registered queries without SQL against brute force over the whole smallest tables."""
+
+import collections
+import hashlib
+import itertools
+
+import pytest
+import regex
+
+from tallyframe.llm import queries, token_counts
+from test_operators import slow_print, slow_secrets, slow_tokens
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def run(spark, name):
+    return queries.queries()[name](spark, SF).collect()
+
+
+def test_op1(spark, texts):
+    prints = {i: slow_print(t) for i, t in texts.items()}
+    least = {i: i for i in texts}
+    changed = True
+    close = [(a, b) for a, b in itertools.combinations(texts, 2) if bin(prints[a] ^ prints[b]).count("1") <= 2]
+    while changed:
+        changed = False
+        for a, b in close:
+            m = min(least[a], least[b])
+            changed |= (least[a], least[b]) != (m, m)
+            least[a] = least[b] = m
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in run(spark, "op1_simhash_near_dedup")}
+    assert got == {i: (f"{prints[i]:016x}", least[i]) for i in texts}
+
+
+def test_op4(spark, texts):
+    cut = {i: t.lower().split() for i, t in texts.items()}
+    holders = collections.defaultdict(set)
+    for i, w in cut.items():
+        for k in range(len(w) - 50):
+            holders[tuple(w[k : k + 51])].add(i)
+    want = {i for s in holders.values() if len(s) > 1 for i in s}
+    rows = run(spark, "op4_substring_dedup")
+    found = {x for r in rows for x in (r.doc_id, r.other_id)}
+    assert want <= found
+    for r in rows:
+        a, b = cut[r.doc_id][r.first_word : r.end_word], cut[r.other_id][r.other_first : r.other_end]
+        equal = sum((collections.Counter(a) & collections.Counter(b)).values())
+        assert min(len(a), len(b)) >= 50 and equal >= 0.8 * max(len(a), len(b))
+
+
+def test_op7(spark, texts):
+    rows = {r.doc_id: r for r in run(spark, "op7_secret_scan")}
+    assert rows.keys() == texts.keys()
+    for i, t in texts.items():
+        listed = [f"{k}:{s}:{e}" for k, s, e in slow_secrets(t)]
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
+        assert set(listed) <= set(rows[i].spans.split(","))
+
+
+def test_op8(spark, texts):
+    scores = token_counts.unigram(token_counts.read_ranks(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"))
+    rows = {r.doc_id: r for r in run(spark, "op8_token_counts")}
+    known = {}
+    for i, t in texts.items():
+        split = regex.findall(token_counts.PATTERN, t)
+        for w in split:
+            known[w] = known.get(w) or slow_tokens(w.encode(), scores)
+        assert (rows[i].n_pretokens, rows[i].n_tokens) == (len(split), sum(known[w] for w in split))
