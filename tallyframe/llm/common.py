@@ -19,12 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders by application, for sessions without a shared one, as in tests.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only if the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='corpus-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN[app] = _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='corpus-')}"
     return found.rstrip("/")
 
 
@@ -35,6 +39,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Narrow rows (two numbers at most) that may be broadcast: some 100 MB in memory.
+BROADCAST_ROWS = 2_000_000
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has no more than BROADCAST_ROWS.
+
+    A join with it then leaves wide rows where they are; with more rows it is a shuffle, and the
+    result is the same.
+    """
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ASCII_LOWER, ASCII_UPPER, components, durable, free_name
+from tallyframe.llm.common import ASCII_LOWER, ASCII_UPPER, checked, components, durable, free_name
 
 SEED = 42
 #: Blocks of more fingerprints than this are searched by neighbourhoods instead of pairs.
@@ -167,24 +167,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """Links (a, b) between texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
 
-    rows has row (long, unique) and text; chosen has the row of each distinct text and its node, by
+    rows has row (long; rows that agree in it agree in text) and text; chosen has the row of each distinct text and its node, by
     which links are given. Majority bits over all shingles would differ in ten of 64
     at this similarity, too many for pigeonhole blocks, so candidates come from the blocks of a wide
     fingerprint (wide_blocks). Texts that share a block are joined: all pairs in a block of up to
-    PAIRED texts; in a larger one each text with the block's most connected text, so rows grow with
-    the crowd and not with its square. Candidates are verified by Hamming distance of the 64-bit
+    PAIRED texts; in a larger one each text with the block's most connected text and with one that is
+    drawn for the block, so rows grow with the crowd and not with its square. Candidates are verified by Hamming distance of the 64-bit
     fingerprints, then by exact similarity of the shingle sets.
     """
     texts = rows.select("row", "text")
     sketch = texts.mapInArrow(_sketch, "row long, n long, print long, blocks array<long>")
-    sketch = durable(sketch.join(chosen, "row").drop("row"))
+    sketch = durable(sketch.join(chosen, "row").drop("row").dropDuplicates(["node"]))
     rows = sketch.select("node", F.explode("blocks").alias("block"))
     sizes = durable(rows.groupBy("block").agg(F.count("*").alias("crowd")).where("crowd > 1"))
     rows = durable(rows.join(sizes, "block"))
     mass = rows.groupBy("node").agg(F.sum("crowd").alias("mass"))
     crowded = durable(rows.where(F.col("crowd") > PAIRED).join(mass, "node"))
-    hubs = crowded.groupBy("block").agg(F.max(F.struct("mass", "node")).alias("hub"))
-    starred = crowded.join(hubs, "block").select(F.col("hub.node").alias("u"), F.col("node").alias("v")).where("u <> v")
+    most, chance = F.max(F.struct("mass", "node"))["node"], F.min(F.struct(F.xxhash64("node", "block"), "node"))["node"]
+    hubs = crowded.groupBy("block").agg(F.array_distinct(F.array(most, chance)).alias("hubs"))
+    starred = crowded.join(hubs, "block").select(F.explode("hubs").alias("u"), F.col("node").alias("v")).where("u <> v")
     few = rows.where(F.col("crowd") <= PAIRED)
     paired = few.select("block", F.col("node").alias("u")).join(few.select("block", F.col("node").alias("v")), "block").where("u < v")
     pairs = starred.union(paired.select("u", "v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
@@ -196,8 +197,8 @@ def similar_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     pairs = durable(pairs.where(close & sized).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = durable(chosen.join(wanted, "node"))
-    sets = texts.join(wanted.select("row"), "row", "left_semi").mapInArrow(_sets, "row long, shingles array<long>")
-    sets = durable(sets.join(wanted, "row").drop("row"))
+    sets = texts.join(checked(wanted.select("row")), "row", "left_semi").mapInArrow(_sets, "row long, shingles array<long>")
+    sets = durable(sets.join(wanted, "row").drop("row").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -213,14 +214,25 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     without words only. Null ids come last; of rows that agree in id, any one stays; an empty table
     stays empty; all columns are kept.
     """
-    row, node = free_name(docs, "row"), free_name(docs, "node")
+    row = free_name(docs, "row")
     bare = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), ASCII_UPPER, ASCII_LOWER), r"[\x20\x09-\x0D]+", " "))
-    rows = durable(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(node, F.xxhash64(bare)))
-    slim = rows.select(F.col(row).alias("row"), F.col(node).alias("node"), F.col(doc_id).alias("id"))
+    # A row is known by a hash of all its columns; only repeated rows share one.
+    rows = docs.withColumn(row, F.xxhash64(*docs.columns))
+    slim = rows.select(F.col(row).alias("row"), F.xxhash64(bare).alias("node"), F.col(doc_id).alias("id"))
+    slim = durable(slim)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
     nodes = durable(slim.groupBy("node").agg(first.alias("first")))
     chosen = nodes.select("node", F.col("first.row").alias("row"))
     roots = components(similar_texts(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), chosen))
     known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = durable(known.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    kept = known.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    counts = slim.groupBy("row").agg(F.count("*").alias("n"))
+    state = durable(counts.join(kept.withColumn("keep", F.lit(True)), "row", "left"))
+    dropped = state.where("keep is null").select(F.col("row").alias(row))
+    twins = state.where("keep and n > 1").select(F.col("row").alias(row))
+    out = rows.join(checked(dropped), row, "left_anti")
+    if twins.isEmpty():
+        return out.select(*docs.columns)
+    twins = checked(twins)
+    single = out.join(twins, row, "left_anti")
+    return single.union(out.join(twins, row, "left_semi").dropDuplicates([row])).select(*docs.columns)
