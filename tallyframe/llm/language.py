@@ -10,14 +10,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import free_name
+from tallyframe.llm.common import checked, durable, free_name
 
 #: Bounds of the labelled sample, for each language: documents, and bytes of its dictionary.
 SAMPLE_DOCS, DICTIONARY = 400, 96 * 1024
 #: All dictionaries together are broadcast; with very many languages each gets an equal part of this.
 ALL_DICTIONARIES = 64 * 1024 * 1024
 #: Text is compressed in pieces of this many bytes, so that the dictionary matters all along it.
-PIECE = 4096
+PIECE = 1024
 LEVEL = 5
 #: A best language that saves less than this share of the next one's size is no clear answer.
 MARGIN = 0.01
@@ -31,13 +31,15 @@ def dictionaries(
 
     Rows are taken by a hash of the row, at a rate that yields about twice the bound, and then
     cut to `docs` rows and `size` characters a language, so what reaches one task or the driver is
-    bounded. Rows longer than a quarter of a dictionary are left out, so that no single one fills it.
+    bounded. Rows of up to a 32nd of a dictionary come first, so that it holds many; a longer one
+    counts with its first `size` characters.
     """
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) <= size // 4))
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     unit = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang"), unit.alias("unit")).where("text <> ''")
-    rate = rows.groupBy("lang").agg((F.lit(2.0 * docs) / F.count("*")).alias("rate"))
-    order = Window.partitionBy("lang").orderBy("unit", "text")
+    body = F.substring(text, 1, size)
+    rows = rows.select(body.alias("text"), F.col(lang).alias("lang"), unit.alias("unit")).where("text <> ''")
+    rate = checked(durable(rows.groupBy("lang").agg((F.lit(2.0 * docs) / F.count("*")).alias("rate"))))
+    order = Window.partitionBy("lang").orderBy(F.length("text") > size // 32, "unit", "text")
     chosen = (
         rows.join(rate, "lang")
         .where("unit < rate")

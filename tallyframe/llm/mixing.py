@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import durable, word_count
 
-#: Ranges of virtual finish time per unit; the budget is reached near time 1.
-RANGES = 1 << 16
+#: Ranges of virtual finish time per unit, and parts of each; the budget is reached near time 1.
+RANGES, PARTS = 1 << 10, 1 << 10
 
 
 def _source_key(source: Column) -> Column:
@@ -16,6 +16,28 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+def _range(finish: Column) -> Column:
+    """Number of a finish time's range; ranges widen from time 2 on, so that there are some thousands at most."""
+    late = 2 * RANGES + F.floor(F.log2(F.greatest(finish, F.lit(2.0))) * 16)
+    return F.when(finish < 2, F.floor(finish * RANGES)).otherwise(late)
+
+
+def _part(finish: Column) -> Column:
+    """Number of a finish time's part of its range."""
+    return F.floor(finish * (RANGES * PARTS))
+
+
+def _crossing(copies: DataFrame, place: str, start: DataFrame) -> DataFrame:
+    """First place at which the running words exceed the budget: cut, words before it, budget; nulls if none does.
+
+    start has one row: words before all of copies, and the budget. Words are summed per place first.
+    """
+    every = Window.partitionBy(F.lit(0)).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    sums = copies.groupBy(place).agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(every))
+    sums = sums.join(F.broadcast(start)).withColumn("upto", F.col("upto") + F.col("before")).where("upto > budget")
+    return sums.agg(F.min(place).alias("cut"), F.min_by(F.col("upto") - F.col("words"), place).alias("before"), F.max("budget").alias("budget"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """One row per source key: source_size and target words.
 
@@ -99,33 +121,31 @@ def mix(
         slim.where("size > 0 and target > 0")
         .select("sk", "end", "size", "source_size", "target", F.explode(passes).alias("e"))
         .withColumn("finish", finish)
-        .withColumn("range", F.floor(F.col("finish") * RANGES))
-    )
-    every = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    budget = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
-    line = (
-        copies.groupBy("range").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(every))
-        .crossJoin(shares.agg(F.sum("source_size").alias("budget")))
-        .where("upto > budget")
-        .agg(F.min("range").alias("cut"), F.min_by(F.col("upto") - F.col("words"), "range").alias("before"), F.max("budget").alias("budget"))
+        .withColumn("range", _range(F.col("finish")))
+        .withColumn("part", _part(F.col("finish")))
     )
-    del budget
-    queue = Window.orderBy("finish", "sk", "end").partitionBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    start = shares.agg(F.lit(0).cast("long").alias("before"), F.sum("source_size").alias("budget"))
+    coarse = durable(_crossing(copies, "range", start).withColumnRenamed("cut", "cut_range"))
+    inside = copies.join(F.broadcast(coarse.select("cut_range")), F.col("range") == F.col("cut_range"))
+    fine = durable(_crossing(inside, "part", coarse.drop("cut_range")).withColumnRenamed("cut", "cut_part"))
+    queue = Window.partitionBy("part").orderBy("finish", "sk", "end").rowsBetween(Window.unboundedPreceding, 0)
     last = (
-        copies.join(F.broadcast(line), F.col("range") == F.col("cut"))
+        inside.join(F.broadcast(fine), F.col("part") == F.col("cut_part"))
         .withColumn("upto", F.col("before") + F.sum("size").over(queue))
         .where("upto <= budget")
         .agg(F.max(F.struct("finish", "sk", "end")).alias("last"))
     )
-    edge = durable(line.crossJoin(last).select("cut", "last"))
+    edge = durable(coarse.select("cut_range").join(fine.select("cut_part")).join(last))
 
     rows = (placed(keyed) if carry else slim).join(F.broadcast(edge))
 
     def taken(e: int) -> Column:
         at = (F.lit(e).cast("long") * F.col("source_size") + F.col("end")) / F.col("target")
-        ahead = F.floor(at * RANGES) < F.col("cut")
-        inside = (F.floor(at * RANGES) == F.col("cut")) & (F.struct(at.alias("finish"), "sk", "end") <= F.col("last"))
-        return F.when(F.col("cut").isNull() | ahead | F.coalesce(inside, F.lit(False)), 1).otherwise(0)
+        ranged, parted = _range(at), _part(at)
+        ahead = (ranged < F.col("cut_range")) | ((ranged == F.col("cut_range")) & (parted < F.col("cut_part")))
+        inside = (ranged == F.col("cut_range")) & (parted == F.col("cut_part"))
+        inside = inside & (F.struct(at.alias("finish"), "sk", "end") <= F.col("last"))
+        return F.when(F.col("cut_range").isNull() | ahead | F.coalesce(inside, F.lit(False)), 1).otherwise(0)
 
     n = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((taken(e) for e in range(cap)), F.lit(0))).otherwise(0)
     rows = rows.withColumn("copies", n.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
