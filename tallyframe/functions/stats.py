@@ -224,3 +224,8 @@ def sign_test(wins: Column | str, losses: Column | str) -> Column:
     terms = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
     tail = F.aggregate(terms, start, step)["total"]
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail * F.pow(F.lit(2.0), -n.cast("double"))))
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Aggregate: Pearson's correlation; null for a column without variance, where `corr` would divide by zero."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -87,7 +87,7 @@ def flip_control(pairs: DataFrame, p: str = "p", q: str = "q", cut: float = 0.5)
         F.count("*").alias("n"),
         F.avg(s).alias("mean_sum"),
         F.avg(F.abs(s - 1)).alias("mean_gap"),
-        F.when(F.count("*") >= 3, F.corr(p, q)).alias("r"),
+        F.when(F.count("*") >= 3, stats.correlation(p, q)).alias("r"),
         (100 * F.avg(((F.col(p) >= cut) & (F.col(q) >= cut)).cast("int"))).alias("both_yes_pct"),
         (100 * F.avg(((F.col(p) < cut) & (F.col(q) < cut)).cast("int"))).alias("both_no_pct"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions import stats
+
 
 def average_ranks(df: DataFrame, value: str, name: str, slices: int = 64) -> DataFrame:
     """df with the average rank of a value; ties share the mean of their places, null has none.
@@ -39,7 +41,7 @@ def auc(df: DataFrame, value: str, positive: Column) -> DataFrame:
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """Correlation of two columns; null below three pairs or without variance."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sums = rows.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.min(x) != F.max(x), F.min(y) != F.max(y)).toDF("n", "r", "vx", "vy")
+    sums = rows.agg(F.count("*").alias("n"), stats.correlation(x, y).alias("r"), F.min(x) != F.max(x), F.min(y) != F.max(y)).toDF("n", "r", "vx", "vy")
     return sums.select("n", F.when((F.col("n") >= 3) & F.col("vx") & F.col("vy"), F.col("r")).alias("r"))
 
 

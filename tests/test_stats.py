@@ -96,6 +96,8 @@ def test_ranks(spark):
     assert ranks.auc(tied, "v", F.col("y")).first().auc == 0.5
     assert ranks.auc(tied.where("y"), "v", F.col("y")).first().auc is None
     assert ranks.pearson(spark.createDataFrame([(1.0, 1.0), (2.0, 1.0), (3.0, 1.0)], "x double, y double"), "x", "y").first().r is None
+    constant = spark.createDataFrame([(0.2, 0.5), (0.4, 0.5), (0.9, 0.5)], "p double, q double")
+    assert agreement.flip_control(constant).first().r is None
 
 
 def test_swapping_arms_inverts_the_odds_ratio(spark):
