@@ -268,6 +268,23 @@ def test_passage_that_no_text_holds_first_as_a_whole(spark):
     assert {2, 3, 4} == {x for r in got for x in (r.doc_id, r.other_id)}
 
 
+def test_fuzzy_passages_at_the_least_share(spark):
+    rng = random.Random(21)
+    rows, want = [], set()
+    for n, share in ((50, 0.8), (55, 0.82), (55, 0.85), (55, 0.9), (80, 0.85), (100, 0.82)):
+        for _ in range(25):
+            p = words(rng, n, 10**6)
+            q = list(p)
+            for k in rng.sample(range(1, n - 1), int(n * (1 - share) + 1e-9)):
+                q[k] = f"x{rng.randrange(10**6)}"
+            want.add((len(rows), len(rows) + 1))
+            rows += [(len(rows) + k, " ".join(words(rng, 200, 10**6) + part + words(rng, 200, 10**6))) for k, part in enumerate((p, q))]
+    got = passages.repeated_passages(docs(spark, rows)).collect()
+    found = {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got}
+    assert found <= want and len(found) >= 0.97 * len(want)
+    assert all(r.equal_words >= 0.8 * (r.end_word - r.first_word) and r.end_word - r.first_word >= 50 for r in got)
+
+
 # --- 5: language -------------------------------------------------------------------------------
 
 
