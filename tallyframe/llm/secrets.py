@@ -18,7 +18,7 @@ BASE = (
 )
 #: Candidates of the battery: runs of this many characters of the base64 and URL-safe alphabets.
 LEAST_RUN = 20
-_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}+" % LEAST_RUN
+_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % LEAST_RUN
 #: Encodings from narrow to wide: name, pattern of the whole run, symbols in order of value, sum of squared
 #: letter shares of ordinary text over those symbols (about 0.065 for English letters, 0.1 for digits).
 ENCODINGS = (

@@ -380,6 +380,14 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_right_after_an_equals_sign(spark):
+    rng = random.Random(23)
+    key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(64))
+    before = ("AWS_ACCESS_VALUE=", "https://example.org/a?sig=", "a=1&code=", "session=")
+    found = secrets.scan(docs(spark, [(i, f"{b}{key} end") for i, b in enumerate(before)])).collect()
+    assert {r.doc_id: [(h.s, h.e) for h in r.random] for r in found} == {i: [(len(b), len(b) + 64)] for i, b in enumerate(before)}
+
+
 # --- 8: tokens ---------------------------------------------------------------------------------
 
 
