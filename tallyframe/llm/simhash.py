@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ CROWD = 64
 SHINGLE, SIMILAR = 5, 0.8
 #: Wide fingerprint of that stage: blocks, and shingles sampled for each; blocks of up to PAIRED texts give all pairs.
 BLOCKS, SAMPLED, PAIRED = 24, 5, 12
+#: Sets of up to so many shingles have exact keys besides the blocks.
+SMALL = 12
 #: Bits in which the 64-bit fingerprints of two texts at the least similarity may differ: the mean is 10, the deviation 3.
 FAR_BITS = 24
 _CHUNK = 1 << 16
@@ -143,6 +146,14 @@ def wide_blocks(hashes: np.ndarray) -> list[int]:
     return np.unique(packed).tolist()
 
 
+def small_keys(hashes: np.ndarray) -> list[int]:
+    """The least hashes of a set of up to SMALL distinct shingles, so many that two such sets of similarity SIMILAR share one."""
+    n = len(hashes)
+    if n > SMALL:
+        return []
+    return np.sort(hashes)[: n - math.ceil(SIMILAR * n - 1e-9) + 1].view(np.int64).tolist()
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
@@ -151,7 +162,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = (
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([fingerprint(s) for s in sets], pa.int64()),
-                pa.array([wide_blocks(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([list({*wide_blocks(s), *small_keys(s)}) for s in sets], pa.list_(pa.int64())),
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n", "print", "blocks"])
 
@@ -170,7 +181,7 @@ def similar_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     rows has row (long; rows that agree in it agree in text) and text; chosen has the row of each distinct text and its node, by
     which links are given. Majority bits over all shingles would differ in ten of 64
     at this similarity, too many for pigeonhole blocks, so candidates come from the blocks of a wide
-    fingerprint (wide_blocks). Texts that share a block are joined: all pairs in a block of up to
+    fingerprint (wide_blocks), and for short texts from exact keys (small_keys). Texts that share a block are joined: all pairs in a block of up to
     PAIRED texts; in a larger one each text with the block's most connected text and with one that is
     drawn for the block, so rows grow with the crowd and not with its square. Candidates are verified by Hamming distance of the 64-bit
     fingerprints, then by exact similarity of the shingle sets.
@@ -192,7 +203,7 @@ def similar_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     facts = sketch.select("node", "n", "print")
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("print").alias(f"p_{side}")), side)
-    close = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= FAR_BITS
+    close = (F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= FAR_BITS) | (F.least("n_a", "n_b") <= SMALL)
     sized = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
     pairs = durable(pairs.where(close & sized).select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

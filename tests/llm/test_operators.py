@@ -159,6 +159,17 @@ def test_near_duplicate_links_against_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want) > 30
 
 
+def test_near_duplicates_of_few_shingles(spark):
+    rng = random.Random(22)
+    texts = []
+    for k in range(200):
+        base = words(rng, 8 + k % 5, 10**6)
+        texts += [" ".join(base), " ".join([*base, "added"] if k % 2 else ["added", *base])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {(r.a, r.b) for r in simhash.similar_texts(rows, rows.select("row", F.col("row").alias("node"))).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(200)}
+
+
 # --- 2: mixing ---------------------------------------------------------------------------------
 
 
