@@ -24,8 +24,10 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if the session names none."""
+    """The folder that driver and executors share: that of the session, or a temporary one on a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         app = spark.sparkContext.applicationId
         found = _OWN[app] = _OWN.get(app) or f"file://{tempfile.mkdtemp(prefix='corpus-')}"
@@ -52,6 +54,17 @@ def checked(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def unique_nodes(texts: DataFrame) -> DataFrame:
+    """texts, a table with a row per pair of hashes h and g, with a number of its own for each: node.
+
+    That is h, but for texts that are unlike and share h by chance: of these, all but one get a hash of both.
+    """
+    first = texts.groupBy("h").agg(F.min("g").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = texts.join(checked(durable(first)), "h", "left")
+    node = F.when(F.coalesce(F.col("g") != F.col("first"), F.lit(False)), F.xxhash64("h", "g")).otherwise(F.col("h"))
+    return durable(rows.withColumn("node", node).drop("first"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

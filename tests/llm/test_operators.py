@@ -271,12 +271,78 @@ def test_passages(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
 
-def test_passage_that_no_text_holds_first_as_a_whole(spark):
+def test_passages_that_no_text_holds_first_as_a_whole(spark):
+    """Many small corpora in one: parts of a passage in texts of their own, the whole in two to thirty more."""
     rng = random.Random(10)
-    p = words(rng, 60, 10**6)
-    rows = [(i, " ".join(words(rng, 60, 10**6) + part + words(rng, 60, 10**6))) for i, part in enumerate([p[:30], p[30:], p, p, p])]
-    got = passages.repeated_passages(docs(spark, rows)).collect()
-    assert {2, 3, 4} == {x for r in got for x in (r.doc_id, r.other_id)}
+    rows, want = [], set()
+    for case in range(60):
+        n = rng.choice((51, 60, 90))
+        p = words(rng, n, 10**6)
+        cut = sorted(rng.sample(range(n), 3))
+        parts = [p[: cut[1]][-49:], p[cut[0] :][:49], p[cut[1] :][:30], p[: cut[2]][:40]]
+        whole = [p] * (2 if case % 4 else 30)
+        for part in parts + whole:
+            body = words(rng, 60, 10**6)
+            rows.append((len(rows), " ".join(body[:30] + part + body[30:])))
+            if part is p:
+                want.add(len(rows) - 1)
+    got = passages.repeated_passages(docs(spark, rows).repartition(5)).collect()
+    assert want == {x for r in got for x in (r.doc_id, r.other_id)}
+
+
+def test_no_shared_run_is_left_out(spark):
+    """Texts made of popular paragraphs, all orders and overlaps: brute force over runs of LEAST + 1 words."""
+    rng = random.Random(24)
+    stock = [words(rng, rng.randrange(20, 80), 10**6) for _ in range(12)]
+    rows = [(i, " ".join(w for _ in range(4) for w in (rng.choice(stock) if rng.random() < 0.6 else words(rng, 25, 10**6)))) for i in range(150)]
+    holders = collections.defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 50):
+            holders[tuple(w[k : k + 51])].add(i)
+    want = {i for s in holders.values() if len(s) > 1 for i in s}
+    got = passages.repeated_passages(docs(spark, rows).repartition(4)).collect()
+    joined = collections.defaultdict(set)
+    for r in got:
+        joined[r.doc_id].add(r.other_id)
+        joined[r.other_id].add(r.doc_id)
+    assert want <= set(joined)
+
+    def reach(x):
+        seen, todo = {x}, [x]
+        while todo:
+            todo += [y for y in joined[todo.pop()] if y not in seen and not seen.add(y)]
+        return seen
+
+    assert all(s <= reach(min(s)) for s in holders.values() if len(s) > 1)
+
+
+def test_a_chain_is_split_where_a_gap_is_too_wide():
+    rng = random.Random(25)
+    for left, gap, right in ((3500, 2000, 3500), (60, 40, 60), (400, 100, 55), (70, 15, 70)):
+        first, last = words(rng, left, 10**6), words(rng, right, 10**6)
+        codes = passages._Codes()
+        a, b = (passages.encode(" ".join(first + words(rng, gap, 10**6) + last), codes) for _ in range(2))
+        found = sorted(passages.passages(a, b))
+        assert found[0][0] == 0 and found[-1][1] == left + gap + right
+        assert sum(r[4] for r in found) >= left + right and (gap <= passages.BRIDGE or len(found) == 2)
+
+
+def test_fuzzy_copies_in_a_crowd(spark):
+    """Copies of a passage with a tenth of its words changed, among texts with whole parts of it."""
+    rng = random.Random(26)
+    rows, want = [], set()
+    for size in (6, 40, 120):
+        p = words(rng, 70, 10**6)
+        for k in range(size):
+            q = [f"x{rng.randrange(10**6)}" if rng.random() < 0.1 else w for w in p]
+            want.add(len(rows))
+            rows.append((len(rows), " ".join(words(rng, 50, 10**6) + q + words(rng, 50, 10**6))))
+            if k % 4 == 0:
+                rows.append((len(rows), " ".join(words(rng, 50, 10**6) + p[20:45] + words(rng, 50, 10**6))))
+    got = passages.repeated_passages(docs(spark, rows).repartition(4)).collect()
+    found = {x for r in got for x in (r.doc_id, r.other_id)}
+    assert found <= want and len(found) >= 0.97 * len(want)
 
 
 def test_fuzzy_passages_at_the_least_share(spark):
