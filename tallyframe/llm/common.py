@@ -59,10 +59,10 @@ def unique_nodes(texts: DataFrame) -> DataFrame:
 
     That is h, but for texts that are unlike and share h by chance: of these, all but one get a hash of both.
     """
-    first = texts.groupBy("h").agg(F.min("g").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = texts.join(checked(durable(first)), "h", "left")
-    node = F.when(F.coalesce(F.col("g") != F.col("first"), F.lit(False)), F.xxhash64("h", "g")).otherwise(F.col("h"))
-    return durable(rows.withColumn("node", node).drop("first"))
+    least = texts.groupBy("h").agg(F.min("g").alias("least_g"), F.count("*").alias("n_g")).where("n_g > 1").drop("n_g")
+    rows = texts.join(checked(durable(least)), "h", "left")
+    node = F.when(F.coalesce(F.col("g") != F.col("least_g"), F.lit(False)), F.xxhash64("h", "g")).otherwise(F.col("h"))
+    return durable(rows.withColumn("node", node).drop("least_g"))
 
 
 def word_count(text: Column) -> Column:

@@ -3,27 +3,30 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ASCII_LOWER, ASCII_UPPER, checked, components, durable, free_name
+from tallyframe.llm.common import checked, components, durable, free_name, unique_nodes
 
 SEED = 42
 #: Blocks of more fingerprints than this are searched by neighbourhoods instead of pairs.
 CROWD = 64
-#: Stage on word shingles: words of a shingle, and least Jaccard similarity of a link.
+#: Stage on word shingles: words of a shingle, and least similarity of a link. It is the cosine of two sets, which is
+#: what SimHash bits measure: shared shingles over the geometric mean of the sizes.
 SHINGLE, SIMILAR = 5, 0.8
+#: Least share of a set's shingles that another of that similarity holds.
+SHARE = SIMILAR * SIMILAR
 #: Wide fingerprint of that stage: blocks, and shingles sampled for each; blocks of up to PAIRED texts give all pairs.
-BLOCKS, SAMPLED, PAIRED = 24, 5, 12
+BLOCKS, SAMPLED, PAIRED = 24, 3, 12
 #: Sets of up to so many shingles have exact keys besides the blocks.
 SMALL = 12
-#: Bits in which the 64-bit fingerprints of two texts at the least similarity may differ: the mean is 10, the deviation 3.
-FAR_BITS = 24
+#: Bits in which the 64-bit fingerprints of two texts at the least similarity may differ: the mean is 13, the deviation 3.
+FAR_BITS = 30
 _CHUNK = 1 << 16
 
 
@@ -128,8 +131,8 @@ def wide_blocks(hashes: np.ndarray) -> list[int]:
     """Distinct blocks of the wide fingerprint of a set of shingles, as signed numbers.
 
     Each block is the SimHash of the SAMPLED shingles that come first under an order of its own. Two
-    sets of similarity s agree in a block with about s to the power SAMPLED, so at 0.8 one of 24 blocks
-    is shared all but once in ten thousand cases, and at 0.3 in one of eighteen.
+    sets of Jaccard similarity s agree in a block with about s to the power SAMPLED. Sets of cosine 0.8
+    have an s of 0.64 at least, so they share none of 24 blocks in seven of ten thousand cases at most.
     """
     if not len(hashes):
         return [0]
@@ -151,70 +154,110 @@ def small_keys(hashes: np.ndarray) -> list[int]:
     n = len(hashes)
     if n > SMALL:
         return []
-    return np.sort(hashes)[: n - math.ceil(SIMILAR * n - 1e-9) + 1].view(np.int64).tolist()
+    return np.sort(hashes)[: n - math.ceil(SHARE * n - 1e-9) + 1].view(np.int64).tolist()
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in batch.column(1).to_pylist()]
+            texts = batch.column(3).to_pylist()
+            sets = [np.unique(shingle_hashes(t, SHINGLE)) for t in texts]
+            words = (t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts)
+            both = np.frombuffer(b"".join(xxhash.xxh128_digest(b" ".join(w)) for w in words), np.int64).reshape(-1, 2)
             columns = (
+                pa.array(both[:, 0]),
+                pa.array(both[:, 1]),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([fingerprint(s) for s in sets], pa.int64()),
                 pa.array([list({*wide_blocks(s), *small_keys(s)}) for s in sets], pa.list_(pa.int64())),
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n", "print", "blocks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["id", "k1", "k2", "h", "g", "n", "print", "blocks"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            sets = [np.unique(shingle_hashes(t, SHINGLE).view(np.int64)).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "shingles"])
+            sets = [np.unique(shingle_hashes(t, SHINGLE).view(np.int64)).tolist() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int64()))], ["k1", "k2", "shingles"])
 
 
-def similar_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Links (a, b) between texts whose sets of five-word shingles have Jaccard similarity 0.8 or more.
+def _pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the nodes of each block; for blocks of up to PAIRED."""
+    return rows.select("block", F.col("node").alias("a")).join(rows.select("block", F.col("node").alias("b")), "block").where("a < b").select("a", "b")
 
-    rows has row (long; rows that agree in it agree in text) and text; chosen has the row of each distinct text and its node, by
-    which links are given. Majority bits over all shingles would differ in ten of 64
-    at this similarity, too many for pigeonhole blocks, so candidates come from the blocks of a wide
-    fingerprint (wide_blocks), and for short texts from exact keys (small_keys). Texts that share a block are joined: all pairs in a block of up to
-    PAIRED texts; in a larger one each text with the block's most connected text and with one that is
-    drawn for the block, so rows grow with the crowd and not with its square. Candidates are verified by Hamming distance of the 64-bit
-    fingerprints, then by exact similarity of the shingle sets.
-    """
-    texts = rows.select("row", "text")
-    sketch = texts.mapInArrow(_sketch, "row long, n long, print long, blocks array<long>")
-    sketch = durable(sketch.join(chosen, "row").drop("row").dropDuplicates(["node"]))
-    rows = sketch.select("node", F.explode("blocks").alias("block"))
-    sizes = durable(rows.groupBy("block").agg(F.count("*").alias("crowd")).where("crowd > 1"))
-    rows = durable(rows.join(sizes, "block"))
-    mass = rows.groupBy("node").agg(F.sum("crowd").alias("mass"))
-    crowded = durable(rows.where(F.col("crowd") > PAIRED).join(mass, "node"))
-    most, chance = F.max(F.struct("mass", "node"))["node"], F.min(F.struct(F.xxhash64("node", "block"), "node"))["node"]
-    hubs = crowded.groupBy("block").agg(F.array_distinct(F.array(most, chance)).alias("hubs"))
-    starred = crowded.join(hubs, "block").select(F.explode("hubs").alias("u"), F.col("node").alias("v")).where("u <> v")
-    few = rows.where(F.col("crowd") <= PAIRED)
-    paired = few.select("block", F.col("node").alias("u")).join(few.select("block", F.col("node").alias("v")), "block").where("u < v")
-    pairs = starred.union(paired.select("u", "v")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    facts = sketch.select("node", "n", "print")
+
+def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose similarity is SIMILAR or more: by sizes and Hamming distance first, then by the sets themselves."""
+    pairs = pairs.distinct()
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("print").alias(f"p_{side}")), side)
     close = (F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= FAR_BITS) | (F.least("n_a", "n_b") <= SMALL)
-    sized = F.least("n_a", "n_b") >= SIMILAR * F.greatest("n_a", "n_b")
-    pairs = durable(pairs.where(close & sized).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = durable(chosen.join(wanted, "node"))
-    sets = texts.join(checked(wanted.select("row")), "row", "left_semi").mapInArrow(_sets, "row long, shingles array<long>")
-    sets = durable(sets.join(wanted, "row").drop("row").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = shared >= SIMILAR * (F.size("sa") + F.size("sb") - shared)
-    return both.where(alike).select("a", "b")
+    both = pairs.where(close & (F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b"))).select("a", "b")
+    for side in ("a", "b"):
+        both = both.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+    shared = F.size(F.array_intersect("s_a", "s_b")).cast("double")
+    return durable(both.where(shared * shared >= SHARE * F.size("s_a") * F.size("s_b")).select("a", "b"))
+
+
+def crowd_links(facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among texts of crowded blocks, by their rarest shingles; nothing is left out for being many.
+
+    With shingles in order of how many sets hold them, two sets of the least similarity share one of
+    the first n - SHARE * n + 1 of either. Shingles held there by up to PAIRED texts give all pairs.
+    A commoner one comes after a set's rare shingles, `place` of them, which the other set then lacks;
+    texts with too many of these cannot be similar to any text there and leave the shingle. Of the
+    others the one with the fewest is the leader, compared with all; texts that are similar to no
+    leader give further leaders, twice as many in each round, until none are left. Every text is so
+    similar to a leader, or is one that was compared with all texts with which it could be linked.
+    """
+    every = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("block"))
+    common = durable(every.groupBy("block").agg(F.count("*").alias("held")).where("held > 1"))
+    mine = every.join(checked(common), "block").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "block"))).alias("shared"))
+    lost = F.col("n") - F.size("shared")
+    first = F.greatest(F.lit(0), F.col("n") - F.ceil(SHARE * F.col("n") - 1e-9).cast("int") + 1 - lost)
+    rows = mine.select("node", "n", lost.alias("lost"), F.posexplode(F.slice("shared", F.lit(1), first)).alias("at", "s"))
+    rows = durable(rows.select("node", "n", (F.col("lost") + F.col("at")).alias("place"), F.col("s.block").alias("block")))
+    sizes = durable(rows.groupBy("block").agg(F.count("*").alias("crowd"), F.min("place").alias("least")).where("crowd > 1"))
+    rows = durable(rows.join(checked(sizes), "block"))
+    found = _verified(_pairs(rows.where(F.col("crowd") <= PAIRED)), facts, sets)
+    rest = (F.col("n") - F.col("place")).cast("double")
+    many = durable(rows.where((F.col("crowd") > PAIRED) & (rest * rest >= SHARE * F.col("n") * (rest + F.col("least")))).select("block", "node", "place"))
+    open_, k = durable(many.select("node").distinct()), 1
+    while not open_.isEmpty():
+        order = Window.partitionBy("block").orderBy("place", "node")
+        leads = many.join(open_, "node").withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
+        leads = durable(leads.select("block", F.col("node").alias("lead")))
+        pairs = many.join(leads, "block").where("node <> lead")
+        fresh = _verified(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), facts, sets)
+        done = leads.select(F.col("lead").alias("node")).union(fresh.select("a")).union(fresh.select("b")).distinct()
+        found, open_, k = found.union(fresh), durable(open_.join(done, "node", "left_anti")), 2 * k
+    return found
+
+
+def similar_texts(texts: DataFrame, shingles: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) between texts whose sets of five-word shingles have similarity SIMILAR or more.
+
+    texts has node, n (shingles), print (64-bit fingerprint) and blocks; shingles gives node and
+    shingles of the nodes of a table. At this similarity 13 of 64 majority bits differ, so blocks of
+    bits that cannot all differ would have four bits and hold nearly everything together. Candidates
+    share a block of a wider fingerprint instead (wide_blocks), and for short texts an exact key
+    (small_keys). A block of up to PAIRED texts gives all pairs; the texts of larger ones are compared
+    by crowd_links. Candidates are verified by Hamming distance, then by the sets themselves.
+    """
+    rows = texts.select("node", F.explode("blocks").alias("block"))
+    sizes = durable(rows.groupBy("block").agg(F.count("*").alias("crowd")).where("crowd > 1"))
+    rows = durable(rows.join(checked(sizes), "block"))
+    facts = texts.select("node", "n", "print")
+    pairs = durable(_pairs(rows.where(F.col("crowd") <= PAIRED)).distinct())
+    crowd = durable(rows.where(F.col("crowd") > PAIRED).select("node").distinct())
+    wanted = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct())
+    sets = durable(shingles(wanted))
+    found = _verified(pairs, facts, sets)
+    if crowd.isEmpty():
+        return found
+    return found.union(crowd_links(facts, sets.join(checked(crowd), "node", "left_semi"))).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -222,28 +265,36 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
 
     Texts that have the same words are one node, so copies never meet as pairs; nodes are linked by
     similar_texts and classes are what links connect. A document without words equals others
-    without words only. Null ids come last; of rows that agree in id, any one stays; an empty table
-    stays empty; all columns are kept.
+    without words only. Null ids come last; of rows that agree in id and text, any one stays; an
+    empty table stays empty; all columns are kept.
     """
-    row = free_name(docs, "row")
-    bare = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text), F.lit("")), ASCII_UPPER, ASCII_LOWER), r"[\x20\x09-\x0D]+", " "))
-    # A row is known by a hash of all its columns; only repeated rows share one.
-    rows = docs.withColumn(row, F.xxhash64(*docs.columns))
-    slim = rows.select(F.col(row).alias("row"), F.xxhash64(bare).alias("node"), F.col(doc_id).alias("id"))
-    slim = durable(slim)
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
-    nodes = durable(slim.groupBy("node").agg(first.alias("first")))
-    chosen = nodes.select("node", F.col("first.row").alias("row"))
-    roots = components(similar_texts(rows.select(F.col(row).alias("row"), F.col(text).alias("text")), chosen))
-    known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = known.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    counts = slim.groupBy("row").agg(F.count("*").alias("n"))
-    state = durable(counts.join(kept.withColumn("keep", F.lit(True)), "row", "left"))
-    dropped = state.where("keep is null").select(F.col("row").alias(row))
-    twins = state.where("keep and n > 1").select(F.col("row").alias(row))
-    out = rows.join(checked(dropped), row, "left_anti")
+    # A row is known by 128 bits of its id and text; only rows that agree in both share them.
+    k1, k2 = free_name(docs, "k1"), free_name(docs, "k2")
+    rows = docs.withColumn(k1, F.xxhash64(doc_id, text)).withColumn(k2, F.xxhash64(F.lit(1), doc_id, text))
+    key = [F.col(k1).alias("k1"), F.col(k2).alias("k2")]
+    kind = dict(docs.dtypes)[doc_id]
+    sketch = rows.select(F.col(doc_id).alias("id"), *key, F.col(text).alias("text"))
+    sketch = sketch.mapInArrow(_sketch, f"id {kind}, k1 long, k2 long, h long, g long, n long, print long, blocks array<long>")
+    sketch = durable(sketch)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("k1"), F.col("k2")))
+    texts = sketch.groupBy("h", "g").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("n", "print", "blocks")))
+    texts = unique_nodes(durable(texts))
+
+    def shingles(wanted: DataFrame) -> DataFrame:
+        chosen = durable(texts.join(checked(wanted), "node", "left_semi").select("node", "first.k1", "first.k2"))
+        of = rows.select(*key, F.col(text).alias("text")).join(checked(chosen.drop("node")), ["k1", "k2"], "left_semi")
+        sets = of.mapInArrow(_sets, "k1 long, k2 long, shingles array<long>")
+        return sets.join(checked(chosen), ["k1", "k2"]).select("node", "shingles").dropDuplicates(["node"])
+
+    roots = components(similar_texts(texts, shingles))
+    known = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = known.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2", F.lit(True).alias("keep"))
+    state = durable(sketch.groupBy("k1", "k2").agg(F.count("*").alias("m")).join(kept, ["k1", "k2"], "left"))
+    mine = lambda df: checked(durable(df.select(F.col("k1").alias(k1), F.col("k2").alias(k2))))
+    out = rows.join(mine(state.where("keep is null")), [k1, k2], "left_anti")
+    twins = state.where("keep and m > 1")
     if twins.isEmpty():
         return out.select(*docs.columns)
-    twins = checked(twins)
-    single = out.join(twins, row, "left_anti")
-    return single.union(out.join(twins, row, "left_semi").dropDuplicates([row])).select(*docs.columns)
+    twins = mine(twins)
+    single = out.join(twins, [k1, k2], "left_anti")
+    return single.union(out.join(twins, [k1, k2], "left_semi").dropDuplicates([k1, k2])).select(*docs.columns)
