@@ -5,6 +5,8 @@ Everything here is a DataFrame function; no row leaves the JVM.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,43 +21,45 @@ BASE = (
 #: Candidates of the battery: runs of this many characters of the base64 and URL-safe alphabets.
 LEAST_RUN = 20
 _RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % LEAST_RUN
-#: Encodings from narrow to wide: name, pattern of the whole run, symbols in order of value, sum of squared
-#: letter shares of ordinary text over those symbols (about 0.065 for English letters, 0.1 for digits).
+#: Encodings from narrow to wide: name, pattern of the whole run, symbols in order of value; runs of one case are lower-cased.
 ENCODINGS = (
-    ("digits", r"^[0-9]+$", "0123456789", 0.1),
-    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.12),
-    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.065),
-    ("base36", r"^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 0.065),
-    ("base64", r"^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.06),
+    ("digits", r"^[0-9]+$", "0123456789"),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    ("letters", r"^(?:[a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz"),
+    ("base32", r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base62", r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
+    ("base64", r"^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
+# Shares of the letters a to z in English text, in percent.
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+#: Chances in ordinary words, names and paths that an upper-case letter, a lower-case one, a digit or a sign (rows) is
+#: followed by each of these (columns).
+FOLLOWS = ((0.60, 0.28, 0.02, 0.10), (0.04, 0.84, 0.02, 0.10), (0.04, 0.04, 0.76, 0.16), (0.32, 0.32, 0.32, 0.04))
 #: A run whose tests reject randomness at this level is ordinary text.
 ALPHA = 0.001
-#: Share of false discoveries allowed in each band of lengths, and the bands' lower ends.
+#: Share of false discoveries allowed for each encoding and band of lengths, and the bands' lower ends.
 FDR = 0.01
 BANDS = (20, 28, 40, 64, 128)
 #: Bins per unit of the natural logarithm in which p-values are ranked.
 _BINS = 8
 
 
-def _hits(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, kind, measured length) in code points, leftmost and non-overlapping.
+def _found(text: Column, kind: str, pattern: str, group: int, run: bool = False) -> Column:
+    """Matches of a pattern, leftmost and non-overlapping, null if there are none: kind and, for each, the characters
+    between it and the one before, its length, the measured group's length, and the match itself if asked for.
 
-    The text between matches and the matches alternate, so running lengths give the positions.
+    The text between matches and the matches alternate, so running sums of lengths give the places.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,kind:string,n:int>>").alias("out"))
-
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(whole, i))
-        hit = F.struct(start.alias("s"), end.alias("e"), F.lit(kind).alias("kind"), F.length(F.get(part, i)).alias("n"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(hit)).alias("out"))
-
-    places = F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.aggregate(places, zero, step)["out"]
-    return F.filter(found, lambda h: h["n"] >= least)
+    each = F.arrays_zip(whole.alias("w"), part.alias("p"), F.split(text, pattern, -1).alias("b"))
+    none = F.lit(None).cast("string")
+    item = lambda x: F.struct(
+        F.length(x["b"]).alias("gap"), F.length(x["w"]).alias("size"), F.length(x["p"]).alias("n"), (x["w"] if run else none).alias("run")
+    )
+    items = F.filter(F.transform(each, item), lambda x: x["size"].isNotNull())
+    return F.when(text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), items.alias("items")))
 
 
 def _digest(hits: Column, order: tuple[str, ...]) -> Column:
@@ -71,12 +75,17 @@ def _digest(hits: Column, order: tuple[str, ...]) -> Column:
 
 
 def _tests(runs: DataFrame) -> DataFrame:
-    """Statistics of each distinct run: p_random (randomness not rejected) and log_p (text rejected)."""
-    enc = F.coalesce(*(F.when(F.col("run").rlike(p), F.lit(i)) for i, (_, p, _, _) in enumerate(ENCODINGS)), F.lit(len(ENCODINGS) - 1))
-    symbols = F.element_at(F.array(*(F.lit(a) for _, _, a, _ in ENCODINGS)), F.col("enc") + 1)
-    squares = F.element_at(F.array(*(F.lit(q) for *_, q in ENCODINGS)), F.col("enc") + 1)
-    plain = F.when(F.col("enc") == 1, F.lower("run")).otherwise(F.translate("run", "_-", "/+"))
-    rows = runs.withColumn("enc", enc).withColumn("symbols", symbols).withColumn("q", squares).withColumn("run_", plain)
+    """Statistics of each distinct run: p_random (randomness not rejected), log_p (text rejected), stratum.
+
+    log_p is a bound on the chance that ordinary text has a run as much likelier under uniform random
+    symbols of its encoding: by Markov's inequality that chance is at most the inverse of the ratio of
+    likelihoods. Text is modelled by kinds of characters, each following the one before, and by
+    letter shares.
+    """
+    enc = F.coalesce(*(F.when(F.col("run").rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)), F.lit(len(ENCODINGS) - 1))
+    symbols = F.element_at(F.array(*(F.lit(a) for *_, a in ENCODINGS)), F.col("enc") + 1)
+    plain = F.when(F.col("enc") <= 4, F.lower("run")).otherwise(F.translate("run", "_-", "/+"))
+    rows = runs.withColumn("enc", enc).withColumn("symbols", symbols).withColumn("run_", plain)
     rows = rows.withColumn("a", F.length("symbols").cast("double")).withColumn("n", F.length("run_").cast("double"))
     value = F.transform(F.split("run_", ""), lambda c: F.position(c, "symbols"))
     rows = rows.withColumn("v", F.filter(value, lambda x: x > 0))
@@ -106,26 +115,32 @@ def _tests(runs: DataFrame) -> DataFrame:
     upper = lambda z: F.when(z > 0, F.lit(0.5) * F.exp(-z * z / 2)).otherwise(F.lit(1.0))
     p_chi, p_runs, p_serial = upper(F.col("z_chi")), 2 * upper(F.abs("z_runs")), 2 * upper(F.abs("z_serial"))
     rows = rows.withColumn("p_random", F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)))
-    # Text instead of random symbols makes chi-squared noncentral, by an amount that grows with the length.
-    shift = F.col("n") * (F.col("a") * F.col("q") - 1)
-    z_text = (df + shift - F.col("chi2")) / F.sqrt(2 * df + 4 * shift)
-    rows = rows.withColumn("log_p", F.when(z_text > 0, F.log(F.lit(0.5)) - z_text * z_text / 2).otherwise(F.lit(0.0)))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    kinds = F.translate("run", low.upper() + low + "0123456789" + "+/_-", "0" * 26 + "1" * 26 + "2" * 10 + "3" * 4)
+    rows = rows.withColumn("kinds", F.transform(F.split(kinds, ""), lambda k: k.cast("int")))
+    chances = F.array(*(F.lit(math.log(x)) for row in FOLLOWS for x in row))
+    steps = F.sequence(F.lit(1), F.size("kinds") - 1)
+    moves = F.aggregate(steps, F.lit(math.log(1 / 4)), lambda s, i: s + F.get(chances, F.get("kinds", i - 1) * 4 + F.get("kinds", i)))
+    share = [math.log(x / sum(LETTERS)) for x in LETTERS] + [math.log(1 / 10)] * 10 + [math.log(1 / 4)] * 4
+    weights, signs = F.array(*map(F.lit, share)), F.lit(low + "0123456789+/_-")
+    spelt = F.aggregate(F.split(F.lower("run"), ""), F.lit(0.0), lambda s, c: s + F.coalesce(F.get(weights, F.position(c, signs) - 1), F.lit(0.0)))
+    rows = rows.withColumn("log_p", F.least(F.lit(0.0), moves + spelt + F.col("n") * F.log("a")))
     band = sum((F.when(F.col("n") >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
-    return rows.select("run", F.col("p_random"), "log_p", band.alias("band"))
+    return rows.select("run", F.col("p_random"), "log_p", (F.col("enc") * 10 + band).alias("stratum"))
 
 
 def _discoveries(tested: DataFrame, fdr: float, alpha: float) -> DataFrame:
-    """Runs taken for random: Benjamini-Hochberg in each band of lengths, over binned p-values.
+    """Runs taken for random: Benjamini-Hochberg in each stratum of encoding and band of lengths, over binned p-values.
 
     A bin counts at its upper end, so binning never admits more; the table of bins is bounded.
     """
     binned = tested.withColumn("bin", F.floor(-F.col("log_p") * _BINS).cast("int")).withColumn("bin", F.least("bin", F.lit(700 * _BINS)))
-    counts = binned.groupBy("band", "bin").agg(F.count("*").alias("k"))
-    down = Window.partitionBy("band").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("rank", F.sum("k").over(down)).withColumn("m", F.sum("k").over(Window.partitionBy("band")))
+    counts = binned.groupBy("stratum", "bin").agg(F.count("*").alias("k"))
+    down = Window.partitionBy("stratum").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("rank", F.sum("k").over(down)).withColumn("m", F.sum("k").over(Window.partitionBy("stratum")))
     passed = ranked.where(F.exp(-F.col("bin") / F.lit(float(_BINS))) <= F.lit(fdr) * F.col("rank") / F.col("m"))
-    cut = passed.groupBy("band").agg(F.min("bin").alias("cut"))
-    return binned.join(F.broadcast(cut), "band").where((F.col("bin") >= F.col("cut")) & (F.col("p_random") >= alpha)).select("run")
+    cut = passed.groupBy("stratum").agg(F.min("bin").alias("cut"))
+    return binned.join(F.broadcast(cut), "stratum").where((F.col("bin") >= F.col("cut")) & (F.col("p_random") >= alpha)).select("run")
 
 
 def scan(
@@ -133,54 +148,50 @@ def scan(
 ) -> DataFrame:
     """Spans of secrets in each document: doc_id, base and random arrays of (s, e, kind, n).
 
-    Base spans match the fixed patterns. Further runs of at least LEAST_RUN characters are spans of
-    kind "random" if their inferred encoding's alphabet looks uniform, its halves turn as often as
-    chance has it, and neighbours do not correlate, and if the hypothesis of ordinary text is
-    rejected at a false-discovery rate kept within bands of like length. Distinct runs are tested
-    once; a run in very many documents joins back by a splittable join. Null text is empty; one row
-    per document, repeated rows included, each with all spans of its id and text; an empty table
-    gives no rows.
+    Base spans match the fixed patterns. Further runs of at least LEAST_RUN characters, not inside a
+    base span, are spans of kind "random" if their inferred encoding's alphabet looks uniform, its
+    halves turn as often as chance has it, and neighbours do not correlate, and if the hypothesis of
+    ordinary text is rejected at a false-discovery rate kept within encodings and bands of like
+    length. Distinct runs are tested once; a run in very many documents joins back by a splittable
+    join. Matches become rows and their places are running sums of a document's lengths, so a text of
+    very many matches takes time in proportion. Null text is empty; one row per document, repeated
+    rows included, each with all spans of its id and text; an empty table gives no rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    key = F.xxhash64(F.col(doc_id), body)
-    base = F.concat(*(_hits(body, *rule) for rule in BASE))
-    rows = durable(
-        docs.select(F.col(doc_id).alias("doc_id"), key.alias("key"), base.alias("base"), _hits_text(body).alias("runs"))
-    )
-    runs = rows.select("key", F.explode("runs").alias("hit")).select("key", "hit.s", "hit.e", "hit.run").distinct()
+    key = [F.xxhash64(F.col(doc_id), body).alias("k1"), F.xxhash64(F.lit(1), F.col(doc_id), body).alias("k2")]
+    found = F.array_compact(F.array(*(_found(body, *rule[:3]) for rule in BASE), _found(body, "random", _RUN, 0, run=True)))
+    rows = durable(docs.select(F.col(doc_id).alias("doc_id"), *key, found.alias("found")))
+    listed = rows.select("k1", "k2", F.explode("found").alias("x")).select("k1", "k2", "x.kind", "x.items")
+    listed = listed.groupBy("k1", "k2", "kind").agg(F.first("items").alias("items"))  # repeated rows hold the same
+    hits = listed.select("k1", "k2", "kind", F.posexplode("items").alias("i", "x"))
+    upto = Window.partitionBy("k1", "k2", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    hits = hits.withColumn("e", F.sum(F.col("x.gap") + F.col("x.size")).over(upto).cast("int"))
+    hits = durable(hits.select("k1", "k2", "kind", (F.col("e") - F.col("x.size")).alias("s"), "e", "x.n", "x.run"))
+    base = hits.where(sum((F.when(F.col("kind") == k, n).otherwise(0) for k, *_, n in BASE), F.lit(0)) <= F.col("n")).where("kind <> 'random'")
+    runs = hits.where("kind = 'random'")
     tested = durable(_tests(runs.select("run").distinct()))
-    found = _discoveries(tested, fdr, alpha)
-    hit = F.struct("s", "e", F.lit("random").alias("kind"), (F.col("e") - F.col("s")).alias("n"))
-    added = runs.join(found, "run").groupBy("key").agg(F.collect_list(hit).alias("random"))
+    added = runs.join(_discoveries(tested, fdr, alpha), "run")
+    spans = base.drop("run").union(added.select("k1", "k2", "kind", "s", "e", "n"))
+    # A base span that starts no later and ends no earlier holds the run.
+    before = Window.partitionBy("k1", "k2").orderBy("s", F.col("kind") == "random").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.max(F.when(F.col("kind") != "random", F.col("e"))).over(before) >= F.col("e")
+    spans = spans.withColumn("inside", F.coalesce(inside, F.lit(False))).where("kind <> 'random' or not inside")
+    hit = F.struct("s", "e", "kind", "n")
+    of = lambda x: F.collect_list(F.when(x, hit))
+    spans = spans.groupBy("k1", "k2").agg(of(F.col("kind") != "random").alias("base"), of(F.col("kind") == "random").alias("random"))
     none = F.array().cast("array<struct<s:int,e:int,kind:string,n:int>>")
-    return rows.join(added, "key", "left").select("doc_id", "base", F.coalesce("random", none).alias("random"))
-
-
-def _hits_text(text: Column) -> Column:
-    """Candidate runs with their positions: array of (s, e, run)."""
-    runs, between = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), F.split(text, _RUN, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,run:string>>").alias("out"))
-
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, i))
-        end = start + F.length(F.get(runs, i))
-        hit = F.struct(start.alias("s"), end.alias("e"), F.get(runs, i).alias("run"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(hit)).alias("out"))
-
-    places = F.when(F.size(runs) > 0, F.sequence(F.lit(0), F.size(runs) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, step)["out"]
+    out = rows.select("doc_id", "k1", "k2").join(spans, ["k1", "k2"], "left")
+    return out.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("random", none).alias("random"))
 
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts by kind and the digests of scan()'s rows."""
     count = lambda kind: F.size(F.filter("base", lambda h: h["kind"] == kind)).cast("long")
     order = tuple(k for k, *_ in BASE)
-    # Spans found by both a pattern and the battery are listed once, under the pattern.
-    fresh = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["s"] <= r["s"]) & (b["e"] >= r["e"])))
     return found.select(
         "doc_id",
         *(count(k).alias(f"n_{k}") for k in order),
         F.sha2(_digest(F.col("base"), order), 256).alias("base_sha256"),
-        _digest(F.concat(F.col("base"), fresh), (*order, "random")).alias("spans"),
-        F.size(fresh).cast("long").alias("n_random"),
+        _digest(F.concat("base", "random"), (*order, "random")).alias("spans"),
+        F.size("random").cast("long").alias("n_random"),
     )

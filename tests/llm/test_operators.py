@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -142,6 +143,20 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
+def similar(a, b):
+    return len(a & b) ** 2 >= 0.64 * len(a) * len(b)
+
+
+def links_of(spark, texts):
+    """Links of similar_texts between texts by place, and the sets of their shingles."""
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    rows = [(i, len(s), simhash.fingerprint(s), list({*simhash.wide_blocks(s), *simhash.small_keys(s)})) for i, s in enumerate(sets)]
+    known = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "node long, shingles array<long>").cache()
+    table = spark.createDataFrame(rows, "node long, n long, print long, blocks array<long>")
+    got = simhash.similar_texts(table, lambda wanted: known.join(wanted, "node", "left_semi"))
+    return {(r.a, r.b) for r in got.collect()}, [set(s.tolist()) for s in sets]
+
+
 def test_near_duplicate_links_against_brute_force(spark):
     rng = random.Random(5)
     texts = []
@@ -152,11 +167,9 @@ def test_near_duplicate_links_against_brute_force(spark):
             for _ in range(e):
                 w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(w))
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
-    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    got = {(r.a, r.b) for r in simhash.similar_texts(rows, rows.select("row", F.col("row").alias("node"))).collect()}
-    assert got <= want and len(got) >= 0.97 * len(want) > 30
+    got, sets = links_of(spark, texts)
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similar(sets[a], sets[b])}
+    assert got <= want and len(got) >= 0.99 * len(want) > 30
 
 
 def test_near_duplicates_of_few_shingles(spark):
@@ -165,11 +178,40 @@ def test_near_duplicates_of_few_shingles(spark):
     for k in range(200):
         base = words(rng, 8 + k % 5, 10**6)
         texts += [" ".join(base), " ".join([*base, "added"] if k % 2 else ["added", *base])]
-    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    got = {(r.a, r.b) for r in simhash.similar_texts(rows, rows.select("row", F.col("row").alias("node"))).collect()}
+    got, _ = links_of(spark, texts)
     assert got == {(2 * k, 2 * k + 1) for k in range(200)}
 
 
+def test_twins_in_a_crowd_on_one_template(spark):
+    """Texts just too unlike each other, with twins among them: all twins, and nothing else, are linked."""
+    rng = random.Random(27)
+    template = words(rng, 300, 10**6)
+    texts, want = [], set()
+    for k in range(240):
+        own = words(rng, 120, 10**6)
+        texts.append(" ".join(template + own))
+        if k % 3 == 0:
+            want.add((len(texts) - 1, len(texts)))
+            texts.append(" ".join(template + own[:60] + words(rng, 60, 10**6)))
+    got, sets = links_of(spark, texts)
+    assert want == {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similar(sets[a], sets[b])}
+    assert got == want
+
+
+def test_crowd_of_near_copies_is_one_class(spark):
+    """Copies of two templates with changes: every copy that brute force links is linked, most of them to one leader."""
+    rng = random.Random(28)
+    texts = []
+    for _ in range(2):
+        base = words(rng, 200, 10**6)
+        for k in range(150):
+            changed = set(rng.sample(range(200), k % 12))
+            texts.append(" ".join(f"y{rng.randrange(10**6)}" if i in changed else w for i, w in enumerate(base)))
+    got, sets = links_of(spark, texts)
+    want = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if similar(sets[a], sets[b])}
+    assert got <= want and {x for p in want for x in p} == {x for p in got for x in p} and len(got) < len(want) / 4
+
+
 # --- 2: mixing ---------------------------------------------------------------------------------
 
 
@@ -465,6 +507,53 @@ def test_secrets_right_after_an_equals_sign(spark):
     assert {r.doc_id: [(h.s, h.e) for h in r.random] for r in found} == {i: [(len(b), len(b) + 64)] for i, b in enumerate(before)}
 
 
+def ordinary(rng):
+    """A run of ordinary words, names, paths or numbers."""
+    stock = "release note server config value index table user account report summary window message national history of the and for".split()
+    ws = [rng.choice(stock) for _ in range(9)]
+    style = rng.randrange(5)
+    if style == 0:
+        return "".join(ws)[: rng.randrange(20, 50)]
+    if style == 1:
+        return "".join(w.capitalize() for w in ws)[: rng.randrange(20, 50)]
+    if style == 2:
+        return "_".join(ws).upper()[: rng.randrange(20, 50)]
+    if style == 3:
+        return ("/".join(ws[:3]) + f"/2024-0{rng.randrange(1, 9)}/page-{rng.randrange(99)}")[:50]
+    return "-".join(ws[:5]) + f"-v{rng.randrange(20)}"
+
+
+def test_secrets_by_encoding_at_one_percent(spark):
+    rng = random.Random(29)
+    alphabets = {
+        "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+        "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "letters": "abcdefghijklmnopqrstuvwxyz",
+    }
+    rows, kind = [], {}
+    for name, a in alphabets.items():
+        for n in (24, 32, 40):
+            for _ in range(20):
+                kind[len(rows)] = (name, n)
+                rows.append((len(rows), "see " + "".join(rng.choice(a) for _ in range(n)) + " there"))
+    secret = len(rows)
+    rows += [(secret + i, f"see {ordinary(rng)} there") for i in range(100 * secret)]
+    found = {r.doc_id for r in secrets.scan(docs(spark, rows)).where(F.size("random") > 0).select("doc_id").collect()}
+    assert len([i for i in found if i >= secret]) <= 0.02 * len(found)
+    for name in alphabets:
+        for n in (24, 32, 40):
+            mine = [i for i, k in kind.items() if k == (name, n)]
+            assert len(found & set(mine)) >= (0.5 if name == "letters" else 0.9) * len(mine), (name, n)
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    text = " ".join(["token=abcdefghijkl", "deadbeefdeadbeef0"] * 100_000)
+    began = time.time()
+    row = secrets.digest(secrets.scan(docs(spark, [(1, text), (2, "none")]))).orderBy("doc_id").first()
+    want = ",".join(f"{k}:{s}:{e}" for k, s, e in slow_secrets(text))
+    assert row.n_assign == row.n_hex == 100_000 and row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert time.time() - began < 120
+
+
 # --- 8: tokens ---------------------------------------------------------------------------------
 
 
