@@ -573,6 +573,10 @@ def test_tokens(spark):
     scores = token_counts.unigram(ranks)
     ws = {"".join(rng.choices("thein ga", k=rng.randrange(1, 12))).encode() for _ in range(300)}
     assert token_counts.walk(ws, scores, 4) == {w: slow_tokens(w, scores) for w in ws}
+    ws = [*ws, b"", b"thing" * 30, b"the" * 13, "naïve 日本".encode()]
+    assert token_counts.Pieces(scores).count(ws) == [slow_tokens(w, scores) for w in ws]
+    lacking = {p: x for p, x in scores.items() if p != b"g"}
+    assert token_counts.Pieces(lacking).count(ws) == [token_counts.walk(ws, lacking, 4)[w] for w in ws]
     texts = [None, "", "the thing\n\n the thé 123", "a" * 30_000, "日本語 text"]
     got = {r.doc_id: r for r in token_counts.count_tokens(docs(spark, list(enumerate(texts))), ranks).collect()}
     for i, t in enumerate(texts):
