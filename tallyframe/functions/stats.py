@@ -73,7 +73,15 @@ def cramers_v(chi: Column | str, n: Column | str, least: int = 1) -> Column:
     return F.sqrt(ratio(chi, num(n) * least, 0.0))
 
 
-phi = cramers_v
+def phi(a, b, c, d) -> Column:
+    """Root of chi-squared over all cases of a 2x2 table; 0 if a margin is empty."""
+    n, _ = _margins(a, b, c, d)
+    return F.sqrt(ratio(chi2(a, b, c, d), n, 0.0))
+
+
+def signed_phi(a, b, c, d) -> Column:
+    """phi with the sign of the difference of shares."""
+    return F.signum(num(a) * num(d) - num(b) * num(c)) * phi(a, b, c, d)
 
 
 def wilson(k: Column | str, n: Column | str, z: float = Z95) -> tuple[Column, Column]:
@@ -170,36 +178,19 @@ def bundle(a, b, c, d) -> Column:
 
 
 def chi2_tail(x: float, df: int) -> float:
-    """Upper tail of the chi-squared distribution, by the regularised incomplete gamma function."""
+    """Upper tail of the chi-squared distribution with a whole number of degrees.
+
+    With half the degrees whole, the tail is that of a Poisson count, a finite sum; else the same
+    sum goes in halves from the normal tail. Terms are kept in logarithms.
+    """
     if x is None or df is None or x != x:
         return float("nan")
     if x <= 0:
         return 1.0
-    if df == 1:
-        return math.erfc(math.sqrt(x / 2))
-    s, y = df / 2, x / 2
-    front = math.exp(s * math.log(y) - y - math.lgamma(s))
-    if y < s + 1:  # power series of the lower part
-        term = total = 1 / s
-        for k in range(1, 10_000):
-            term *= y / (s + k)
-            total += term
-            if term < total * 1e-17:
-                break
-        return max(0.0, 1 - front * total)
-    tiny = 1e-300  # continued fraction of the upper part, by Lentz's rule
-    b = y + 1 - s
-    c, d = 1 / tiny, 1 / b
-    value = d
-    for k in range(1, 10_000):
-        an = -k * (k - s)
-        b += 2
-        d = 1 / ((an * d + b) or tiny)
-        c = (b + an / c) or tiny
-        value *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return front * value
+    y = x / 2
+    tail = math.erfc(math.sqrt(y)) if df % 2 else 0.0
+    places = (j + 0.5 * (df % 2) for j in range(df // 2))
+    return min(1.0, tail + math.fsum(math.exp(j * math.log(y) - y - math.lgamma(j + 1)) for j in places))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -211,19 +202,23 @@ def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
 def sign_test(wins: Column | str, losses: Column | str) -> Column:
     """Exact two-sided sign test, ties left out; null without pairs.
 
-    Sums binomial terms by their recurrence from the largest exponent that a double holds.
+    The largest binomial term of the tail is taken in logarithms, the others relative to it, so any
+    number of pairs is in range.
     """
     w, v = col(wins).cast("long"), col(losses).cast("long")
     n, k = w + v, F.least(w, v)
+    places = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    log_top = F.aggregate(places, F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def step(s: Column, i: Column) -> Column:
-        term = s["term"] * (n - i + 1) / i
+        at = k - i + 1  # from C(n, at) to C(n, at - 1)
+        term = s["term"] * at / (n - at + 1)
         return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
 
-    terms = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(terms, start, step)["total"]
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail * F.pow(F.lit(2.0), -n.cast("double"))))
+    total = F.aggregate(places, start, step)["total"]
+    tail = F.exp(log_top - n * F.log(F.lit(2.0))) * total
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 
 def correlation(x: str | Column, y: str | Column) -> Column:

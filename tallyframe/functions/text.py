@@ -29,10 +29,11 @@ def parse_bool(value: Column | str, words: tuple[str, ...] = TRUE_WORDS) -> Colu
 def trailing_run(text: Column | str, script: str = r"\p{IsHangul}", outside: str = r"\P{IsHangul}", dropped: str = "ㆍ") -> Column:
     """The last run of a script: without bracketed parts and dropped signs, and with what follows the script cut.
 
-    script and outside are character classes; the text is read from its end.
+    script and outside are character classes; the text is read from its end, once.
     """
-    bare = F.regexp_replace(strip(text), r"\([^)]*\)", " ")
-    bare = F.regexp_replace(bare, f"[{dropped}]", "") if dropped else bare
+    whole = col(text)
+    bare = F.when(whole.contains("("), F.regexp_replace(whole, r"\([^)]*\)", " ")).otherwise(whole)
+    bare = F.translate(bare, dropped, "") if dropped else bare
     return F.coalesce(F.reverse(F.regexp_extract(F.reverse(bare), f"^{outside}*({script}+)", 1)), F.lit(""))
 
 

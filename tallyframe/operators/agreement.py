@@ -62,22 +62,26 @@ def sensitivity(items: DataFrame, raters: int, target: str, control: str, arm: s
 
 
 def threshold_sweep(
-    df: DataFrame, probability: Column, majority: Column, target: Column, cuts: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9)
+    df: DataFrame,
+    probability: Column,
+    majority: Column,
+    target: Column,
+    cuts: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9),
+    raters: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Per cut of a probability: the 2x2 effect, and kappa against the raters' majority; one pass."""
+    """Per cut of a probability: the 2x2 effect, and kappa against the raters' majority and each rater; one pass."""
     rows = df.where(probability.isNotNull() & target.isNotNull())
-    aggs = []
+    others, aggs = {"majority": majority, **(raters or {})}, []
     for cut in cuts:
         pos = probability >= cut
-        cells = {
-            "a": target & pos, "b": target & ~pos, "c": ~target & pos, "d": ~target & ~pos,
-            "both": pos & majority, "first_only": pos & ~majority, "second_only": ~pos & majority, "neither": ~pos & ~majority,
-        }
+        cells = {"a": target & pos, "b": target & ~pos, "c": ~target & pos, "d": ~target & ~pos}
+        for name, vote in others.items():
+            cells |= {f"{name}_0": pos & vote, f"{name}_1": pos & ~vote, f"{name}_2": ~pos & vote, f"{name}_3": ~pos & ~vote}
         aggs.append(F.struct(F.lit(cut).alias("cut"), *(F.count_if(x).alias(k) for k, x in cells.items())))
     rows = rows.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("s")).select("s.*")
     gap, *_ = stats.newcombe("a", "b", "c", "d")
-    kappa = stats.cohen_kappa("both", "first_only", "second_only", "neither", "null")
-    return rows.select("cut", "a", "b", "c", "d", (100 * gap).alias("diff_pp"), stats.chi2("a", "b", "c", "d").alias("chi2"), kappa.alias("kappa_majority"))
+    kappas = [stats.cohen_kappa(*(f"{name}_{i}" for i in range(4)), "null").alias(f"kappa_{name}") for name in others]
+    return rows.select("cut", "a", "b", "c", "d", (100 * gap).alias("diff_pp"), stats.chi2("a", "b", "c", "d").alias("chi2"), *kappas)
 
 
 def flip_control(pairs: DataFrame, p: str = "p", q: str = "q", cut: float = 0.5) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
+from tallyframe.operators.ordering import numbered
 
 
 def dedupe(df: DataFrame, key: list[str], order: list[str], keep: str = "last") -> DataFrame:
@@ -114,19 +115,9 @@ def truth_table(items: DataFrame, raters: int, target: str, control: str, arm: s
 
 
 def batches(df: DataFrame, size: int, order: list[str], arm: str = "arm") -> DataFrame:
-    """df with batch (from 0), of `size` rows in order, within each arm.
-
-    Places come from counts per hash range of the order columns, so an arm is never one group: rows
-    are ordered by the leading digits of a hash, then by the columns themselves.
-    """
-    cut = F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in order))), 1, 3)
-    rows = df.withColumn("cut_", cut)
-    sizes = rows.groupBy(arm, "cut_").agg(F.count("*").alias("n_"))
-    before = Window.partitionBy(arm).orderBy("cut_").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
-    within = F.row_number().over(Window.partitionBy(arm, "cut_").orderBy(*order))
-    rows = rows.withColumn("place_", within - 1).join(sizes, [arm, "cut_"])
-    return rows.withColumn("batch", F.floor((F.col("before_") + F.col("place_")) / size)).drop("cut_", "place_", "before_")
+    """df with batch (from 0), of `size` rows in processing order, within each arm."""
+    rows = numbered(df, order, (arm,), "ord_")
+    return rows.withColumn("batch", F.floor(F.col("ord_") / size)).drop("ord_")
 
 
 def coverage(long: DataFrame, base: DataFrame, key: list[str], raters: list[str], rater: str = "rater") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import stats
 from tallyframe.functions.stats import col
 from tallyframe.functions.text import split_markers, strip
+from tallyframe.storage import durable
 
 
 def contains_any(text: Column | str, terms: list[str]) -> Column:
@@ -113,6 +114,28 @@ def marker_patterns(df: DataFrame, column: str, k: int, sep: str = ",") -> DataF
     return counts.orderBy(F.desc("n"), "pattern").limit(k)
 
 
+def mentions(df: DataFrame, names: list[str], first: str, second: str) -> DataFrame:
+    """Per name: rows that mention it in either of two texts."""
+    found = lambda c, x: F.coalesce(F.col(c).contains(x), F.lit(False))
+    hits = F.array(*(F.struct(F.lit(x).alias("name"), F.count_if(found(first, x) | found(second, x)).alias("rows")) for x in names))
+    return df.agg(hits.alias("h")).select(F.explode("h").alias("h")).select("h.*")
+
+
+def source_table(df: DataFrame, by: str, cell: str, cells: list[str], target: list[str], positive: list[str], k: int = 20) -> DataFrame:
+    """The k groups with the most rows: counts by cell, all rows, and the shares of target and of positive cells in percent."""
+    part = lambda names: F.count_if(F.col(cell).isin(names))
+    rows = df.where(F.col(cell).isin(cells)).groupBy(by).agg(*(part([c]).alias(c) for c in cells), F.count("*").alias("n"), part(target).alias("t_"), part(positive).alias("p_"))
+    rows = rows.withColumn("target_pct", stats.percent("t_", "n")).withColumn("positive_pct", stats.percent("p_", "n")).drop("t_", "p_")
+    return rows.orderBy(F.desc("n"), by).limit(k)
+
+
+def audit(df: DataFrame, columns: list[str], least: int = 1) -> DataFrame:
+    """Values of each column with their counts, from one grouping of all columns' values."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
+    counts = df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= least)
+
+
 def wide_counts(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """A row per group and a column per value, with counts."""
     return df.groupBy(row).agg(*(F.count_if(F.col(column) == v).alias(v) for v in values))
@@ -151,16 +174,18 @@ def exclusive_values(df: DataFrame, column: str, first: Column, second: Column,
 def variant_pairs(vocabulary: DataFrame, rules: list[tuple[str, Column]], marker: str = "marker", n: str = "n", least: int = 1) -> DataFrame:
     """Markers of which a rewritten form is in the vocabulary too: rule, both forms, counts.
 
-    Each unordered pair is given once, for the first rule that yields it.
+    Each unordered pair is given once, for the first rule that yields it, with the sum of both counts
+    (`together`), by which reports are sorted.
     """
     forms = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(name).alias("rule"), form.alias("form")) for i, (name, form) in enumerate(rules)))
-    rows = vocabulary.where(F.col(n) >= least).select(F.col(marker).alias("marker"), F.col(n).alias("n"))
+    # Written once: both sides of the join read it.
+    rows = durable(vocabulary.where(F.col(n) >= least).select(F.col(marker).alias("marker"), F.col(n).alias("n")))
     made = rows.select("marker", "n", F.explode(forms).alias("r")).where(F.col("r.form").isNotNull() & (F.col("r.form") != F.col("marker")))
     other = rows.select(F.col("marker").alias("form"), F.col("n").alias("form_n"))
     found = made.select("marker", "n", "r.i", "r.rule", F.col("r.form").alias("form")).join(other, "form")
     pair = [F.least("marker", "form").alias("lo"), F.greatest("marker", "form").alias("hi")]
     best = found.groupBy(*pair).agg(F.min_by(F.struct("rule", "marker", "form", "n", "form_n"), F.struct("i", "marker")).alias("p"))
-    return best.select("p.*")
+    return best.select("p.*", (F.col("p.n") + F.col("p.form_n")).alias("together"))
 
 
 def affix_variants(vocabulary: DataFrame, prefixes: list[str], marker: str = "marker", by: str = "class") -> DataFrame:

@@ -2,37 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
+from tallyframe.operators.ordering import running_total
+from tallyframe.storage import durable
 
 
-def average_ranks(df: DataFrame, value: str, name: str, slices: int = 64) -> DataFrame:
+def rank_table(counts: DataFrame, value: str, n: str, name: str) -> DataFrame:
+    """Average rank of each value, of a table with a row per value and how often it occurs; ties share the mean place."""
+    ranks = running_total(counts, value, n, "upto_")
+    return ranks.select(value, (F.col("upto_") - (F.col(n) - 1) / 2).alias(name))
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the average rank of a value; ties share the mean of their places, null has none.
 
-    Rows are counted per distinct value. Values are then numbered within slices of their range, cut
-    at approximate quantiles, and slices are offset by their running totals, so no task sees all.
+    Rows are counted per distinct value first, and the values are added up range by range.
     """
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(value).agg(F.count("*").alias("n_"))
-    cuts = sorted(set(known.approxQuantile(value, [i / slices for i in range(1, slices)], 0.005)))
-    place = sum((F.when(F.col(value) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    counts = counts.withColumn("slice_", place)
-    totals = counts.groupBy("slice_").agg(F.sum("n_").alias("t_"))
-    before = Window.partitionBy(F.lit(0)).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("offset_", F.coalesce(F.sum("t_").over(before), F.lit(0))).drop("t_")
-    within = Window.partitionBy("slice_").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("upto_", F.sum("n_").over(within)).join(F.broadcast(totals), "slice_")
-    ranks = ranks.select(value, (F.col("offset_") + F.col("upto_") - (F.col("n_") - 1) / 2).alias(name))
-    return df.join(ranks, value, "left")
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n_"))
+    return df.join(rank_table(counts, value, "n_", name), value, "left")
 
 
 def auc(df: DataFrame, value: str, positive: Column) -> DataFrame:
-    """Chance that a positive's value exceeds another's, ties counting half; null without both classes."""
-    rows = df.where(F.col(value).isNotNull() & positive.isNotNull()).select(value, positive.alias("pos_"))
-    ranked = average_ranks(rows, value, "rank_")
-    sums = ranked.agg(F.count_if("pos_").alias("n_pos"), F.count_if(~F.col("pos_")).alias("n_neg"), F.sum(F.when(F.col("pos_"), F.col("rank_"))).alias("s_"))
+    """Chance that a positive's value exceeds another's, ties counting half; null without both classes.
+
+    Rows are counted per value and class first; ranks are those of the values.
+    """
+    rows = df.where(F.col(value).isNotNull() & positive.isNotNull())
+    counts = rows.groupBy(value).agg(F.count_if(positive).alias("pos_"), F.count("*").alias("n_"))
+    ranks = running_total(counts, value, "n_", "upto_")
+    rank = F.col("upto_") - (F.col("n_") - 1) / 2
+    sums = ranks.agg(F.sum("pos_").alias("n_pos"), F.sum(F.col("n_") - F.col("pos_")).alias("n_neg"), F.sum(rank * F.col("pos_")).alias("s_"))
+    sums = sums.select(F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.coalesce("n_neg", F.lit(0)).alias("n_neg"), "s_")
     n, m = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     value_ = F.when((n > 0) & (m > 0), (F.col("s_") - n * (n + 1) / 2) / F.nullif(n * m, F.lit(0.0)))
     return sums.select("n_pos", "n_neg", value_.alias("auc"))
@@ -46,6 +49,17 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson's correlation of average ranks."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x_"), F.col(y).alias("y_"))
-    return pearson(average_ranks(average_ranks(rows, "x_", "rx_"), "y_", "ry_"), "rx_", "ry_")
+    """Pearson's correlation of average ranks; null below three pairs or without variance.
+
+    Pairs of values are counted once; ranks and their products come from the counts. The mean rank
+    is half the number of pairs and a half.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x_"), F.col(y).alias("y_")).agg(F.count("*").alias("w_"))
+    pairs = durable(pairs)
+    for c in ("x_", "y_"):
+        pairs = pairs.join(rank_table(pairs.groupBy(c).agg(F.sum("w_").alias("n_")), c, "n_", f"r{c}"), c)
+    n = pairs.agg(F.coalesce(F.sum("w_"), F.lit(0)).alias("n"))
+    a, b, w = F.col("rx_") - (F.col("n") + 1) / 2, F.col("ry_") - (F.col("n") + 1) / 2, F.col("w_")
+    sums = pairs.crossJoin(F.broadcast(n)).agg(F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb"))
+    r = F.when(F.col("n") >= 3, F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))))
+    return n.crossJoin(F.broadcast(sums)).select("n", r.alias("r"))

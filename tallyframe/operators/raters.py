@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.text import parse_votes
 from tallyframe.operators.judgments import batches, remaining
+from tallyframe.operators.ordering import numbered
 
 #: A rater answers a prompt with text.
 Rater = Callable[[str], str]
@@ -51,36 +52,71 @@ def plan(items: DataFrame, text: str, order: list[str], size: int = 20, arm: str
     return docs.withColumn("prompt", F.concat(F.lit(instruction + "\n"), F.array_join(lines, "\n")))
 
 
-def ask(prompts: DataFrame, rater: Rater, budget: int, tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """prompts with answer, status and calls, by one call a prompt and up to `tries` on errors.
+class Throttled(Exception):
+    """The service asks for a pause; calls of the same task wait together, longer each time."""
 
-    The plan is counted before any call; one over the budget is refused. A prompt that fails has a
-    null answer and status "error", so it is never mistaken for a judgment. The result should be
-    written before it is used: a task that is run again asks again.
+
+class Refused(Exception):
+    """The service will not answer this prompt; it is not tried again."""
+
+
+def ask(
+    prompts: DataFrame, rater: Rater, budget: int, tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep, pause: tuple[float, float] = (5.0, 120.0)
+) -> DataFrame:
+    """prompts with answer, status and calls.
+
+    The plan is counted before any call; one over the budget is refused. Every prompt has one call,
+    and what the budget has beyond these is dealt to the prompts as retries, the first ones getting
+    one more, so that calls and retries of all tasks together never exceed the budget. An error waits
+    and doubles its wait; Throttled makes all further calls of the task wait from pause[0] to
+    pause[1] seconds until one succeeds; Refused is final. A prompt that fails has a null answer and
+    status "error", so it is never mistaken for a judgment. The result should be written before it is
+    used: a task that is run again asks again.
     """
     n = prompts.count()
     if n > budget:
         raise ValueError(f"the plan has {n} calls, the budget {budget}")
+    each, more = divmod(budget - n, max(1, n))
+    order = [c for c in ("arm", "batch") if c in prompts.columns] or ["prompt"]
+    rows = numbered(prompts, order, name="calls_")
+    rows = rows.withColumn("calls_", (F.lit(1 + each) + (F.col("calls_") < more).cast("int")).cast("int"))
 
     def call(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cooldown = 0.0
         for batch in batches_:
             answers, states, calls = [], [], []
-            for prompt in batch.column(batch.schema.get_field_index("prompt")).to_pylist():
-                answer, state = None, "error"
-                for k in range(tries):
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for prompt, most in zip(columns["prompt"].to_pylist(), columns["calls_"].to_pylist(), strict=True):
+                answer, state, used = None, "error", 0
+                for k in range(min(tries, most)):
+                    if cooldown:
+                        sleep(cooldown)
+                    used += 1
                     try:
-                        answer, state = rater(prompt), "ok"
+                        answer, state, cooldown = rater(prompt), "ok", 0.0
                         break
+                    except Refused:
+                        break
+                    except Throttled:
+                        cooldown = min(pause[1], max(pause[0], 2 * cooldown))
                     except Exception:  # noqa: BLE001  a rater may fail in any way
                         sleep(wait * 2**k)
                 answers.append(answer)
                 states.append(state)
-                calls.append(k + 1)
-            arrays = [*batch.columns, pa.array(answers, pa.string()), pa.array(states, pa.string()), pa.array(calls, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "answer", "status", "calls"])
+                calls.append(used)
+            kept = [c for c in batch.schema.names if c != "calls_"]
+            arrays = [*(columns[c] for c in kept), pa.array(answers, pa.string()), pa.array(states, pa.string()), pa.array(calls, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "answer", "status", "calls"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", answer string, status string, calls int"
-    return prompts.mapInArrow(call, schema)
+    return rows.mapInArrow(call, schema)
+
+
+def usage(asked: DataFrame, price: float = 0.0) -> DataFrame:
+    """Prompts, calls, failures and cost (calls times a price) of a run, by arm where there is one."""
+    by = [c for c in ("arm",) if c in asked.columns]
+    sums = asked.groupBy(*by).agg(F.count("*").alias("prompts"), F.sum("calls").alias("calls"), F.count_if(F.col("status") != "ok").alias("failed"))
+    return sums.withColumn("cost", F.col("calls") * F.lit(float(price)))
 
 
 def judgments(asked: DataFrame, key: list[str], size: int = 20, arm: str = "arm", strict: bool = False) -> DataFrame:

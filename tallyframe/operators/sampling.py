@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.ordering import numbered
 
-def stride(df: DataFrame, k: int, order: list[str], by: list[str]) -> DataFrame:
-    """Every max(1, n // k)-th row of each group in order, k at most.
 
-    Sample points are few; groups are counted first and numbered by a window over keys alone.
-    """
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("n_", F.count("*").over(w)).withColumn("at_", F.row_number().over(w.orderBy(*order)) - 1)
+def stride(df: DataFrame, k: int, order: list[str], by: list[str]) -> DataFrame:
+    """Every max(1, n // k)-th row of each group in order, k at most; groups are numbered range by range."""
+    rows = numbered(df, order, tuple(by), "at_")
+    sizes = rows.groupBy(*(F.col(c).alias(f"{c}_of_") for c in by)).agg(F.count("*").alias("n_"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in by], F.lit(True))
     step = F.greatest(F.lit(1), F.floor(F.col("n_") / k))
-    rows = rows.where(F.col("at_") % step == 0).where(F.col("at_") / step < k)
-    return rows.drop("n_", "at_")
+    return rows.join(sizes, same).where(F.col("at_") % step == 0).where(F.col("at_") / step < k).select(*df.columns)
 
 
 def first_k(df: DataFrame, k: int, order: list[str], by: list[str], name: str = "place") -> DataFrame:
@@ -26,17 +27,29 @@ def first_k(df: DataFrame, k: int, order: list[str], by: list[str], name: str =
 
 def hashed(df: DataFrame, k: int, key: list[str], seed: int) -> DataFrame:
     """k rows at random without replacement, the same for a seed whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(k)
+    return df.orderBy(drawn(key, seed), *key).limit(k)
+
+
+def pooled(df: DataFrame, k: int, key: list[str], seed: int) -> DataFrame:
+    """hashed(), or an error if the pool has fewer than k rows."""
+    if (n := df.limit(k).count()) < k:
+        raise ValueError(f"{k} rows are asked for, the pool has {n}")
+    return hashed(df, k, key, seed)
+
+
+def drawn(key: list[str], seed: int) -> Column:
+    """A random order that a seed fixes: MD5 of seed and key."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key)))
 
 
 def shuffled(df: DataFrame, key: list[str], seed: int) -> DataFrame:
     """All rows in an order that a seed fixes."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    return df.orderBy(drawn(key, seed), *key)
 
 
 def by_group(df: DataFrame, k: int, key: list[str], by: list[str], seed: int) -> DataFrame:
     """Up to k random rows of each group."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    w = Window.partitionBy(*by).orderBy(drawn(key, seed), *key)
     return df.withColumn("place_", F.row_number().over(w)).where(F.col("place_") <= k).drop("place_")
 
 
@@ -45,6 +58,18 @@ def spread(df: DataFrame, total: int, per_group: int, key: list[str], group: str
     return hashed(by_group(df, per_group, key, [group], seed), total, key, seed)
 
 
+def by_ids(df: DataFrame, ids: list[str], key: list[str], sep: str = "/") -> DataFrame:
+    """Rows whose key columns, joined by a separator, are listed."""
+    return df.where(F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key)).isin(list(ids)))
+
+
+def override(df: DataFrame, manifest: DataFrame | None, key: list[str], kind: str, values: dict[str, Column]) -> dict[str, DataFrame]:
+    """Subsets of df by name: those of a manifest's rows of that kind if there is a manifest, else those of a condition."""
+    if manifest is None:
+        return {name: df.where(condition) for name, condition in values.items()}
+    return {name: replay(df, manifest.where(F.col(kind) == name), key) for name in values}
+
+
 def replay(df: DataFrame, manifest: DataFrame, key: list[str]) -> DataFrame:
     """Exactly the rows that a manifest lists: the way to repeat a sample drawn elsewhere."""
     return df.join(manifest.select(*key).distinct(), key, "left_semi")

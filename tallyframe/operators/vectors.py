@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.stats import col
+from tallyframe.operators.judgments import remaining
+from tallyframe.operators.ordering import numbered
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -31,9 +33,10 @@ def centroids(df: DataFrame, by: str, vector: str, d: int) -> DataFrame:
 
 def to_centroid(df: DataFrame, by: str, vector: str, key: str, d: int) -> DataFrame:
     """Cosine of each row to its group's centroid, and its place in the group, nearest first."""
-    rows = df.join(F.broadcast(centroids(df, by, vector, d)), by)
-    rows = rows.select(by, key, F.round(cosine(vector, "centroid", 1e-9), 6).alias("similarity"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("similarity"), key)))
+    rows = df.join(centroids(df, by, vector, d), by)
+    rows = rows.select(by, key, F.round(cosine(vector, "centroid", 1e-9), 6).alias("similarity"), (-F.round(cosine(vector, "centroid", 1e-9), 6)).alias("far_"))
+    placed = numbered(rows, ["far_", key], (by,), "place").drop("far_")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def nearest_to(df: DataFrame, query: list[float], k: int, vector: str, key: str) -> DataFrame:
@@ -43,28 +46,63 @@ def nearest_to(df: DataFrame, query: list[float], k: int, vector: str, key: str)
     return rows.orderBy(F.desc("similarity"), key).limit(k)
 
 
-def search_k(df: DataFrame, vector: str, ks: list[int], seeds: tuple[int, ...] = (42, 43, 44), sample: int = 5000) -> DataFrame:
-    """Per number of clusters: cost of the best of several starts and silhouette on a hashed sample, best first.
+def silhouette(placed: DataFrame, vector: str, cluster: str, sample: int = 2000) -> float | None:
+    """Mean Euclidean silhouette of a bounded sample of the rows, taken by hash.
 
-    The model is fitted on all rows; ties in silhouette go to fewer clusters.
+    The sample is the same for the same vectors; pairs of the sample are compared block by block in
+    tasks. None with fewer than two clusters; a row alone in its cluster counts 0.
     """
-    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
-    judged = rows.withColumn("h_", F.xxhash64(F.col("features").cast("string"))).orderBy("h_").limit(sample).drop("h_").cache()
-    out = []
-    for k in ks:
-        models = [KMeans(k=k, seed=s, maxIter=20).fit(rows) for s in seeds]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(best.transform(judged))
-        out.append((k, float(best.summary.trainingCost), float(score)))
+    v = F.col(vector).cast("array<double>")
+    rows = placed.select(v.alias("v"), F.col(cluster).alias("c")).orderBy(F.md5(F.to_json(F.struct(v.alias("v")))), "c").limit(sample).toPandas()
+    if rows["c"].nunique() < 2:
+        return None
+    points, kinds = np.stack(rows["v"].to_list()), rows["c"].to_numpy()
+    shared = placed.sparkSession.sparkContext.broadcast((points, kinds))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, kinds = shared.value
+        names = np.unique(kinds)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            far = np.sqrt(np.maximum(0.0, (points[at] ** 2).sum(1)[:, None] + (points**2).sum(1) - 2 * points[at] @ points.T))
+            far[np.arange(len(at)), at] = 0.0
+            sums = np.stack([far[:, kinds == c].sum(1) for c in names], axis=1)
+            sizes = np.array([(kinds == c).sum() for c in names])
+            own = np.searchsorted(names, kinds[at])
+            inside = sums[np.arange(len(at)), own] / np.maximum(1, sizes[own] - 1)
+            means = sums / sizes
+            means[np.arange(len(at)), own] = np.inf
+            near = means.min(1)
+            out = np.where(sizes[own] > 1, (near - inside) / np.maximum(np.maximum(near, inside), 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(out)], ["s"])
+
+    return placed.sparkSession.range(len(points)).mapInArrow(score, "s double").agg(F.avg("s")).first()[0]
+
+
+def _fitted(rows: DataFrame, k: int, starts: int, seed: int):
+    """The best by cost of k-means models from several starts."""
+    return min((KMeans(k=k, seed=seed + i, maxIter=20).fit(rows) for i in range(starts)), key=lambda m: m.summary.trainingCost)
+
+
+def search_k(df: DataFrame, vector: str, ks: tuple[int, ...] = tuple(range(2, 13)), starts: int = 10, seed: int = 42, sample: int = 2000) -> DataFrame:
+    """Per number of clusters: cost of the best of several starts and Euclidean silhouette of a hashed sample, best first.
+
+    Models are fitted on all rows; ties in silhouette go to fewer clusters. Below 13 rows only as many
+    clusters are tried as there are rows less one.
+    """
+    rows = df.select(vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
+    n, out = rows.count(), []
+    for k in (k for k in ks if k < n):
+        best = _fitted(rows, k, starts, seed)
+        out.append((k, float(best.summary.trainingCost), silhouette(best.transform(rows), vector, "prediction", sample)))
     rows.unpersist()
-    judged.unpersist()
     return df.sparkSession.createDataFrame(out, "k int, cost double, silhouette double").orderBy(F.desc("silhouette"), "k")
 
 
-def cluster(df: DataFrame, vector: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """Cluster of each row, with its cosine to the cluster's centre."""
-    rows = df.select(key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=50).fit(rows)
+def cluster(df: DataFrame, vector: str, key: str, k: int, starts: int = 20, seed: int = 42) -> DataFrame:
+    """Cluster of each row by the best of several starts, with its cosine to the cluster's centre."""
+    rows = df.select(key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
+    model = _fitted(rows, k, starts, seed)
     centres = df.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>"
     )
@@ -72,11 +110,14 @@ def cluster(df: DataFrame, vector: str, key: str, k: int, seed: int = 42) -> Dat
     return placed.select(key, "cluster", cosine(vector, "centre", 1e-9).alias("similarity"))
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], size: int = 200) -> DataFrame:
+def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], size: int = 200, done: DataFrame | None = None) -> DataFrame:
     """key and vector of each text, from an injected embedder called with up to `size` texts.
 
-    Write the result with writers.append_new: rows that are there are then not asked for again.
+    Texts whose key is in `done` are left out before any call; append the result to that table to
+    go on after a break.
     """
+    if done is not None:
+        df = remaining(df, [done], [key])
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -90,8 +131,7 @@ def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], li
 
 def chunks(df: DataFrame, by: str, order: str, text: str, size: int = 50, header: str = "") -> DataFrame:
     """Documents of at most `size` texts of a group, in order, each with a header line of group and part."""
-    w = Window.partitionBy(by).orderBy(order)
-    rows = df.withColumn("part", F.floor((F.row_number().over(w) - 1) / size))
+    rows = numbered(df, [order], (by,), "at_").withColumn("part", F.floor(F.col("at_") / size))
     docs = rows.groupBy(by, "part").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("items"))
     body = F.array_join(F.transform("items", lambda x: F.coalesce(x["t"], F.lit(""))), "\n")
     head = F.concat(F.lit(header), F.col(by).cast("string"), F.lit("#"), F.col("part").cast("string"), F.lit("\n"))

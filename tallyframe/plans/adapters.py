@@ -13,6 +13,14 @@ RATERS = ["r1", "r2", "r3"]
 ORDER = ["shipdate", "partkey", "suppkey", "quantity", "price", "discount", "tax", "flag"]
 
 
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders")
+
+
 def raw_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as judged items, with repeats of keys: three raters' votes and a probability."""
     li = table(spark, sf_dir, "lineitem")
@@ -64,8 +72,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their last lower-case Latin word as marker."""
     docs = table(spark, sf_dir, "documents")
-    word = F.regexp_extract(F.lower(F.regexp_replace("text", r"[^A-Za-z]+$", "")), r"([a-z]+)$", 1)
-    return docs.select("doc_id", "lang", "source", word.alias("marker"))
+    word = F.regexp_extract(F.reverse("text"), r"^[^A-Za-z]*+([A-Za-z]+)", 1)
+    return docs.select("doc_id", "lang", "source", F.coalesce(F.lower(F.reverse(word)), F.lit("")).alias("marker"))
 
 
 #: The same tables in SQL, written independently.

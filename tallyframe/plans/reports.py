@@ -141,7 +141,7 @@ def union_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "batch_assignment",
-    f"""WITH {A.SQL_WIDE}, b AS (SELECT arm, floor((row_number() OVER (PARTITION BY arm ORDER BY substr(md5(okey::VARCHAR || '|' || lnum::VARCHAR), 1, 3), okey, lnum) - 1) / 20)::BIGINT AS batch, okey FROM j)
+    f"""WITH {A.SQL_WIDE}, b AS (SELECT arm, floor((row_number() OVER (PARTITION BY arm ORDER BY okey, lnum) - 1) / 20)::BIGINT AS batch, okey FROM j)
 SELECT arm, batch, count(*)::BIGINT AS items, sum(okey)::BIGINT AS key_sum FROM b GROUP BY arm, batch""",
 )
 def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,16 +234,24 @@ def sensitivity_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agreement.sensitivity(A.items(spark, sf_dir), 3, "O", "F"))
 
 
+_SWEEP = {"majority": "m", "r2": "r2", "r3": "r3"}
+_SWEEP_COUNTS = ", ".join(
+    f"count(*) FILTER ({y} AND {m})::BIGINT AS {n}{i}" for n, v in _SWEEP.items() for i, (y, m) in enumerate((("y", v), ("y", f"NOT {v}"), ("NOT y", v), ("NOT y", f"NOT {v}")))
+)
+_SWEEP_KAPPAS = ", ".join(f"round({_kappa_sql(*(f'{n}{i}' for i in range(4)))}, 6) AS kappa_{n}" for n in _SWEEP)
+
+
 @query(
     "threshold_sweep",
     f"""WITH {A.SQL_WIDE}, k AS (SELECT unnest([0.5::DOUBLE, 0.6::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE]) AS cut),
-s AS (SELECT cut, {_2X2}, count(*) FILTER (y AND m)::BIGINT AS ym, count(*) FILTER (y AND NOT m)::BIGINT AS yn, count(*) FILTER (NOT y AND m)::BIGINT AS nm, count(*) FILTER (NOT y AND NOT m)::BIGINT AS nn
-  FROM (SELECT cut, arm = 'O' AS t, p >= cut AS y, vs >= 2 AS m FROM j, k) GROUP BY cut)
-SELECT cut, a, b, c, d, round(100.0::DOUBLE * (a::DOUBLE / (a + b) - c::DOUBLE / (c + d)), 6) AS diff_pp, round({_CHI}, 6) AS chi2, round({_kappa_sql('ym', 'yn', 'nm', 'nn')}, 6) AS kappa_majority FROM s""",
+s AS (SELECT cut, {_2X2}, {_SWEEP_COUNTS}
+  FROM (SELECT cut, arm = 'O' AS t, p >= cut AS y, vs >= 2 AS m, r2, r3 FROM j, k) GROUP BY cut)
+SELECT cut, a, b, c, d, round(100.0::DOUBLE * (a::DOUBLE / (a + b) - c::DOUBLE / (c + d)), 6) AS diff_pp, round({_CHI}, 6) AS chi2, {_SWEEP_KAPPAS} FROM s""",
 )
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.items(spark, sf_dir)
-    return rounded(agreement.threshold_sweep(rows, F.col("p"), F.col("vote_sum") >= 2, F.col("arm") == "O"))
+    own = {r: F.element_at("votes", i + 1) == 1 for i, r in enumerate(A.RATERS) if r != "r1"}
+    return rounded(agreement.threshold_sweep(rows, F.col("p"), F.col("vote_sum") >= 2, F.col("arm") == "O", raters=own))
 
 
 @query(
@@ -259,13 +267,13 @@ def flip_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "drift_agreement",
-    f"""WITH {A.SQL_LONG}, f AS (SELECT okey, lnum, arm, rater, judgment AS x, CASE WHEN okey % 7 = 0 THEN NOT judgment ELSE judgment END AS y FROM jl WHERE okey % 3 = 0),
+    f"""WITH {A.SQL_LONG}, f AS (SELECT okey, lnum, arm, rater, judgment AS x, CASE WHEN okey % 7 = 0 THEN NOT judgment ELSE judgment END AS y FROM jl),
 s AS (SELECT rater, count(*) FILTER (x AND y)::BIGINT AS "both", count(*) FILTER (x AND NOT y)::BIGINT AS first_only, count(*) FILTER (NOT x AND y)::BIGINT AS second_only, count(*) FILTER (NOT x AND NOT y)::BIGINT AS neither FROM f GROUP BY rater)
 SELECT *, "both" + first_only + second_only + neither AS pairs, round(100.0::DOUBLE * ("both" + neither) / ("both" + first_only + second_only + neither), 6) AS agreement_pct, round({_kappa_sql(BOTH, 'first_only', 'second_only', 'neither')}, 6) AS kappa FROM s""",
 )
 def drift_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     frozen = A.long(spark, sf_dir).select(*A.KEY, "rater", "judgment")
-    fresh = frozen.where("okey % 3 = 0").withColumn("judgment", F.when(F.col("okey") % 7 == 0, ~F.col("judgment")).otherwise(F.col("judgment")))
+    fresh = frozen.withColumn("judgment", F.when(F.col("okey") % 7 == 0, ~F.col("judgment")).otherwise(F.col("judgment")))
     return rounded(agreement.drift(frozen, fresh, A.KEY, ("rater",)))
 
 
@@ -412,6 +420,20 @@ def spearman_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranks.spearman(A.wide(spark, sf_dir), "discount", "quantity"))
 
 
+@query(
+    "sign_test_many_strata",
+    f"""WITH {A.SQL_WIDE}, s AS (SELECT part, {_2X2} FROM (SELECT l_partkey AS part, l_linestatus = 'O' AS t, l_quantity > 25 AS y FROM lineitem) GROUP BY part),
+g AS (SELECT a * (c + d) - c * (a + b) AS gap FROM s WHERE a + b >= 1 AND c + d >= 1),
+t AS (SELECT count(*) FILTER (gap > 0)::BIGINT AS w, count(*) FILTER (gap < 0)::BIGINT AS l, count(*) FILTER (gap = 0)::BIGINT AS ties FROM g),
+x AS (SELECT w, l, ties, unnest(range(0, least(w, l) + 1)) AS i FROM t)
+SELECT w AS wins, l AS losses, ties, round(least(1.0::DOUBLE, 2 * sum(exp(lgamma(w + l + 1) - lgamma(i + 1) - lgamma(w + l - i + 1) - (w + l) * ln(2.0::DOUBLE)))), 6) AS p FROM x GROUP BY w, l, ties""",
+)
+def sign_test_many_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    cells = judgments.two_by_two(rows, F.col("l_quantity") > 25, F.col("l_linestatus") == "O", ("l_partkey",))
+    return rounded(strata.sign_test(cells))
+
+
 @query("pearson", f"WITH {A.SQL_WIDE} SELECT count(*)::BIGINT AS n, round(corr(discount, quantity), 6) AS r FROM j")
 def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranks.pearson(A.wide(spark, sf_dir), "discount", "quantity"))
@@ -422,11 +444,23 @@ def bootstrap_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cramers_v_interval(judgments.consensus(A.items(spark, sf_dir), 3, "O", "F"))
 
 
-@query("special_pvalues")
+def tail_sql(chi: str) -> str:
+    """p-value of chi-squared with one degree in SQL: one less the series of the error function."""
+    y = f"(({chi}) / 2.0::DOUBLE)"
+    term = f"exp(2 * n * ln(2.0::DOUBLE) + lgamma(n + 1) - lgamma(2 * n + 2) + (n + 0.5::DOUBLE) * ln({y}) - {y})"
+    return f"CASE WHEN ({chi}) <= 0 THEN 1.0::DOUBLE WHEN ({chi}) > 300 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 600), lambda n: {term}))) END"
+
+
+@query(
+    "special_pvalues",
+    f"""WITH {_ORDERS}, x AS (SELECT *, {_CHI} AS chi2 FROM s), y AS (SELECT *, {tail_sql('chi2')} AS p FROM x)
+SELECT * REPLACE (round(chi2, 6) AS chi2, round(p, 6) AS p), CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars,
+  CASE WHEN chi2 > 1374 THEN '< 1e-300' WHEN p < 0.001 THEN '< 0.001' ELSE printf('%.4f', p) END AS label FROM y""",
+)
 def special_pvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders(spark, sf_dir).withColumn("chi2", stats.chi2(*"abcd"))
     rows = rows.withColumn("p", stats.chi2_sf("chi2", F.lit(1)))
-    return rows.withColumn("stars", stats.stars("p")).withColumn("label", stats.p_label("p"))
+    return rounded(rows.withColumn("stars", stats.stars("p")).withColumn("label", stats.p_label("p")))
 
 
 # --- markers -----------------------------------------------------------------------------------
@@ -460,14 +494,15 @@ def _rewrite_sql() -> str:
 
 @query("marker_normalise", f"WITH {A.SQL_MARKERS} SELECT {_rewrite_sql()} AS normal, count(*)::BIGINT AS n, count(DISTINCT marker)::BIGINT AS forms FROM m GROUP BY 1")
 def marker_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text.rewrite_distinct(A.markers(spark, sf_dir), "marker", RULES, "normal")
-    return rows.groupBy("normal").agg(F.count("*").alias("n"), F.count_distinct("marker").alias("forms"))
+    counts = A.markers(spark, sf_dir).groupBy("marker").agg(F.count("*").alias("n"))
+    rows = counts.withColumn("normal", text.rewrite("marker", RULES))
+    return rows.groupBy("normal").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
 
 
 @query("unique_reduction", f"WITH {A.SQL_MARKERS}, g AS (SELECT count(DISTINCT marker)::BIGINT AS forms, count(DISTINCT {_rewrite_sql()})::BIGINT AS normal FROM m) SELECT *, round(100.0::DOUBLE - 100.0::DOUBLE * normal / forms, 6) AS reduction_pct FROM g")
 def unique_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text.rewrite_distinct(A.markers(spark, sf_dir), "marker", RULES, "normal")
-    rows = rows.agg(F.count_distinct("marker").alias("forms"), F.count_distinct("normal").alias("normal"))
+    forms = A.markers(spark, sf_dir).select("marker").distinct().withColumn("normal", text.rewrite("marker", RULES))
+    rows = forms.agg(F.count("*").alias("forms"), F.count_distinct("normal").alias("normal"))
     return rounded(rows.withColumn("reduction_pct", 100 - stats.percent("normal", "forms")))
 
 
@@ -519,7 +554,7 @@ def affix_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT 0 AS i, 'drop_e' AS rule, marker, n, regexp_replace(marker, '^e', '') AS form FROM v UNION ALL SELECT 1, 'er_to_en', marker, n, regexp_replace(marker, 'er$', 'en') FROM v
   UNION ALL SELECT 2, 'add_th', marker, n, 'th' || marker FROM v),
 p AS (SELECT f.*, o.n AS form_n, row_number() OVER (PARTITION BY least(f.marker, form), greatest(f.marker, form) ORDER BY i, f.marker) AS k FROM f JOIN v o ON o.marker = form WHERE form <> f.marker)
-SELECT rule, marker, form, n, form_n FROM p WHERE k = 1""",
+SELECT rule, marker, form, n, form_n, n + form_n AS together FROM p WHERE k = 1 ORDER BY together DESC, marker, form""",
 )
 def vocab_variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = A.markers(spark, sf_dir).where("marker <> ''").groupBy("marker").agg(F.count("*").alias("n"))
@@ -528,7 +563,7 @@ def vocab_variant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("er_to_en", F.regexp_replace("marker", "er$", "en")),
         ("add_th", F.concat(F.lit("th"), "marker")),
     ]
-    return profile.variant_pairs(vocabulary, rules)
+    return profile.variant_pairs(vocabulary, rules).orderBy(F.desc("together"), "marker", "form")
 
 
 @query("hash_anonymise", "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN text ELSE substr(sha256(text), 1, 16) END AS hidden FROM documents")
@@ -536,10 +571,14 @@ def hash_anonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.anonymise("text").alias("hidden"))
 
 
-@query("parse_bool", "SELECT conv_id, turn, coalesce(lower(trim(substr(text, 1, 1))) IN ('true', '1', 'yes', 'y', 'o'), false) AS flag FROM conversations")
+_SAID = "CASE (conv_id + turn) % 7 WHEN 0 THEN ' True ' WHEN 1 THEN 'YES' WHEN 2 THEN chr(9) || 'o' WHEN 3 THEN '1' WHEN 4 THEN 'false' WHEN 5 THEN text ELSE NULL END"
+
+
+@query("parse_bool", f"SELECT conv_id, turn, role, coalesce(lower(trim({_SAID}, ' ' || chr(9) || chr(10) || chr(13))) IN ('true', '1', 'yes', 'y', 'o'), false) AS flag FROM conversations")
 def parse_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", text.parse_bool(F.substring("text", 1, 1)).alias("flag"))
+    kind = (F.col("conv_id") + F.col("turn")) % 7
+    said = F.when(kind == 0, " True ").when(kind == 1, "YES").when(kind == 2, "\to").when(kind == 3, "1").when(kind == 4, "false").when(kind == 5, F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.parse_bool(said).alias("flag"))
 
 
 _ANSWER = "array_to_string(list_transform([1,2,3,4,5,6,7,8,9,10,11,12], lambda i: i::VARCHAR || CASE WHEN (doc_id * i) % 3 = 0 THEN '. O' WHEN (doc_id + i) % 5 = 0 THEN '.O' ELSE '. X' END), chr(10))"
@@ -713,12 +752,19 @@ def first_k_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.first_k(table(spark, sf_dir, "documents").select("source", "doc_id"), 3, ["doc_id"], ["source"])
 
 
-@query("hash_sample")
+def _drawn_sql(key: str) -> str:
+    return f"md5('42|' || {key}::VARCHAR)"
+
+
+@query("hash_sample", f"SELECT doc_id, lang FROM documents ORDER BY {_drawn_sql('doc_id')}, doc_id LIMIT 100")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.hashed(table(spark, sf_dir, "documents").select("doc_id", "lang"), 100, ["doc_id"], 42)
 
 
-@query("spread_sample")
+@query(
+    "spread_sample",
+    f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_drawn_sql('doc_id')}, doc_id) AS k FROM documents) WHERE k <= 2 ORDER BY {_drawn_sql('doc_id')}, doc_id LIMIT 7",
+)
 def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.spread(table(spark, sf_dir, "documents").select("doc_id", "source"), 7, 2, ["doc_id"], "source", 42)
 
@@ -741,7 +787,7 @@ def cosine_to_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_k_search")
 def kmeans_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.search_k(table(spark, sf_dir, "embeddings"), "embedding", [2, 4, 8], seeds=(42,))
+    return vectors.search_k(table(spark, sf_dir, "embeddings"), "embedding")
 
 
 @query("kmeans_clusters")
@@ -751,11 +797,11 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "doc_chunks",
-    """SELECT source, part, count(*)::INT AS items, 'docs ' || source || '#' || part::VARCHAR || chr(10) || string_agg(lang, chr(10) ORDER BY doc_id) AS document FROM (
-  SELECT source, doc_id, lang, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 50)::BIGINT AS part FROM documents) GROUP BY source, part""",
+    """SELECT source, part, count(*)::INT AS items, 'docs ' || source || '#' || part::VARCHAR || chr(10) || string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS document FROM (
+  SELECT source, doc_id, text, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 50)::BIGINT AS part FROM documents) GROUP BY source, part""",
 )
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.chunks(table(spark, sf_dir, "documents").select("source", "doc_id", "lang"), "source", "doc_id", "lang", 50, "docs ")
+    return vectors.chunks(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id", "text", 50, "docs ")
 
 
 @query(
@@ -777,10 +823,17 @@ def json_probability_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("known"), F.round(F.coalesce(F.sum("k")), 4).alias("total"))
 
 
-@query("html_text_extract", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs FROM pages")
+_MARKUP = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
+
+
+@query(
+    "html_text_extract",
+    f"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_replace(html, '{_MARKUP}', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) AS body FROM pages",
+)
 def html_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"))
+    body = F.trim(F.regexp_replace(F.regexp_replace("html", _MARKUP, " "), r"[ \t\n\r]+", " "))
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), body.alias("body"))
 
 
 @query("file_manifest")

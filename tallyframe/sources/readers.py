@@ -77,11 +77,16 @@ def _fields(ddl: str) -> str:
 def probabilities(spark: SparkSession, path: str, key: str = "key", value: str = "noul") -> DataFrame:
     """Probability judgments: the last record of each key with a probability.
 
-    Order is that of file names and of places in them.
+    Order is that of file names, of the blocks that a file is read in, and of places in a block. A
+    missing file gives no rows.
     """
-    rows = spark.read.schema(f"{key} array<string>, marker_type string, {value} double, model string, batch long").json(path)
-    rows = rows.where(F.col(value).isNotNull()).withColumn("file_", F.input_file_name()).withColumn("at_", F.monotonically_increasing_id())
-    return dedupe(rows, [key], ["file_", "at_"]).drop("file_", "at_")
+    schema = f"{key} array<string>, marker_type string, {value} double, model string, batch long"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).json(path)
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    rows = rows.select("*", at.alias("at_")).where(F.col(value).isNotNull())
+    return dedupe(rows, [key], ["at_"]).drop("at_")
 
 
 def json_document(spark: SparkSession, path: str) -> DataFrame | None:
@@ -90,26 +95,44 @@ def json_document(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def xml_sentences(spark: SparkSession, path: str, tag: str = "s", key: str = "id") -> DataFrame:
-    """file, id and text of each sentence element, with the text of elements inside it; broken files give none."""
+    """file, id, text and error of each sentence element, with the text of elements inside it.
+
+    A broken file gives one row with its error and neither id nor text.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    found = [(name, e.get(key), "".join(e.itertext()).strip()) for e in ET.fromstring(body).iter(tag)]
-                except ET.ParseError:
-                    found = []
-                columns = list(zip(*found, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", "id", "text"])
+                    found = [(name, e.get(key), "".join(e.itertext()).strip(), None) for e in ET.fromstring(body).iter(tag)]
+                except ET.ParseError as error:
+                    found = [(name, None, None, str(error))]
+                columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", "id", "text", "error"])
 
-    return files.mapInArrow(parse, "file string, id string, text string")
+    return files.mapInArrow(parse, "file string, id string, text string, error string")
 
 
 def xml_record(spark: SparkSession, path: str, root: str, fields: list[str]) -> DataFrame:
-    """Named child elements of a record, one row per file; null where one is absent."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return files.select("file", *(F.nullif(strip(F.xpath_string("value", F.lit(f"//{root}/{f}"))), F.lit("")).alias(f) for f in fields))
+    """Named child elements of a record, one row per file; null where one is absent. A broken file has an error."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    tree = ET.fromstring(body)
+                    record = tree if tree.tag == root else tree.find(f".//{root}")
+                    found = [("".join(e.itertext()).strip() or None) if record is not None and (e := record.find(f)) is not None else None for f in fields]
+                    out.append((name, *found, None))
+                except ET.ParseError as error:
+                    out.append((name, *[None] * len(fields), str(error)))
+            columns = list(zip(*out, strict=True)) or [()] * (len(fields) + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", *fields, "error"])
+
+    return files.mapInArrow(parse, ", ".join(f"`{c}` string" for c in ["file", *fields, "error"]))
 
 
 def file_pairs(spark: SparkSession, folder: str, first: str, second: str) -> DataFrame:
@@ -134,6 +157,15 @@ def find_file(spark: SparkSession, folder: str, name: str) -> str | None:
         return None
 
 
+def unfinished(spark: SparkSession, wanted: DataFrame, folder: str, name: str = "file", least: int = 200) -> DataFrame:
+    """Rows of which the named output is not in the folder, or has fewer than `least` bytes."""
+    if not exists(spark, f"{folder}/*"):
+        return wanted
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    whole = files.where(F.col("length") >= least).select(F.element_at(F.split("path", "/"), -1).alias(name)).distinct()
+    return wanted.join(whole, name, "left_anti")
+
+
 def markdown_answers(spark: SparkSession, path: str, heading: str = "## Answer", end: str = "\n---") -> DataFrame:
     """file and the text between a heading and a separator."""
     files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())

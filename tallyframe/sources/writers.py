@@ -6,7 +6,7 @@ import json
 import time
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators.judgments import remaining
@@ -61,8 +61,10 @@ def pretty_json(df: DataFrame, most: int = 10_000) -> str:
 
 
 def markdown_table(df: DataFrame, title: str = "", most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; larger ones are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows; write them as a table")
     show = lambda x: "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x).replace("|", "\\|")
     lines = [f"## {title}\n"] if title else []
     lines += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
@@ -76,9 +78,16 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def evidence(df: DataFrame, by: list[str], line: str, order: str, limit: int = 300_000) -> DataFrame:
-    """One evidence document per group, of its lines in order, cut at a limit with a note and a flag."""
-    docs = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t")))).alias("x"))
-    body = F.array_join(F.transform("x", lambda r: r["t"]), "\n")
-    docs = docs.select(*by, body.alias("body"))
+    """One evidence document per group, of its lines in order, cut at a limit with a note and a flag.
+
+    Lines that start beyond the limit are left out before a group is gathered, so a document never
+    holds much more than the limit.
+    """
+    rows = df.select(*by, F.col(order).alias("o_"), F.coalesce(F.col(line), F.lit("")).alias("t_"))
+    upto = Window.partitionBy(*by).orderBy("o_", "t_").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("from_", F.coalesce(F.sum(F.length("t_") + 1).over(upto), F.lit(0)))
+    rows = rows.withColumn("t_", F.substring("t_", 1, limit + 1)).where(F.col("from_") <= limit)
+    docs = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("o_", "t_"))).alias("x"))
+    docs = docs.select(*by, F.array_join(F.transform("x", lambda r: r["t_"]), "\n").alias("body"))
     cut = F.length("body") > limit
     return docs.select(*by, F.when(cut, F.concat(F.substring("body", 1, limit), F.lit("\n[cut]"))).otherwise(F.col("body")).alias("document"), cut.alias("cut"))

@@ -3,7 +3,7 @@
 import pytest
 
 from compare import connect, differences, spark_rows, sql_rows
-from tallyframe.plans.reports import REGISTRY
+from tallyframe.plans.catalog import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 

@@ -35,7 +35,8 @@ def test_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<d><s id='1'> x<b>y</b>z </s><s id='2'/></d>")
     (tmp_path / "bad.xml").write_text("<d>")
     rows = readers.xml_sentences(spark, f"file://{tmp_path}/*.xml").orderBy("id").collect()
-    assert [(r.id, r.text) for r in rows] == [("1", "xyz"), ("2", "")]
+    assert [(r.id, r.text) for r in rows if r.error is None] == [("1", "xyz"), ("2", "")]
+    assert [(r.id, r.text, r.file[-7:]) for r in rows if r.error] == [(None, None, "bad.xml")]
 
 
 def test_pairs_and_answers(spark, tmp_path):
