@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import with_arrays
+from tallyframe.llm.common import durable, free_name
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 13
-#: Benchmark words broadcast at once; a larger benchmark is searched in several blocks of this size.
-BLOCK_WORDS = 400_000
+#: Words of a benchmark that is broadcast; windows of a larger one are joined with those of the documents.
+TABLE_WORDS = 1_000_000
+#: Places of the bitmap of suffix blocks in that join.
+SUFFIXES = 1 << 26
+#: Words as a Java pattern: see _FOLD.
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: ASCII letters and digits are word characters, as is every byte of a non-ASCII character.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -71,20 +77,6 @@ def searchers(items: list[tuple[str | None, list[bytes]]], window: int = WINDOW)
     return [Searcher(length, found) for length, found in by.items()]
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Items in blocks of bounded size, read partition by partition."""
-    block, size = [], 0
-    for item, body in benchmark.select(F.col(item_id).cast("string"), text).toLocalIterator():
-        words = words_of(body)
-        block.append((item, words))
-        size += len(words)
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def _union(spans: list[int]) -> list[int]:
     """Spans (first word << 32 | past the last) with overlapping ones joined."""
     out: list[int] = []
@@ -96,6 +88,89 @@ def _union(spans: list[int]) -> list[int]:
     return out
 
 
+def _carried(rows: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int, name: str, body: int) -> DataFrame:
+    """rows (a struct of the given name, whose field number `body` is the text) with n_words, spans and found.
+
+    The shift tables are broadcast.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(items)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = searchers(shared.value, window)
+        for batch in batches:
+            sizes, spans, found = [], [], []
+            for value in batch.column(0).field(body).to_pylist():
+                words, hits, ids = words_of(value), [], set()
+                for table in tables:
+                    for first, end, items in table.find(words):
+                        hits.append(first << 32 | end)
+                        ids.update(x for x in items if x is not None)
+                sizes.append(len(words))
+                spans.append(_union(hits))
+                found.append(sorted(ids))
+            new = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], [name, "n_words", "spans", "found"])
+
+    kind = rows.schema[name].dataType
+    schema = T.StructType([T.StructField(name, kind), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("found", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(search, schema)
+
+
+def _digests(words: list[bytes], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """First word, suffix block and 128-bit hash of each window of a length."""
+    for first in range(len(words) - length + 1):
+        window = words[first : first + length]
+        block = xxhash.xxh64_intdigest(b" ".join(window[-2:])) % SUFFIXES
+        yield first, block, *np.frombuffer(xxhash.xxh128_digest(b" ".join(window)), np.int64).tolist()
+
+
+def _found_by_join(texts: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The same for a benchmark of any size: k1, k2, spans and found of the texts with occurrences.
+
+    Windows of the items are a table. A bitmap of their suffix blocks (of one size for any benchmark)
+    is broadcast; only those windows of a text that end with one of the blocks leave it, and they are
+    joined with the table by length and 128-bit hash.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(body)
+                length = min(window, len(words))
+                out += [(length, block, h, g, item) for _, block, h, g in _digests(words, length)] if length else []
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["length", "block", "h", "g", "item"])
+
+    windows = durable(benchmark.mapInArrow(cut, "length long, block long, h long, g long, item string").distinct())
+    lengths = sorted(r.length for r in windows.select("length").distinct().collect())
+    bits = windows.groupBy(F.shiftright("block", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(block & 63 as int)))").alias("bits"))
+    bitmap = np.zeros(SUFFIXES >> 6, np.int64)
+    for row in bits.toLocalIterator():
+        bitmap[row.at] = row.bits
+    shared = texts.sparkSession.sparkContext.broadcast((lengths, bitmap.view(np.uint8)))
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, bits = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch, out = whole.slice(at, 256), []
+                for k1, k2, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    words = words_of(value)
+                    for length in lengths:
+                        for first, block, h, g in _digests(words, length):
+                            if bits[block >> 3] >> (block & 7) & 1:
+                                out.append((k1, k2, first << 32 | first + length, length, h, g))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "span", "length", "h", "g"])
+
+    offered = texts.mapInArrow(offer, "k1 long, k2 long, span long, length long, h long, g long").distinct()
+    hits = offered.join(windows.select("length", "h", "g", "item"), ["length", "h", "g"])
+    hits = hits.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"), F.array_sort(F.collect_set("item")).alias("found"))
+    return durable(hits)
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -108,61 +183,44 @@ def contamination(
 
     A window is `window` consecutive words of an item, or all words of a shorter item that has any. A
     word of a document is hit if it lies in an occurrence of a window; a document is contaminated if
-    a word is hit and the hit ones are at least a twentieth of its words. The search is one pass over
-    the documents, without a shuffle; each block of the benchmark has a bounded broadcast, and more
-    blocks are further steps of the same pass. Null and empty texts have no words; null items and
+    a word is hit and the hit ones are at least a twentieth of its words. A benchmark of up to
+    TABLE_WORDS words is searched for in one pass over the documents, without a shuffle; a larger one
+    by a join of windows, with the same result. Null and empty texts have no words; null items and
     those without words have no windows; a null item_id marks hits but is not listed; repeated items
     and rows are treated alike; with an empty benchmark nothing is hit. Columns of docs named like an
     added one come back with the prefix "in_".
     """
     added = ["n_words", "n_hit", "items", "contaminated"]
-    rows = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c in [*added, "hits_", "found_"]})
+    rows = docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns if c in added})
     body = text if text in rows.columns else f"in_{text}"
     names = rows.columns
-    spark = docs.sparkSession
-    hits = T.ArrayType(T.LongType())
-    rows = rows.withColumn("hits_", F.array().cast(hits)).withColumn("found_", F.array().cast("array<string>"))
-    rows = rows.withColumn("n_words", F.lit(0).cast("long"))
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_id, item_text)] or [
-        spark.sparkContext.broadcast([])
-    ]
-
-    def step(block):
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = searchers(block.value, window)
-            for batch in batches:
-                sizes, spans, found = [], [], []
-                for value, old, had in zip(*(batch.column(c).to_pylist() for c in (body, "hits_", "found_")), strict=True):
-                    words = words_of(value)
-                    ids = set(had)
-                    for table in tables:
-                        for first, end, items in table.find(words):
-                            old.append(first << 32 | end)
-                            ids.update(x for x in items if x is not None)
-                    sizes.append(len(words))
-                    spans.append(_union(old))
-                    found.append(sorted(ids))
-                yield with_arrays(
-                    batch,
-                    {
-                        "n_words": pa.array(sizes, pa.int64()),
-                        "hits_": pa.array(spans, pa.list_(pa.int64())),
-                        "found_": pa.array(found, pa.list_(pa.string())),
-                    },
-                )
-
-        return search
-
-    for block in blocks:
-        rows = rows.mapInArrow(step(block), rows.schema)
-
+    given = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body"))
+    sizes = given.select(F.coalesce(F.regexp_count("body", F.lit(_WORD)), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    none = F.array().cast("array<long>"), F.array().cast("array<string>")
+    if sizes <= TABLE_WORDS:
+        items = [(item, words_of(body_)) for item, body_ in given.toLocalIterator()]
+        name = free_name(rows, "row")
+        found = _carried(rows.select(F.struct(*names).alias(name)), items, window, name, names.index(body))
+        rows, spans, ids, size = found, F.col("spans"), F.col("found"), F.col("n_words")
+        kept = [F.col(name)[c].alias(c) for c in names]
+    else:
+        key = [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2")]
+        found = _found_by_join(rows.select(*key, F.col(body).alias("body")), given, window)
+        packed = rows.select(*key, F.struct(*names).alias("row"), F.coalesce(F.regexp_count(body, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+        rows = packed.join(found, ["k1", "k2"], "left")
+        spans, ids, size = F.coalesce("spans", none[0]), F.coalesce("found", none[1]), F.col("n_words")
+        kept = [F.col("row")[c].alias(c) for c in names]
     low = F.lit(0xFFFFFFFF).cast("long")
-    covered = F.aggregate(
-        "hits_", F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(low) - F.shiftright(x, 32)
-    )
-    rows = rows.withColumn("n_hit", covered)
-    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return rows.select(*names, "n_words", "n_hit", F.col("found_").alias("items"), bad.alias("contaminated"))
+
+    def cover(state, x):
+        first, end = F.shiftright(x, 32), x.bitwiseAND(low)
+        more = F.greatest(F.lit(0).cast("long"), end - F.greatest(first, state["upto"]))
+        return F.struct((state["n"] + more).alias("n"), F.greatest(end, state["upto"]).alias("upto"))
+
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    n_hit = F.aggregate(F.array_sort(spans), start, cover)["n"]
+    out = rows.select(*kept, size.alias("n_words"), n_hit.alias("n_hit"), ids.alias("items"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
