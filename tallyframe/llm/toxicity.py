@@ -53,15 +53,25 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label:
     """Indices and weights of the features that count, and the bias.
 
     The sample is bounded: rows are taken by a hash of the row at a rate that yields about `rows` rows,
-    and no more than SAMPLE_FEATURES hashed features of them are kept. Per-coordinate rates and
-    the L1 term leave most weights zero, so the model that is broadcast is small. Null labels are left
+    and of these as many, in order of the hash, as have SAMPLE_FEATURES features together (a text of more
+    than a twentieth of that is not sampled), so the sample depends on the rows alone and not on how
+    files hold them. Per-coordinate rates and the L1 term leave most weights zero, so the model that is broadcast is small. Null labels are left
     out; without rows every weight is zero and the score a half.
     """
     labelled = labelled.where(F.col(label).isNotNull())
     count = labelled.count()
-    unit = F.pmod(F.xxhash64(*labelled.columns), F.lit(1 << 20))
-    chosen = labelled.where(unit < F.lit(int((1 << 20) * min(1.0, rows / max(1, count)))))
-    chosen = chosen.select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"))
+    unit = F.pmod(F.xxhash64(*labelled.columns), F.lit(1 << 40))
+    chosen = labelled.select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"), unit.alias("unit"))
+    chosen = chosen.where(F.col("unit") < F.lit(int((1 << 40) * min(1.0, rows / max(1, count)))))
+    most = F.lit(3).cast("long") * F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0))
+    chosen = chosen.withColumn("most", most).where(F.col("most") <= SAMPLE_FEATURES // 20)
+    held, cut = 0, 1 << 40
+    for place, size in sorted((r.unit, r.most) for r in chosen.select("unit", "most").collect()):
+        held += size
+        if held > SAMPLE_FEATURES:
+            cut = place
+            break
+    chosen = chosen.where(F.col("unit") < F.lit(cut)).drop("unit", "most")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -69,13 +79,10 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label:
             found = [features(t, hashes) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), batch.column(1)], ["x", "label"])
 
-    xs, ys, held = [], [], 0
+    xs, ys = [], []
     for row in chosen.mapInArrow(encode, "x binary, label double").toLocalIterator():
-        x = np.frombuffer(row.x, np.int32)
-        if held + len(x) <= SAMPLE_FEATURES:
-            held += len(x)
-            xs.append(x)
-            ys.append(row.label)
+        xs.append(np.frombuffer(row.x, np.int32))
+        ys.append(row.label)
     order = sorted(range(len(xs)), key=lambda i: (xxhash.xxh64_intdigest(xs[i].tobytes(), 3), ys[i]))
     aside = order[::5]
     shift = _shift([xs[i] for i in aside], [ys[i] for i in aside], train([xs[i] for k, i in enumerate(order) if k % 5], [ys[i] for k, i in enumerate(order) if k % 5]))
