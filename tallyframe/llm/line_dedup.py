@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import durable, free_name
 
-#: A line on more than this share of a host's pages is boilerplate.
+#: A line on more than this share of a host's other pages is boilerplate.
 RATIO = 0.08
-#: A line on fewer pages than this is never boilerplate, whatever its share of a small host.
-LEAST_PAGES = 3
 
 
 def _lines(text: Column) -> Column:
@@ -23,11 +21,11 @@ def _digest(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(
-    docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, text: str = "text", host: str = "source"
-) -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, text: str = "text", host: str = "source") -> DataFrame:
     """Lines that exceed the ratio at their host: (site, line digest, pages).
 
+    For a page that holds a line, the ratio is that of the host's other pages: of those that hold it,
+    too, to all of them. So a line of one page is never boilerplate, on hosts of any size.
     A page counts once for a line however often it holds it. Counts are pre-aggregated per task and
     keyed by host and line, so a host with a third of all pages is spread over all tasks; only a
     line on very many pages of one host is one key, and it arrives as one partial count per task.
@@ -36,14 +34,13 @@ def boilerplate(
     pages = docs.groupBy(site.alias("site")).agg(F.count("*").alias("total"))
     seen = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), _digest), lambda d: d.isNotNull()))
     counts = docs.select(site.alias("site"), F.explode(seen).alias("line")).groupBy("site", "line").agg(F.count("*").alias("pages"))
-    often = (F.col("pages") >= least_pages) & (F.col("pages") > ratio * F.col("total"))
-    return counts.where(F.col("pages") >= least_pages).join(pages, "site").where(often).select("site", "line", "pages")
+    often = F.col("pages") - 1 > ratio * (F.col("total") - 1)
+    return counts.where("pages > 1").join(pages, "site").where(often).select("site", "line", "pages")
 
 
 def drop_lines(
     docs: DataFrame,
     ratio: float = RATIO,
-    least_pages: int = LEAST_PAGES,
     text: str = "text",
     host: str = "source",
     doc_id: str = "doc_id",
@@ -59,14 +56,14 @@ def drop_lines(
     """
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     site = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
-    key = F.xxhash64(F.col(doc_id), F.col(text), F.col(host))
-    found = durable(boilerplate(docs, ratio, least_pages, text, host))
+    key = [F.xxhash64(doc_id, text, host).alias("k1"), F.xxhash64(F.lit(1), doc_id, text, host).alias("k2")]
+    found = durable(boilerplate(docs, ratio, text, host))
     digests = F.array_distinct(F.filter(F.transform(_lines(F.col(text)), _digest), lambda d: d.isNotNull()))
-    lines = docs.select(key.alias("key"), site.alias("site"), F.explode(digests).alias("line"))
-    hits = lines.join(found, ["site", "line"]).groupBy("key").agg(F.collect_set("line").alias("drop"))
+    lines = docs.select(*key, site.alias("site"), F.explode(digests).alias("line"))
+    hits = lines.join(found, ["site", "line"]).groupBy("k1", "k2").agg(F.collect_set("line").alias("drop"))
     hits = durable(hits)
 
-    rows = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row")).join(hits, "key", "left")
+    rows = docs.select(*key, F.struct(*docs.columns).alias("row")).join(hits, ["k1", "k2"], "left")
     body = _lines(F.col("row")[text])
     keep = F.filter(body, lambda line: F.coalesce(~F.array_contains(F.col("drop"), _digest(line)), F.lit(True)))
     size = F.coalesce(F.size(body), F.lit(0)).cast("long")

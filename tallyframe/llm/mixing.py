@@ -78,7 +78,7 @@ def mix(
 ) -> DataFrame:
     """Words that a mixture at target weights takes of each document.
 
-    Documents of a source are shuffled by a seeded MD5 of their id; a source's pass may repeat, up to
+    Documents of a source are shuffled by a seeded MD5 of their id and text; a source's pass may repeat, up to
     cap times. A copy's virtual finish time is the words of its source up to its end, over the
     source's target. Copies are dealt into narrow ranges of finish time, and the mix takes them in
     order until the next one would exceed the budget, which is the number of words of all documents.
@@ -91,7 +91,8 @@ def mix(
     rows. Ties in finish time go by source, then place in the shuffle. Names of docs that clash with
     the added columns are kept under the given name with the prefix "in_".
     """
-    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    # The text is part of it, so that rows of one id, or of none, are spread, too.
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
     keyed = docs.select(
         F.struct(*docs.columns).alias("row"),
         F.col(doc_id).alias("id"),

@@ -8,7 +8,7 @@ ORACLES["op2"] = r"""
 WITH s AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h
   FROM documents),
 a AS (SELECT sk, sum(size)::BIGINT AS source_size FROM s GROUP BY sk),
 b AS (SELECT *, (1 + (row_number() OVER (ORDER BY sk) - 1) % 3)::DOUBLE AS w FROM a),
@@ -40,7 +40,7 @@ l AS (SELECT DISTINCT r, coalesce('=' || source, '') AS site, trim(line) AS line
   FROM (SELECT r, source, unnest(body) AS line FROM d) WHERE trim(line) <> ''),
 n AS (SELECT coalesce('=' || source, '') AS site, count(*) AS total FROM documents GROUP BY 1),
 b AS (SELECT site, line FROM (SELECT site, line, count(*) AS pages FROM l GROUP BY ALL) JOIN n USING (site)
-  WHERE pages >= 3 AND pages > 0.08::DOUBLE * total),
+  WHERE pages - 1 > 0.08::DOUBLE * (total - 1)),
 bad AS (SELECT coalesce('=' || source, '') AS site, r, i FROM
     (SELECT r, source, unnest(body) AS line, generate_subscripts(body, 1) AS i FROM d) x
   WHERE EXISTS (SELECT 1 FROM b WHERE b.site = coalesce('=' || x.source, '') AND b.line = trim(x.line))),

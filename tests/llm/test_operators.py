@@ -262,7 +262,7 @@ def test_line_dedup(spark):
     for r in rows:
         total[r[3]] += 1
         pages.update({(r[3], x.strip(" ")) for x in (r[1] or "").split("\n") if x.strip(" ")} if r[1] is not None else set())
-    bad = {k for k, n in pages.items() if n >= line_dedup.LEAST_PAGES and n > line_dedup.RATIO * total[k[0]]}
+    bad = {k for k, n in pages.items() if n - 1 > line_dedup.RATIO * (total[k[0]] - 1)}
     clean = lambda r: None if r[1] is None else "\n".join(x for x in r[1].split("\n") if (r[3], x.strip(" ")) not in bad)
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(r[0]), str(clean(r))) for r in rows)
     assert bad and line_dedup.drop_lines(docs(spark, [])).count() == 0
@@ -645,8 +645,8 @@ def test_contamination(spark, monkeypatch):
     texts += [" ".join(rng.choices(["w1", "w2", "w3"], k=200)), " ".join(items[0][1].split()[5:25])]
     rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (400_000, 20):
-        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    for most in (1_000_000, 20):
+        monkeypatch.setattr(decontaminate, "TABLE_WORDS", most)
         got = decontaminate.contamination(docs(spark, rows).withColumn("n_hit", F.lit("clash")).repartition(3), bench)
         assert "in_n_hit" in got.columns
         for r in got.collect():
