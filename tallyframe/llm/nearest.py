@@ -15,8 +15,11 @@ from tallyframe.llm.common import durable
 SAMPLE, WIDTH, ROUNDS = 8192, 2, 6
 #: Score above which errors matter most; it sets how much more an error along the vector weighs.
 THRESHOLD = 0.2
-#: Queries that are broadcast at once; rows scanned at once; rows reranked at least for a query and batch.
-QUERY_BLOCK, SLICE, RERANK = 2048, 2048, 32
+#: Vectors of a cell on average and cells at most; the nearest cells that a query is compared with, which are all of
+#: them up to CELL * PROBES vectors.
+CELL, CELLS, PROBES = 8192, 4096, 64
+#: Queries and indexed rows of a block on average; rows reranked at least for a query and a block.
+QUERIES, SLICE, RERANK = 256, 1024, 32
 
 
 class Quantiser:
@@ -125,6 +128,27 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero, not two
 
 
+def centres_of(unit: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """n directions by spherical k-means; one that attracts nothing stays where it was."""
+    centres = unit[np.linspace(0, len(unit) - 1, n).astype(int)].copy()
+    for _ in range(rounds if n > 1 else 1):
+        nearest = np.concatenate([(part @ centres.T).argmax(1) for part in np.array_split(unit, max(1, len(unit) // 4096))])
+        order = np.argsort(nearest, kind="stable")
+        names, first = np.unique(nearest[order], return_index=True)
+        sums = np.add.reduceat(unit[order], first, axis=0)
+        length = np.sqrt((sums * sums).sum(1))
+        centres[names[length > 0]] = sums[length > 0] / length[length > 0, None]
+    return centres
+
+
+def _blocks(rows: DataFrame, size: int, key: str, name: str) -> DataFrame:
+    """Rows of each cell in blocks of about `size`, dealt by a hash of the key: cell, and an array of the given name."""
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("parts"))
+    rest = [c for c in rows.columns if c != "cell"]
+    dealt = rows.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")))
+    return dealt.groupBy("cell", "part").agg(F.collect_list(F.struct(*rest)).alias(name)).drop("part")
+
+
 def search(
     vectors: DataFrame,
     is_query: Column,
@@ -135,12 +159,14 @@ def search(
     """The k rows nearest to each query by cosine: query_id, rank (from 1), vec_id, score.
 
     is_query is a condition on vec_id. Equal vectors are indexed once, with their k + 1 smallest ids,
-    which is all that k answers can name. The quantiser is fitted to at most SAMPLE vectors, taken
-    by hash; every vector is then encoded, and the index is written with codes and vectors. Queries
-    are broadcast in blocks of QUERY_BLOCK, each scanned over the index by table lookups. Each task
-    reranks by exact cosine in double precision its best RERANK estimates of a batch, and every other
-    row whose estimate is within the quantiser's slack of the k-th exact score, so a crowd of rows
-    that codes cannot tell apart is reranked as a whole; a task returns k rows for a query.
+    which is all that k answers can name. Quantiser and cells are fitted to a bounded sample, taken
+    by hash: SAMPLE vectors, or 16 for each cell. Every vector is encoded and put into the cell whose
+    direction is nearest. Queries are a table, too: each goes to its PROBES nearest cells, where
+    blocks of queries meet blocks of indexed rows by a join on the cell; a cell with very many of
+    either is many blocks. A block of rows is scanned by table lookups; its best RERANK estimates,
+    and every other row whose estimate is within the quantiser's slack of the k-th exact score, are
+    reranked by exact cosine in double precision, so a crowd of rows that codes cannot tell apart is
+    reranked as a whole. Up to CELL * PROBES distinct vectors all cells are searched.
 
     Rows that are null, zero, not finite or of an uncommon length take no part; ties go to the
     smaller vec_id; a query never finds its own id; with fewer candidates, all are returned; an
@@ -150,34 +176,37 @@ def search(
     order = Window.partitionBy("v").orderBy("vec_id")
     ids = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1)
     plain = durable(ids.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    taken = plain.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE).toPandas()["v"]
+    cells = min(CELLS, -(-plain.count() // CELL))
+    taken = plain.orderBy(F.xxhash64("v"), "v").select("v").limit(max(SAMPLE, 16 * cells)).toPandas()["v"]
     if not len(taken):
-        return empty
-    quantiser = Quantiser(_unit(np.stack(taken.to_list())))
-    shared = vectors.sparkSession.sparkContext.broadcast(vars(quantiser))
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sample = _unit(np.stack(taken.to_list()))
+    shared = vectors.sparkSession.sparkContext.broadcast((vars(Quantiser(sample[:SAMPLE])), centres_of(sample, cells)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = Quantiser.of(shared.value)
+        state, centres = shared.value
+        q = Quantiser.of(state)
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy()
-            packed = q.pack(q.codes(_unit(flat.reshape(batch.num_rows, q.d)))) if batch.num_rows else np.zeros((0, 1), np.uint8)
-            code = pa.array([x.tobytes() for x in packed], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, code], ["v", "ids", "code"])
+            unit = _unit(batch.column(0).flatten().to_numpy().reshape(batch.num_rows, q.d)) if batch.num_rows else np.zeros((0, q.d))
+            code = pa.array([x.tobytes() for x in q.pack(q.codes(unit))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, code, pa.array((unit @ centres.T).argmax(1), pa.int64())], ["v", "ids", "code", "cell"])
 
-    index = durable(plain.mapInArrow(encode, "v array<double>, ids array<long>, code binary"))
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, centres = shared.value
+        n = min(PROBES, len(centres))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                unit = _unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))
+                near = np.argpartition(-(unit @ centres.T), n - 1, axis=1)[:, :n]
+                each = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
+                yield pa.RecordBatch.from_arrays([*each.columns, pa.array(near.ravel(), pa.int64())], ["query_id", "q", "cell"])
+
+    index = durable(plain.mapInArrow(encode, "v array<double>, ids array<long>, code binary, cell long"))
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    n = asked.count()
-    blocks = -(-n // QUERY_BLOCK)
-    place = F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks)))
-    found = empty.select("query_id", "vec_id", "score")
-    for block in range(blocks):
-        part = asked.where(place == block).orderBy("query_id").toPandas()
-        if len(part):
-            queries = vectors.sparkSession.sparkContext.broadcast(
-                (part["query_id"].to_numpy(np.int64), _unit(np.stack(part["v"].to_list())))
-            )
-            found = found.union(index.mapInArrow(_scanner(shared, queries, k), "query_id long, vec_id long, score double"))
+    asked = durable(asked.mapInArrow(probe, "query_id long, q array<double>, cell long"))
+    met = _blocks(asked, QUERIES, "query_id", "asked").join(_blocks(index, SLICE, "v", "rows"), "cell").select("asked", "rows")
+    found = met.mapInArrow(_scanner(shared, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -196,30 +225,30 @@ def _merge(
     return sorted({*best, *fresh})[:k]
 
 
-def _scanner(shared, queries, k: int):
+def _scanner(shared, k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = Quantiser.of(shared.value)
-        ids, units = queries.value
-        tables = q.tables(units)
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                rows = _unit(batch.column(0).flatten().to_numpy().reshape(batch.num_rows, q.d))
-                members = batch.column(1).to_pylist()
-                packed = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                near = q.scores(tables, packed)
-                least = min(RERANK, batch.num_rows)
+        q = Quantiser.of(shared.value[0])
+        for batch in batches:
+            for asked, held in zip(batch.column(0), batch.column(1), strict=True):
+                ids, wanted = asked.values.flatten()
+                v, members, code = held.values.flatten()
+                units = _unit(wanted.flatten().to_numpy().reshape(len(ids), q.d))
+                rows = _unit(v.flatten().to_numpy().reshape(len(v), q.d))
+                members = members.to_pylist()
+                packed = np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(v), -1)
+                near = q.scores(q.tables(units), packed)
+                least = min(RERANK, len(v))
                 top = np.argpartition(-near, least - 1, axis=1)[:, :least]
-                for j, mine in enumerate(ids):
-                    best[j] = _merge(best[j], top[j], rows, units[j], members, mine, k)
-                    floor = -best[j][-1][0] - q.slack if len(best[j]) == k else -np.inf
+                out = []
+                for j, mine in enumerate(ids.to_pylist()):
+                    best = _merge([], top[j], rows, units[j], members, mine, k)
+                    floor = -best[-1][0] - q.slack if len(best) == k else -np.inf
                     more = np.setdiff1d(np.flatnonzero(near[j] >= floor), top[j], assume_unique=True)
                     if len(more):
-                        best[j] = _merge(best[j], more, rows, units[j], members, mine, k)
-        out = [(int(mine), i, -s) for mine, found in zip(ids, best, strict=True) for s, i in found]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score"])
+                        best = _merge(best, more, rows, units[j], members, mine, k)
+                    out += [(mine, i, -s) for s, i in best]
+                columns = list(zip(*out, strict=True)) or [(), (), ()]
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score"])
 
     return scan
