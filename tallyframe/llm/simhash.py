@@ -183,56 +183,66 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.list_(pa.int64()))], ["k1", "k2", "shingles"])
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the nodes of each block; for blocks of up to PAIRED."""
-    return rows.select("block", F.col("node").alias("a")).join(rows.select("block", F.col("node").alias("b")), "block").where("a < b").select("a", "b")
+_FACTS = ("node", "n", "print", "rest")
 
 
-def _verified(pairs: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose similarity is SIMILAR or more: by sizes and Hamming distance first, then by the sets themselves."""
-    pairs = pairs.distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("print").alias(f"p_{side}")), side)
-    close = (F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) <= FAR_BITS) | (F.least("n_a", "n_b") <= SMALL)
-    both = pairs.where(close & (F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b"))).select("a", "b")
+def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+    """Pairs of rows of one block (of both tables, or of the one given) that sizes and Hamming distance leave possible, as (a, b) with a < b.
+
+    Rows have block, node, n (shingles), print, and rest: how many shingles the two may share at most.
+    """
+    one, two = (df.select("block", *(F.col(c).alias(f"{c}_{side}") for c in _FACTS)) for df, side in ((left, "a"), (right or left, "b")))
+    least, most = F.least("n_a", "n_b").cast("double"), F.greatest("n_a", "n_b")
+    close = (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= FAR_BITS) | (least <= SMALL)
+    shared = F.least("rest_a", "rest_b").cast("double")
+    rows = one.join(two, "block").where("node_a <> node_b" if right else "node_a < node_b").where(close & (shared * shared >= SHARE * least * most))
+    return rows.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets have similarity SIMILAR or more."""
+    both = pairs.distinct()
     for side in ("a", "b"):
         both = both.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("double")
     return durable(both.where(shared * shared >= SHARE * F.size("s_a") * F.size("s_b")).select("a", "b"))
 
 
-def crowd_links(facts: DataFrame, sets: DataFrame) -> DataFrame:
+def crowd_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) among texts of crowded blocks, by their rarest shingles; nothing is left out for being many.
 
     With shingles in order of how many sets hold them, two sets of the least similarity share one of
     the first n - SHARE * n + 1 of either. Shingles held there by up to PAIRED texts give all pairs.
-    A commoner one comes after a set's rare shingles, `place` of them, which the other set then lacks;
-    texts with too many of these cannot be similar to any text there and leave the shingle. Of the
-    others the one with the fewest is the leader, compared with all; texts that are similar to no
-    leader give further leaders, twice as many in each round, until none are left. Every text is so
-    similar to a leader, or is one that was compared with all texts with which it could be linked.
+    A commoner one comes after a set's rare shingles, which the other set then lacks; texts with too
+    many of these cannot be similar to any text there and leave the shingle. Of the others the one
+    with the fewest is the leader, compared with all; texts that are similar to no leader give further
+    leaders, eight times as many in each round, until none are left. So every text is similar to a
+    leader, or was compared with all texts with which it could be linked.
+
+    sets has node, n, print and shingles.
     """
-    every = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("block"))
+    every = sets.select("node", "n", "print", F.explode("shingles").alias("block"))
     common = durable(every.groupBy("block").agg(F.count("*").alias("held")).where("held > 1"))
-    mine = every.join(checked(common), "block").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "block"))).alias("shared"))
+    mine = every.join(checked(common), "block").groupBy("node", "n", "print").agg(F.sort_array(F.collect_list(F.struct("held", "block"))).alias("shared"))
     lost = F.col("n") - F.size("shared")
-    first = F.greatest(F.lit(0), F.col("n") - F.ceil(SHARE * F.col("n") - 1e-9).cast("int") + 1 - lost)
-    rows = mine.select("node", "n", lost.alias("lost"), F.posexplode(F.slice("shared", F.lit(1), first)).alias("at", "s"))
-    rows = durable(rows.select("node", "n", (F.col("lost") + F.col("at")).alias("place"), F.col("s.block").alias("block")))
+    first = F.greatest(F.lit(0), (F.col("n") - F.ceil(SHARE * F.col("n") - 1e-9) + 1 - lost).cast("int"))
+    rows = mine.select("node", "n", "print", lost.alias("lost"), F.posexplode(F.slice("shared", F.lit(1), first)).alias("at", "s"))
+    place = F.col("lost") + F.col("at")
+    rows = durable(rows.select("node", "n", "print", place.alias("place"), (F.col("n") - place).alias("rest"), F.col("s.block").alias("block")))
     sizes = durable(rows.groupBy("block").agg(F.count("*").alias("crowd"), F.min("place").alias("least")).where("crowd > 1"))
     rows = durable(rows.join(checked(sizes), "block"))
-    found = _verified(_pairs(rows.where(F.col("crowd") <= PAIRED)), facts, sets)
-    rest = (F.col("n") - F.col("place")).cast("double")
-    many = durable(rows.where((F.col("crowd") > PAIRED) & (rest * rest >= SHARE * F.col("n") * (rest + F.col("least")))).select("block", "node", "place"))
+    few = rows.where(F.col("crowd") <= PAIRED)
+    found = _verified(_met(few), sets)
+    rest = F.col("rest").cast("double")
+    many = durable(rows.where((F.col("crowd") > PAIRED) & (rest * rest >= SHARE * F.col("n") * (rest + F.col("least")))).drop("crowd", "least"))
     open_, k = durable(many.select("node").distinct()), 1
     while not open_.isEmpty():
         order = Window.partitionBy("block").orderBy("place", "node")
-        leads = many.join(open_, "node").withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
-        leads = durable(leads.select("block", F.col("node").alias("lead")))
-        pairs = many.join(leads, "block").where("node <> lead")
-        fresh = _verified(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), facts, sets)
-        done = leads.select(F.col("lead").alias("node")).union(fresh.select("a")).union(fresh.select("b")).distinct()
-        found, open_, k = found.union(fresh), durable(open_.join(done, "node", "left_anti")), 2 * k
+        leads = many.join(checked(open_), "node").withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
+        leads = durable(leads.drop("i"))
+        fresh = _verified(_met(leads, many), sets)
+        done = leads.select("node").union(fresh.select("a")).union(fresh.select("b")).distinct()
+        found, open_, k = found.union(fresh), durable(open_.join(done, "node", "left_anti")), 8 * k
     return found
 
 
@@ -246,18 +256,18 @@ def similar_texts(texts: DataFrame, shingles: Callable[[DataFrame], DataFrame])
     (small_keys). A block of up to PAIRED texts gives all pairs; the texts of larger ones are compared
     by crowd_links. Candidates are verified by Hamming distance, then by the sets themselves.
     """
-    rows = texts.select("node", F.explode("blocks").alias("block"))
+    rows = texts.select("node", "n", "print", F.col("n").alias("rest"), F.explode("blocks").alias("block"))
     sizes = durable(rows.groupBy("block").agg(F.count("*").alias("crowd")).where("crowd > 1"))
     rows = durable(rows.join(checked(sizes), "block"))
-    facts = texts.select("node", "n", "print")
-    pairs = durable(_pairs(rows.where(F.col("crowd") <= PAIRED)).distinct())
-    crowd = durable(rows.where(F.col("crowd") > PAIRED).select("node").distinct())
-    wanted = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd).distinct())
+    few = rows.where(F.col("crowd") <= PAIRED)
+    pairs = durable(_met(few).distinct())
+    crowd = durable(rows.where(F.col("crowd") > PAIRED).select("node", "n", "print").distinct())
+    wanted = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct())
     sets = durable(shingles(wanted))
-    found = _verified(pairs, facts, sets)
+    found = _verified(pairs, sets)
     if crowd.isEmpty():
         return found
-    return found.union(crowd_links(facts, sets.join(checked(crowd), "node", "left_semi"))).distinct()
+    return found.union(crowd_links(durable(sets.join(checked(crowd), "node")))).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -425,6 +425,34 @@ def test_language(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_language_against_plain_compression(spark):
+    """The whole of sf0.001: every text's choice and score by compressing it piece by piece with each dictionary."""
+    import zstandard
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    learn = table.where((F.crc32(F.col("doc_id").cast("string")) % 4) != 2).select("doc_id", "text", "lang")
+    content = language.dictionaries(learn)
+    params = lambda body: zstandard.ZstdCompressionParameters.from_level(
+        language.LEVEL, source_size=language.PIECE, dict_size=len(body), write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    tools = {
+        name: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params(body))
+        for name, body in content.items()
+    }
+    got = {r.doc_id: r for r in queries.queries()["op5_language_id"](spark, SF).collect()}
+    for r in table.collect():
+        raw = (r.text or "").lower().encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        size = {n: sum(len(c.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024)) for n, c in tools.items()}
+        best = min(size, key=lambda n: (size[n], n))
+        second = min(v for n, v in size.items() if n != best)
+        assert got[r.doc_id].lang_pred == best
+        assert math.isclose(got[r.doc_id].score, 1 - 0.5 * math.exp(-8 * (second - size[best]) / second), abs_tol=1e-12)
+    assert len(got) == table.count()
+
+
 def test_language_held_out_accuracy(spark):
     rows = queries.queries()["op5_language_id"](spark, "/root/testdata/sf0.01").where("held_out").select("doc_id", "lang_pred")
     truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -464,6 +492,24 @@ def test_neighbours(spark):
     assert nearest.search(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_recall_in_cells(spark, monkeypatch):
+    """Few of many cells: recall against brute force, with a third of all rows in one direction."""
+    monkeypatch.setattr(nearest, "CELL", 100)
+    monkeypatch.setattr(nearest, "PROBES", 12)
+    monkeypatch.setattr(nearest, "SLICE", 64)
+    monkeypatch.setattr(nearest, "QUERIES", 8)
+    rng = np.random.default_rng(30)
+    heads = rng.normal(size=(120, 8))
+    own = np.where(rng.random(6000) < 1 / 3, 0, rng.integers(0, 120, 6000))
+    rows = [(i, (heads[c] + 0.35 * rng.normal(size=8)).tolist()) for i, c in enumerate(own)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(set)
+    for r in nearest.search(df, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: {i for i, _ in v} for q, v in slow_neighbours(rows).items()}
+    assert sum(len(got[q] & v) for q, v in want.items()) >= 0.9 * 5 * len(want)
+
+
 # --- 7: secrets --------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"))
@@ -610,6 +656,41 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(df.limit(3), none).collect()} == {0.5}
 
 
+def slow_train(rows, labels):
+    """FTRL-proximal, feature by feature."""
+    z, n, z0, n0, w0 = {}, {}, 0.0, 0.0, 0.0
+    a, b, l1 = toxicity.ALPHA, toxicity.BETA, toxicity.L1
+    weight = lambda f: 0.0 if abs(z.get(f, 0.0)) <= l1 else (math.copysign(l1, z[f]) - z[f]) / ((b + math.sqrt(n[f])) / a)
+    for _ in range(toxicity.EPOCHS):
+        for x, y in zip(rows, labels, strict=True):
+            w = {f: weight(f) for f in x}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w.values()) + w0)))) - y
+            for f in x:
+                old = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / a * w[f]
+                n[f] = old + g * g
+            z0 += g - (math.sqrt(n0 + g * g) - math.sqrt(n0)) / a * w0
+            n0 += g * g
+            w0 = -z0 / ((b + math.sqrt(n0)) / a)
+    return {f: weight(f) for f in z if weight(f)}, w0
+
+
+def test_toxicity_training_against_brute_force():
+    rng = random.Random(31)
+    stock = words(rng, 40, 60)
+    texts = [" ".join(rng.choice(stock) for _ in range(12)) + (" foul vile" if i % 4 == 0 else "") for i in range(300)]
+    hashes = toxicity._Hashes()
+    rows = [toxicity.features(t, hashes) for t in texts]
+    for x, t in zip(rows, texts, strict=True):  # distinct words, pairs and skips, up to chance collisions
+        w = t.split()
+        assert len(x) in range(len({*w, *zip(w, w[1:]), *((u, 0, v) for u, v in zip(w, w[2:]))}) - 2, len(w) * 3 + 1)
+    labels = [float(i % 4 == 0) for i in range(300)]
+    kept, values, bias = toxicity.train(rows, labels)
+    want, bias_ = slow_train([x.tolist() for x in rows], labels)
+    assert kept.tolist() == sorted(want) and math.isclose(bias, bias_, abs_tol=1e-6)
+    assert np.allclose(values, [want[f] for f in sorted(want)], atol=1e-4)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.queries()["op9_toxicity"](spark, sf).where("held_out")
