@@ -130,3 +130,122 @@ def test_embed_and_fallback(spark):
         raise OSError
 
     assert raters.fallback(broken, raters.mock_rater)("Q\n1. a\n2. b") == "1. O\n2. X"
+
+
+def test_places_in_order(spark):
+    from tallyframe.operators.ordering import numbered
+
+    rows = [(i, [None, "a", "b"][i % 3] if i > 40 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, g string").repartition(7)
+    want, seen = {}, {}
+    for k, g in rows:
+        want[k] = seen.get(g, 0)
+        seen[g] = want[k] + 1
+    got = numbered(df, ["k"], ("g",), "ord")
+    assert {r.k: r.ord for r in got.collect()} == want and got.columns == ["k", "g", "ord"]
+    assert sorted(r.ord for r in numbered(df, ["k"], name="ord").collect()) == list(range(300))
+    assert numbered(df.limit(0), ["k"], ("g",)).count() == 0
+
+
+def test_budget_is_shared_with_retries(spark, tmp_path):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "batch int, prompt string").repartition(3)
+
+    def failing(prompt):
+        raise OSError
+
+    for budget, want in ((10, 10), (14, 14), (20, 20), (1000, 30)):
+        asked = raters.ask(prompts, failing, budget, tries=3, wait=0)
+        writers.append(asked, f"file://{tmp_path}/{budget}")
+        done = spark.read.parquet(f"file://{tmp_path}/{budget}")
+        assert done.agg(F.sum("calls")).first()[0] == want and done.where("status = 'ok'").count() == 0
+        assert raters.usage(done, 0.5).first().cost == want / 2
+
+    def refusing(prompt):
+        raise raters.Refused
+
+    assert raters.ask(prompts, refusing, 100, wait=0).agg(F.sum("calls")).first()[0] == 10
+
+
+def test_throttled_calls_wait_longer_each_time(spark, tmp_path):
+    log = str(tmp_path / "waits")
+
+    def rater(prompt):
+        raise raters.Throttled
+
+    def sleep(seconds):
+        with open(log, "a") as out:
+            out.write(f"{seconds} ")
+
+    prompts = spark.createDataFrame([(0, "p")], "batch int, prompt string").coalesce(1)
+    asked = raters.ask(prompts, rater, 10, tries=5, sleep=sleep, pause=(1.0, 3.0)).collect()
+    assert [(r.status, r.calls) for r in asked] == [("error", 5)]
+    assert (tmp_path / "waits").read_text().split() == ["1.0", "2.0", "3.0", "3.0"]
+
+
+def test_embed_goes_on(spark):
+    from tallyframe.operators import vectors
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "k int, t string")
+    done = df.where("k < 15").select("k")
+    got = vectors.embed(df, "k", "t", lambda texts: [[1.0] for _ in texts], done=done)
+    assert sorted(r.k for r in got.collect()) == list(range(15, 20))
+
+
+def test_silhouette_against_brute_force(spark):
+    import numpy as np
+
+    from tallyframe.operators import vectors
+
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(c, 1, (30, 3)) for c in (0, 3, 7)])
+    kinds = np.repeat([0, 1, 2], 30)
+    far = np.sqrt(((points[:, None] - points) ** 2).sum(2))
+    want = []
+    for i in range(90):
+        inside = far[i][kinds == kinds[i]].sum() / 29
+        near = min(far[i][kinds == c].mean() for c in range(3) if c != kinds[i])
+        want.append((near - inside) / max(near, inside))
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(points, kinds)], "v array<double>, c int")
+    assert abs(vectors.silhouette(df, "v", "c") - np.mean(want)) < 1e-9
+    assert vectors.silhouette(df.where("c = 0"), "v", "c") is None
+
+
+def test_shelves(spark):
+    from tallyframe.functions import korean
+
+    books = spark.createDataFrame([("논어집주",), ("당송팔대가문초 소식3",), ("자치통감강목5",), ("춘추좌씨전2",), ("다른 책",), (None,)], "b string")
+    rows = books.select(korean.genre("b").alias("g"), korean.division("b").alias("d"), korean.shelf("b").alias("s")).collect()
+    assert [r.g for r in rows] == ["經傳", "文集", "歷史書", "歷史書", "기타", "기타"]
+    assert [r.d for r in rows] == ["경부(사서)", "집부", "사부", "경부(오경)", "기타", "기타"]
+    assert [tuple(r.s) for r in rows[:3]] == [("경부", "사서", "논어집주"), ("집부", "당송팔대가문초", "소식"), ("사부", "편년체", "자치통감강목")]
+    assert rows[4].s.title == "다른 책" and rows[4].s.kind == "미분류"
+    marks = spark.createDataFrame([("어늘",), ("라",)], "m string").select(korean.dual_uses("m").alias("u")).collect()
+    assert [r.u for r in marks] == [["객체_어늘", "반어"], None]
+
+
+def test_small_reports_are_whole_or_refused(spark):
+    df = spark.range(1001)
+    with pytest.raises(ValueError, match="more than 1000"):
+        writers.markdown_table(df)
+    long = spark.createDataFrame([("g", i, "x" * 10) for i in range(100)], "g string, k int, v string")
+    doc = writers.evidence(long, ["g"], "v", "k", 25).first()
+    assert doc.document == "x" * 10 + "\n" + "x" * 10 + "\nxxx\n[cut]" and doc.cut
+
+
+def test_pools_and_finished_files(spark, tmp_path):
+    df = spark.range(10)
+    with pytest.raises(ValueError, match="the pool has 10"):
+        sampling.pooled(df, 11, ["id"], 1)
+    assert sampling.pooled(df, 10, ["id"], 1).count() == 10
+    (tmp_path / "a.md").write_text("x" * 300)
+    (tmp_path / "b.md").write_text("x" * 10)
+    wanted = spark.createDataFrame([("a.md",), ("b.md",), ("c.md",)], "file string")
+    assert sorted(r.file for r in readers.unfinished(spark, wanted, f"file://{tmp_path}").collect()) == ["b.md", "c.md"]
+    assert readers.unfinished(spark, wanted, f"file://{tmp_path}/none").count() == 3
+
+
+def test_xml_records(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<all><book><title> T </title><by/></book></all>")
+    (tmp_path / "b.xml").write_text("<all>")
+    rows = readers.xml_record(spark, f"file://{tmp_path}/*.xml", "book", ["title", "by"]).orderBy("file").collect()
+    assert (rows[0].title, rows[0].by, rows[0].error) == ("T", None, None) and rows[1].error

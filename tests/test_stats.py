@@ -125,3 +125,28 @@ def test_bootstrap_covers_the_statistic(spark):
     r = cramers_v_interval(counts, 400).first()
     assert r.low_v < 0.519 < r.high_v and r.high_v - r.low_v < 0.06
     assert r == cramers_v_interval(counts.repartition(3), 400).first()
+
+
+@pytest.mark.parametrize("wins,losses", [(600, 480), (950, 1050), (1000, 1000), (450, 550), (3, 0), (0, 0), (5000, 4700)])
+def test_sign_test_of_any_size(spark, wins, losses):
+    n, k = wins + losses, min(wins, losses)
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
+    want = min(1.0, 2 * math.fsum(map(math.exp, logs))) if n else None
+    got = one(spark, stats.sign_test("w", "v").alias("p"), w=wins, v=losses).p
+    assert got == want if want is None else math.isclose(got, want, rel_tol=1e-8)
+
+
+@pytest.mark.parametrize("df", range(1, 12))
+def test_chi2_tail_against_integration(df):
+    density = lambda x: math.exp((df / 2 - 1) * math.log(x) - x / 2 - math.lgamma(df / 2) - df / 2 * math.log(2))
+    for x in (0.5, 3.841, 10.0, 40.0):
+        steps = 200_000
+        width = 200 / steps
+        area = width * math.fsum(density(x + (i + 0.5) * width) for i in range(steps))
+        assert math.isclose(stats.chi2_tail(x, df), area, rel_tol=1e-5)
+    assert stats.chi2_tail(0, df) == 1.0 and math.isnan(stats.chi2_tail(float("nan"), df))
+
+
+def test_signed_phi(spark):
+    r = one(spark, stats.phi(*"abcd").alias("p"), stats.signed_phi(*"abcd").alias("s"), a=2, b=8, c=7, d=3)
+    assert math.isclose(r.p, -r.s) and math.isclose(r.p, math.sqrt(20 * (2 * 3 - 8 * 7) ** 2 / (10 * 10 * 9 * 11) / 20))
