@@ -173,6 +173,15 @@ def preflight(wanted: DataFrame, base: DataFrame, supplement: DataFrame, key: li
     return a.join(b, arm, "left").join(c, arm, "left").fillna(0, ["left_base_only", "left_with_supplement"])
 
 
+def drift_report(frozen: DataFrame, fresh: DataFrame, items: DataFrame, again: DataFrame, key: list[str], raters: int, target: str, control: str) -> DataFrame:
+    """A rerun against frozen judgments: agreement of each rater, and whether the effect keeps its direction and size.
+
+    frozen and fresh have a row per key and rater; items and again have a row per item with its vote_sum.
+    """
+    old, new = (judgments.consensus(x, raters, target, control) for x in (items, again))
+    return together(tidy(agreement.drift(frozen, fresh, key, ("rater",)), "rater", "rater"), tidy(agreement.direction(old, new), "direction"))
+
+
 def verify_counts(df: DataFrame, by: str, expected: dict[str, int]) -> DataFrame:
     """Per expected value: the rows there should be, those there are, and whether they agree."""
     want = df.sparkSession.createDataFrame(list(expected.items()), f"`{by}` string, expected long")

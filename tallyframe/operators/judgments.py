@@ -105,6 +105,12 @@ def rater_rates(long: DataFrame, target: str, control: str, rater: str = "rater"
     )
 
 
+def summary(long: DataFrame, by: list[str], judgment: str = "judgment") -> DataFrame:
+    """Per group: judged items, positives and their share in percent."""
+    rows = long.where(F.col(judgment).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(judgment)).alias("positive"))
+    return rows.withColumn("mean_pct", stats.percent("positive", "n"))
+
+
 def truth_table(items: DataFrame, raters: int, target: str, control: str, arm: str = "arm") -> DataFrame:
     """O against the rest by arm; the difference is that of the shares rounded to one digit."""
     kind = consensus_class("vote_sum", raters) == "O"

@@ -53,6 +53,14 @@ def by_group(df: DataFrame, k: int, key: list[str], by: list[str], seed: int) ->
     return df.withColumn("place_", F.row_number().over(w)).where(F.col("place_") <= k).drop("place_")
 
 
+def by_category(df: DataFrame, k: int, key: list[str], category: str, seed: int, split: Column | None = None) -> DataFrame:
+    """Up to k random rows of each category, or of either side of a condition in each, with the size of their pool."""
+    rows = df if split is None else df.withColumn("side", F.coalesce(split, F.lit(False)))
+    by = [category] if split is None else [category, "side"]
+    pools_ = rows.groupBy(*by).agg(F.count("*").alias("pool"))
+    return by_group(rows, k, key, by, seed).join(pools_, by)
+
+
 def spread(df: DataFrame, total: int, per_group: int, key: list[str], group: str, seed: int) -> DataFrame:
     """`total` random rows of which a group gives at most `per_group`."""
     return hashed(by_group(df, per_group, key, [group], seed), total, key, seed)

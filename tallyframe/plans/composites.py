@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
-from tallyframe.operators import composites, judgments, profile
+from tallyframe.operators import composites, judgments, profile, sampling
 from tallyframe.plans import adapters as A
 from tallyframe.plans.reports import _2X2, _CHI, _STRATA, _YATES, PANELS, REGISTRY, _effect_sql, _mh_sql, _PER, rounded, tail_sql
 
@@ -176,6 +176,38 @@ def report_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(docs)
 
 
+@query(
+    "report_drift",
+    " UNION ALL ".join([
+        tidy_sql("rater", _O["drift_agreement"], ["both", "first_only", "second_only", "neither", "pairs", "agreement_pct", "kappa"], "rater"),
+        tidy_sql("direction", _O["drift_direction"], ["frozen_diff", "fresh_diff", "same_direction", "v_change"]),
+    ]),
+)
+def report_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frozen = A.long(spark, sf_dir).select(*A.KEY, "rater", "judgment")
+    fresh = frozen.withColumn("judgment", F.when(F.col("okey") % 7 == 0, ~F.col("judgment")).otherwise(F.col("judgment")))
+    items = A.items(spark, sf_dir)
+    return rounded(composites.drift_report(frozen, fresh, items.where("okey % 2 = 0"), items.where("okey % 2 = 1"), A.KEY, 3, "O", "F"))
+
+
+@query(
+    "rater_summary",
+    f"WITH {A.SQL_LONG} SELECT rater, flag, count(*)::BIGINT AS n, count(*) FILTER (judgment)::BIGINT AS positive, round(100.0::DOUBLE * count(*) FILTER (judgment) / count(*), 6) AS mean_pct FROM jl GROUP BY rater, flag",
+)
+def rater_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(judgments.summary(A.long(spark, sf_dir), ["rater", "flag"]))
+
+
+@query(
+    "category_sample",
+    """WITH r AS (SELECT doc_id, source, contains(text, 'the ') AS side FROM documents), n AS (SELECT source, side, count(*)::BIGINT AS pool FROM r GROUP BY ALL)
+SELECT source, side, doc_id, pool FROM (SELECT *, row_number() OVER (PARTITION BY source, side ORDER BY md5('7|' || doc_id::VARCHAR), doc_id) AS k FROM r) JOIN n USING (source, side) WHERE k <= 3""",
+)
+def category_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = A.docs(spark, sf_dir)
+    return sampling.by_category(docs, 3, ["doc_id"], "source", 7, F.col("text").contains("the ")).select("source", "side", "doc_id", "pool")
+
+
 @query(
     "report_preflight",
     f"""WITH {A.SQL_WIDE} SELECT arm, count(*)::BIGINT AS wanted, count(*) FILTER (NOT book < 5)::BIGINT AS left_base_only,

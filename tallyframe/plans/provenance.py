@@ -4,17 +4,42 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Path, SHA-256 and size of each file below a folder; contents are hashed where they are read."""
+#: Files of up to so many bytes are hashed as one value; longer ones are read piece by piece.
+WHOLE = 1 << 28
+
+
+def manifest(spark: SparkSession, folder: str, pattern: str = "*", whole: int = WHOLE) -> DataFrame:
+    """Path, SHA-256 and size of each file below a folder; contents are hashed where they are read.
+
+    A file of more than `whole` bytes never becomes one value: a task reads it in pieces.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    small = files.where(F.col("length") <= whole).select(name.alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                store, inside = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+                digest = hashlib.sha256()
+                with store.open_input_stream(inside) as source:
+                    while piece := source.read(1 << 23):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.string()), batch.column(2)], ["file", "sha256", "bytes"])
+
+    large = files.where(F.col("length") > whole).select("path", name.alias("file"), F.col("length").alias("bytes"))
+    return small.union(large.mapInArrow(pieces, "file string, sha256 string, bytes long"))
 
 
 def verify(found: DataFrame, expected: DataFrame) -> DataFrame:

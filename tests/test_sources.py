@@ -65,6 +65,7 @@ def test_writers(spark, tmp_path):
 def test_manifest(spark, tmp_path):
     (tmp_path / "a.txt").write_text("abc")
     found = provenance.manifest(spark, f"file://{tmp_path}", "*.txt")
+    assert found.collect() == provenance.manifest(spark, f"file://{tmp_path}", "*.txt", whole=1).collect()
     expected = found.union(spark.createDataFrame([("b.txt", "0", 1)], "file string, sha256 string, bytes long"))
     states = provenance.verify(found, expected)
     assert {r.file: r.state for r in states.collect()} == {"a.txt": "ok", "b.txt": "missing"}
