@@ -33,8 +33,8 @@ def _strata(spark: SparkSession, sf_dir: str, by: str = "book") -> DataFrame:
 _2X2 = """count(*) FILTER (t AND y)::BIGINT AS a, count(*) FILTER (t AND NOT y)::BIGINT AS b,
   count(*) FILTER (NOT t AND y)::BIGINT AS c, count(*) FILTER (NOT t AND NOT y)::BIGINT AS d"""
 _STRATA = f"WITH {A.SQL_WIDE}, s AS (SELECT book, {_2X2} FROM (SELECT book, arm = 'O' AS t, vs = 3 AS y FROM j) GROUP BY book)"
-_CHI = "CASE WHEN (a+b)*(c+d)*(a+c)*(b+d) = 0 THEN 0 ELSE (a+b+c+d)::DOUBLE * (a*d-b*c)::DOUBLE * (a*d-b*c) / ((a+b)::DOUBLE*(c+d)*(a+c)*(b+d)) END"
-_YATES = "CASE WHEN (a+b)*(c+d)*(a+c)*(b+d) = 0 THEN 0 ELSE (a+b+c+d)::DOUBLE * power(greatest(0, abs(a*d-b*c) - (a+b+c+d) / 2.0::DOUBLE), 2) / ((a+b)::DOUBLE*(c+d)*(a+c)*(b+d)) END"
+_CHI = "CASE WHEN (a+b)::DOUBLE*(c+d)*(a+c)*(b+d) = 0 THEN 0 ELSE (a+b+c+d)::DOUBLE * (a*d-b*c)::DOUBLE * (a*d-b*c) / ((a+b)::DOUBLE*(c+d)*(a+c)*(b+d)) END"
+_YATES = "CASE WHEN (a+b)::DOUBLE*(c+d)*(a+c)*(b+d) = 0 THEN 0 ELSE (a+b+c+d)::DOUBLE * power(greatest(0, abs(a*d-b*c) - (a+b+c+d) / 2.0::DOUBLE), 2) / ((a+b)::DOUBLE*(c+d)*(a+c)*(b+d)) END"
 
 # --- consensus ---------------------------------------------------------------------------------
 
