@@ -9,7 +9,6 @@ from tallyframe.storage import durable
 
 #: A word: anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 2_000_000
 
 
-def checked(rows: DataFrame) -> DataFrame:
-    """A written table of narrow rows, to be broadcast if it has no more than BROADCAST_ROWS.
+def checked(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has no more than `most`.
 
     A join with it then leaves wide rows where they are; with more rows it is a shuffle, and the
     result is the same.
     """
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def unique_nodes(texts: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import durable, free_name
+from tallyframe.llm.common import checked, durable, free_name
 
+#: Pages with a few digests each that may be broadcast.
+BROADCAST_PAGES = 500_000
 #: A line on more than this share of a host's other pages is boilerplate.
 RATIO = 0.08
 
@@ -63,7 +65,7 @@ def drop_lines(
     hits = lines.join(found, ["site", "line"]).groupBy("k1", "k2").agg(F.collect_set("line").alias("drop"))
     hits = durable(hits)
 
-    rows = docs.select(*key, F.struct(*docs.columns).alias("row")).join(hits, ["k1", "k2"], "left")
+    rows = docs.select(*key, F.struct(*docs.columns).alias("row")).join(checked(hits, BROADCAST_PAGES), ["k1", "k2"], "left")
     body = _lines(F.col("row")[text])
     keep = F.filter(body, lambda line: F.coalesce(~F.array_contains(F.col("drop"), _digest(line)), F.lit(True)))
     size = F.coalesce(F.size(body), F.lit(0)).cast("long")
