@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import decontaminate, language, line_dedup, mixing, nearest, passages, secrets, simhash, token_counts, toxicity
+from tallyframe.llm import (
+    collocations,
+    decontaminate,
+    language,
+    line_dedup,
+    mixing,
+    nearest,
+    passages,
+    secrets,
+    simhash,
+    token_counts,
+    toxicity,
+    variants,
+)
 from tallyframe.llm.common import table
 from tallyframe.llm.oracles import ORACLES
 from tallyframe.registry import Registry
@@ -109,3 +122,13 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@REGISTRY.add("op12_spelling_variants", ORACLES["op12"])
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+@REGISTRY.add("op13_collocations", ORACLES["op13"])
+def collocations_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
