@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyframe.llm import licenses
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op2"] = r"""
@@ -124,3 +126,34 @@ kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE mos
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
 """
+
+
+def _values(x: object) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+
+
+#: The rules' signatures as a table of values; the suppression of one detection by another as a condition on pairs of them.
+ORACLES["op11"] = r"""
+WITH rules(rule, label, word, pattern, priority, sure, base) AS (VALUES
+  {rules}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+t AS (SELECT *, ' ' || array_to_string(w, '  ') || ' ' AS body FROM d),
+m AS (SELECT r, rule, label, priority, sure, base, list_transform(regexp_extract_all(body, pattern), lambda x: len(regexp_extract_all(x, '[^ ]+'))) AS inside,
+    list_transform(regexp_split_to_array(body, pattern), lambda x: len(regexp_extract_all(x, '[^ ]+'))) AS before
+  FROM t JOIN rules ON contains(body, word) WHERE regexp_matches(body, pattern)),
+h AS (SELECT r, rule, label, priority, sure, base, list_sum(before[1:i]) + coalesce(list_sum(inside[1:i - 1]), 0) AS s, list_sum(before[1:i]) + list_sum(inside[1:i]) AS e
+  FROM (SELECT *, unnest(range(1, len(inside) + 1)) AS i FROM m)),
+kept AS (SELECT * FROM h WHERE base OR NOT EXISTS (SELECT 1 FROM h o WHERE o.r = h.r AND o.s <= h.s AND o.e >= h.e
+    AND (o.priority > h.priority OR o.priority = h.priority AND (o.e - o.s > h.e - h.s OR o.e - o.s = h.e - h.s AND o.rule < h.rule)))),
+l AS (SELECT r, label, max(sure) AS sure FROM kept GROUP BY r, label),
+a AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels, 1 - list_reduce(list_prepend(1::DOUBLE, list(1 - sure ORDER BY label)), lambda x, y: x * y) AS score FROM l GROUP BY r),
+b AS (SELECT r, count(*)::BIGINT AS n_base, min(s)::BIGINT AS first_word, max(s)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM kept WHERE base GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN a USING (r) LEFT JOIN b USING (r)
+""".replace(
+    "{rules}",
+    ",\n  ".join(f"({', '.join(map(_values, (i, x.label, x.literal, x.expression, *x.strength, x.base)))})" for i, x in enumerate(licenses.rules())),
+)

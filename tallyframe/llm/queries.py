@@ -12,6 +12,7 @@ from tallyframe.llm import (
     collocations,
     decontaminate,
     language,
+    licenses,
     line_dedup,
     mixing,
     nearest,
@@ -32,7 +33,7 @@ TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Queries of the ten operators, and the pipeline."""
+    """Queries of the operators, and the pipeline."""
     import corpus_pipeline
 
     return REGISTRY.queries | {"pipeline": corpus_pipeline.run}
@@ -124,6 +125,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@REGISTRY.add("op11_license_scan", ORACLES["op11"])
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 @REGISTRY.add("op12_spelling_variants", ORACLES["op12"])
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents"))
