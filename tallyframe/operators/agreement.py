@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
+from tallyframe.operators.judgments import tally
 
 
 def pairwise(items: DataFrame, raters: list[str], degenerate: str = "one_or_null") -> DataFrame:
@@ -26,18 +27,34 @@ def pairwise(items: DataFrame, raters: list[str], degenerate: str = "one_or_null
     return rows.withColumn("agreement_pct", stats.percent(F.col("both") + F.col("neither"), n)).withColumn("kappa", kappa)
 
 
-def fleiss(items: DataFrame, raters: int, by: tuple[str, ...] = ()) -> DataFrame:
+def pairs(rows: DataFrame, by: tuple[str, ...] = (), weight: str | None = None, degenerate: str = "one_or_null") -> DataFrame:
+    """The same for rows whose members and votes are arrays, so that groups may have other raters: one row per group and pair."""
+    zipped = F.arrays_zip(F.col("members").alias("rater"), F.col("votes").alias("vote"))
+    own = [*by, *([weight] if weight else [])]
+    each = rows.select(*own, "members", "votes", F.posexplode(zipped).alias("i", "x"))
+    rest = F.explode(F.slice(zipped, F.col("i") + 2, F.size("members")))
+    each = each.where(F.col("i") + 1 < F.size("members")).select(*own, "x", rest.alias("y"))
+    x, y = F.col("x.vote") == 1, F.col("y.vote") == 1
+    cells = {"both": x & y, "first_only": x & ~y, "second_only": ~x & y, "neither": ~x & ~y}
+    out = each.groupBy(*by, F.col("x.rater").alias("rater_1"), F.col("y.rater").alias("rater_2")).agg(*(tally(c, weight).alias(k) for k, c in cells.items()))
+    n = F.col("both") + F.col("first_only") + F.col("second_only") + F.col("neither")
+    return out.withColumn("agreement_pct", stats.percent(F.col("both") + F.col("neither"), n)).withColumn("kappa", stats.cohen_kappa(*cells, degenerate))
+
+
+def fleiss(items: DataFrame, raters: int | str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Fleiss' kappa of binary votes, and the share of unanimous items in percent.
 
     From the counts of vote sums: where chance agreement is complete, 1 if raters agree wholly, else null.
+    raters may name a column of `by`; with `weight`, a row counts as often as that column says.
     """
-    r = float(raters)
+    r = (F.col(raters) if isinstance(raters, str) else F.lit(raters)).cast("double")
     s = F.col("vote_sum").cast("double")
+    w = F.lit(1) if weight is None else F.col(weight)
     rows = items.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.sum("vote_sum").alias("positive"),
-        F.sum(s * s + (r - s) * (r - s)).alias("squares"),
-        F.count_if((F.col("vote_sum") == 0) | (F.col("vote_sum") == raters)).alias("unanimous"),
+        tally(F.lit(True), weight).alias("n"),
+        F.sum(F.col("vote_sum") * w).alias("positive"),
+        F.sum((s * s + (r - s) * (r - s)) * w).alias("squares"),
+        tally((F.col("vote_sum") == 0) | (s == r), weight).alias("unanimous"),
     )
     n = F.nullif(F.col("n").cast("double"), F.lit(0.0))
     observed = (F.col("squares") - n * r) / (n * r * (r - 1))
@@ -47,18 +64,21 @@ def fleiss(items: DataFrame, raters: int, by: tuple[str, ...] = ()) -> DataFrame
     return rows.select(*by, "n", "positive", "unanimous", stats.percent("unanimous", "n").alias("unanimous_pct"), kappa.alias("kappa"))
 
 
-def sensitivity(items: DataFrame, raters: int, target: str, control: str, arm: str = "arm") -> DataFrame:
+def sensitivity(
+    items: DataFrame, raters: int | str, target: str, control: str, arm: str = "arm", by: tuple[str, ...] = (), weight: str | None = None
+) -> DataFrame:
     """The effect under three definitions of a positive item: all raters, more than half, any."""
-    cuts = {"unanimous": raters, "majority": raters // 2 + 1, "any": 1}
+    r = F.col(raters) if isinstance(raters, str) else F.lit(raters)
+    cuts = {"unanimous": r, "majority": F.floor(r / 2) + 1, "any": F.lit(1)}
     rows = items.where(F.col(arm).isin(target, control))
     t = F.col(arm) == target
     aggs = []
     for name, cut in cuts.items():
         pos = F.col("vote_sum") >= cut
         cells = {"a": t & pos, "b": t & ~pos, "c": ~t & pos, "d": ~t & ~pos}
-        aggs.append(F.struct(F.lit(name).alias("definition"), *(F.count_if(x).alias(k) for k, x in cells.items())))
-    rows = rows.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("s")).select("s.*")
-    return rows.withColumn("effect", stats.bundle("a", "b", "c", "d")).select("definition", "a", "b", "c", "d", "effect.*")
+        aggs.append(F.struct(F.lit(name).alias("definition"), *(tally(x, weight).alias(k) for k, x in cells.items())))
+    rows = rows.groupBy(*by).agg(F.array(*aggs).alias("all")).select(*by, F.explode("all").alias("s")).select(*by, "s.*")
+    return rows.withColumn("effect", stats.bundle("a", "b", "c", "d")).select(*by, "definition", "a", "b", "c", "d", "effect.*")
 
 
 def threshold_sweep(

@@ -1,9 +1,4 @@
-"""Composite reports: several statistics of one table of judged items as tidy rows.
-
-Every report has columns part, item, measure and value, so that one result holds tables of different
-shape; missing values are left out. items has a row per item with arm, votes and vote_sum, and the
-columns by which it is stratified.
-"""
+"""Smaller composite reports; the large ones are derived from a cube (operators.cube)."""
 
 from __future__ import annotations
 
@@ -13,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
-from tallyframe.operators import agreement, judgments, strata
-from tallyframe.operators.bootstrap import cramers_v_interval
+from tallyframe.operators import agreement, judgments
 
 
 def tidy(df: DataFrame, part: str, item: Column | str | None = None) -> DataFrame:
@@ -31,107 +25,6 @@ def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def final_stats(long: DataFrame, items: DataFrame, raters: int, target: str, control: str) -> DataFrame:
-    """Consensus with chi-squared and V, rates of each rater, and the 2x2 of unanimous items."""
-    return together(
-        tidy(judgments.consensus(items, raters, target, control), "consensus"),
-        tidy(judgments.rater_rates(long, target, control), "rater", "rater"),
-        tidy(judgments.truth_table(items, raters, target, control), "truth"),
-    )
-
-
-def stratified(items: DataFrame, raters: list[str], target: str, book: str, group: str, least: int = 5) -> DataFrame:
-    """Strata by book and by group of books: how many there are, crude and common odds ratios, homogeneity, sign test,
-    shares per book and group, and the common odds ratio of each rater's own votes."""
-    is_target, whole = F.col("arm") == target, F.col("vote_sum") == len(raters)
-    books, groups = judgments.two_by_two(items, whole, is_target, (book,)), judgments.two_by_two(items, whole, is_target, (group,))
-    both, enough = F.least(F.col("a") + F.col("b"), F.col("c") + F.col("d")) >= 1, F.least(F.col("a") + F.col("b"), F.col("c") + F.col("d")) >= least
-    sizes = books.agg(F.count("*").alias("books"), F.count_if(both).alias("both_arms"), F.count_if(enough).alias("enough"))
-    crude = books.agg(*(F.sum(c).alias(c) for c in "abcd")).withColumn("e", stats.bundle(*"abcd")).select(*"abcd", "e.*")
-    votes = F.explode(F.arrays_zip(F.array(*map(F.lit, raters)).alias("rater"), F.col("votes").alias("vote"))).alias("v")
-    each = items.select("arm", book, votes).select("arm", book, "v.rater", (F.col("v.vote") == 1).alias("judgment"))
-    own = strata.mantel_haenszel(judgments.two_by_two(each, F.col("judgment"), is_target, ("rater", book)), ("rater",))
-    return together(
-        tidy(sizes, "books"),
-        tidy(crude, "crude"),
-        tidy(strata.mantel_haenszel(books), "common_book"),
-        tidy(strata.woolf_homogeneity(books.where(enough)), "homogeneity_book"),
-        tidy(strata.sign_test(books, least), "sign_book"),
-        tidy(strata.per_stratum(books, book, least), "book", book),
-        tidy(strata.per_stratum(groups, group), "group", group),
-        tidy(strata.mantel_haenszel(groups), "common_group"),
-        tidy(own, "common_rater", "rater"),
-    )
-
-
-def robustness(
-    items: DataFrame, raters: list[str], target: str, control: str, book: str, group: str, least: int = 5, replicates: int = 0
-) -> DataFrame:
-    """Agreement, intervals, sensitivity to the definition of consensus, and strata; with replicates, the bootstrap of V too."""
-    n = len(raters)
-    pairs = agreement.pairwise(items, raters).withColumn("pair", F.concat_ws("-", "rater_1", "rater_2"))
-    cells = judgments.consensus(items, n, target, control)
-    effect = lambda *x: cells.select(*(F.expr(e).alias(k) for k, e in zip("abcd", x, strict=True))).withColumn("e", stats.bundle(*"abcd")).select(*"abcd", "e.*")
-    parts = [
-        tidy(pairs, "pair", "pair"),
-        tidy(agreement.fleiss(items, n), "agreement"),
-        tidy(effect("target_o", "target_s + target_x", "control_o", "control_s + control_x"), "o_against_rest"),
-        tidy(effect("target_o", "target_x", "control_o", "control_x"), "o_against_x"),
-        tidy(agreement.sensitivity(items, n, target, control), "definition", "definition"),
-        stratified(items, raters, target, book, group, least),
-    ]
-    if replicates:
-        parts.append(tidy(cramers_v_interval(cells, replicates), "bootstrap"))
-    return together(*parts)
-
-
-def panel_report(
-    wide: DataFrame, panels: dict[str, list[str]], target: str, control: str, book: str, group: str, allow_partial: bool = True
-) -> DataFrame:
-    """final statistics' consensus, agreement, effect, sensitivity and common odds ratio of several panels, with coverage.
-
-    wide has a boolean column per rater, null where a rater did not judge. An item counts for a panel
-    if all its members judged it; a panel that lacks items of the base is left out unless
-    allow_partial. Panels are few and each is a projection of the one table; item is the panel's name.
-    """
-    out = []
-    base = wide.agg(F.count("*").alias("base"))
-    for name, raters in panels.items():
-        votes = F.array(*(F.col(r).cast("int") for r in raters))
-        known = reduce(lambda x, y: x & y, [F.col(r).isNotNull() for r in raters])
-        items = wide.where(known).withColumn("votes", votes).withColumn("vote_sum", F.aggregate("votes", F.lit(0), lambda s, x: s + x))
-        coverage = items.agg(F.count("*").alias("common")).crossJoin(F.broadcast(base))
-        if not allow_partial and coverage.where("common < base").count():
-            continue
-        kept = tidy(coverage.withColumn("complete", F.col("common") == F.col("base")), "coverage")
-        cells = judgments.two_by_two(items, F.col("vote_sum") == len(raters), F.col("arm") == target, (book,))
-        gaps = agreement.sensitivity(items, len(raters), target, control).select("definition", "diff_pp")
-        parts = together(
-            kept,
-            tidy(judgments.consensus(items, len(raters), target, control), "consensus"),
-            tidy(agreement.fleiss(items, len(raters)), "agreement"),
-            tidy(strata.mantel_haenszel(cells), "common_book"),
-            tidy(gaps.groupBy().pivot("definition", ["any", "majority", "unanimous"]).agg(F.first("diff_pp")), "diff_pp"),
-        )
-        out.append(parts.withColumn("item", F.lit(name)))
-    return together(*out)
-
-
-def panel_summary(report: DataFrame) -> DataFrame:
-    """A row per panel of panel_report(): size, shares of O, S and X by arm, chi-squared, V, kappa, odds ratio, differences."""
-    value = lambda part, measure: F.max(F.when((F.col("part") == part) & (F.col("measure") == measure), F.col("value")))
-    names = [f"{arm}_{k}" for arm in ("target", "control") for k in "osx"]
-    rows = report.groupBy(F.col("item").alias("panel")).agg(
-        *(value("consensus", c).alias(c) for c in [*names, "n", "chi2", "cramers_v"]),
-        *(value("coverage", c).alias(c) for c in ("common", "base", "complete")),
-        *(value("agreement", c).alias(f"fleiss_{c}") for c in ("kappa", "unanimous_pct")),
-        *(value("common_book", c).alias(f"book_{c}") for c in ("odds_ratio", "or_low", "or_high")),
-        *(value("diff_pp", c).alias(f"diff_{c}") for c in ("unanimous", "majority", "any")),
-    )
-    share = [stats.percent(f"{arm}_{k}", F.col(f"{arm}_o") + F.col(f"{arm}_s") + F.col(f"{arm}_x")).alias(f"{arm}_{k}_pct") for arm in ("target", "control") for k in "osx"]
-    return rows.select("panel", "n", *share, *(c for c in rows.columns if c not in (*names, "panel", "n")))
-
-
 def level_tables(items: DataFrame, levels: dict[str, Column], positive: Column, target: Column, least: int = 5) -> DataFrame:
     """2x2 of target and positive by each value of each level: shares, difference, odds ratio, Yates' chi-squared, p.
 

@@ -9,6 +9,11 @@ from tallyframe.functions import stats
 from tallyframe.operators.ordering import numbered
 
 
+def tally(condition: Column, weight: str | None = None) -> Column:
+    """Rows of a group where the condition holds; with `weight`, each counts as often as that column says."""
+    return F.count_if(condition) if weight is None else F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
+
+
 def dedupe(df: DataFrame, key: list[str], order: list[str], keep: str = "last") -> DataFrame:
     """One row per key: the first or last by the order columns, which are expected to be total.
 
@@ -52,7 +57,7 @@ def panel_votes(long: DataFrame, key: list[str], raters: list[str], rater: str =
     return whole.select(*key, F.array(*votes).alias("votes"), sum(votes[1:], votes[0]).alias("vote_sum"))
 
 
-def consensus_class(vote_sum: Column | str, raters: int) -> Column:
+def consensus_class(vote_sum: Column | str, raters: int | Column) -> Column:
     """O if all raters agree on true, X if none does, else S."""
     v = stats.col(vote_sum)
     return F.when(v == raters, "O").when(v == 0, "X").otherwise("S")
@@ -64,35 +69,47 @@ def arm_counts(items: DataFrame, raters: int, arm: str = "arm", by: tuple[str, .
     return items.groupBy(*by, arm).agg(*(F.count_if(kind == k).alias(k.lower()) for k in "OSX"), F.count("*").alias("n"))
 
 
-def consensus(items: DataFrame, raters: int, target: str, control: str, arm: str = "arm", by: tuple[str, ...] = ()) -> DataFrame:
+def consensus(
+    items: DataFrame, raters: int | Column, target: str, control: str, arm: str = "arm", by: tuple[str, ...] = (), weight: str | None = None
+) -> DataFrame:
     """O/S/X counts of both arms in one row, with chi-squared of the 2x3 table and Cramer's V."""
     kind = consensus_class("vote_sum", raters)
     cells = [
-        F.count_if((F.col(arm) == a) & (kind == k)).alias(f"{name}_{k.lower()}")
+        tally((F.col(arm) == a) & (kind == k), weight).alias(f"{name}_{k.lower()}")
         for name, a in (("target", target), ("control", control))
         for k in "OSX"
     ]
-    rows = items.where(F.col(arm).isin(target, control)).groupBy(*by).agg(*cells, F.count("*").alias("n"))
+    rows = items.where(F.col(arm).isin(target, control)).groupBy(*by).agg(*cells, tally(F.lit(True), weight).alias("n"))
     chi = stats.chi2_table([[f"{name}_{k}" for k in "osx"] for name in ("target", "control")])
     return rows.withColumn("chi2", chi).withColumn("cramers_v", stats.cramers_v("chi2", "n"))
 
 
-def two_by_two(df: DataFrame, positive: Column, target: Column, by: tuple[str, ...] = ()) -> DataFrame:
+def two_by_two(df: DataFrame, positive: Column, target: Column, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Integer counts a, b, c, d of a 2x2 table: positives and others where `target` holds, then elsewhere.
 
     Rows where either condition is null are left out.
     """
     rows = df.where(positive.isNotNull() & target.isNotNull())
     cells = {"a": target & positive, "b": target & ~positive, "c": ~target & positive, "d": ~target & ~positive}
-    return rows.groupBy(*by).agg(*(F.count_if(x).alias(k) for k, x in cells.items()))
-
-
-def rater_rates(long: DataFrame, target: str, control: str, rater: str = "rater", arm: str = "arm", judgment: str = "judgment") -> DataFrame:
+    return rows.groupBy(*by).agg(*(tally(x, weight).alias(k) for k, x in cells.items()))
+
+
+def rater_rates(
+    long: DataFrame,
+    target: str,
+    control: str,
+    rater: str = "rater",
+    arm: str = "arm",
+    judgment: str = "judgment",
+    by: tuple[str, ...] = (),
+    weight: str | None = None,
+) -> DataFrame:
     """Per rater: items and positives of both arms, rates in percent, difference and chi-squared."""
     rows = long.where(F.col(arm).isin(target, control))
-    rows = two_by_two(rows, F.col(judgment), F.col(arm) == target, (rater,))
+    rows = two_by_two(rows, F.col(judgment), F.col(arm) == target, (*by, rater), weight)
     t, c = stats.percent("a", F.col("a") + F.col("b")), stats.percent("c", F.col("c") + F.col("d"))
     return rows.select(
+        *by,
         rater,
         (F.col("a") + F.col("b")).alias("target_n"),
         F.col("a").alias("target_positive"),
@@ -111,13 +128,15 @@ def summary(long: DataFrame, by: list[str], judgment: str = "judgment") -> DataF
     return rows.withColumn("mean_pct", stats.percent("positive", "n"))
 
 
-def truth_table(items: DataFrame, raters: int, target: str, control: str, arm: str = "arm") -> DataFrame:
+def truth_table(
+    items: DataFrame, raters: int | Column, target: str, control: str, arm: str = "arm", by: tuple[str, ...] = (), weight: str | None = None
+) -> DataFrame:
     """O against the rest by arm; the difference is that of the shares rounded to one digit."""
     kind = consensus_class("vote_sum", raters) == "O"
-    rows = two_by_two(items.where(F.col(arm).isin(target, control)), kind, F.col(arm) == target)
+    rows = two_by_two(items.where(F.col(arm).isin(target, control)), kind, F.col(arm) == target, by, weight)
     t = F.round(stats.percent("a", F.col("a") + F.col("b")), 1)
     c = F.round(stats.percent("c", F.col("c") + F.col("d")), 1)
-    return rows.select("a", "b", "c", "d", t.alias("target_pct"), c.alias("control_pct"), F.round(t - c, 1).alias("diff_pp"))
+    return rows.select(*by, "a", "b", "c", "d", t.alias("target_pct"), c.alias("control_pct"), F.round(t - c, 1).alias("diff_pp"))
 
 
 def batches(df: DataFrame, size: int, order: list[str], arm: str = "arm") -> DataFrame:

@@ -41,35 +41,35 @@ def mantel_haenszel(strata: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return sums.select(*by, "strata", "odds_ratio", low.alias("or_low"), high.alias("or_high"))
 
 
-def woolf_homogeneity(strata: DataFrame) -> DataFrame:
+def woolf_homogeneity(strata: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Woolf's test that strata share an odds ratio: chi2 and df; null with fewer than two strata.
 
     A half is added to every cell; strata without one of the arms are skipped.
     """
     rows = _doubles(strata).where("a + b > 0 and c + d > 0")
     a, b, c, d = (F.col(x) + 0.5 for x in "abcd")
-    rows = rows.select(F.log(a * d / (b * c)).alias("l"), (1 / (1 / a + 1 / b + 1 / c + 1 / d)).alias("w"))
+    rows = rows.select(*by, F.log(a * d / (b * c)).alias("l"), (1 / (1 / a + 1 / b + 1 / c + 1 / d)).alias("w"))
     w, l = F.col("w"), F.col("l")
-    sums = rows.agg(F.count("*").alias("k"), F.sum(w).alias("w"), F.sum(w * l).alias("wl"), F.sum(w * l * l).alias("wll"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("k"), F.sum(w).alias("w"), F.sum(w * l).alias("wl"), F.sum(w * l * l).alias("wll"))
     chi = F.greatest(F.lit(0.0), F.col("wll") - F.col("wl") * F.col("wl") / F.nullif("w", F.lit(0.0)))
-    return sums.select(F.col("k").alias("strata"), F.when(F.col("k") >= 2, chi).alias("chi2"), F.when(F.col("k") >= 2, F.col("k") - 1).alias("df"))
+    return sums.select(*by, F.col("k").alias("strata"), F.when(F.col("k") >= 2, chi).alias("chi2"), F.when(F.col("k") >= 2, F.col("k") - 1).alias("df"))
 
 
-def per_stratum(strata: DataFrame, name: str, least: int = 0) -> DataFrame:
+def per_stratum(strata: DataFrame, name: str, least: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
     """Shares, difference and odds ratio of each stratum with at least `least` cases in both arms."""
     rows = strata.where(F.least(F.col("a") + F.col("b"), F.col("c") + F.col("d")) >= least)
     t, c = stats.percent("a", F.col("a") + F.col("b")), stats.percent("c", F.col("c") + F.col("d"))
     value, *_ = stats.odds_ratio("a", "b", "c", "d")
     n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
-    return rows.select(name, *"abcd", n.alias("n"), t.alias("target_pct"), c.alias("control_pct"), (t - c).alias("diff_pp"), value.alias("odds_ratio"))
+    return rows.select(*by, name, *"abcd", n.alias("n"), t.alias("target_pct"), c.alias("control_pct"), (t - c).alias("diff_pp"), value.alias("odds_ratio"))
 
 
-def sign_test(strata: DataFrame, least: int = 1) -> DataFrame:
+def sign_test(strata: DataFrame, least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact sign test over strata with at least `least` cases in both arms."""
     rows = strata.where(F.least(F.col("a") + F.col("b"), F.col("c") + F.col("d")) >= least)
     # Shares are compared crosswise in integers.
     gap = F.col("a") * (F.col("c") + F.col("d")) - F.col("c") * (F.col("a") + F.col("b"))
-    sums = rows.agg(F.count_if(gap > 0).alias("wins"), F.count_if(gap < 0).alias("losses"), F.count_if(gap == 0).alias("ties"))
+    sums = rows.groupBy(*by).agg(F.count_if(gap > 0).alias("wins"), F.count_if(gap < 0).alias("losses"), F.count_if(gap == 0).alias("ties"))
     return sums.withColumn("p", stats.sign_test("wins", "losses"))
 
 

@@ -6,27 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
-from tallyframe.operators import composites, judgments, profile, sampling
+from tallyframe.operators import composites, cube, judgments, profile, sampling
 from tallyframe.plans import adapters as A
-from tallyframe.plans.reports import _2X2, _CHI, _STRATA, _YATES, PANELS, REGISTRY, _effect_sql, _mh_sql, _PER, rounded, tail_sql
+from tallyframe.plans.reports import _2X2, _CHI, _PER, _STRATA, _YATES, BOTH, PANELS, REGISTRY, _effect_sql, _kappa_sql, _mh_sql, rounded, tail_sql
 
 query = REGISTRY.add
 _EFFECT = "a b c d target_pct control_pct diff_pp diff_low diff_high odds_ratio or_low or_high or_corrected chi2".split()
 _CONSENSUS = "target_o target_s target_x control_o control_s control_x n chi2 cramers_v".split()
 
 
-def tidy_sql(part: str, sql: str, measures: list[str], item: str = "''") -> str:
+def tidy_sql(part: str, sql: str, measures: list[str], item: str = "''", keep: str = "") -> str:
     """A query's numbers as rows of part, item, measure and value."""
     names, values = ", ".join(f"'{m}'" for m in measures), ", ".join(f'"{m}"::DOUBLE' for m in measures)
-    return f"SELECT part, item, measure, round(value, 6) AS value FROM (SELECT '{part}' AS part, ({item})::VARCHAR AS item, unnest([{names}]) AS measure, unnest([{values}]) AS value FROM ({sql})) WHERE value IS NOT NULL"
+    return f"SELECT {keep}part, item, measure, round(value, 6) AS value FROM (SELECT {keep}'{part}' AS part, ({item})::VARCHAR AS item, unnest([{names}]) AS measure, unnest([{values}]) AS value FROM ({sql})) WHERE value IS NOT NULL"
 
 
-def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.wide(spark, sf_dir).withColumn("shelf", F.col("book") % 4)
+_BY = ("book", "shelf")
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.items(spark, sf_dir).withColumn("shelf", F.col("book") % 4)
+def _cube(spark: SparkSession, sf_dir: str, panels: dict[str, list[str]], absent: bool = False) -> DataFrame:
+    """The judged items as a cube, once per panel; with `absent`, r3 did not judge items of flag N."""
+    wide = A.wide(spark, sf_dir).withColumn("shelf", F.col("book") % 4)
+    if absent:
+        wide = wide.withColumn("r3", F.when(F.col("flag") != "N", F.col("r3")))
+    return cube.panels(cube.cube(wide, A.RATERS, _BY), A.RATERS, panels, _BY, base=["r1", "r2"])
+
+
+def _report(spark: SparkSession, sf_dir: str, parts: list[str]) -> DataFrame:
+    rows = cube.report(_cube(spark, sf_dir, {"all": A.RATERS}), "O", "F", *_BY, parts=parts)
+    return rounded(rows.drop("panel"))
 
 
 _O = REGISTRY.oracles
@@ -42,7 +50,7 @@ _RATER = "target_n target_positive control_n control_positive target_pct control
     ]),
 )
 def report_final_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(composites.final_stats(A.long(spark, sf_dir), A.items(spark, sf_dir), 3, "O", "F"))
+    return _report(spark, sf_dir, ["consensus", "rater", "truth"])
 
 
 _SHELVES = _STRATA.replace("SELECT book,", "SELECT shelf,").replace("(SELECT shelf, arm", "(SELECT book % 4 AS shelf, arm").replace("GROUP BY book", "GROUP BY shelf")
@@ -60,9 +68,12 @@ _STRATIFIED = [
 ]
 
 
+_STRATA_PARTS = cube.PARTS[cube.PARTS.index("books") :]
+
+
 @query("report_stratified", " UNION ALL ".join(_STRATIFIED))
 def report_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(composites.stratified(_items(spark, sf_dir), A.RATERS, "O", "book", "shelf"))
+    return _report(spark, sf_dir, _STRATA_PARTS)
 
 
 def _osx_effect(b: str, d: str) -> str:
@@ -81,41 +92,73 @@ def _osx_effect(b: str, d: str) -> str:
     ]),
 )
 def report_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(composites.robustness(_items(spark, sf_dir), A.RATERS, "O", "F", "book", "shelf"))
-
-
-#: r3 did not judge items of flag N, so its panels are partial.
-_PARTIAL = "CASE WHEN flag = 'N' THEN NULL ELSE r3 END"
-
-
-def _panel_sql(name: str, raters: list[str]) -> str:
-    n, votes = len(raters), " + ".join(f"{r}::INT" for r in raters)
-    known = " AND ".join(f"{r} IS NOT NULL" for r in raters)
-    base = f"{A.SQL_WIDE}, w AS (SELECT okey, arm, book, flag, r1, r2, {_PARTIAL} AS r3 FROM j), v AS (SELECT *, {votes} AS s FROM w WHERE {known})"
-    cells = ", ".join(f"count(*) FILTER (arm = '{a}' AND s {c})::BIGINT AS {t}_{x}" for t, a in (("target", "O"), ("control", "F")) for x, c in (("o", f"= {n}"), ("s", f"> 0 AND s < {n}"), ("x", "= 0")))
-    chi = " + ".join(f"CASE WHEN {m} * (target_{k} + control_{k}) = 0 THEN 0 ELSE power({t}_{k} - {m}::DOUBLE * (target_{k} + control_{k}) / n, 2) / ({m}::DOUBLE * (target_{k} + control_{k}) / n) END" for t, m in (("target", "tn"), ("control", "cn")) for k in "osx")
-    consensus = f"WITH {base}, g AS (SELECT {cells}, count(*)::BIGINT AS n, count(*) FILTER (arm='O') AS tn, count(*) FILTER (arm='F') AS cn FROM v WHERE arm IN ('O','F')), h AS (SELECT *, {chi} AS chi2 FROM g) SELECT *, sqrt(chi2 / n) AS cramers_v FROM h"
-    fleiss = f"WITH {base}, g AS (SELECT count(*)::BIGINT AS n, sum(s)::BIGINT AS positive, count(*) FILTER (s IN (0, {n}))::BIGINT AS unanimous, avg((s*s + ({n}-s)*({n}-s) - {n})::DOUBLE / ({n}*({n}-1))) AS o, power(sum(s)::DOUBLE/({n}*count(*)), 2) + power(1 - sum(s)::DOUBLE/({n}*count(*)), 2) AS ch FROM v) SELECT n, positive, unanimous, 100.0::DOUBLE*unanimous/n AS unanimous_pct, (o-ch)/(1-ch) AS kappa FROM g"
-    strata = f"WITH {base}, s AS (SELECT book, {_2X2} FROM (SELECT book, arm = 'O' AS t, s = {n} AS y FROM v) GROUP BY book) {_mh_sql('s')}"
-    gap = lambda cut: f"100.0::DOUBLE * (count(*) FILTER (arm='O' AND s >= {cut})::DOUBLE / count(*) FILTER (arm='O') - count(*) FILTER (arm='F' AND s >= {cut})::DOUBLE / count(*) FILTER (arm='F'))"
-    gaps = f'WITH {base} SELECT {gap(1)} AS "any", {gap(n // 2 + 1)} AS majority, {gap(n)} AS unanimous FROM v'
-    cover = f"WITH {base} SELECT (SELECT count(*) FROM v) AS common, (SELECT count(*) FROM w) AS base, (SELECT count(*) FROM v) = (SELECT count(*) FROM w) AS complete"
-    item = f"'{name}'"
-    return " UNION ALL ".join([
-        tidy_sql("coverage", cover, ["common", "base", "complete"], item),
-        tidy_sql("consensus", consensus, _CONSENSUS, item),
-        tidy_sql("agreement", fleiss, "n positive unanimous unanimous_pct kappa".split(), item),
-        tidy_sql("common_book", strata, ["strata", "odds_ratio", "or_low", "or_high"], item),
-        tidy_sql("diff_pp", gaps, ["any", "majority", "unanimous"], item),
-    ])
-
-
-_PANELS_SQL = " UNION ALL ".join(_panel_sql(k, v) for k, v in PANELS.items())
+    return _report(spark, sf_dir, ["pair", "agreement", "o_against_rest", "o_against_x", "definition", *_STRATA_PARTS])
+
+
+#: Panels over the votes of each item, where r3 did not judge items of flag N: members' votes, their sum s and number k.
+_VOTES = f"""{A.SQL_WIDE}, w AS (SELECT arm, book, book % 4 AS shelf, r1::INT AS r1, r2::INT AS r2, CASE WHEN flag <> 'N' THEN r3::INT END AS r3 FROM j),
+x AS ({" UNION ALL ".join(f"SELECT '{p}' AS panel, {len(m)} AS k, {m} AS members, [{', '.join(m)}] AS votes, arm, book, shelf FROM w" for p, m in PANELS.items())}),
+v AS (SELECT *, list_sum(votes)::BIGINT AS s FROM x WHERE len(list_filter(votes, lambda y: y IS NOT NULL)) = k),
+each AS (SELECT panel, arm = 'O' AS t, book, unnest(members) AS rater, unnest(votes) = 1 AS y FROM v)"""
+_PANEL_CONSENSUS = f"""g AS (SELECT panel, {", ".join(f"count(*) FILTER (arm = '{a}' AND s {c})::BIGINT AS {t}_{x}" for t, a in (("target", "O"), ("control", "F")) for x, c in (("o", "= k"), ("s", "> 0 AND s < k"), ("x", "= 0")))},
+  count(*)::BIGINT AS n, count(*) FILTER (arm = 'O') AS tn, count(*) FILTER (arm = 'F') AS cn FROM v GROUP BY panel)"""
+_PANEL_CHI = " + ".join(f"CASE WHEN {m} * (target_{k} + control_{k}) = 0 THEN 0 ELSE power({t}_{k} - {m}::DOUBLE * (target_{k} + control_{k}) / n, 2) / ({m}::DOUBLE * (target_{k} + control_{k}) / n) END" for t, m in (("target", "tn"), ("control", "cn")) for k in "osx")
+_SQUARES = "avg((s*s + (k-s)*(k-s) - k)::DOUBLE / (k*(k-1)))"
+_CHANCE = "power(sum(s)::DOUBLE / sum(k), 2) + power(1 - sum(s)::DOUBLE / sum(k), 2)"
+
+
+def _fleiss_sql(by: str) -> str:
+    return f"SELECT {by}, n, positive, unanimous, 100.0::DOUBLE*unanimous/n AS unanimous_pct, (o-ch)/(1-ch) AS kappa FROM (SELECT {by}, count(*)::BIGINT AS n, sum(s)::BIGINT AS positive, count(*) FILTER (s IN (0, k))::BIGINT AS unanimous, {_SQUARES} AS o, {_CHANCE} AS ch FROM v GROUP BY {by})"
+
+
+def _panel_sql() -> str:
+    """Every part of the panels' report, grouped by panel."""
+    books = f"s AS (SELECT panel, book, {_2X2} FROM (SELECT panel, book, arm = 'O' AS t, s = k AS y FROM v) GROUP BY ALL)"
+    groups = books.replace("book", "shelf")
+    per = _PER.replace("SELECT book,", "SELECT panel, book,")
+    share = f"SELECT *, a + b AS target_n, a AS target_positive, c + d AS control_n, c AS control_positive, 100.0::DOUBLE*a/(a+b) AS target_pct, 100.0::DOUBLE*c/(c+d) AS control_pct, 100.0::DOUBLE*a/(a+b) - 100.0::DOUBLE*c/(c+d) AS diff_pp, {_CHI} AS chi2"
+    truth = f"t AS (SELECT panel, {_2X2} FROM (SELECT panel, arm = 'O' AS t, s = k AS y FROM v) GROUP BY panel) SELECT *, round(target_pct - control_pct, 1) AS diff_pp FROM (SELECT *, round(100.0::DOUBLE*a/(a+b), 1) AS target_pct, round(100.0::DOUBLE*c/(c+d), 1) AS control_pct FROM t)"
+    pairs = f"""q AS (SELECT panel, members[i] || '-' || members[j] AS pair, count(*) FILTER (votes[i] = 1 AND votes[j] = 1)::BIGINT AS "both", count(*) FILTER (votes[i] = 1 AND votes[j] = 0)::BIGINT AS first_only,
+  count(*) FILTER (votes[i] = 0 AND votes[j] = 1)::BIGINT AS second_only, count(*) FILTER (votes[i] = 0 AND votes[j] = 0)::BIGINT AS neither FROM v, (VALUES (1, 2), (1, 3), (2, 3)) o(i, j) WHERE j <= k GROUP BY ALL)
+SELECT *, 100.0::DOUBLE * ("both" + neither) / ("both" + first_only + second_only + neither) AS agreement_pct, {_kappa_sql(BOTH, "first_only", "second_only", "neither")} AS kappa FROM q"""
+    effect = lambda b, d: f"{_PANEL_CONSENSUS}, f AS (SELECT panel, target_o AS a, {b} AS b, control_o AS c, {d} AS d FROM g) " + _effect_sql("f", "panel, ")
+    cuts = f"c(definition) AS (VALUES ('unanimous'), ('majority'), ('any')), f AS (SELECT panel, definition, {_2X2} FROM (SELECT panel, definition, arm = 'O' AS t, s >= CASE definition WHEN 'unanimous' THEN k WHEN 'majority' THEN k // 2 + 1 ELSE 1 END AS y FROM v, c) GROUP BY ALL) "
+    woolf = "l AS (SELECT panel, ln((a+0.5::DOUBLE)*(d+0.5::DOUBLE)/((b+0.5::DOUBLE)*(c+0.5::DOUBLE))) AS l, 1/(1/(a+0.5::DOUBLE)+1/(b+0.5::DOUBLE)+1/(c+0.5::DOUBLE)+1/(d+0.5::DOUBLE)) AS w FROM s WHERE a+b >= 5 AND c+d >= 5)"
+    sign = """g AS (SELECT panel, a * (c + d) - c * (a + b) AS gap FROM s WHERE a + b >= 5 AND c + d >= 5),
+t AS (SELECT panel, count(*) FILTER (gap > 0)::BIGINT AS wins, count(*) FILTER (gap < 0)::BIGINT AS losses, count(*) FILTER (gap = 0)::BIGINT AS ties FROM g GROUP BY panel), u AS (SELECT *, unnest(range(0, least(wins, losses) + 1)) AS i FROM t)
+SELECT panel, wins, losses, ties, least(1.0::DOUBLE, 2 * sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2.0::DOUBLE)))) AS p FROM u GROUP BY ALL"""
+    kappas = ["both", "first_only", "second_only", "neither", "agreement_pct", "kappa"]
+    common = ["strata", "odds_ratio", "or_low", "or_high"]
+    parts = [
+        ("coverage", "", "SELECT panel, count(*) FILTER (known) AS common, count(*) AS base, count(*) FILTER (known) = count(*) AS complete FROM (SELECT panel, len(list_filter(votes, lambda y: y IS NOT NULL)) = k AS known FROM x) GROUP BY panel", ["common", "base", "complete"], "''"),
+        ("consensus", _PANEL_CONSENSUS, f"SELECT *, sqrt(chi2 / n) AS cramers_v FROM (SELECT *, {_PANEL_CHI} AS chi2 FROM g)", _CONSENSUS, "''"),
+        ("rater", f"r AS (SELECT panel, rater, {_2X2} FROM each GROUP BY ALL)", f"{share} FROM r", _RATER, "rater"),
+        ("truth", "", truth, "a b c d target_pct control_pct diff_pp".split(), "''"),
+        ("pair", "", pairs, kappas, "pair"),
+        ("agreement", "", _fleiss_sql("panel"), "n positive unanimous unanimous_pct kappa".split(), "''"),
+        ("agreement_arm", "", _fleiss_sql("panel, arm"), "n positive unanimous unanimous_pct kappa".split(), "arm"),
+        ("o_against_rest", "", effect("target_s + target_x", "control_s + control_x"), _EFFECT, "''"),
+        ("o_against_x", "", effect("target_x", "control_x"), _EFFECT, "''"),
+        ("definition", "", cuts + _effect_sql("f", "panel, definition, "), _EFFECT, "definition"),
+        ("books", books, "SELECT panel, count(*) AS books, count(*) FILTER (a+b >= 1 AND c+d >= 1) AS both_arms, count(*) FILTER (a+b >= 5 AND c+d >= 5) AS enough FROM s GROUP BY panel", ["books", "both_arms", "enough"], "''"),
+        ("crude", f"{books}, f AS (SELECT panel, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d FROM s GROUP BY panel)", _effect_sql("f", "panel, "), _EFFECT, "''"),
+        ("common_book", books, _mh_sql("s", "panel, "), common, "''"),
+        ("homogeneity_book", f"{books}, {woolf}", "SELECT panel, count(*)::BIGINT AS strata, sum(w*l*l) - power(sum(w*l), 2) / sum(w) AS chi2, count(*)::BIGINT - 1 AS df FROM l GROUP BY panel", ["strata", "chi2", "df"], "''"),
+        ("sign_book", books, sign, ["wins", "losses", "ties", "p"], "''"),
+        ("book", books, per, _BOOK, "book"),
+        ("group", groups, per.replace("book,", "shelf,").replace(">= 5", ">= 0"), _BOOK, "shelf"),
+        ("common_group", groups, _mh_sql("s", "panel, "), common, "''"),
+        ("common_rater", f"s AS (SELECT panel, rater, book, {_2X2} FROM each GROUP BY ALL)", _mh_sql("s", "panel, rater, "), common, "rater"),
+    ]
+    joined = lambda with_, sql: f"WITH {_VOTES}" + (f", {with_}" if with_ else "") + (" " if sql.startswith("SELECT") else ", ") + sql
+    return " UNION ALL ".join(tidy_sql(part, joined(with_, sql), measures, item, "panel, ") for part, with_, sql, measures, item in parts)
+
+
+_PANELS_SQL = _panel_sql()
 
 
 def _panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = A.wide(spark, sf_dir).withColumn("r3", F.when(F.col("flag") != "N", F.col("r3")))
-    return composites.panel_report(wide, PANELS, "O", "F", "book", "book")
+    return cube.report(_cube(spark, sf_dir, PANELS, absent=True), "O", "F", *_BY)
 
 
 @query("report_panels", _PANELS_SQL)
@@ -123,19 +166,25 @@ def report_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_panels(spark, sf_dir))
 
 
+@query("report_panels_complete", f"SELECT * FROM ({_PANELS_SQL}) WHERE panel = 'first_two' AND part IN ('coverage', 'rater', 'o_against_rest')")
+def report_panels_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _cube(spark, sf_dir, PANELS, absent=True)
+    return rounded(cube.report(rows, "O", "F", *_BY, parts=["coverage", "rater", "o_against_rest"], allow_partial=False))
+
+
 def _summary_sql() -> str:
-    at = lambda p, m: f"max(value) FILTER (part = '{p}' AND measure = '{m}')"
+    at = lambda p, m, i="": f"max(value) FILTER (part = '{p}' AND measure = '{m}' AND item = '{i}')"
     share = lambda arm, k: f"round(100.0::DOUBLE * {at('consensus', f'{arm}_{k}')} / ({' + '.join(at('consensus', f'{arm}_{x}') for x in 'osx')}), 6) AS {arm}_{k}_pct"
     columns = [f"{at('consensus', 'n')} AS n", *(share(arm, k) for arm in ("target", "control") for k in "osx")]
     columns += [f"{at('consensus', c)} AS {c}" for c in ("chi2", "cramers_v")] + [f"{at('coverage', c)} AS {c}" for c in ("common", "base", "complete")]
-    columns += [f"{at('agreement', c)} AS fleiss_{c}" for c in ("kappa", "unanimous_pct")] + [f"{at('common_book', c)} AS book_{c}" for c in ("odds_ratio", "or_low", "or_high")]
-    columns += [f"{at('diff_pp', c)} AS diff_{c}" for c in ("unanimous", "majority", "any")]
-    return f"SELECT item AS panel, {', '.join(columns)} FROM ({_PANELS_SQL}) GROUP BY item"
+    columns += [f"{at('agreement', c)} AS fleiss_{c}" for c in ("kappa", "unanimous_pct")] + [f"{at('o_against_rest', c)} AS {c}" for c in ("diff_pp", "diff_low", "diff_high", "odds_ratio", "or_low", "or_high")]
+    columns += [f"{at('common_book', c)} AS book_{c}" for c in ("odds_ratio", "or_low", "or_high")] + [f"{at('definition', 'diff_pp', c)} AS diff_{c}" for c in ("unanimous", "majority", "any")]
+    return f"SELECT panel, {', '.join(columns)} FROM ({_PANELS_SQL}) GROUP BY panel"
 
 
 @query("report_panel_summary", _summary_sql())
 def report_panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(composites.panel_summary(_panels(spark, sf_dir)))
+    return rounded(cube.summary(_panels(spark, sf_dir)))
 
 
 _LEVELS = {"division": "book % 3", "kind": "book % 5", "title": "book"}
