@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.stats import col
+from tallyframe.operators.calls import SHARDS, Log
 from tallyframe.operators.judgments import remaining
 from tallyframe.operators.ordering import numbered
+from tallyframe.storage import fresh_path
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -129,23 +132,51 @@ def cluster(df: DataFrame, vector: str, key: str, k: int, starts: int = 20, seed
     return placed.select(key, "cluster", cosine(vector, "centre", 1e-9).alias("similarity"))
 
 
-def embed(df: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], size: int = 200, done: DataFrame | None = None) -> DataFrame:
+def embed(
+    df: DataFrame,
+    key: str,
+    text: str,
+    embedder: Callable[[list[str]], list[list[float]]],
+    size: int = 200,
+    done: DataFrame | None = None,
+    log: str | None = None,
+    shards: int = SHARDS,
+) -> DataFrame:
     """key and vector of each text, from an injected embedder called with up to `size` texts.
 
-    Texts whose key is in `done` are left out before any call; append the result to that table to
-    go on after a break.
+    The vectors of each call are written to the log before the next one, by digest of text, so a task
+    that runs again, a second action on the result, or a later run with the same log and shards asks for
+    no text twice; equal texts of a shard are asked for once. Texts are dealt to `shards` parts, each
+    embedded by one task at a time. log is a folder that driver and executors reach; without it the
+    run has one of its own. Texts whose key is in `done` are left out before any call.
     """
     if done is not None:
         df = remaining(df, [done], [key])
+    store = Log(log or f"{fresh_path(df.sparkSession)}/vectors")
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    rows = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text_"), digest.alias("key_"))
+    rows = rows.withColumn("shard_", F.pmod(F.xxhash64("key_"), F.lit(shards)).cast("string")).repartition(shards, "shard_").sortWithinPartitions("shard_")
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, size):
-                batch = whole.slice(at, size)
-                made = embedder([t or "" for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float32()))], [key, "vector"])
-
-    return df.select(key, text).mapInArrow(call, f"`{key}` {dict(df.dtypes)[key]}, vector array<float>")
+        for batch in batches:
+            texts, keys, places = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            made: list[list[float]] = []
+            for shard, group in itertools.groupby(range(len(keys)), places.__getitem__):
+                own = list(group)
+                known = {k: r["vector"] for k, r in store.read(shard).items()}
+                todo = list({keys[i]: texts[i] for i in own if keys[i] not in known}.items())
+                writer = store.writer(shard)
+                for at in range(0, len(todo), size):
+                    part = todo[at : at + size]
+                    vectors = [[float(x) for x in v] for v in embedder([t for _, t in part])]
+                    fresh = {k: v for (k, _), v in zip(part, vectors, strict=True)}
+                    writer.add({"key": k, "vector": v} for k, v in fresh.items())
+                    known |= fresh
+                writer.close()
+                made += [known[keys[i]] for i in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float32()))], [key, "vector"])
+
+    return rows.mapInArrow(call, f"`{key}` {dict(df.dtypes)[key]}, vector array<float>")
 
 
 def chunks(df: DataFrame, by: str, order: str, text: str, size: int = 50, header: str = "") -> DataFrame:

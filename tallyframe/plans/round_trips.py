@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import joins, judgments, raters, sampling
+from tallyframe.operators import calls, joins, judgments, raters, sampling
 from tallyframe.plans import adapters as A
 from tallyframe.plans.reports import REGISTRY
 from tallyframe.registry import table
 from tallyframe.sources import readers, writers
-from tallyframe.storage import fresh_path
+from tallyframe.storage import durable, fresh_path
 from tallyframe.streaming import judgments as streams
 
 query = REGISTRY.add
@@ -132,20 +132,41 @@ def stream_first_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/out").groupBy("event_type").agg(F.count("*").alias("users"))
 
 
-@query(
-    "rater_votes",
-    f"""WITH {A.SQL_WIDE}, b AS (SELECT arm, (row_number() OVER (PARTITION BY arm ORDER BY okey, lnum) - 1) % 20 + 1 AS i FROM j WHERE book < 2)
-SELECT arm, count(*)::BIGINT AS items, count(*) FILTER (i % 2 = 1)::BIGINT AS positive FROM b GROUP BY arm""",
-)
+_PLACES = f"WITH {A.SQL_WIDE}, b AS (SELECT *, (row_number() OVER (PARTITION BY arm ORDER BY okey, lnum) - 1) // 20 AS batch, (row_number() OVER (PARTITION BY arm ORDER BY okey, lnum) - 1) % 20 + 1 AS i FROM j)"
+
+
+def _plan(spark: SparkSession, sf_dir: str, body: Column) -> DataFrame:
+    return raters.plan(A.wide(spark, sf_dir).withColumn("body", body), "body", ["okey", "lnum"], 20)
+
+
+@query("rater_votes", f"{_PLACES} SELECT arm, count(*)::BIGINT AS items, count(*) FILTER (i % 2 = 1)::BIGINT AS positive FROM b GROUP BY arm")
 def rater_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The offline rater answers O to odd places."""
-    items = A.wide(spark, sf_dir).where("book < 2").withColumn("body", F.concat_ws(" ", "flag", "arm"))
-    plan = raters.plan(items, "body", ["okey", "lnum"], 20)
-    asked = raters.ask(plan, raters.mock_rater, budget=1_000_000)
+    """The offline rater answers O to odd places; every item is asked about."""
+    plan = _plan(spark, sf_dir, F.concat_ws(" ", "flag", "arm"))
+    asked = raters.ask(plan, raters.mock_rater, 100_000_000)
     votes = raters.judgments(asked, ["okey", "lnum", "arm"], 20)
     return votes.groupBy("arm").agg(F.count("*").alias("items"), F.count_if("judgment").alias("positive"))
 
 
+@query(
+    "rater_log",
+    f"""{_PLACES}, p AS (SELECT arm, batch, max(okey) AS most, count(*) AS items FROM b GROUP BY arm, batch)
+SELECT arm, count(*)::BIGINT AS prompts, count(*)::BIGINT AS answered, count(*)::BIGINT AS calls, count(*) FILTER (most % 3 = 0)::BIGINT AS asked_first, 0::BIGINT AS asked_again FROM p GROUP BY arm""",
+)
+def rater_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over a third of the prompts, then one over all with the same log: no prompt has two records."""
+    plan = durable(_plan(spark, sf_dir, F.concat_ws(" ", "okey", "lnum", "arm")))
+    log = f"{fresh_path(spark)}/answers"
+    first = raters.ask(plan.where(F.array_max("items.okey") % 3 == 0), raters.mock_rater, 100_000_000, log=log)
+    first = first.groupBy("arm").agg(F.sum("calls").alias("asked_first"))
+    first = durable(first)
+    every = raters.ask(plan, raters.mock_rater, 100_000_000, log=log)
+    sums = durable(every.groupBy("arm").agg(F.count("*").alias("prompts"), F.count_if(F.col("status") == "ok").alias("answered"), F.sum("calls").alias("calls")))
+    records = calls.Log(log).table(spark, "status string").groupBy("key").agg((F.count("*") - 1).alias("more"))
+    again = raters.keyed(plan).join(records, F.col("key_") == F.col("key")).groupBy("arm").agg(F.sum("more").alias("asked_again"))
+    return sums.join(first, "arm").join(again, "arm").select("arm", "prompts", "answered", "calls", "asked_first", "asked_again")
+
+
 @query(
     "manifest_override",
     "SELECT o_orderstatus AS arm, count(*)::BIGINT AS n FROM orders WHERE (o_orderstatus = 'O' AND o_orderkey % 3 = 0) OR (o_orderstatus = 'F' AND o_orderkey % 5 = 0) GROUP BY 1",

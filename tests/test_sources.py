@@ -167,22 +167,6 @@ def test_budget_is_shared_with_retries(spark, tmp_path):
     assert raters.ask(prompts, refusing, 100, wait=0).agg(F.sum("calls")).first()[0] == 10
 
 
-def test_throttled_calls_wait_longer_each_time(spark, tmp_path):
-    log = str(tmp_path / "waits")
-
-    def rater(prompt):
-        raise raters.Throttled
-
-    def sleep(seconds):
-        with open(log, "a") as out:
-            out.write(f"{seconds} ")
-
-    prompts = spark.createDataFrame([(0, "p")], "batch int, prompt string").coalesce(1)
-    asked = raters.ask(prompts, rater, 10, tries=5, sleep=sleep, pause=(1.0, 3.0)).collect()
-    assert [(r.status, r.calls) for r in asked] == [("error", 5)]
-    assert (tmp_path / "waits").read_text().split() == ["1.0", "2.0", "3.0", "3.0"]
-
-
 def test_embed_goes_on(spark):
     from tallyframe.operators import vectors
 
