@@ -28,33 +28,38 @@ class Feature:
 
 
 class Finder:
-    """The features' terms as one Aho-Corasick automaton per column."""
+    """The features' terms as one Aho-Corasick automaton per column, and the features by term."""
 
     def __init__(self, features: list[Feature]) -> None:
         import ahocorasick
 
-        self.features, self.automata, self.blank = features, {}, {}
+        self.automata, self.blank, self.of = {}, {}, {}
+        self.wanted = [len(set(f.terms)) if f.every else 1 for f in features]
+        self.always = [i for i, f in enumerate(features) if f.every and not f.terms]
         for column in {c for f in features for c in f.columns}:
-            wanted = {t for f in features if column in f.columns for t in f.terms}
+            of: dict[str, list[int]] = {}
+            for i, f in enumerate(features):
+                for term in set(f.terms) if column in f.columns else ():
+                    of.setdefault(term, []).append(i)
             automaton = ahocorasick.Automaton()
-            for term in wanted - {""}:
+            for term in of.keys() - {""}:
                 automaton.add_word(term, term)
             if len(automaton):
                 automaton.make_automaton()
-            self.automata[column], self.blank[column] = automaton, {""} & wanted
+            self.automata[column], self.blank[column], self.of[column] = automaton, of.keys() & {""}, of
 
     def find(self, texts: dict[str, str | None]) -> list[int]:
-        """Places of the features that hold. Each text is read once, however many terms there are."""
-        found: dict[str, set[str]] = {}
+        """Places of the features that hold. Each text is read once; after that only terms that it has take time."""
+        held: dict[int, set[str]] = {}
         for column, automaton in self.automata.items():
             text = texts[column]
-            found[column] = set() if text is None else {t for _, t in automaton.iter(text)} | self.blank[column] if len(automaton) else self.blank[column]
-        out = []
-        for i, f in enumerate(self.features):
-            seen = (any(t in found[c] for c in f.columns) for t in f.terms)
-            if all(seen) if f.every else any(seen):
-                out.append(i)
-        return out
+            if text is None:
+                continue
+            found = {t for _, t in automaton.iter(text)} if len(automaton) else set()
+            for term in found | self.blank[column]:
+                for i in self.of[column][term]:
+                    held.setdefault(i, set()).add(term)
+        return sorted([i for i, terms in held.items() if len(terms) >= self.wanted[i]] + self.always)
 
 
 def annotate(df: DataFrame, features: list[Feature], keep: list[str]) -> DataFrame:
