@@ -106,13 +106,16 @@ def ranked(counts: DataFrame, by: list[str], item: str, k: int | None = None) ->
     return out if k is None else out.where(F.col("place") <= k)
 
 
-def spread(rows: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
-    """Every s-th row of each group in order, s being the group's size over k, at least 1: k rows at most; place counts from 0."""
-    placed = numbered(rows, [order], tuple(by), "place")
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("size_"))
-    step = F.greatest(F.lit(1), F.floor(F.col("size_") / k))
-    out = placed.join(sizes, by).where((F.col("place") % step == 0) & (F.col("place") < step * k))
-    return out.withColumn("place", F.col("place").cast("long")).drop("size_")
+def placed(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows with place, from 0 in each group's order, and size, the group's rows; groups are numbered range by range."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("size"))
+    return numbered(rows, [order], tuple(by), "place").withColumn("place", F.col("place").cast("long")).join(sizes, by)
+
+
+def even(rows: DataFrame, k: int) -> DataFrame:
+    """Of placed() rows every s-th of each group, s being the group's size over k, at least 1: k rows at most."""
+    step = F.greatest(F.lit(1), F.floor(F.col("size") / k))
+    return rows.where((F.col("place") % step == 0) & (F.col("place") < step * k))
 
 
 @dataclass(frozen=True)
@@ -173,15 +176,14 @@ def _counts(marked: DataFrame, by: list[str], *columns: str) -> DataFrame:
     return marked.select(*by, values).select(*by, "v.*").where("item is not null").groupBy(*by, "part", "item").agg(F.count("*").alias("rows"))
 
 
-def _examples_by_source(marked: DataFrame, sources: DataFrame, spec: Spec) -> DataFrame:
-    """Rows of the first sources at even steps, source by source, until there are enough."""
-    each = spec.examples // spec.sources + 1
-    first = sources.where(F.col("place") <= spec.sources).select("cell", F.col("item").alias("source"), F.col("place").alias("rank"), F.greatest(F.lit(1), F.floor(F.col("rows") / each)).alias("step"))
-    rows = numbered(marked.where("source is not null").select("cell", "source", "key"), ["key"], ("cell", "source"), "at").join(F.broadcast(first), ["cell", "source"])
-    rows = rows.where("at % step = 0")
-    order = Window.partitionBy("cell").orderBy("rank", "at")
-    # A step leaves 2 each at most of a source, so a cell has few rows here.
-    return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= spec.examples)
+def _by_source(rows: DataFrame, sources: DataFrame, spec: Spec) -> DataFrame:
+    """Of placed() rows of sources those at even steps, source by source in the order of their rank, until there are enough."""
+    step = F.greatest(F.lit(1), F.floor(F.col("size") / (spec.examples // spec.sources + 1)))
+    rank = sources.select("cell", "item", F.col("place").alias("rank"))
+    taken = rows.where(F.col("place") % step == 0).join(F.broadcast(rank), ["cell", "item"])
+    # Each source has a bounded number of rows here.
+    order = Window.partitionBy("cell").orderBy("rank", "place")
+    return taken.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= spec.examples)
 
 
 def by_cell(df: DataFrame, cell: str, cells: list[str], spec: Spec) -> DataFrame:
@@ -206,30 +208,32 @@ def by_cell(df: DataFrame, cell: str, cells: list[str], spec: Spec) -> DataFrame
     holds = marked.select("cell", "key", F.explode("features").alias("i")).select("cell", "key", name.alias("f"))
     of = lambda kind: holds.where(F.col("f").startswith(kind + ":")).select("cell", "key", F.expr("substring(f, instr(f, ':') + 1)").alias("item"))
     first10 = Window.partitionBy("cell", "item").orderBy("key")
+    # Rows of which examples are taken at even steps, all numbered at once.
+    top = F.broadcast(sources.where(F.col("place") <= spec.sources).select("cell", F.col("item").alias("source")))
+    pools = {"decision": of("decision"), "connective": of("connective"), "source": marked.join(top, ["cell", "source"]).select("cell", "key", F.col("source").alias("item"))}
+    pool = reduce(DataFrame.unionByName, (df.withColumn("kind", F.lit(kind)) for kind, df in pools.items()))
+    pool = durable(placed(pool, ["kind", "cell", "item"], "key"))
+    taken = lambda kind: pool.where(F.col("kind") == kind)
+    first = F.broadcast(sources.where(F.col("place") <= 10).select("cell", "item"))
     parts = [
         _tidy(sizes, "themes", "rows"),
         _tidy(sources, "themes", "source", "item"),
         _tidy(part("category"), "themes", "category", "item"),
         _tidy(tokens.select("cell", F.col("token").alias("item"), F.col("n").alias("rows"), F.col("rank").alias("place")), "themes", "token", "item"),
-        _tidy(_examples_by_source(marked, sources, spec), "themes", "example", "source"),
+        _tidy(_by_source(taken("source"), sources, spec), "themes", "example", "item"),
         _tidy(counts.where("part = 'bucket'"), "subpatterns", "length", "item"),
         _tidy(part("tail5", 30), "subpatterns", "ending", "item"),
         _tidy(rates.where("part = 'concept' and rows > 0"), "subpatterns", "concept", "item"),
         _tidy(rates.where("part = 'decision'"), "decision", "term", "item"),
-        _tidy(spread(of("decision"), ["cell", "item"], "key", 20), "decision", "example", "item"),
+        _tidy(even(taken("decision"), 20), "decision", "example", "item"),
         _tidy(rates.where("part = 'connective'"), "connective", "term", "item"),
-        _tidy(spread(of("connective"), ["cell", "item"], "key", 15), "connective", "example", "item"),
+        _tidy(even(taken("connective"), 15), "connective", "example", "item"),
         _tidy(rates.where("part = 'pair' and rows > 0"), "connective", "pair", "item"),
         _tidy(rates.where("part = 'mood'"), "mood", "label", "item"),
         _tidy(of("mood").withColumn("place", F.row_number().over(first10).cast("long")).where("place <= 10"), "mood", "example", "item"),
         _tidy(part("tail3", 20), "mood", "ending", "item"),
         _tidy(rates.where("part = 'name' and rows > 0"), "sources", "name", "item"),
-        _tidy(
-            spread(marked.join(F.broadcast(sources.where("place <= 10").select("cell", F.col("item").alias("source"))), ["cell", "source"]).select("cell", "source", "key"), ["cell", "source"], "key", 5),
-            "sources",
-            "example",
-            "source",
-        ),
+        _tidy(even(taken("source").join(first, ["cell", "item"]), 5), "sources", "example", "item"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

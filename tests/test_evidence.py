@@ -52,7 +52,7 @@ def test_even_samples(spark):
     rows = [(g, i) for g, n in (("a", 7), ("b", 100), ("c", 1), ("d", 41)) for i in range(n)]
     df = spark.createDataFrame(rows, "g string, k int").repartition(5)
     got = {}
-    for r in evidence.spread(df, ["g"], "k", 20).orderBy("g", "k").collect():
+    for r in evidence.even(evidence.placed(df, ["g"], "k"), 20).orderBy("g", "k").collect():
         got.setdefault(r.g, []).append(r.k)
     want = {g: [i for i in range(0, n, max(1, n // 20))][:20] for g, n in (("a", 7), ("b", 100), ("c", 1), ("d", 41))}
     assert got == want
