@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tallyframe.storage import durable
 
 
+#: Rows of a table that one task may put in order.
+SMALL = 100_000
+
+
 def _same(a: DataFrame, b: DataFrame, keys: list[str]):
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
@@ -32,7 +36,14 @@ def numbered(df: DataFrame, order: list[str], by: tuple[str, ...] = (), name: st
 
 
 def running_total(df: DataFrame, order: str, amount: str, name: str) -> DataFrame:
-    """df with the sum of an amount up to and with each row, by an order without ties; one range of the order a task."""
+    """df with the sum of an amount up to and with each row, by an order without ties.
+
+    One range of the order a task; a table of SMALL rows at most is one range.
+    """
+    df = durable(df)
+    if df.count() <= SMALL:
+        whole = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(amount).over(whole))
     rows = durable(df.repartitionByRange(F.col(order)).withColumn("range_", F.spark_partition_id()))
     sums = rows.groupBy("range_").agg(F.sum(amount).alias("n_"))
     before = Window.partitionBy(F.lit(0)).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)

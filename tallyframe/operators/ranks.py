@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
+from tallyframe.operators.judgments import tally
 from tallyframe.operators.ordering import running_total
 from tallyframe.storage import durable
 
@@ -25,13 +26,14 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(rank_table(counts, value, "n_", name), value, "left")
 
 
-def auc(df: DataFrame, value: str, positive: Column) -> DataFrame:
+def auc(df: DataFrame, value: str, positive: Column, weight: str | None = None) -> DataFrame:
     """Chance that a positive's value exceeds another's, ties counting half; null without both classes.
 
-    Rows are counted per value and class first; ranks are those of the values.
+    Rows are counted per value and class first; ranks are those of the values. With `weight`, a row
+    counts as often as that column says.
     """
     rows = df.where(F.col(value).isNotNull() & positive.isNotNull())
-    counts = rows.groupBy(value).agg(F.count_if(positive).alias("pos_"), F.count("*").alias("n_"))
+    counts = rows.groupBy(value).agg(tally(positive, weight).alias("pos_"), tally(F.lit(True), weight).alias("n_"))
     ranks = running_total(counts, value, "n_", "upto_")
     rank = F.col("upto_") - (F.col("n_") - 1) / 2
     sums = ranks.agg(F.sum("pos_").alias("n_pos"), F.sum(F.col("n_") - F.col("pos_")).alias("n_neg"), F.sum(rank * F.col("pos_")).alias("s_"))
@@ -41,20 +43,27 @@ def auc(df: DataFrame, value: str, positive: Column) -> DataFrame:
     return sums.select("n_pos", "n_neg", value_.alias("auc"))
 
 
-def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Correlation of two columns; null below three pairs or without variance."""
+def pearson(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
+    """Correlation of two columns; null below three pairs or without variance. A weighted row counts as often as its weight."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if weight is not None:
+        a, b, w = F.col(x).cast("double"), F.col(y).cast("double"), F.col(weight)
+        means = rows.agg(F.coalesce(F.sum(w), F.lit(0)).alias("n"), (F.sum(w * a) / F.sum(w)).alias("mx"), (F.sum(w * b) / F.sum(w)).alias("my"))
+        u, v = a - F.col("mx"), b - F.col("my")
+        sums = rows.crossJoin(F.broadcast(means)).agg(F.first("n").alias("k"), F.sum(w * u * v).alias("uv"), F.sum(w * u * u).alias("uu"), F.sum(w * v * v).alias("vv"), F.min(x) != F.max(x), F.min(y) != F.max(y)).toDF("k", "uv", "uu", "vv", "vx", "vy")
+        r = F.when((F.col("k") >= 3) & F.col("vx") & F.col("vy"), F.try_divide("uv", F.sqrt(F.col("uu") * F.col("vv"))))
+        return sums.select(F.coalesce("k", F.lit(0)).alias("n"), r.alias("r"))
     sums = rows.agg(F.count("*").alias("n"), stats.correlation(x, y).alias("r"), F.min(x) != F.max(x), F.min(y) != F.max(y)).toDF("n", "r", "vx", "vy")
     return sums.select("n", F.when((F.col("n") >= 3) & F.col("vx") & F.col("vy"), F.col("r")).alias("r"))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
     """Pearson's correlation of average ranks; null below three pairs or without variance.
 
     Pairs of values are counted once; ranks and their products come from the counts. The mean rank
     is half the number of pairs and a half.
     """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x_"), F.col(y).alias("y_")).agg(F.count("*").alias("w_"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x_"), F.col(y).alias("y_")).agg(tally(F.lit(True), weight).alias("w_"))
     pairs = durable(pairs)
     for c in ("x_", "y_"):
         pairs = pairs.join(rank_table(pairs.groupBy(c).agg(F.sum("w_").alias("n_")), c, "n_", f"r{c}"), c)

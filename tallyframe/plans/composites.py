@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
-from tallyframe.operators import composites, cube, judgments, profile, sampling
+from tallyframe.operators import composites, cube, judgments, probability, profile, sampling
 from tallyframe.plans import adapters as A
 from tallyframe.plans.reports import _2X2, _CHI, _PER, _STRATA, _YATES, BOTH, PANELS, REGISTRY, _effect_sql, _kappa_sql, _mh_sql, rounded, tail_sql
 
@@ -187,6 +187,57 @@ def report_panel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(cube.summary(_panels(spark, sf_dir)))
 
 
+_PROBABILITY = f"WITH {A.SQL_WIDE}, x AS (SELECT arm, arm = 'O' AS t, r1, r2, r3, vs, p, CASE WHEN flag <> 'R' THEN 1 - tax * 12 END AS q, CASE WHEN flag <> 'N' THEN quantity / 50 END AS o FROM j)"
+_FLAGS = {"unanimous": "vs = 3", "majority": "vs >= 2", "r1": "r1", "r2": "r2", "r3": "r3"}
+
+
+def _probability_sql() -> str:
+    """Every part of the probability rater's report, counted over the items themselves."""
+    rows = []
+
+    def effect(part: str, item: str, flag: str, more: str = "", measures: list[str] | None = None) -> None:
+        sql = f"{_PROBABILITY}, s AS (SELECT {_2X2} FROM (SELECT t, {flag} AS y FROM x)), e AS (SELECT *, {_CHI} AS chi2 FROM s) SELECT 100.0::DOUBLE*a/(a+b) AS target_pct, 100.0::DOUBLE*c/(c+d) AS control_pct, chi2, sqrt(chi2/(a+b+c+d)) AS phi, {tail_sql('chi2')} AS p{more} FROM e"
+        rows.append(tidy_sql(part, sql, ["target_pct", "control_pct", "chi2", "phi", "p", *(measures or [])], f"'{item}'"))
+
+    def kappa(u: str, v: str, where: str = "true") -> str:
+        cells = [f"(SELECT count(*) FILTER ({c}) FROM x WHERE {where})" for c in (f"({u}) AND ({v})", f"({u}) AND NOT ({v})", f"NOT ({u}) AND ({v})", f"NOT ({u}) AND NOT ({v})")]
+        return _kappa_sql(*cells)
+
+    def rank(value: str, where: str = "true") -> str:
+        return f"(SELECT *, rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0::DOUBLE AS k FROM x WHERE {where})"
+
+    def auc(value: str, flag: str, where: str) -> str:
+        return f"(SELECT (sum(k) FILTER ({flag}) - count(*) FILTER ({flag}) * (count(*) FILTER ({flag}) + 1) / 2.0::DOUBLE) / (count(*) FILTER ({flag})::DOUBLE * count(*) FILTER (NOT ({flag}))) FROM {rank(value, where)})"
+
+    def spearman(u: str, v: str, where: str = "true") -> str:
+        place = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+        return f"(SELECT corr(u, v) FROM (SELECT {place(u)} AS u, {place(v)} AS v FROM x WHERE {where}))"
+
+    sizes = "SELECT count(*) AS n, count(*) FILTER (t) AS n_target, count(*) FILTER (NOT t) AS n_control, count(*) FILTER (vs = 3) AS n_unanimous_o, count(*) FILTER (vs = 0) AS n_unanimous_x FROM x"
+    rows.append(tidy_sql("sizes", f"{_PROBABILITY} {sizes}", ["n", "n_target", "n_control", "n_unanimous_o", "n_unanimous_x"]))
+    for name, flag in _FLAGS.items():
+        effect("reference", name, flag)
+    for a, b in (("r1", "r2"), ("r1", "r3"), ("r2", "r3")):
+        rows.append(tidy_sql("between", f"{_PROBABILITY} SELECT {kappa(a, b)} AS kappa", ["kappa"], f"'{a}~{b}'"))
+    voters = {k: v for k, v in _FLAGS.items() if k != "unanimous"}
+    for cut in probability.CUTS:
+        more = "".join(f", {kappa(f'p >= {cut}::DOUBLE', v)} AS kappa_{k}" for k, v in voters.items())
+        effect("threshold", str(cut), f"p >= {cut}::DOUBLE", more, [f"kappa_{k}" for k in voters])
+    ranked = f"{_PROBABILITY} SELECT {spearman('p', 'vs')} AS spearman_votes, {auc('p', 'vs = 3', 'vs IN (0, 3)')} AS auc_unanimous, {auc('p', 't', 'true')} AS auc_target"
+    rows.append(tidy_sql("rank", ranked, ["spearman_votes", "auc_unanimous", "auc_target"]))
+    other = f"{_PROBABILITY} SELECT (SELECT count(o) FROM x) AS n, (SELECT corr(p, o) FROM x) AS pearson, {spearman('p', 'o', 'o IS NOT NULL')} AS spearman, {kappa('p >= 0.5', 'o >= 0.5', 'o IS NOT NULL')} AS kappa_at_half, {auc('o', 'vs = 3', 'o IS NOT NULL AND vs IN (0, 3)')} AS auc_unanimous"
+    rows.append(tidy_sql("other", other, ["n", "pearson", "spearman", "kappa_at_half", "auc_unanimous"]))
+    flip = f"{_PROBABILITY} SELECT count(q) AS n, avg(p + q) AS mean_sum, avg(abs(p + q - 1)) AS mean_gap, corr(p, q) AS r, 100 * avg((p >= 0.5 AND q >= 0.5)::INT) FILTER (q IS NOT NULL) AS both_yes_pct, 100 * avg((p < 0.5 AND q < 0.5)::INT) FILTER (q IS NOT NULL) AS both_no_pct FROM x"
+    rows.append(tidy_sql("flip", flip, ["n", "mean_sum", "mean_gap", "r", "both_yes_pct", "both_no_pct"]))
+    return " UNION ALL ".join(rows)
+
+
+@query("report_probability", _probability_sql())
+def report_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = A.wide(spark, sf_dir).withColumn("q", F.when(F.col("flag") != "R", 1 - F.col("tax") * 12)).withColumn("other", F.when(F.col("flag") != "N", F.col("quantity") / 50))
+    return rounded(probability.report(probability.histogram(wide, "p", A.RATERS, "q", "other"), A.RATERS, "O", "F"))
+
+
 _LEVELS = {"division": "book % 3", "kind": "book % 5", "title": "book"}
 _LEVEL_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS level, ({v})::VARCHAR AS name, arm = 'O' AS t, vs = 3 AS y FROM j" for k, v in _LEVELS.items())
 
