@@ -64,10 +64,10 @@ def fleiss(items: DataFrame, raters: int | str, by: tuple[str, ...] = (), weight
     return rows.select(*by, "n", "positive", "unanimous", stats.percent("unanimous", "n").alias("unanimous_pct"), kappa.alias("kappa"))
 
 
-def sensitivity(
+def definitions(
     items: DataFrame, raters: int | str, target: str, control: str, arm: str = "arm", by: tuple[str, ...] = (), weight: str | None = None
 ) -> DataFrame:
-    """The effect under three definitions of a positive item: all raters, more than half, any."""
+    """2x2 counts under three definitions of a positive item: all raters, more than half, any."""
     r = F.col(raters) if isinstance(raters, str) else F.lit(raters)
     cuts = {"unanimous": r, "majority": F.floor(r / 2) + 1, "any": F.lit(1)}
     rows = items.where(F.col(arm).isin(target, control))
@@ -77,7 +77,12 @@ def sensitivity(
         pos = F.col("vote_sum") >= cut
         cells = {"a": t & pos, "b": t & ~pos, "c": ~t & pos, "d": ~t & ~pos}
         aggs.append(F.struct(F.lit(name).alias("definition"), *(tally(x, weight).alias(k) for k, x in cells.items())))
-    rows = rows.groupBy(*by).agg(F.array(*aggs).alias("all")).select(*by, F.explode("all").alias("s")).select(*by, "s.*")
+    return rows.groupBy(*by).agg(F.array(*aggs).alias("all")).select(*by, F.explode("all").alias("s")).select(*by, "s.*")
+
+
+def sensitivity(items: DataFrame, raters: int | str, target: str, control: str, arm: str = "arm", by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """The effect under each of the definitions()."""
+    rows = definitions(items, raters, target, control, arm, by, weight)
     return rows.withColumn("effect", stats.bundle("a", "b", "c", "d")).select(*by, "definition", "a", "b", "c", "d", "effect.*")
 
 

@@ -64,13 +64,20 @@ def coverage(rows: DataFrame) -> DataFrame:
     return sums.withColumn("complete", F.col("common") == F.col("base"))
 
 
-def tidy(df: DataFrame, part: str, item: str | None = None) -> DataFrame:
-    """A table's numbers as rows of panel, part, item, measure and value; item names the column that tells rows apart."""
-    name = F.lit("") if item is None else F.col(item).cast("string")
+def tidy(df: DataFrame, part: str | None, item: str | None = None) -> DataFrame:
+    """A table's numbers as rows of panel, part, item, measure and value; item names the column that tells rows apart.
+
+    Without a part, df has a column of that name.
+    """
     measures = [c for c, t in df.dtypes if t != "string" and c not in (item, "panel", "raters")]
-    values = F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in measures))
-    rows = df.select("panel", F.lit(part).alias("part"), name.alias("item"), F.explode(values).alias("v"))
-    return rows.select("panel", "part", "item", "v.*").where("value is not null")
+    values = ", ".join(f"'{c}', cast(`{c}` as double)" for c in measures)
+    rows = df.select(
+        "panel",
+        (F.col("part") if part is None else F.lit(part)).alias("part"),
+        (F.lit("") if item is None else F.col(item).cast("string")).alias("item"),
+        F.expr(f"stack({len(measures)}, {values})").alias("measure", "value"),
+    )
+    return rows.where("value is not null")
 
 
 def report(
@@ -107,8 +114,14 @@ def report(
     books = judgments.two_by_two(rows, whole, is_target, (*own, book), weight)
     groups = judgments.two_by_two(rows, whole, is_target, (*own, group), weight)
     enough = F.least(F.col("a") + F.col("b"), F.col("c") + F.col("d"))
-    bundled = lambda df: df.withColumn("e", stats.bundle(*"abcd")).select("panel", *"abcd", "e.*")
-    effect = lambda *x: bundled(cells.select("panel", *(F.expr(e).alias(k) for k, e in zip("abcd", x, strict=True))))
+    # Effects of all parts are tables of a, b, c and d; they become bundles together.
+    crossed = lambda df, part, item="''", x=tuple("abcd"): df.selectExpr("panel", f"'{part}' as part", f"{item} as item", *(f"{e} as {k}" for k, e in zip("abcd", x, strict=True)))
+    tables = {
+        "o_against_rest": lambda: crossed(cells, "o_against_rest", x=("target_o", "target_s + target_x", "control_o", "control_s + control_x")),
+        "o_against_x": lambda: crossed(cells, "o_against_x", x=("target_o", "target_x", "control_o", "control_x")),
+        "definition": lambda: crossed(agreement.definitions(rows, "raters", target, control, by=size, weight=weight), "definition", "definition"),
+        "crude": lambda: crossed(books.groupBy("panel").agg(*(F.sum(c).alias(c) for c in "abcd")), "crude"),
+    }
     pair = lambda: agreement.pairs(rows, own, weight).withColumn("pair", F.concat_ws("-", "rater_1", "rater_2"))
     made = {
         "coverage": lambda: (covered,),
@@ -118,11 +131,7 @@ def report(
         "pair": lambda: (pair(), "pair"),
         "agreement": lambda: (agreement.fleiss(rows, "raters", size, weight),),
         "agreement_arm": lambda: (agreement.fleiss(rows, "raters", (*size, "arm"), weight), "arm"),
-        "o_against_rest": lambda: (effect("target_o", "target_s + target_x", "control_o", "control_s + control_x"),),
-        "o_against_x": lambda: (effect("target_o", "target_x", "control_o", "control_x"),),
-        "definition": lambda: (agreement.sensitivity(rows, "raters", target, control, by=size, weight=weight), "definition"),
         "books": lambda: (books.groupBy("panel").agg(F.count("*").alias("books"), F.count_if(enough >= 1).alias("both_arms"), F.count_if(enough >= least).alias("enough")),),
-        "crude": lambda: (bundled(books.groupBy("panel").agg(*(F.sum(c).alias(c) for c in "abcd"))),),
         "common_book": lambda: (strata.mantel_haenszel(books, own),),
         "homogeneity_book": lambda: (strata.woolf_homogeneity(books.where(enough >= least), own),),
         "sign_book": lambda: (strata.sign_test(books, least, own),),
@@ -131,7 +140,10 @@ def report(
         "common_group": lambda: (strata.mantel_haenszel(groups, own),),
         "common_rater": lambda: (strata.mantel_haenszel(judgments.two_by_two(each, F.col("judgment"), is_target, (*own, "rater", book), weight), (*own, "rater")), "rater"),
     }
-    out = [tidy(*(x := made[part]())[:1], part, *x[1:]) for part in wanted]
+    out = [tidy(*(x := made[part]())[:1], part, *x[1:]) for part in wanted if part in made]
+    if effects := [tables[part]() for part in wanted if part in tables]:
+        every = reduce(DataFrame.unionByName, effects).withColumn("e", stats.bundle(*"abcd"))
+        out.append(tidy(every.select("panel", "part", "item", *"abcd", "e.*"), None, "item"))
     if replicates:
         out.append(tidy(cramers_v_interval(cells, replicates, by=own), "bootstrap"))
     return reduce(DataFrame.unionByName, out)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import stats
 from tallyframe.functions.stats import col
 from tallyframe.functions.text import split_markers, strip
+from tallyframe.operators.ordering import numbered
 from tallyframe.storage import durable
 
 
@@ -188,6 +189,12 @@ def variant_pairs(vocabulary: DataFrame, rules: list[tuple[str, Column]], marker
     return best.select("p.*", (F.col("p.n") + F.col("p.form_n")).alias("together"))
 
 
+def placed_by(df: DataFrame, by: list[str], amount: str, ties: list[str]) -> DataFrame:
+    """df with each row's place, from 1, in its group: the largest amount first, ties by further columns."""
+    rows = numbered(df.withColumn("less_", -F.col(amount)), ["less_", *ties], tuple(by), "place")
+    return rows.withColumn("place", F.col("place").cast("long") + 1).drop("less_")
+
+
 def affix_variants(vocabulary: DataFrame, prefixes: list[str], marker: str = "marker", by: str = "class") -> DataFrame:
     """Markers whose form with a prefix is in the same class."""
     a = vocabulary.select(F.col(by), F.col(marker).alias("base"), F.explode(F.array(*(F.concat(F.lit(p), F.col(marker)) for p in prefixes))).alias("variant"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
-from tallyframe.operators import composites, cube, judgments, probability, profile, sampling
+from tallyframe.operators import composites, coverage, cube, judgments, probability, profile, sampling
 from tallyframe.plans import adapters as A
 from tallyframe.plans.reports import _2X2, _CHI, _PER, _STRATA, _YATES, BOTH, PANELS, REGISTRY, _effect_sql, _kappa_sql, _mh_sql, rounded, tail_sql
 
@@ -360,3 +360,41 @@ def phi_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.orders(spark, sf_dir).withColumn("priority", F.col("o_orderpriority"))
     rows = judgments.two_by_two(rows, F.col("o_totalprice") > 150000, F.col("o_orderstatus") == "F", ("priority",))
     return rounded(rows.select("priority", stats.phi(*"abcd").alias("phi"), stats.signed_phi(*"abcd").alias("signed_phi")))
+
+
+#: Rules of which some lead on from others' results, two in a circle, and two to forms that no text has.
+GAP_RULES = {"er": "re", "the": "teh", "tion": "sion", "ing": "in", "sion": "zion", "and": "und", "und": "and", "ha": "ah"}
+_FOLLOW = 12
+
+
+def _gap_sql() -> str:
+    def rewritten(c: str) -> str:
+        done = c
+        for k, v in sorted(GAP_RULES.items(), key=lambda kv: -len(kv[0])):
+            done = f"replace({done}, '{k}', '{v}')"
+        return f"CASE {c} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in GAP_RULES.items())} ELSE {done} END"
+
+    named = ", ".join(repr(k) for k in GAP_RULES)
+    ends = ", ".join(f"({x!r})" for x in sorted({*GAP_RULES, *GAP_RULES.values()}))
+    return f"""WITH RECURSIVE {A.SQL_MARKERS}, v AS (SELECT marker, count(*)::BIGINT AS n FROM m WHERE marker <> '' GROUP BY marker),
+walk AS (SELECT form, form AS at_, 0 AS i FROM (SELECT marker AS form FROM v UNION SELECT * FROM (VALUES {ends})) UNION ALL SELECT form, {rewritten('at_')}, i + 1 FROM walk WHERE i < {2 * _FOLLOW}),
+every AS (SELECT DISTINCT at_ AS form FROM walk), deep AS (SELECT form, form AS at_, 0 AS i FROM every UNION ALL SELECT form, {rewritten('at_')}, i + 1 FROM deep WHERE i < {2 * _FOLLOW}),
+ended AS (SELECT form, min(at_) AS normal, count(DISTINCT at_) > 1 AS cyclic FROM deep WHERE i > {_FOLLOW} GROUP BY form),
+fam AS (SELECT normal, count(*)::BIGINT AS forms, coalesce(sum(n), 0)::BIGINT AS n, max(cyclic) AS cyclic FROM ended LEFT JOIN v ON marker = form GROUP BY normal HAVING count(*) > 1),
+f AS (SELECT 0 AS i, 'drop_e' AS rule, marker, n, regexp_replace(marker, '^e', '') AS form FROM v UNION ALL SELECT 1, 'er_to_en', marker, n, regexp_replace(marker, 'er$', 'en') FROM v UNION ALL SELECT 2, 'add_th', marker, n, 'th' || marker FROM v),
+p AS (SELECT f.*, o.n AS form_n, row_number() OVER (PARTITION BY least(f.marker, form), greatest(f.marker, form) ORDER BY i, f.marker) AS k FROM f JOIN v o ON o.marker = form WHERE form <> f.marker AND f.marker NOT IN ({named})),
+rows AS (SELECT 'pair' AS part, rule AS kind, marker AS first, form AS second, n AS n_first, form_n AS n_second, n + form_n AS together FROM p WHERE k = 1
+  UNION ALL SELECT 'uncovered', '', marker, NULL, n, NULL, n FROM v WHERE n >= 3 AND marker NOT IN ({named}) AND {rewritten('marker')} = marker
+  UNION ALL SELECT 'family', CASE WHEN cyclic THEN 'cyclic' ELSE '' END, normal, NULL, forms, n, n FROM fam)
+SELECT part, kind, first, second, n_first::BIGINT AS n_first, n_second::BIGINT AS n_second, together::BIGINT AS together, row_number() OVER (PARTITION BY part, kind ORDER BY together DESC, first, second) AS place FROM rows"""
+
+
+@query("report_rule_gaps", _gap_sql())
+def report_rule_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = A.markers(spark, sf_dir).where("marker <> ''").groupBy("marker").agg(F.count("*").alias("n"))
+    patterns: list[tuple[str, Column]] = [
+        ("drop_e", F.regexp_replace("marker", "^e", "")),
+        ("er_to_en", F.regexp_replace("marker", "er$", "en")),
+        ("add_th", F.concat(F.lit("th"), "marker")),
+    ]
+    return coverage.audit(vocabulary, GAP_RULES, patterns, least=3)

@@ -1,5 +1,6 @@
 """Text annotation on small cases."""
 
+import pytest
 from tallyframe.functions import text as X
 
 
@@ -85,3 +86,20 @@ def test_variant_rules(spark):
     vocabulary = spark.createDataFrame([("이니라", 5), ("니라", 9), ("하야", 2), ("하여", 3), ("고", 1)], "marker string, n int")
     got = profile.variant_pairs(vocabulary, korean.variant_rules()).collect()
     assert sorted((r.rule, r.marker, r.form, r.n, r.form_n) for r in got) == [("야-여", "하야", "하여", 2, 3), ("이", "이니라", "니라", 5, 9)]
+
+
+def test_families_of_forms(spark):
+    from tallyframe.operators import coverage
+
+    rules = {"a": "b", "b": "c", "x": "y", "y": "z", "z": "x", "long": "lung"}
+    words = [("a", 5), ("b", 2), ("q", 7), ("longlong", 3), ("x1", 1), (None, 4), ("q", 1)]
+    vocabulary = spark.createDataFrame(words, "marker string, n long")
+    got = {r.form: (r.n, r.normal, r.steps, r.cyclic) for r in coverage.families(vocabulary, rules).collect()}
+    # Longer keys come first, and rules of one length in order, so one rewriting of "x1" passes x, y and z.
+    assert got["a"] == (5, "c", 2, False) and got["b"] == (2, "c", 1, False) and got["c"] == (0, "c", 0, False)
+    assert got["x"] == (0, "x", None, True) and got["y"][1] == got["z"][1] == "x" and got["q"] == (8, "q", 0, False)
+    assert got["longlong"] == (3, "lunglung", 1, False) and got["x1"] == (1, "x1", 0, False)
+    assert [r.marker for r in coverage.uncovered(vocabulary, rules, 3).collect()] == ["q"]
+    with pytest.raises(ValueError, match="new forms"):
+        coverage.families(vocabulary, {"q": "qq"}, rounds=5)
+    assert coverage.families(vocabulary.limit(0), {}).count() == 0
