@@ -45,6 +45,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fields(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names hold."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not use yet."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import durable, free_name
+from tallyframe.llm.common import durable, fields, free_name, quoted
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 13
@@ -200,13 +200,13 @@ def contamination(
     if sizes <= TABLE_WORDS:
         items = [(item, words_of(body_)) for item, body_ in given.toLocalIterator()]
         name = free_name(rows, "row")
-        found = _carried(rows.select(F.struct(*names).alias(name)), items, window, name, names.index(body))
+        found = _carried(rows.select(F.struct(*fields(rows)).alias(name)), items, window, name, names.index(body))
         rows, spans, ids, size = found, F.col("spans"), F.col("found"), F.col("n_words")
         kept = [F.col(name)[c].alias(c) for c in names]
     else:
         key = [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2")]
         found = _found_by_join(rows.select(*key, F.col(body).alias("body")), given, window)
-        packed = rows.select(*key, F.struct(*names).alias("row"), F.coalesce(F.regexp_count(body, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
+        packed = rows.select(*key, F.struct(*fields(rows)).alias("row"), F.coalesce(F.regexp_count(body, F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
         rows = packed.join(found, ["k1", "k2"], "left")
         spans, ids, size = F.coalesce("spans", none[0]), F.coalesce("found", none[1]), F.col("n_words")
         kept = [F.col("row")[c].alias(c) for c in names]
@@ -226,4 +226,4 @@ def contamination(
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones, under their own column names; options as for contamination()."""
     found = contamination(docs, benchmark, **options).where(~F.col("contaminated"))
-    return found.select(*(F.col(f"in_{c}" if f"in_{c}" in found.columns and f"in_{c}" not in docs.columns else c).alias(c) for c in docs.columns))
+    return found.select(*(F.col(quoted(f"in_{c}" if f"in_{c}" in found.columns and f"in_{c}" not in docs.columns else c)).alias(c) for c in docs.columns))

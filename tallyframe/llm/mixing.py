@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import durable, word_count
+from tallyframe.llm.common import durable, fields, word_count
 
 #: Ranges of virtual finish time per unit, and parts of each; the budget is reached near time 1.
 RANGES, PARTS = 1 << 10, 1 << 10
@@ -94,7 +94,7 @@ def mix(
     # The text is part of it, so that rows of one id, or of none, are spread, too.
     hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
     keyed = docs.select(
-        F.struct(*docs.columns).alias("row"),
+        F.struct(*fields(docs)).alias("row"),
         F.col(doc_id).alias("id"),
         _source_key(F.col(source)).alias("sk"),
         hashed.alias("h"),

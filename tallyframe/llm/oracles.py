@@ -39,10 +39,10 @@ FROM placed LEFT JOIN took USING (sk, k)
 ORACLES["op3"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS body FROM documents),
 l AS (SELECT DISTINCT r, coalesce('=' || source, '') AS site, trim(line) AS line
-  FROM (SELECT r, source, unnest(body) AS line FROM d) WHERE trim(line) <> ''),
+  FROM (SELECT r, source, unnest(body) AS line FROM d) WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
 n AS (SELECT coalesce('=' || source, '') AS site, count(*) AS total FROM documents GROUP BY 1),
 b AS (SELECT site, line FROM (SELECT site, line, count(*) AS pages FROM l GROUP BY ALL) JOIN n USING (site)
-  WHERE pages - 1 > 0.08::DOUBLE * (total - 1)),
+  WHERE pages >= 3 AND pages > 0.08::DOUBLE * total),
 bad AS (SELECT coalesce('=' || source, '') AS site, r, i FROM
     (SELECT r, source, unnest(body) AS line, generate_subscripts(body, 1) AS i FROM d) x
   WHERE EXISTS (SELECT 1 FROM b WHERE b.site = coalesce('=' || x.source, '') AND b.line = trim(x.line))),

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import checked, components, durable, free_name, unique_nodes
+from tallyframe.llm.common import checked, components, durable, fields, free_name, unique_nodes
 
 SEED = 42
 #: Blocks of more fingerprints than this are searched by neighbourhoods instead of pairs.
@@ -304,7 +304,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     out = rows.join(mine(state.where("keep is null")), [k1, k2], "left_anti")
     twins = state.where("keep and m > 1")
     if twins.isEmpty():
-        return out.select(*docs.columns)
+        return out.select(*fields(docs))
     twins = mine(twins)
     single = out.join(twins, [k1, k2], "left_anti")
-    return single.union(out.join(twins, [k1, k2], "left_semi").dropDuplicates([k1, k2])).select(*docs.columns)
+    return single.union(out.join(twins, [k1, k2], "left_semi").dropDuplicates([k1, k2])).select(*fields(docs))

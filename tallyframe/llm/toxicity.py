@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import free_name
+from tallyframe.llm.common import free_name, quoted
 
 #: Rows of the labelled sample that the model is fitted to (as expected value), and features kept of them at most.
 SAMPLE_ROWS, SAMPLE_FEATURES = 16_000, 20_000_000
@@ -169,5 +169,5 @@ def score(
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, name])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{name}` double"
-    return docs.select(*keep, F.col(text).alias(free_name(docs, "text_"))).mapInArrow(predict, schema)
+    schema = ", ".join(f"{quoted(c)} {kinds[c]}" for c in keep) + f", {quoted(name)} double"
+    return docs.select(*map(quoted, keep), F.col(text).alias(free_name(docs, "text_"))).mapInArrow(predict, schema)

@@ -262,10 +262,32 @@ def test_line_dedup(spark):
     for r in rows:
         total[r[3]] += 1
         pages.update({(r[3], x.strip(" ")) for x in (r[1] or "").split("\n") if x.strip(" ")} if r[1] is not None else set())
-    bad = {k for k, n in pages.items() if n - 1 > line_dedup.RATIO * (total[k[0]] - 1)}
+    bad = {k for k, n in pages.items() if n >= line_dedup.LEAST and n > line_dedup.RATIO * total[k[0]]}
     clean = lambda r: None if r[1] is None else "\n".join(x for x in r[1].split("\n") if (r[3], x.strip(" ")) not in bad)
     assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(r[0]), str(clean(r))) for r in rows)
     assert bad and line_dedup.drop_lines(docs(spark, [])).count() == 0
+    blank = [(i, "menu\r\n\r\nbody %d\r\n\t\nend\n\x0b" % i, "en", "a", 1) for i in range(40)]
+    kept = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_lines(docs(spark, blank)).collect()}
+    assert kept == {i: (f"\r\nbody {i}\r\n\t\n\x0b", 6, 2) for i in range(40)}
+
+
+def test_line_dedup_of_very_long_pages(spark):
+    """Two pages of 100,000 lines each, most of them boilerplate, take time in proportion to their lines."""
+    long_ = "\n".join(f"line {i}" for i in range(100_000))
+    rows = [(i, long_, "en", "a", 1) for i in range(3)] + [(3, "own\n" + long_ + "\nlast", "en", "a", 1)]
+    began = time.time()
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_lines(docs(spark, rows)).collect()}
+    assert got == {**{i: ("", 100_000) for i in range(3)}, 3: ("own\nlast", 100_000)} and time.time() - began < 60
+
+
+def test_columns_with_dots(spark):
+    rows = [(i, f"word{i % 3} and more\nmenu", "en", "a", 1) for i in range(20)]
+    df = docs(spark, rows).withColumn("x.y", F.col("doc_id")).withColumn("a`b", F.lit("z"))
+    bench = spark.createDataFrame([(1, "word1 and more")], "item_id long, text string")
+    results = [line_dedup.drop_lines(df), mixing.mix(df, carry=True), decontaminate.contamination(df, bench), decontaminate.drop_contaminated(df, bench), simhash.drop_near_duplicates(df)]
+    for got in results:
+        taken = got.collect()
+        assert taken and all(r["x.y"] == r["doc_id"] and r["a`b"] == "z" for r in taken)
 
 
 # --- 4: passages -------------------------------------------------------------------------------
