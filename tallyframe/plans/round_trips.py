@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import calls, joins, judgments, raters, sampling
 from tallyframe.plans import adapters as A
+from tallyframe.plans import provenance
 from tallyframe.plans.reports import REGISTRY
 from tallyframe.registry import table
 from tallyframe.sources import readers, writers
@@ -80,6 +81,19 @@ def xml_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.xml_sentences(spark, f"{path}/part-*").where("error is null").select("id", "text")
 
 
+@query(
+    "xml_records_in_pieces",
+    "SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS status, o_orderpriority || ' & <' || o_orderstatus || '>' AS note, NULL::VARCHAR AS absent FROM orders",
+)
+def xml_records_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark)
+    note = F.concat("o_orderpriority", F.lit(" & <"), "o_orderstatus", F.lit(">"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), note.alias("note"))
+    rows.write.format("xml").option("rootTag", "shelf").option("rowTag", "record").save(path)
+    found = readers.xml_records(spark, f"{path}/part-*", "record", ["key", "status", "note", "absent"], whole=0)
+    return found.where("error is null").drop("file", "error")
+
+
 @query("xml_records", "SELECT n_name AS name, n_nationkey::VARCHAR AS key, NULL::VARCHAR AS absent FROM nation")
 def xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark)
@@ -106,18 +120,53 @@ def append_resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("keys"))
 
 
-@query("file_pairs", "SELECT lower(r_name) AS book FROM region WHERE r_regionkey <> 0")
+@query(
+    "file_pairs",
+    "SELECT lower(replace(r_name, ' ', '_')) AS book, true AS first_named, true AS second_named FROM region WHERE r_regionkey <> 0",
+)
 def file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first region has one file only, so it is no pair."""
+    path = fresh_path(spark)
+    regions = table(spark, sf_dir, "region").select(F.regexp_replace(F.lower("r_name"), " ", "_").alias("book"), "r_regionkey")
+    for side in ("_first", "_second"):
+        part = regions.where(F.lit(side == "_first") | (F.col("r_regionkey") != 0))
+        part.select(F.concat("book", F.lit(f"{side}.txt")).alias("name"), F.lit("x").alias("value")).write.partitionBy("name").mode("append").text(f"{path}/raw")
+    # Spark names files itself; a copy gives them the names of their folders.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/raw").select("path")
+    for row in listed.collect():
+        place = spark._jvm.org.apache.hadoop.fs.Path(row.path)
+        to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/named/{row.path.split('name=')[1].split('/')[0]}")
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(to.getParent())
+        store.rename(place, to)
+    pairs = readers.file_pairs(spark, f"{path}/named", "_first", "_second")
+    return pairs.select("book", F.endswith("first", F.lit("_first.txt")).alias("first_named"), F.endswith("second", F.lit("_second.txt")).alias("second_named"))
+
+
+_FROZEN = "SELECT o_orderstatus || '-' || left(o_orderpriority, 1) AS g, string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey) || chr(10) AS body, count(*)::BIGINT AS n FROM orders GROUP BY 1"
+
+
+@query("frozen_copy", f"SELECT g, sha256(body) AS sha256, length(body)::BIGINT AS bytes, n - 1 AS rows, 'ok' AS state FROM ({_FROZEN})")
+def frozen_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of order numbers for each status and priority is copied; manifest and copies are checked once more."""
+    path = fresh_path(spark)
+    g = F.concat("o_orderstatus", F.lit("-"), F.left("o_orderpriority", F.lit(1)))
+    rows = table(spark, sf_dir, "orders").select(g.alias("g"), F.col("o_orderkey"))
+    rows = rows.repartition("g").sortWithinPartitions("g", "o_orderkey").select("g", F.col("o_orderkey").cast("string").alias("value"))
+    rows.write.partitionBy("g").text(f"{path}/run")
+    frozen = provenance.freeze(spark, f"{path}/run", f"{path}/frozen", "part-*")
+    both = frozen.join(provenance.verify_frozen(spark, f"{path}/frozen").select("file", "state"), "file")
+    return both.select(F.regexp_extract("file", "g=([^/]+)", 1).alias("g"), "sha256", "bytes", "rows", "state")
+
+
+@query("manifest_digests", f"SELECT sha256(body) AS sha256, length(body)::BIGINT AS bytes FROM ({_FROZEN})")
+def manifest_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark)
-    regions = table(spark, sf_dir, "region").select(F.regexp_replace(F.lower(F.trim("r_name")), "[^a-z]", "_").alias("book"), "r_regionkey")
-    for side in ("_first_", "_second_"):  # the first region has one file only
-        part = regions.where(F.lit(side == "_first_") | (F.col("r_regionkey") != 0))
-        part.select(F.concat("book", F.lit(f"{side}1")).alias("name"), F.lit("x").alias("value")).write.partitionBy("name").mode("append").text(path)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    names = listed.select(F.regexp_extract("path", "name=([^/]+)", 1).alias("name"))
-    sides = names.select(F.when(F.contains("name", F.lit("_first_")), "first").otherwise("second").alias("side"), F.regexp_replace("name", "_(first|second)_1$", "").alias("book"))
-    both = sides.groupBy("book").agg(F.count_distinct("side").alias("n")).where("n = 2").select(F.col("book"))
-    return both.join(regions.select("book"), "book", "left_semi").select(F.regexp_replace("book", "_", " ").alias("book"))
+    g = F.concat("o_orderstatus", F.lit("-"), F.left("o_orderpriority", F.lit(1)))
+    rows = table(spark, sf_dir, "orders").select(g.alias("g"), F.col("o_orderkey"))
+    rows = rows.repartition("g").sortWithinPartitions("g", "o_orderkey").select("g", F.col("o_orderkey").cast("string").alias("value"))
+    rows.write.partitionBy("g").text(path)
+    return provenance.manifest(spark, path, "part-*", whole=100).select("sha256", "bytes")
 
 
 @query(

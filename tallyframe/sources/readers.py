@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -94,45 +95,87 @@ def json_document(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.option("multiLine", True).json(path) if exists(spark, path) else None
 
 
-def xml_sentences(spark: SparkSession, path: str, tag: str = "s", key: str = "id") -> DataFrame:
-    """file, id, text and error of each sentence element, with the text of elements inside it.
+#: XML files of up to so many bytes are parsed as a whole; longer ones element by element, in several tasks.
+WHOLE = 1 << 26
+
+
+def _in_piece(piece: str, tag: str) -> Iterator[str]:
+    """Elements of a tag in a piece of a file that ends before an end tag, or after the last one."""
+    starts = list(re.finditer(rf"<{re.escape(tag)}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", piece))
+    for i, m in enumerate(starts):
+        if m[0].endswith("/>"):
+            yield m[0]
+        elif i + 1 == len(starts) or all(x[0].endswith("/>") for x in starts[i + 1 :]):
+            yield piece[m.start() :] + f"</{tag}>"
+            return
+
+
+def _elements(spark: SparkSession, path: str, tag: str, names: list[str], take: Callable[[ET.Element], tuple], whole: int, first: bool = False) -> DataFrame:
+    """file, the names with what `take` makes of each element of a tag, and error.
 
-    A broken file gives one row with its error and neither id nor text.
+    A file of up to `whole` bytes is one value, and one row with an error if it is broken. Larger files
+    are cut at the tag's end, so Spark reads each of them in several tasks, and an element is parsed
+    by itself: elements of the tag do not hold each other, a broken one gives a row with its error, what
+    is wrong between elements is passed over, and one in which the file ends is as long as it is. With `first`, only the first element of a small file.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path)
+    schema = ", ".join(f"`{c}` string" for c in ["file", *names, "error"])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [()] * (len(names) + 2)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", *names, "error"])
+
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    found = [(name, e.get(key), "".join(e.itertext()).strip(), None) for e in ET.fromstring(body).iter(tag)]
+                    tree = ET.fromstring(body)
+                    made = [(name, *take(e), None) for e in tree.iter(tag)]
+                    yield rows((made[:1] or [(name, *[None] * len(names), None)]) if first else made)
                 except ET.ParseError as error:
-                    found = [(name, None, None, str(error))]
-                columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", "id", "text", "error"])
+                    yield rows([(name, *[None] * len(names), str(error))])
+
+    def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for element in _in_piece(piece, tag):
+                    try:
+                        out.append((name, *take(ET.fromstring(element)), None))
+                    except ET.ParseError as error:
+                        out.append((name, *[None] * len(names), str(error)))
+            yield rows(out)
+
+    small = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(at_once, schema)
+    large = [r.path for r in files.where(F.col("length") > whole).select("path").collect()]
+    if not large:
+        return small
+    pieces = spark.read.option("lineSep", f"</{tag}>").text(large).select(F.col("_metadata.file_path").alias("path"), "value")
+    # A last piece without a start of the tag has no element.
+    return small.union(pieces.where(F.contains("value", F.lit(f"<{tag}"))).mapInArrow(in_pieces, schema))
+
+
+def xml_sentences(spark: SparkSession, path: str, tag: str = "s", key: str = "id", whole: int = WHOLE) -> DataFrame:
+    """file, id, text and error of each sentence element, with the text of elements inside it.
+
+    A broken file gives one row with its error and neither id nor text; see _elements() for files of
+    more than `whole` bytes.
+    """
+    return _elements(spark, path, tag, ["id", "text"], lambda e: (e.get(key), "".join(e.itertext()).strip()), whole)
 
-    return files.mapInArrow(parse, "file string, id string, text string, error string")
+
+def _fields(names: list[str]) -> Callable[[ET.Element], tuple]:
+    return lambda record: tuple(("".join(e.itertext()).strip() or None) if (e := record.find(f)) is not None else None for f in names)
 
 
 def xml_record(spark: SparkSession, path: str, root: str, fields: list[str]) -> DataFrame:
-    """Named child elements of a record, one row per file; null where one is absent. A broken file has an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """Named child elements of the first record, one row per file; null where one is absent. A broken file has an error."""
+    return _elements(spark, path, root, fields, _fields(fields), 1 << 62, first=True)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    tree = ET.fromstring(body)
-                    record = tree if tree.tag == root else tree.find(f".//{root}")
-                    found = [("".join(e.itertext()).strip() or None) if record is not None and (e := record.find(f)) is not None else None for f in fields]
-                    out.append((name, *found, None))
-                except ET.ParseError as error:
-                    out.append((name, *[None] * len(fields), str(error)))
-            columns = list(zip(*out, strict=True)) or [()] * (len(fields) + 2)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["file", *fields, "error"])
 
-    return files.mapInArrow(parse, ", ".join(f"`{c}` string" for c in ["file", *fields, "error"]))
+def xml_records(spark: SparkSession, path: str, root: str, fields: list[str], whole: int = WHOLE) -> DataFrame:
+    """The same for all records of each file, one row per record, in several tasks where a file has more than `whole` bytes."""
+    return _elements(spark, path, root, fields, _fields(fields), whole)
 
 
 def file_pairs(spark: SparkSession, folder: str, first: str, second: str) -> DataFrame:

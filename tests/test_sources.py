@@ -234,3 +234,45 @@ def test_xml_records(spark, tmp_path):
     (tmp_path / "b.xml").write_text("<all>")
     rows = readers.xml_record(spark, f"file://{tmp_path}/*.xml", "book", ["title", "by"]).orderBy("file").collect()
     assert (rows[0].title, rows[0].by, rows[0].error) == ("T", None, None) and rows[1].error
+
+
+def test_xml_in_pieces(spark, tmp_path):
+    """A file larger than `whole` is read in several tasks, with the same elements as in one."""
+    body = "".join(f'<s id="{i}" t=">"> a{i} <b>mid {i}</b> tail<!-- x --> &amp; {"y" * (i % 90)}</s>\n<note/>' if i % 10 else f'<s id="{i}"/>' for i in range(6000))
+    (tmp_path / "a.xml").write_text(f"<text><sent/>{body}</text>")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        pieces = readers.xml_sentences(spark, f"file://{tmp_path}/*.xml", whole=1000)
+        assert pieces.rdd.getNumPartitions() > 3
+        whole = readers.xml_sentences(spark, f"file://{tmp_path}/*.xml")
+        one, other = ({(r.id, r.text, r.error) for r in df.collect()} for df in (pieces, whole))
+        assert one == other and len(one) == 6000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    (tmp_path / "b.xml").write_text("<all>" + "".join(f"<r><t>x{i}</t>{'<bad' if i == 5 else ''}</r>" for i in range(9)) + "</all>")
+    rows = readers.xml_records(spark, f"file://{tmp_path}/b.xml", "r", ["t"], whole=10).collect()
+    assert sorted(r.t for r in rows if r.error is None) == [f"x{i}" for i in range(9) if i != 5] and sum(r.error is not None for r in rows) == 1
+    assert [r.error is not None for r in readers.xml_records(spark, f"file://{tmp_path}/b.xml", "r", ["t"]).collect()] == [True]
+
+
+def test_frozen_copies(spark, tmp_path):
+    from tallyframe.plans import provenance
+
+    for name, body in (("a.csv", "h\n1\n2\n"), ("sub/b.csv", "h\n1"), ("sub/empty.csv", ""), ("big.csv", "x\n" * 5_000_000)):
+        place = tmp_path / "run" / name
+        place.parent.mkdir(parents=True, exist_ok=True)
+        place.write_text(body)
+    target = f"file://{tmp_path}/frozen"
+    got = {r.file: (r.bytes, r.rows) for r in provenance.freeze(spark, f"file://{tmp_path}/run", target).collect()}
+    assert got == {"a.csv": (6, 2), "sub/b.csv": (3, 1), "sub/empty.csv": (0, -1), "big.csv": (10_000_000, 4_999_999)}
+    assert {r.state for r in provenance.verify_frozen(spark, target).collect()} == {"ok"}
+    assert not list((tmp_path / "frozen").rglob("*.half"))
+    with pytest.raises(ValueError, match="in use"):
+        provenance.freeze(spark, f"file://{tmp_path}/run", target)
+    (tmp_path / "frozen/files/a.csv").write_text("h\n1\n3\n")  # damaged
+    (tmp_path / "frozen/files/sub/b.csv").unlink()
+    states = provenance.verify_frozen(spark, target)
+    assert {r.file: r.state for r in states.collect()} == {"a.csv": "changed", "sub/b.csv": "missing", "sub/empty.csv": "ok", "big.csv": "ok"}
+    with pytest.raises(ValueError, match="a.csv changed"):
+        provenance.require(states)
