@@ -381,6 +381,64 @@ def test_no_shared_run_is_left_out(spark):
     assert all(s <= reach(min(s)) for s in holders.values() if len(s) > 1)
 
 
+def test_halves_that_are_too_short_alone_make_a_passage():
+    """45 equal words, up to 22 others in one or both texts, 45 equal words: at least 80 % of them are equal."""
+    rng = random.Random(45)
+    for trial in range(60):
+        gap = 8 + trial % 15
+        first, last, mid = words(rng, 45, 10**6), words(rng, 45, 10**6), words(rng, gap, 10**6)
+        other = [[], words(rng, gap, 10**6)][trial % 2]
+        around = [words(rng, 120, 10**6) for _ in range(4)]
+        codes = passages._Codes()
+        a = passages.encode(" ".join(around[0] + first + mid + last + around[1]), codes)
+        b = passages.encode(" ".join(around[2] + first + other + last + around[3]), codes)
+        found = passages.passages(a, b)
+        assert any(s <= 122 and e >= 208 + gap for s, e, *_ in found), (trial, gap, found)
+        assert all(n >= passages.EQUAL * max(e - s, f - t) for s, e, t, f, n in found)
+    a = passages.encode(" ".join(words(rng, 20, 10**6) + first[:30] + words(rng, 60, 10**6) + last[:30]), codes)
+    assert not passages.passages(a, passages.encode(" ".join(first[:30] + last[:30]), codes))
+
+
+def test_every_place_of_a_passage_is_found():
+    rng = random.Random(46)
+    for n_a, n_b in ((3, 1), (1, 4), (3, 3), (6, 2)):
+        shared, codes = words(rng, 60, 10**6), passages._Codes()
+        texts, places = [], []
+        for n in (n_a, n_b):
+            text, own = [], []
+            for _ in range(n):
+                text += words(rng, rng.randrange(40, 90), 10**6)
+                own.append(len(text))
+                text += shared
+            texts.append(passages.encode(" ".join(text + words(rng, 30, 10**6)), codes))
+            places.append(own)
+        found = passages.passages(*texts)
+        for at in places[0]:
+            assert any(s <= at and e >= at + 60 for s, e, *_ in found)
+        for at in places[1]:
+            assert any(t <= at and f >= at + 60 for _, _, t, f, _ in found)
+
+
+def test_a_crowd_is_one_class(spark):
+    """Of 40 fuzzy copies of a passage each has a row with some other, and all have one class and no other text has it."""
+    rng = random.Random(47)
+    rows = []
+    for c in range(3):
+        shared = words(rng, 60, 10**6)
+        for k in range(40):
+            w = list(shared)
+            for i in rng.sample(range(60), 4):
+                w[i] = f"x{rng.randrange(10**6)}"
+            rows.append((100 * c + k, " ".join(words(rng, 80, 10**6) + w + words(rng, 80, 10**6))))
+    rows += [(1000, rows[7][1]), (1001, " ".join(words(rng, 90, 10**6)))] * 2
+    classes = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs(spark, rows).repartition(4)).collect():
+        classes[r.doc_id].add(r.class_id)
+        classes[r.other_id].add(r.class_id)
+    assert all(len(x) == 1 for x in classes.values())
+    assert {i: min(x) for i, x in classes.items()} == {**{100 * c + k: 100 * c for c in range(3) for k in range(40)}, 1000: 0}
+
+
 def test_a_chain_is_split_where_a_gap_is_too_wide():
     rng = random.Random(25)
     for left, gap, right in ((3500, 2000, 3500), (60, 40, 60), (400, 100, 55), (70, 15, 70)):
