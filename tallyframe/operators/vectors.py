@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.stats import col
+from tallyframe.operators import clusters
 from tallyframe.operators.calls import SHARDS, Log
 from tallyframe.operators.judgments import remaining
 from tallyframe.operators.ordering import numbered
@@ -51,85 +48,21 @@ def nearest_to(df: DataFrame, query: list[float], k: int, vector: str, key: str)
     return rows.orderBy(F.desc("similarity"), key).limit(k)
 
 
-def _sampled(df: DataFrame, vector: str, more: list[str], n: int) -> pd.DataFrame:
-    """A bounded sample of the rows, taken by a hash of the vector: the same for the same vectors."""
-    v = F.col(vector).cast("array<double>").alias("v")
-    return df.select(v, *more).orderBy(F.md5(F.to_json(F.struct("v"))), *more).limit(n).toPandas()
-
-
-def silhouette(placed: DataFrame, vector: str, cluster: str, sample: int = 2000) -> float | None:
-    """Mean Euclidean silhouette of a bounded sample of the rows; None with fewer than two clusters.
-
-    A row alone in its cluster counts 0.
-    """
-    rows = _sampled(placed, vector, [cluster], sample)
-    return _mean_silhouette(placed.sparkSession, np.stack(rows["v"].to_list()), rows[cluster].to_numpy()) if len(rows) else None
-
-
-def _mean_silhouette(spark: SparkSession, points: np.ndarray, kinds: np.ndarray) -> float | None:
-    """Pairs of the sample are compared row by row in tasks."""
-    if len(np.unique(kinds)) < 2:
-        return None
-    shared = spark.sparkContext.broadcast((points, kinds))
+def cluster(df: DataFrame, vector: str, key: str, k: int, starts: int = 20, seed: int = 42) -> DataFrame:
+    """Cluster of each row by the best of several starts (clusters.fit), with its cosine to the cluster's centre."""
+    found = clusters.centres(df, vector, k, starts, seed)
+    shared = df.sparkSession.sparkContext.broadcast(found)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points, kinds = shared.value
-        names = np.unique(kinds)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy()
-            far = np.sqrt(np.maximum(0.0, (points[at] ** 2).sum(1)[:, None] + (points**2).sum(1) - 2 * points[at] @ points.T))
-            far[np.arange(len(at)), at] = 0.0
-            sums = np.stack([far[:, kinds == c].sum(1) for c in names], axis=1)
-            sizes = np.array([(kinds == c).sum() for c in names])
-            own = np.searchsorted(names, kinds[at])
-            inside = sums[np.arange(len(at)), own] / np.maximum(1, sizes[own] - 1)
-            means = sums / sizes
-            means[np.arange(len(at)), own] = np.inf
-            near = means.min(1)
-            out = np.where(sizes[own] > 1, (near - inside) / np.maximum(np.maximum(near, inside), 1e-300), 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(out)], ["s"])
-
-    return spark.range(len(points)).mapInArrow(score, "s double").agg(F.avg("s")).first()[0]
-
-
-def _fitted(rows: DataFrame, ks: list[int], starts: int, seed: int) -> dict[int, KMeansModel]:
-    """For each k the best by cost of k-means models from several starts; fits are jobs side by side."""
-
-    def fit(job: tuple[int, int]) -> tuple[int, float, int, KMeansModel]:
-        k, i = job
-        model = KMeans(k=k, seed=seed + i, maxIter=20).fit(rows)
-        return k, model.summary.trainingCost, i, model
-
-    with ThreadPool(8) as pool:
-        done = pool.map(fit, [(k, i) for k in ks for i in range(starts)], chunksize=1)
-    return {k: min((d for d in done if d[0] == k), key=lambda d: d[1:3])[3] for k in ks}
-
-
-def search_k(df: DataFrame, vector: str, ks: tuple[int, ...] = tuple(range(2, 13)), starts: int = 10, seed: int = 42, sample: int = 2000) -> DataFrame:
-    """Per number of clusters: cost of the best of several starts and Euclidean silhouette of a hashed sample, best first.
-
-    Models are fitted on all rows; ties in silhouette go to fewer clusters. With few rows only as many
-    clusters are tried as there are rows less one.
-    """
-    rows = df.select(vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
-    n = rows.count()
-    points, out = _sampled(df, vector, [], sample)["v"].to_list(), []
-    for k, best in _fitted(rows, [k for k in ks if k < n], starts, seed).items():
-        kinds = ((np.stack(points)[:, None] - np.array(best.clusterCenters())) ** 2).sum(2).argmin(1)
-        out.append((k, float(best.summary.trainingCost), _mean_silhouette(df.sparkSession, np.stack(points), kinds)))
-    rows.unpersist()
-    return df.sparkSession.createDataFrame(out, "k int, cost double, silhouette double").orderBy(F.desc("silhouette"), "k")
-
-
-def cluster(df: DataFrame, vector: str, key: str, k: int, starts: int = 20, seed: int = 42) -> DataFrame:
-    """Cluster of each row by the best of several starts, with its cosine to the cluster's centre."""
-    rows = df.select(key, vector, array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
-    model = _fitted(rows, [k], starts, seed)[k]
-    centres = df.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>"
-    )
-    placed = model.transform(rows).withColumnRenamed("prediction", "cluster").join(F.broadcast(centres), "cluster")
-    return placed.select(key, "cluster", cosine(vector, "centre", 1e-9).alias("similarity"))
+            x = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            near = clusters._squares(x, shared.value).argmin(1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], [key, "v", "cluster"])
+
+    rows = df.select(key, F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    placed = rows.mapInArrow(place, f"`{key}` {dict(df.dtypes)[key]}, v array<double>, cluster int")
+    middle = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(found)], "cluster int, centre array<double>")
+    return placed.join(F.broadcast(middle), "cluster").select(key, "cluster", cosine("v", "centre", 1e-9).alias("similarity"))
 
 
 def embed(

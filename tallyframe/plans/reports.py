@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats, text
-from tallyframe.operators import agreement, joins, judgments, profile, ranks, sampling, strata, vectors
+from tallyframe.operators import agreement, clusters, joins, judgments, profile, ranks, sampling, strata, vectors
 from tallyframe.operators.bootstrap import cramers_v_interval
 from tallyframe.plans import adapters as A
 from tallyframe.plans import provenance
@@ -787,7 +787,20 @@ def cosine_to_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_k_search")
 def kmeans_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.search_k(table(spark, sf_dir, "embeddings"), "embedding")
+    return clusters.search_k(table(spark, sf_dir, "embeddings"), "embedding")
+
+
+@query(
+    "silhouette_of_labels",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+p AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM e a, e b GROUP BY ALL),
+q AS (SELECT vec_id, max(CASE WHEN other = label AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN other <> label THEN s / n END) AS b FROM p GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*)::BIGINT AS rows, (SELECT count(DISTINCT label)::BIGINT FROM e) AS clusters FROM q""",
+)
+def silhouette_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
+    score = clusters.silhouette(rows, "embedding", "label")
+    return rounded(rows.agg(F.lit(score).alias("silhouette"), F.count("*").alias("rows"), F.count_distinct("label").alias("clusters")))
 
 
 @query("kmeans_clusters")

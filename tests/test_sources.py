@@ -179,7 +179,7 @@ def test_embed_goes_on(spark):
 def test_silhouette_against_brute_force(spark):
     import numpy as np
 
-    from tallyframe.operators import vectors
+    from tallyframe.operators import clusters
 
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(c, 1, (30, 3)) for c in (0, 3, 7)])
@@ -191,8 +191,10 @@ def test_silhouette_against_brute_force(spark):
         near = min(far[i][kinds == c].mean() for c in range(3) if c != kinds[i])
         want.append((near - inside) / max(near, inside))
     df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(points, kinds)], "v array<double>, c int")
-    assert abs(vectors.silhouette(df, "v", "c") - np.mean(want)) < 1e-9
-    assert vectors.silhouette(df.where("c = 0"), "v", "c") is None
+    assert abs(clusters.silhouette(df, "v", "c") - np.mean(want)) < 1e-9
+    assert clusters.silhouette(df.where("c = 0"), "v", "c") is None
+    part = clusters.silhouette(df.repartition(3), "v", "c", rows=20)  # a sample of rows, each against all rows
+    assert abs(part - np.mean(want)) < 0.2 and part == clusters.silhouette(df, "v", "c", rows=20)
 
 
 def test_shelves(spark):
@@ -276,3 +278,36 @@ def test_frozen_copies(spark, tmp_path):
     assert {r.file: r.state for r in states.collect()} == {"a.csv": "changed", "sub/b.csv": "missing", "sub/empty.csv": "ok", "big.csv": "ok"}
     with pytest.raises(ValueError, match="a.csv changed"):
         provenance.require(states)
+
+
+def test_many_models_in_shared_passes(spark):
+    import numpy as np
+
+    from tallyframe.operators import clusters, vectors
+
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(c, 0.6, (40, 3)) for c in ((0, 0, 0), (6, 0, 0), (0, 7, 0), (5, 5, 5))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)] + [(999, None)], "k int, v array<double>").repartition(5)
+    rows = clusters._vectors(df, "v")
+    first = {(k, i): clusters.starts(points, k, i) for k in (2, 3, 4, 5) for i in range(3)}
+
+    def plain(c):
+        while True:
+            far = ((points[:, None] - c) ** 2).sum(2)
+            near = far.argmin(1)
+            moved = np.array([points[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
+            if np.sqrt(((moved - c) ** 2).sum()) <= clusters.SETTLED:
+                return c, far.min(1).sum()
+            c = moved
+
+    found = clusters.fit(rows, first)
+    for name, c in first.items():
+        centres, cost = plain(c)
+        assert np.allclose(found[name][0], centres, atol=1e-6) and abs(found[name][1] - cost) < 1e-6
+    best = clusters.search_k(df, "v", (2, 3, 4, 5, 6), tries=4).collect()
+    assert best[0].k == 4 and len(best) == 5
+    assert abs({r.k: r.cost for r in best}[4] - min(plain(clusters.starts(points, 4, s))[1] for s in range(60))) < 1e-3
+    placed = vectors.cluster(df, "v", "k", 4, starts=4)
+    assert abs(clusters.silhouette(placed.join(df, "k"), "v", "cluster") - best[0].silhouette) < 1e-6
+    groups = [{r.k for r in placed.where(f"cluster = {c}").collect()} for c in range(4)]
+    assert sorted(map(sorted, groups)) == [list(range(40 * i, 40 * i + 40)) for i in range(4)]
