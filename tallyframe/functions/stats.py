@@ -199,16 +199,28 @@ def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(a, int(b)) for a, b in zip(x, df, strict=True)], dtype="float64")
 
 
+#: Pairs of a sign test up to which logarithms are added up one by one.
+MANY = 100_000
+
+
 def sign_test(wins: Column | str, losses: Column | str) -> Column:
     """Exact two-sided sign test, ties left out; null without pairs.
 
-    The largest binomial term of the tail is taken in logarithms, the others relative to it, so any
-    number of pairs is in range.
+    The largest binomial term of the tail is taken in logarithms (up to MANY pairs as a sum, beyond by
+    Stirling's series), the others relative to it. Terms further from the middle than nine standard
+    deviations are below the last digit, so the sum has as many terms as the root of the pairs.
     """
     w, v = col(wins).cast("long"), col(losses).cast("long")
     n, k = w + v, F.least(w, v)
-    places = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    log_top = F.aggregate(places, F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))
+    none = F.array().cast("array<bigint>")
+    every = F.when((k >= 1) & (n <= MANY), F.sequence(F.lit(1).cast("long"), k)).otherwise(none)
+    stirling = lambda x: (x + 0.5) * F.log(x) - x + 1 / (12 * x) - 1 / (360 * x * x * x)  # noqa: E731  without half the log of two pi
+    far = n.cast("double"), k.cast("double"), (n - k).cast("double")
+    log_many = F.when(k == 0, 0.0).when(k < 30, F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(k, F.lit(30))), F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i)))
+    log_many = log_many.otherwise(stirling(far[0]) - stirling(far[1]) - stirling(far[2]) - 0.5 * math.log(2 * math.pi))
+    log_top = F.when(n <= MANY, F.aggregate(every, F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))).otherwise(log_many)
+    reach = F.least(k, (9 * F.sqrt(n.cast("double")) + 40).cast("long"))
+    places = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), reach)).otherwise(none)
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
     def step(s: Column, i: Column) -> Column:

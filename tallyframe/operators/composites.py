@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import stats
-from tallyframe.operators import agreement, judgments
+from tallyframe.operators import agreement, evidence, judgments
+from tallyframe.storage import durable
 
 
 def tidy(df: DataFrame, part: str, item: Column | str | None = None) -> DataFrame:
@@ -58,6 +59,64 @@ def prevalence(df: DataFrame, group: Column, marker: Column, order: list[str]) -
     return rows.crossJoin(F.broadcast(first)).withColumn("ratio", stats.rate_ratio("first_pct", "pct")).drop("first_pct")
 
 
+def expected(a: str, b: str, c: str, d: str) -> dict[str, Column]:
+    """Counts that a 2x2 table would have if rows and columns were independent."""
+    x = [F.col(n).cast("double") for n in (a, b, c, d)]
+    n = F.nullif(x[0] + x[1] + x[2] + x[3], F.lit(0.0))
+    rows, columns = (x[0] + x[1], x[2] + x[3]), (x[0] + x[2], x[1] + x[3])
+    return {f"expected_{k}": rows[i // 2] * columns[i % 2] / n for i, k in enumerate("abcd")}
+
+
+def metadata_report(df: DataFrame, group: Column, hit: Column, variant: str, order: list[str], top: int = 25) -> DataFrame:
+    """Rows that a condition marks by group, as rows of part, item, measure and value.
+
+    totals and group (of the fixed order): records, hits, others and percent. test: the first group
+    against all other rows, with expected counts, chi-squared with and without Yates' correction, their
+    p-values and V. ratio: the first group's percent to each other's, both rounded. variant: the most
+    frequent values among the hits, ties by value. One grouping of group and value serves all parts;
+    a null group counts among the others, a null condition as no hit.
+    """
+    held = F.coalesce(hit, F.lit(False))
+    counts = durable(df.groupBy(group.alias("group"), held.alias("hit"), F.when(held, F.col(variant)).alias("variant")).agg(F.count("*").alias("n")))
+    hits = judgments.tally(F.col("hit"), "n").alias("hits")
+    sums = lambda rows: rows.withColumn("others", F.col("records") - F.col("hits")).withColumn("pct", stats.percent("hits", "records"))
+    totals = sums(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), hits))
+    names = df.sparkSession.createDataFrame([(g, i) for i, g in enumerate(order)], "group string, ord int")
+    groups = names.join(counts.groupBy("group").agg(F.sum("n").alias("records"), hits), "group", "left").fillna(0, ["records", "hits"])
+    groups = sums(groups).withColumn("pct", F.coalesce("pct", F.lit(0.0)))
+    first = F.coalesce(F.col("group") == order[0], F.lit(False))
+    cells = judgments.two_by_two(counts, F.col("hit"), first, weight="n")
+    n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    test = cells.select(*"abcd", *(v.alias(k) for k, v in expected(*"abcd").items()), stats.chi2_yates(*"abcd").alias("chi2_yates"), stats.chi2(*"abcd").alias("chi2"), n.alias("n"))
+    test = test.withColumn("v_yates", stats.cramers_v("chi2_yates", "n")).withColumns({"p_yates": stats.chi2_sf("chi2_yates", F.lit(1)), "p": stats.chi2_sf("chi2", F.lit(1))})
+    rates = groups.where("ord > 0").crossJoin(F.broadcast(groups.where("ord = 0").select(F.col("pct").alias("first_pct"))))
+    ratio = rates.select("group", stats.rate_ratio("first_pct", "pct").alias("ratio"))
+    variants = counts.where("hit and variant is not null").groupBy("variant").agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), "variant").limit(top)
+    return together(tidy(totals, "totals"), tidy(groups.drop("ord"), "group", "group"), tidy(test, "test"), tidy(ratio, "ratio", "group"), tidy(variants, "variant", "variant"))
+
+
+def particle_report(df: DataFrame, terms: list[str], target: Column, text: str = "text") -> DataFrame:
+    """Particles against a target class, as rows of part, item, measure and value.
+
+    term: rows with each particle, those of the target, and their share. target: its rows with and without
+    any particle. test: the 2x2 of any particle and target, expected counts, chi-squared by Yates and
+    its p-value, and the four conditional shares. Texts are read once for all particles.
+    """
+    features = [evidence.Feature(t, (t,), columns=(text,)) for t in terms]
+    marked = evidence.annotate(df.withColumn("target_", F.coalesce(target, F.lit(False))), features, ["target_"])
+    patterns = durable(marked.groupBy("target_", "features").agg(F.count("*").alias("n")))
+    names = F.array(*map(F.lit, terms))
+    each = patterns.select("target_", "n", F.explode("features").alias("i")).groupBy(F.element_at(names, F.col("i") + 1).alias("term"))
+    each = each.agg(F.sum("n").alias("corpus_n"), judgments.tally(F.col("target_"), "n").alias("target_n"))
+    each = df.sparkSession.createDataFrame([(t,) for t in terms], "term string").join(each, "term", "left").fillna(0)
+    each = each.withColumn("target_pct", F.coalesce(stats.percent("target_n", "corpus_n"), F.lit(0.0)))
+    cells = judgments.two_by_two(patterns, F.col("target_"), F.size("features") > 0, weight="n")
+    share = lambda x, *y: stats.percent(x, sum((F.col(k) for k in y), F.lit(0)))
+    test = cells.select(*"abcd", *(v.alias(k) for k, v in expected(*"abcd").items()), stats.chi2_yates(*"abcd").alias("chi2_yates"), share("a", "a", "b").alias("target_given_particle"), share("c", "c", "d").alias("target_given_none"), share("a", "a", "c").alias("particle_given_target"), share("b", "b", "d").alias("particle_given_other"))
+    own = cells.select((F.col("a") + F.col("c")).alias("rows"), F.col("a").alias("with"), F.col("c").alias("without"))
+    return together(tidy(each, "term", "term"), tidy(own, "target"), tidy(test.withColumn("p", stats.chi2_sf("chi2_yates", F.lit(1))), "test"))
+
+
 def preflight(wanted: DataFrame, base: DataFrame, supplement: DataFrame, key: list[str], arm: str = "arm") -> DataFrame:
     """Per arm: wanted items, and how many are left without and with the supplement."""
     a = wanted.groupBy(arm).agg(F.count("*").alias("wanted"))

@@ -86,3 +86,22 @@ def replay(df: DataFrame, manifest: DataFrame, key: list[str]) -> DataFrame:
 def pools(df: DataFrame, arm: str, kind: Column) -> DataFrame:
     """Sizes of the pools of arm and class from which examples are drawn."""
     return df.groupBy(arm, kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def examples(df: DataFrame, by: list[str], group: str, key: list[str], seed: int, total: int = 10, per_group: int = 2) -> DataFrame:
+    """Candidates for examples of each pool: by, group, key, place (from 1) and pool, the pool's size.
+
+    Up to `per_group` random rows of each group of a pool, groups in the order of their least key, until
+    there are `total`.
+    """
+    pool = df.groupBy(*by).agg(F.count("*").alias("pool"))
+    ranked = df.groupBy(*by, group).agg(F.min(F.struct(*key)).alias("first_"))
+    within = Window.partitionBy(*by, group).orderBy(drawn(key, seed), *key)
+    rows = df.select(*by, group, *key).withColumn("draw_", F.row_number().over(within)).where(F.col("draw_") <= per_group)
+    # Pools are narrowed to their first groups before they are put in order.
+    some = Window.partitionBy(*by).orderBy("first_", group)
+    ranked = ranked.withColumn("rank_", F.row_number().over(some)).where(F.col("rank_") <= total)
+    rows = rows.join(ranked.drop("first_"), [*by, group])
+    order = Window.partitionBy(*by).orderBy("rank_", "draw_")
+    rows = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= total)
+    return rows.join(pool, by).select(*by, group, *key, "place", "pool")

@@ -61,6 +61,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.panel_votes(long(spark, sf_dir), [*KEY, "flag", "book", "p"], RATERS)
 
 
+def items_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All items, and all of them judged again: every vote on a seventh of the orders is the other way."""
+    rows = items(spark, sf_dir)
+    turned = F.when(F.col("okey") % 7 == 0, F.lit(len(RATERS)) - F.col("vote_sum")).otherwise(F.col("vote_sum"))
+    return rows, rows.withColumn("vote_sum", turned)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents in four cells of quality and toxicity."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")

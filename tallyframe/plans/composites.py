@@ -286,8 +286,7 @@ def report_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     frozen = A.long(spark, sf_dir).select(*A.KEY, "rater", "judgment")
     fresh = frozen.withColumn("judgment", F.when(F.col("okey") % 7 == 0, ~F.col("judgment")).otherwise(F.col("judgment")))
-    items = A.items(spark, sf_dir)
-    return rounded(composites.drift_report(frozen, fresh, items.where("okey % 2 = 0"), items.where("okey % 2 = 1"), A.KEY, 3, "O", "F"))
+    return rounded(composites.drift_report(frozen, fresh, *A.items_twice(spark, sf_dir), A.KEY, 3, "O", "F"))
 
 
 @query(
@@ -398,3 +397,58 @@ def report_rule_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("add_th", F.concat(F.lit("th"), "marker")),
     ]
     return coverage.audit(vocabulary, GAP_RULES, patterns, least=3)
+
+
+_EXPECTED = "".join(f", ({r})::DOUBLE * ({c}) / (a+b+c+d) AS expected_{k}" for k, r, c in (("a", "a+b", "a+c"), ("b", "a+b", "b+d"), ("c", "c+d", "a+c"), ("d", "c+d", "b+d")))
+_TEST = ["a", "b", "c", "d", "expected_a", "expected_b", "expected_c", "expected_d", "chi2_yates"]
+
+
+def _metadata_sql() -> str:
+    base = f"WITH {A.SQL_MARKERS}, x AS (SELECT lang AS grp, marker, marker LIKE '%n' AS hit FROM m)"
+    sums = "count(*) AS records, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS others"
+    groups = f"o(grp, ord) AS (VALUES ('en', 0), ('fr', 1), ('de', 2), ('xx', 3)), g AS (SELECT grp, {sums} FROM x GROUP BY grp), r AS (SELECT grp, ord, coalesce(records, 0) AS records, coalesce(hits, 0) AS hits, coalesce(others, 0) AS others, coalesce(100.0::DOUBLE * hits / records, 0) AS pct FROM o LEFT JOIN g USING (grp))"
+    test = f"s AS (SELECT {_2X2} FROM (SELECT grp = 'en' AS t, hit AS y FROM x)), e AS (SELECT *, {_YATES} AS chi2_yates, {_CHI} AS chi2, a+b+c+d AS n{_EXPECTED} FROM s) SELECT *, sqrt(chi2_yates / n) AS v_yates, {tail_sql('chi2_yates')} AS p_yates, {tail_sql('chi2')} AS p FROM e"
+    return " UNION ALL ".join([
+        tidy_sql("totals", f"{base} SELECT {sums}, 100.0::DOUBLE * count(*) FILTER (hit) / count(*) AS pct FROM x", ["records", "hits", "others", "pct"]),
+        tidy_sql("group", f"{base}, {groups} SELECT * FROM r", ["records", "hits", "others", "pct"], "grp"),
+        tidy_sql("test", f"{base}, {test}", [*_TEST, "chi2", "n", "v_yates", "p_yates", "p"]),
+        tidy_sql("ratio", f"{base}, {groups} SELECT grp, CASE WHEN round(pct, 2) <> 0 THEN round((SELECT round(pct, 2) FROM r WHERE ord = 0) / round(pct, 2), 2) END AS ratio FROM r WHERE ord > 0", ["ratio"], "grp"),
+        tidy_sql("variant", f"{base} SELECT marker, count(*) AS rows FROM x WHERE hit GROUP BY marker ORDER BY rows DESC, marker LIMIT 25", ["rows"], "marker"),
+    ])
+
+
+@query("report_metadata", _metadata_sql())
+def report_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(composites.metadata_report(A.markers(spark, sf_dir), F.col("lang"), F.col("marker").endswith("n"), "marker", ["en", "fr", "de", "xx"]))
+
+
+_PARTICLES = ["idiot", "web", "ly ", "nowhere at all"]
+
+
+def _particle_sql() -> str:
+    holds = " OR ".join(f"contains(text, '{t}')" for t in _PARTICLES)
+    base = f"WITH {A.SQL_CELLS}, x AS (SELECT text, toxic = 1 AS y, coalesce({holds}, false) AS t FROM c), k(term) AS (VALUES {', '.join(f'({t!r})' for t in _PARTICLES)}), s AS (SELECT {_2X2} FROM x)"
+    terms = f"{base} SELECT term, count(*) FILTER (contains(text, term)) AS corpus_n, count(*) FILTER (contains(text, term) AND y) AS target_n, coalesce(100.0::DOUBLE * count(*) FILTER (contains(text, term) AND y) / nullif(count(*) FILTER (contains(text, term)), 0), 0) AS target_pct FROM x, k GROUP BY term"
+    test = f"{base}, e AS (SELECT *, {_YATES} AS chi2_yates{_EXPECTED} FROM s) SELECT *, 100.0::DOUBLE*a/(a+b) AS target_given_particle, 100.0::DOUBLE*c/(c+d) AS target_given_none, 100.0::DOUBLE*a/(a+c) AS particle_given_target, 100.0::DOUBLE*b/(b+d) AS particle_given_other, {tail_sql('chi2_yates')} AS p FROM e"
+    return " UNION ALL ".join([
+        tidy_sql("term", terms, ["corpus_n", "target_n", "target_pct"], "term"),
+        tidy_sql("target", f'{base} SELECT a + c AS rows, a AS "with", c AS without FROM s', ["rows", "with", "without"]),
+        tidy_sql("test", test, [*_TEST, "target_given_particle", "target_given_none", "particle_given_target", "particle_given_other", "p"]),
+    ])
+
+
+@query("report_particles", _particle_sql())
+def report_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(composites.particle_report(A.cells(spark, sf_dir), _PARTICLES, F.col("toxic") == 1))
+
+
+@query(
+    "consensus_examples",
+    f"""WITH {A.SQL_WIDE}, x AS (SELECT arm, CASE vs WHEN 3 THEN 'O' ELSE 'X' END AS kind, book, okey, lnum FROM j WHERE vs IN (0, 3)),
+d AS (SELECT *, count(*) OVER (PARTITION BY arm, kind) AS pool, row_number() OVER (PARTITION BY arm, kind, book ORDER BY md5('42|' || okey::VARCHAR || '|' || lnum::VARCHAR), okey, lnum) AS draw,
+  min(okey * 100 + lnum) OVER (PARTITION BY arm, kind, book) AS first_ FROM x)
+SELECT arm, kind, book, okey, lnum, row_number() OVER (PARTITION BY arm, kind ORDER BY first_, draw) AS place, pool::BIGINT AS pool FROM d WHERE draw <= 2 QUALIFY place <= 10""",
+)
+def consensus_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.items(spark, sf_dir).where("vote_sum in (0, 3)").withColumn("kind", F.when(F.col("vote_sum") == 3, "O").otherwise("X"))
+    return sampling.examples(rows, ["arm", "kind"], "book", ["okey", "lnum"], 42)

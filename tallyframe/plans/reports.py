@@ -277,8 +277,10 @@ def drift_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agreement.drift(frozen, fresh, A.KEY, ("rater",)))
 
 
-def _one(cond: str, prefix: str) -> str:
-    return f"(SELECT 100.0::DOUBLE * (count(*) FILTER (arm = 'O' AND vs = 3)::DOUBLE / count(*) FILTER (arm = 'O') - count(*) FILTER (arm = 'F' AND vs = 3)::DOUBLE / count(*) FILTER (arm = 'F')) AS {prefix}d, {_CELLS6.replace('AS target_', f'AS {prefix}t').replace('AS control_', f'AS {prefix}c')}, count(*) FILTER (arm='O') AS {prefix}tn, count(*) FILTER (arm='F') AS {prefix}cn, count(*) AS {prefix}n FROM j WHERE {cond})"
+def _one(votes: str, prefix: str) -> str:
+    """Consensus of all items with their vote sum given by an expression."""
+    cells = _CELLS6.replace("AS target_", f"AS {prefix}t").replace("AS control_", f"AS {prefix}c")
+    return f"(SELECT 100.0::DOUBLE * (count(*) FILTER (arm = 'O' AND vs = 3)::DOUBLE / count(*) FILTER (arm = 'O') - count(*) FILTER (arm = 'F' AND vs = 3)::DOUBLE / count(*) FILTER (arm = 'F')) AS {prefix}d, {cells}, count(*) FILTER (arm='O') AS {prefix}tn, count(*) FILTER (arm='F') AS {prefix}cn, count(*) AS {prefix}n FROM (SELECT arm, {votes} AS vs FROM j))"
 
 
 def _v(p: str) -> str:
@@ -290,11 +292,11 @@ def _v(p: str) -> str:
 
 @query(
     "drift_direction",
-    f"WITH {A.SQL_WIDE} SELECT round(fd, 6) AS frozen_diff, round(gd, 6) AS fresh_diff, sign(fd) = sign(gd) AS same_direction, round({_v('g')} - {_v('f')}, 6) AS v_change FROM {_one('okey % 2 = 0', 'f')}, {_one('okey % 2 = 1', 'g')}",
+    f"WITH {A.SQL_WIDE} SELECT round(fd, 6) AS frozen_diff, round(gd, 6) AS fresh_diff, sign(fd) = sign(gd) AS same_direction, round({_v('g')} - {_v('f')}, 6) AS v_change FROM {_one('vs', 'f')}, {_one('CASE WHEN okey % 7 = 0 THEN 3 - vs ELSE vs END', 'g')}",
 )
 def drift_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.items(spark, sf_dir)
-    frozen, fresh = (judgments.consensus(rows.where(F.col("okey") % 2 == k), 3, "O", "F") for k in (0, 1))
+    """Every item is judged twice; the second time all raters change their minds on some."""
+    frozen, fresh = (judgments.consensus(x, 3, "O", "F") for x in A.items_twice(spark, sf_dir))
     return rounded(agreement.direction(frozen, fresh))
 
 

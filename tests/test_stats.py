@@ -150,3 +150,25 @@ def test_chi2_tail_against_integration(df):
 def test_signed_phi(spark):
     r = one(spark, stats.phi(*"abcd").alias("p"), stats.signed_phi(*"abcd").alias("s"), a=2, b=8, c=7, d=3)
     assert math.isclose(r.p, -r.s) and math.isclose(r.p, math.sqrt(20 * (2 * 3 - 8 * 7) ** 2 / (10 * 10 * 9 * 11) / 20))
+
+
+def test_sign_test_of_very_many_pairs(spark):
+    """Beyond the sum of logarithms the result is that of the normal tail with continuity correction, and of exact sums."""
+    from fractions import Fraction
+
+    def exact(w, v):
+        n, k = w + v, min(w, v)
+        term, total = math.comb(n, k), 0
+        while k >= 0 and (total == 0 or term * 10**25 > total):
+            total += term
+            term = term * k // (n - k + 1)
+            k -= 1
+        return min(1.0, float(Fraction(2 * total, 2**n)))
+
+    cases = [(60_100, 59_900), (70_000, 69_000), (120_000, 119_999), (100_001, 3), (200_000, 0), (30_000, 31_000), (500, 480)]
+    rows = spark.createDataFrame(cases, "w long, l long").select("w", "l", stats.sign_test("w", "l").alias("p")).collect()
+    for r in rows:
+        assert math.isclose(r.p, exact(r.w, r.l), rel_tol=1e-7, abs_tol=1e-300), (r, exact(r.w, r.l))
+    big = spark.createDataFrame([(500_050_000, 499_950_000), (10**12, 10**12)], "w long, l long").select(stats.sign_test("w", "l").alias("p")).collect()
+    want = math.erfc((100_000 - 1) / math.sqrt(10**9) / math.sqrt(2))
+    assert math.isclose(big[0].p, want, rel_tol=1e-3) and math.isclose(big[1].p, 1.0, rel_tol=1e-5)
