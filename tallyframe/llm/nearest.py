@@ -15,9 +15,11 @@ from tallyframe.llm.common import durable
 SAMPLE, WIDTH, ROUNDS = 8192, 2, 6
 #: Score above which errors matter most; it sets how much more an error along the vector weighs.
 THRESHOLD = 0.2
-#: Vectors of a cell on average and cells at most; the nearest cells that a query is compared with, which are all of
-#: them up to CELL * PROBES vectors.
+#: Vectors of a cell on average and cells at most; the nearest cells that a query is compared with at least, which are
+#: all of them up to CELL * PROBES vectors.
 CELL, CELLS, PROBES = 8192, 4096, 64
+#: Share of the neighbours among rows held out that the cells searched must hold; rows held out, and those of them asked.
+RECALL, HELD, ASKED = 0.95, 4096, 512
 #: Queries and indexed rows of a block on average; rows reranked at least for a query and a block.
 QUERIES, SLICE, RERANK = 256, 1024, 32
 
@@ -141,6 +143,28 @@ def centres_of(unit: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
+def probes_for(held: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """How many of its nearest cells a query has to search, measured on rows that the cells were not fitted to.
+
+    The k nearest of some of these are looked up among them all; the number is the least for which
+    RECALL of them lie in so many cells. Neighbours among few rows are further away than those among
+    all, and further neighbours are in further cells, so all rows are found at least as often.
+    """
+    if len(centres) <= PROBES or len(held) < 2:
+        return len(centres)
+    cell = (held @ centres.T).argmax(1)
+    needed = []
+    for at in range(0, min(ASKED, len(held)), 64):
+        some = held[at : min(at + 64, ASKED)]
+        near = some @ held.T
+        near[np.arange(len(some)), np.arange(at, at + len(some))] = -np.inf
+        found = np.argpartition(-near, min(k, len(held) - 1) - 1, axis=1)[:, :k]
+        to = some @ centres.T
+        own = np.take_along_axis(to, cell[found], axis=1)
+        needed.append(((to[:, None, :] > own[:, :, None]).sum(2) + 1).ravel())
+    return min(len(centres), max(PROBES, int(np.quantile(np.concatenate(needed), RECALL, method="higher"))))
+
+
 def _blocks(rows: DataFrame, size: int, key: str, name: str) -> DataFrame:
     """Rows of each cell in blocks of about `size`, dealt by a hash of the key: cell, and an array of the given name."""
     sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("parts"))
@@ -155,13 +179,15 @@ def search(
     k: int = 5,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
+    exact: bool = False,
 ) -> DataFrame:
     """The k rows nearest to each query by cosine: query_id, rank (from 1), vec_id, score.
 
     is_query is a condition on vec_id. Equal vectors are indexed once, with their k + 1 smallest ids,
     which is all that k answers can name. Quantiser and cells are fitted to a bounded sample, taken
-    by hash: SAMPLE vectors, or 16 for each cell. Every vector is encoded and put into the cell whose
-    direction is nearest. Queries are a table, too: each goes to its PROBES nearest cells, where
+    by hash: SAMPLE vectors, or 16 for each cell, and HELD more on which probes are measured. Every vector is encoded and put into the cell whose
+    direction is nearest. Queries are a table, too: each goes to so many of its nearest cells as the
+    rows held out show to be needed (probes_for), to all of them with `exact`, where
     blocks of queries meet blocks of indexed rows by a join on the cell; a cell with very many of
     either is many blocks. A block of rows is scanned by table lookups; its best RERANK estimates,
     and every other row whose estimate is within the quantiser's slack of the k-th exact score, are
@@ -177,11 +203,15 @@ def search(
     ids = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k + 1)
     plain = durable(ids.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     cells = min(CELLS, -(-plain.count() // CELL))
-    taken = plain.orderBy(F.xxhash64("v"), "v").select("v").limit(max(SAMPLE, 16 * cells)).toPandas()["v"]
+    taken = plain.orderBy(F.xxhash64("v"), "v").select("v").limit(max(SAMPLE, 16 * cells) + HELD * (cells > PROBES)).toPandas()["v"]
     if not len(taken):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = _unit(np.stack(taken.to_list()))
-    shared = vectors.sparkSession.sparkContext.broadcast((vars(Quantiser(sample[:SAMPLE])), centres_of(sample, cells)))
+    held = sample[max(SAMPLE, 16 * cells) :]
+    sample = sample[: max(SAMPLE, 16 * cells)]
+    centres = centres_of(sample, cells)
+    probed = len(centres) if exact else probes_for(held, centres, k)
+    shared = vectors.sparkSession.sparkContext.broadcast((vars(Quantiser(sample[:SAMPLE])), centres))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, centres = shared.value
@@ -193,7 +223,7 @@ def search(
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, centres = shared.value
-        n = min(PROBES, len(centres))
+        n = probed
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
