@@ -21,10 +21,11 @@ BASE = (
 #: Candidates of the battery: runs of this many characters of the base64 and URL-safe alphabets.
 LEAST_RUN = 20
 _RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % LEAST_RUN
-#: Encodings from narrow to wide: name, pattern of the whole run, symbols in order of value; runs of one case are lower-cased.
+#: Encodings from narrow to wide: name, pattern of the whole run, symbols in order of value; the first five are lower-cased.
+#: Hexadecimal runs may be of mixed case and in groups, as identifiers are; the dashes between groups are left out.
 ENCODINGS = (
     ("digits", r"^[0-9]+$", "0123456789"),
-    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+|(?=[0-9-]*[A-Fa-f])[0-9A-Fa-f]+(?:-[0-9A-Fa-f]+)*)$", "0123456789abcdef"),
     ("letters", r"^(?:[a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz"),
     ("base32", r"^[A-Z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
     ("base36", r"^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
@@ -84,7 +85,7 @@ def _tests(runs: DataFrame) -> DataFrame:
     """
     enc = F.coalesce(*(F.when(F.col("run").rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)), F.lit(len(ENCODINGS) - 1))
     symbols = F.element_at(F.array(*(F.lit(a) for *_, a in ENCODINGS)), F.col("enc") + 1)
-    plain = F.when(F.col("enc") <= 4, F.lower("run")).otherwise(F.translate("run", "_-", "/+"))
+    plain = F.when(F.col("enc") <= 4, F.translate(F.lower("run"), "-", "")).otherwise(F.translate("run", "_-", "/+"))
     rows = runs.withColumn("enc", enc).withColumn("symbols", symbols).withColumn("run_", plain)
     rows = rows.withColumn("a", F.length("symbols").cast("double")).withColumn("n", F.length("run_").cast("double"))
     value = F.transform(F.split("run_", ""), lambda c: F.position(c, "symbols"))

@@ -59,9 +59,9 @@ def battery(run):
     """(stratum, p_random, log_p) of a run, from the definitions of the tests."""
     enc = next(i for i, (_, p, _) in enumerate(secrets.ENCODINGS) if re.match(p, run))
     symbols = secrets.ENCODINGS[enc][2]
-    a, n = len(symbols), len(run)
-    body = run.lower() if enc <= 4 else run.replace("_", "/").replace("-", "+")
-    v = [symbols.index(c) + 1 for c in body]
+    a = len(symbols)
+    body = run.lower().replace("-", "") if enc <= 4 else run.replace("_", "/").replace("-", "+")
+    v, n = [symbols.index(c) + 1 for c in body], len(body)
     chi2 = sum(k * k for k in collections.Counter(v).values()) * a / n - n
     spread = 2 / (9 * (a - 1))
     z_chi = ((max(chi2, 0.0) / (a - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)

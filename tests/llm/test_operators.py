@@ -688,11 +688,22 @@ def test_secrets_by_encoding_at_one_percent(spark):
             for _ in range(20):
                 kind[len(rows)] = (name, n)
                 rows.append((len(rows), "see " + "".join(rng.choice(a) for _ in range(n)) + " there"))
+    digits = "0123456789abcdef"
+    for name in ("mixed hex", "grouped hex"):
+        for n in (24, 32, 40):
+            for _ in range(20):
+                kind[len(rows)] = (name, n)
+                key = "".join(rng.choice(digits) for _ in range(n))
+                if name == "mixed hex":
+                    key = "".join(c.upper() if rng.random() < 0.5 else c for c in key)
+                else:
+                    key = "-".join(key.upper()[a:b] for a, b in ((0, 8), (8, 12), (12, 16), (16, 20), (20, n)))
+                rows.append((len(rows), f"see {key} there"))
     secret = len(rows)
     rows += [(secret + i, f"see {ordinary(rng)} there") for i in range(100 * secret)]
     found = {r.doc_id for r in secrets.scan(docs(spark, rows)).where(F.size("random") > 0).select("doc_id").collect()}
     assert len([i for i in found if i >= secret]) <= 0.02 * len(found)
-    for name in alphabets:
+    for name in (*alphabets, "mixed hex", "grouped hex"):
         for n in (24, 32, 40):
             mine = [i for i, k in kind.items() if k == (name, n)]
             assert len(found & set(mine)) >= (0.5 if name == "letters" else 0.9) * len(mine), (name, n)
