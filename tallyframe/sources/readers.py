@@ -164,18 +164,18 @@ def xml_sentences(spark: SparkSession, path: str, tag: str = "s", key: str = "id
     return _elements(spark, path, tag, ["id", "text"], lambda e: (e.get(key), "".join(e.itertext()).strip()), whole)
 
 
-def _fields(names: list[str]) -> Callable[[ET.Element], tuple]:
+def _children(names: list[str]) -> Callable[[ET.Element], tuple]:
     return lambda record: tuple(("".join(e.itertext()).strip() or None) if (e := record.find(f)) is not None else None for f in names)
 
 
 def xml_record(spark: SparkSession, path: str, root: str, fields: list[str]) -> DataFrame:
     """Named child elements of the first record, one row per file; null where one is absent. A broken file has an error."""
-    return _elements(spark, path, root, fields, _fields(fields), 1 << 62, first=True)
+    return _elements(spark, path, root, fields, _children(fields), 1 << 62, first=True)
 
 
 def xml_records(spark: SparkSession, path: str, root: str, fields: list[str], whole: int = WHOLE) -> DataFrame:
     """The same for all records of each file, one row per record, in several tasks where a file has more than `whole` bytes."""
-    return _elements(spark, path, root, fields, _fields(fields), whole)
+    return _elements(spark, path, root, fields, _children(fields), whole)
 
 
 def file_pairs(spark: SparkSession, folder: str, first: str, second: str) -> DataFrame:
