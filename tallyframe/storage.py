@@ -24,7 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    return f"{_tables(spark)}/{uuid.uuid4().hex}"
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete all tables that this application wrote to the shared folder; for when its results are written or read.
+
+    DataFrames that read them, which is what most operators return, are of no use afterwards.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def durable(df: DataFrame) -> DataFrame:

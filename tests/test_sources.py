@@ -311,3 +311,13 @@ def test_many_models_in_shared_passes(spark):
     assert abs(clusters.silhouette(placed.join(df, "k"), "v", "cluster") - best[0].silhouette) < 1e-6
     groups = [{r.k for r in placed.where(f"cluster = {c}").collect()} for c in range(4)]
     assert sorted(map(sorted, groups)) == [list(range(40 * i, 40 * i + 40)) for i in range(4)]
+
+
+def test_tables_are_deleted_on_demand(spark, monkeypatch, tmp_path):
+    from tallyframe import storage
+
+    monkeypatch.setattr(storage, "shared_folder", lambda _: f"file://{tmp_path}")
+    assert storage.durable(spark.range(5)).count() == 5 and list(tmp_path.rglob("*.parquet"))
+    (tmp_path / "tables/other-application").mkdir()
+    assert storage.clear(spark) and not list(tmp_path.rglob("*.parquet")) and (tmp_path / "tables/other-application").exists()
+    assert not storage.clear(spark)
