@@ -37,13 +37,18 @@ def tsv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("cell", "source").agg(F.count("*").alias("n"))
 
 
-@query("csv_missing_file", "SELECT 0::BIGINT AS rows, 'raw' AS kept")
+@query("csv_missing_file", "SELECT o_orderstatus AS status, count(*)::BIGINT AS rows, 0::BIGINT AS missing_rows, true AS raw_first FROM orders GROUP BY 1")
 def csv_missing_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw file is read although an anonymised one is there, too; a file that is absent has no rows."""
     path = fresh_path(spark)
-    none = readers.delimited(spark, f"{path}/none.csv", ["doc_id", "text"])
-    writers.delimited(table(spark, sf_dir, "region"), f"{path}/base.csv")
-    kept = "raw" if readers.resolve(spark, f"{path}/base") == f"{path}/base.csv" else "anon"
-    return none.agg(F.count("*").alias("rows"), F.lit(kept).alias("kept"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    writers.delimited(rows, f"{path}/base.csv")
+    writers.delimited(rows.where("status = 'none'"), f"{path}/base_anon.csv")
+    found = readers.resolve(spark, f"{path}/base")
+    read = lambda name, at: readers.delimited(spark, at, ["key", "status"]).select("status", F.lit(name).alias("part"))
+    both = read("base", found).union(read("none", f"{path}/none.csv"))
+    counts = both.groupBy("status").agg(F.count_if(F.col("part") == "base").alias("rows"), F.count_if(F.col("part") == "none").alias("missing_rows"))
+    return counts.withColumn("raw_first", F.lit(found == f"{path}/base.csv"))
 
 
 @query(
