@@ -40,7 +40,7 @@ def without_boilerplate(rows):
     total, pages = collections.Counter(r["source"] for r in rows), collections.Counter()
     for r in rows:
         pages.update({(r["source"], x.strip(" ")) for x in (r["text"] or "").split("\n") if x.strip(" ")} if r["text"] is not None else ())
-    bad = {k for k, n in pages.items() if n - 1 > 0.08 * (total[k[0]] - 1)}
+    bad = {k for k, n in pages.items() if n >= 3 and n > 0.08 * total[k[0]]}
     for r in rows:
         if r["text"] is not None:
             r["text"] = "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in bad)
