@@ -439,6 +439,34 @@ def test_a_crowd_is_one_class(spark):
     assert {i: min(x) for i, x in classes.items()} == {**{100 * c + k: 100 * c for c in range(3) for k in range(40)}, 1000: 0}
 
 
+def test_every_document_of_a_passage_has_rows_of_its_own(spark):
+    rng = random.Random(48)
+    p = words(rng, 60, 10**6)
+    rows = [(i, " ".join(words(rng, 30 + 20 * i, 10**6) + p * (i % 5 != 4) + words(rng, 40, 10**6))) for i in range(10)]
+    got = passages.repeated_passages(docs(spark, [*rows, (11, rows[4][1])]).repartition(3)).collect()
+    assert {r.doc_id for r in got} == {r.other_id for r in got} == {0, 1, 2, 3, 4, 5, 6, 7, 8, 11}
+    sides = {(r.doc_id, r.other_id, r.first_word, r.end_word, r.other_first, r.other_end, r.equal_words, r.class_id) for r in got}
+    assert sides == {(b, a, t, f, s, e, n, c) for a, b, s, e, t, f, n, c in sides} and len(sides) == len(got)
+    assert all(s <= 30 + 20 * i and e >= 90 + 20 * i for i, _, s, e, *_ in sides if i not in (4, 11))
+
+
+def test_the_exact_way_compares_all_texts_of_crowded_seeds(spark, monkeypatch):
+    """Pairs of twins that share a phrase with a crowd: every seed of a twin's passage is crowded, none in a row."""
+    rng = random.Random(49)
+    stock = [words(rng, 8, 10**6) for _ in range(60)]
+    rows = []
+    for k in range(40):
+        part = [w for s in rng.sample(stock, 7) for w in [*s, f"x{rng.randrange(10**6)}"]]
+        for _ in range(2):
+            own = [f"y{rng.randrange(10**6)}" if w[0] == "x" else w for w in part]
+            rows.append((len(rows), " ".join(words(rng, 60, 10**6) + own + words(rng, 60, 10**6))))
+    rows += [(1000 + i, " ".join(w for s in rng.sample(stock, 20) for w in [*s, *words(rng, 30, 10**6)])) for i in range(60)]
+    of = lambda exact: {(r.doc_id, r.other_id) for r in passages.repeated_passages(docs(spark, rows).repartition(4), exact=exact).collect()}
+    want = {(i, i ^ 1) for i in range(80)}
+    monkeypatch.setattr(passages, "CELL", 5)
+    assert len(want & of(True)) >= 0.97 * len(want)
+
+
 def test_a_chain_is_split_where_a_gap_is_too_wide():
     rng = random.Random(25)
     for left, gap, right in ((3500, 2000, 3500), (60, 40, 60), (400, 100, 55), (70, 15, 70)):
