@@ -10,15 +10,17 @@ import threading
 import time
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Parts of a log; a part is written by one task at a time.
 SHARDS = 64
-#: Records after which a log file is closed and another begun, for stores where a file appears only when it is closed.
+#: Records after which a log file that is a second old is closed and another begun, for stores where a file appears only when it is closed.
 CLOSE = 50
+#: Calls that a task may take at once, and the seconds for which it may: only calls that are quicker than that are taken together.
+AHEAD, SPELL = 256, 0.05
 
 
 class Gate:
@@ -35,6 +37,7 @@ class Gate:
         self._left, self._pause, self._wait, self._until, self._provider = budget, pause, pause[0], 0.0, 0
         self._used: Counter[str] = Counter()
         self._leases: dict[str, object] = {}
+        self._ahead: dict[object, int] = {}
         host = spark.conf.get("spark.driver.host", "127.0.0.1")
         gate = self
 
@@ -45,7 +48,11 @@ class Gate:
                         return
                     for line in self.rfile:
                         name, *given = json.loads(line)
-                        answer = gate._lease(self, *given) if name == "lease" else gate._do(name, *given)
+                        own = {"lease": gate._lease, "turn": gate._turn}.get(name)
+                        if name == "used":  # of the calls taken ahead; not answered
+                            gate._used_one(self, *given)
+                            continue
+                        answer = own(self, *given) if own else gate._do(name, *given)
                         self.wfile.write(json.dumps(answer).encode() + b"\n")
                 except OSError:  # the task is gone
                     pass
@@ -94,26 +101,46 @@ class Gate:
     def _release(self, holder: object) -> None:
         with self._changed:
             self._leases = {s: h for s, h in self._leases.items() if h is not holder}
+            self._left += self._ahead.pop(holder, 0)
             self._changed.notify_all()
 
-    def _do(self, name: str, *given: int) -> object:
+    def _answers(self, answered: int, tokens_in: int, tokens_out: int) -> None:
+        if answered:
+            self._wait = self._pause[0]
+            self._used.update({"answered": answered, "tokens_in": tokens_in, "tokens_out": tokens_out})
+
+    def _used_one(self, holder: object, *answers: int) -> None:
+        with self._changed:
+            self._ahead[holder] -= 1
+            self._used["calls"] += 1
+            self._answers(*answers)
+
+    def _turn(self, holder: object, answered: int, tokens_in: int, tokens_out: int, wanted: int) -> tuple[float, int, int]:
+        """Takes back what a task has left of the calls it took ahead; gives it the pause to keep, or the provider and up to `wanted` calls.
+
+        When the budget is spent it waits for what others have taken ahead, so nothing of it is left unused.
+        """
         with self._changed:
-            now = time.monotonic()
-            if name == "take":  # the provider, or none when the budget is spent
-                if self._left <= 0:
-                    return None
-                self._left -= 1
+            self._answers(answered, tokens_in, tokens_out)
+            self._left += self._ahead.pop(holder, 0)
+            self._changed.notify_all()
+            while wanted and self._left <= 0 and any(self._ahead.values()):
+                self._changed.wait(1.0)
+            if wanted and (pause := max(0.0, self._until - time.monotonic())):
+                return pause, self._provider, 0
+            n = min(wanted, max(1, self._left // (2 * SHARDS)), max(0, self._left))
+            self._left -= n
+            if n:  # the first is made at once
+                self._ahead[holder] = n - 1
                 self._used["calls"] += 1
-                return self._provider
-            if name == "pause":  # seconds that every call has to wait
-                return max(0.0, self._until - now)
+            return 0.0, self._provider, n
+
+    def _do(self, name: str, *given: int) -> object:
+        with self._changed:
             if name == "throttled":
-                self._until = max(self._until, now + self._wait)
+                self._until = max(self._until, time.monotonic() + self._wait)
                 self._wait = min(2 * self._wait, self._pause[1])
                 self._used["throttled"] += 1
-            if name == "answered":
-                self._wait = self._pause[0]
-                self._used.update({"answered": 1, "tokens_in": given[0], "tokens_out": given[1]})
             if name == "failed":
                 self._used["failed"] += 1
             if name == "switch":  # only the first task that saw the provider fail moves on
@@ -133,9 +160,41 @@ class Client:
     def open(self) -> Client:
         self.file = socket.create_connection(self.address).makefile("rw", encoding="utf-8", newline="\n")
         self.file.write(self.secret + "\n")
+        self._mine, self._size, self._until, self._provider, self._done = 0, 1, 0.0, 0, [0, 0, 0]
         return self
 
+    def take(self, sleep: Callable[[float], None]) -> int | None:
+        """The provider to call, once any pause is over; none when the budget is spent.
+
+        Calls that follow each other within SPELL seconds are taken several at once; a slower one is
+        taken by itself, so a pause or another provider holds from the next call on.
+        """
+        now = time.monotonic()
+        if not self._mine or now >= self._until:
+            self._size = min(AHEAD, 2 * self._size) if now < self._until else 1
+            while (turn := self._turn(self._size))[0]:
+                sleep(turn[0])
+            _, self._provider, self._mine = turn
+            self._until = time.monotonic() + SPELL
+            if not self._mine:
+                return None
+        else:
+            self.file.write(json.dumps(("used", *self._done)) + "\n")
+            self.file.flush()
+            self._done = [0, 0, 0]
+        self._mine -= 1
+        return self._provider
+
+    def answered(self, tokens_in: int = 0, tokens_out: int = 0) -> None:
+        self._done = [a + b for a, b in zip(self._done, (1, tokens_in, tokens_out), strict=True)]
+
+    def _turn(self, wanted: int) -> tuple[float, int, int]:
+        done, self._mine, self._done = self._done, 0, [0, 0, 0]
+        return tuple(self("turn", *done, wanted))
+
     def __call__(self, *what: object) -> object:
+        if what[0] in ("throttled", "switch"):  # what was taken ahead goes back before the next call
+            self._until = 0.0
         self.file.write(json.dumps(what) + "\n")
         self.file.flush()
         line = self.file.readline()
@@ -144,7 +203,13 @@ class Client:
         return json.loads(line)
 
     def close(self) -> None:
-        self.file.close()
+        try:
+            if self._mine or any(self._done):
+                self._turn(0)
+        except OSError:  # the gate is closed
+            pass
+        finally:
+            self.file.close()
 
 
 class Log:
@@ -198,12 +263,12 @@ class Writer:
     def add(self, records: Iterable[dict]) -> None:
         if self.stream is None:
             # Names go up with time, so a later record of a key is read last.
-            self.stream = self.files.open_output_stream(f"{self.folder}/{time.time_ns():020d}-{uuid.uuid4().hex}.jsonl")
+            self.stream, self.since = self.files.open_output_stream(f"{self.folder}/{time.time_ns():020d}-{uuid.uuid4().hex}.jsonl"), time.monotonic()
         for record in records:
             self.stream.write(json.dumps(record).encode() + b"\n")
             self.n += 1
         self.stream.flush()
-        if self.n >= CLOSE:
+        if self.n >= CLOSE and time.monotonic() - self.since >= 1.0:
             self.close()
 
     def close(self) -> None:

@@ -138,16 +138,14 @@ def ask(
     def one(prompt: str) -> dict:
         used, pauses = 0, wait
         while used < tries:
-            while pause := client("pause"):
-                sleep(pause)
-            provider = client("take")
+            provider = client.take(sleep)
             if provider is None:
                 return {"status": "stopped", "calls": used}
             used += 1
             try:
                 answer = many[provider](prompt)
                 answer = answer if isinstance(answer, Answer) else Answer(answer)
-                client("answered", answer.tokens_in, answer.tokens_out)
+                client.answered(answer.tokens_in, answer.tokens_out)
                 return {"status": "ok", "answer": answer.text, "calls": used, "tokens_in": answer.tokens_in, "tokens_out": answer.tokens_out}
             except Refused:
                 client("failed")

@@ -196,7 +196,7 @@ def _plan(spark: SparkSession, sf_dir: str, body: Column) -> DataFrame:
 @query("rater_votes", f"{_PLACES} SELECT arm, count(*)::BIGINT AS items, count(*) FILTER (i % 2 = 1)::BIGINT AS positive FROM b GROUP BY arm")
 def rater_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offline rater answers O to odd places; every item is asked about."""
-    plan = _plan(spark, sf_dir, F.concat_ws(" ", "flag", "arm"))
+    plan = durable(_plan(spark, sf_dir, F.concat_ws(" ", "flag", "arm")))
     asked = raters.ask(plan, raters.mock_rater, 100_000_000)
     votes = raters.judgments(asked, ["okey", "lnum", "arm"], 20)
     return votes.groupBy("arm").agg(F.count("*").alias("items"), F.count_if("judgment").alias("positive"))

@@ -204,3 +204,23 @@ def test_embed_commits_each_call(spark, tmp_path):
     assert sorted((r.k, *r.vector) for r in got) == [(i, float(i % 150), 1.0) for i in range(200)]
     asked = [t for line in notes(tmp_path / "seen") for t in line]
     assert len(asked) == len(set(asked)) == 150 and max(map(len, notes(tmp_path / "seen"))) == 10
+
+
+def test_quick_calls_are_taken_several_at_once(spark, monkeypatch):
+    """Few turns at the gate, no call more than the budget, and none of it left while prompts wait."""
+    prompts = spark.range(3000).selectExpr("concat('p', id) as prompt")
+    turns, turn = [], calls.Gate._turn
+    monkeypatch.setattr(calls.Gate, "_turn", lambda self, *given: turns.append(1) or turn(self, *given))
+    with calls.Gate(spark, 100_000) as gate:
+        assert {r.status for r in raters.ask(prompts, str.upper, gate).collect()} == {"ok"}
+        assert gate.usage() == {"calls": 3000, "answered": 3000, "tokens_in": 0, "tokens_out": 0} and gate.left == 97_000
+    assert len(turns) < 1500
+
+    def fails(prompt: str) -> str:
+        if prompt.endswith("7"):
+            raise OSError
+        return prompt
+
+    with calls.Gate(spark, 3100) as gate:  # 300 prompts want three calls each
+        got = raters.ask(prompts, fails, gate, sleep=lambda s: None).collect()
+        assert gate.left == 0 and gate.usage()["calls"] == 3100 == sum(r.calls for r in got)
