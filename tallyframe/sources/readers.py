@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -110,6 +111,49 @@ def _in_piece(piece: str, tag: str) -> Iterator[str]:
             return
 
 
+#: Bytes of a file that a parser is given at once, and elements of a file that are rows of one batch.
+_BYTES, _ROWS = 1 << 16, 5_000
+
+
+class _Ignored:
+    """Takes what a parser finds and keeps nothing."""
+
+    def start(self, tag: str, attributes: dict) -> None: ...
+
+    def end(self, tag: str) -> None: ...
+
+    def data(self, text: str) -> None: ...
+
+    def close(self) -> None: ...
+
+
+def _check(body: bytes) -> None:
+    """Raises the ParseError of a broken document, without a tree of it."""
+    parser = ET.XMLParser(target=_Ignored())
+    for at in range(0, len(body), _BYTES):
+        parser.feed(body[at : at + _BYTES])
+    parser.close()
+
+
+def _each(body: bytes, tag: str) -> Iterator[ET.Element]:
+    """Elements of a tag in a sound document, in order; the tree never holds more than the outermost of them that is being read."""
+    parser, above, inside = ET.XMLPullParser(("start", "end")), [], 0
+    for at in range(0, len(body) + 1, _BYTES):
+        parser.feed(body[at : at + _BYTES])
+        for event, element in parser.read_events():
+            if event == "start":
+                above.append(element)
+                inside += element.tag == tag
+                continue
+            above.pop()
+            inside -= element.tag == tag
+            if not inside:
+                if element.tag == tag:
+                    yield from element.iter(tag)
+                if above:
+                    above[-1].remove(element)
+
+
 def _elements(spark: SparkSession, path: str, tag: str, names: list[str], take: Callable[[ET.Element], tuple], whole: int, first: bool = False) -> DataFrame:
     """file, the names with what `take` makes of each element of a tag, and error.
 
@@ -128,12 +172,18 @@ def _elements(spark: SparkSession, path: str, tag: str, names: list[str], take:
     def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                nothing = [None] * len(names)
                 try:
-                    tree = ET.fromstring(body)
-                    made = [(name, *take(e), None) for e in tree.iter(tag)]
-                    yield rows((made[:1] or [(name, *[None] * len(names), None)]) if first else made)
+                    _check(body)
                 except ET.ParseError as error:
-                    yield rows([(name, *[None] * len(names), str(error))])
+                    yield rows([(name, *nothing, str(error))])
+                    continue
+                found = ((name, *take(e), None) for e in _each(body, tag))
+                if first:
+                    yield rows([next(found, (name, *nothing, None))])
+                    continue
+                while part := list(itertools.islice(found, _ROWS)):
+                    yield rows(part)
 
     def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
