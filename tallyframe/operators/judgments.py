@@ -33,9 +33,22 @@ def union_all(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def remaining(wanted: DataFrame, done: list[DataFrame], key: list[str]) -> DataFrame:
-    """Rows of which no part has the key yet; null key columns equal each other."""
+#: Rows of narrow keys that a task holds at once where parts are counted.
+TASK_ROWS = 500_000
+
+
+def parts(df: DataFrame) -> int:
+    """Parts in which df has some TASK_ROWS rows each; narrow rows are packed too tightly by their bytes alone."""
+    return df.count() // TASK_ROWS + 1
+
+
+def remaining(wanted: DataFrame, done: list[DataFrame], key: list[str], n: int | None = None) -> DataFrame:
+    """Rows of which no part has the key yet; null key columns equal each other. `n` deals both sides to so many tasks."""
     known = union_all(*(d.select(*key) for d in done)).distinct()
+    if n:
+        whole = F.struct(*key).alias("whole_key_")  # structs with null fields equal each other
+        known = union_all(*(d.select(*key) for d in done)).select(whole).repartition(n, "whole_key_").distinct()
+        return wanted.select("*", whole).repartition(n, "whole_key_").join(known, "whole_key_", "left_anti").select(*wanted.columns)
     match = [wanted[c].eqNullSafe(known[c]) for c in key]
     return wanted.join(known, match, "left_anti")
 

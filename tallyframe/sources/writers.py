@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyframe.operators.judgments import remaining
+from tallyframe.operators.judgments import parts, remaining
 from tallyframe.sources.readers import exists
 
 
@@ -31,9 +31,11 @@ def append_json(df: DataFrame, path: str) -> None:
 def append_new(df: DataFrame, path: str, key: list[str]) -> DataFrame:
     """Append the rows of which the path has no key yet, and return them; the way to resume."""
     spark = df.sparkSession
-    fresh = remaining(df, [spark.read.schema(df.schema).parquet(path)], key) if exists(spark, path) else df
-    append(fresh, path)
-    return fresh
+    if exists(spark, path):
+        done = spark.read.schema(df.schema).parquet(path)
+        df = remaining(df, [done], key, max(parts(df), parts(done)))
+    append(df, path)
+    return df
 
 
 def run_log(spark: SparkSession, path: str, **event: Any) -> None:

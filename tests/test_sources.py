@@ -347,3 +347,15 @@ def test_large_documents_are_parsed_without_a_tree(spark, tmp_path):
     assert peaks[0] < 0.1 * peaks[1]
     (tmp_path / "a.xml").write_bytes(large)
     assert readers.xml_sentences(spark, f"file://{tmp_path}/*.xml").selectExpr("count(distinct id)", "count(error)").first()[:] == (50_000, 0)
+
+
+def test_keys_are_dealt_to_tasks_by_their_number(spark, tmp_path, monkeypatch):
+    from tallyframe.operators import judgments
+
+    monkeypatch.setattr(judgments, "TASK_ROWS", 100)
+    rows = spark.range(1000).selectExpr("if(id % 10 = 0, null, id) as a", "if(id % 3 = 0, null, 'x') as b", "id")
+    path = f"file://{tmp_path}/t"
+    writers.append_new(rows.where("id < 400"), path, ["a", "b"])
+    assert writers.append_new(rows, path, ["a", "b"]).rdd.getNumPartitions() == 11
+    got = sorted(r.id for r in spark.read.parquet(path).collect())
+    assert got == [i for i in range(1000) if i < 400 or i % 10]
