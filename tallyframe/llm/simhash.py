@@ -23,6 +23,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SHARE = SIMILAR * SIMILAR
 #: Wide fingerprint of that stage: blocks, and shingles sampled for each; blocks of up to PAIRED texts give all pairs.
 BLOCKS, SAMPLED, PAIRED = 24, 3, 12
+#: Texts of a crowded block that a group compares with all others of it.
+CELL = 256
 #: Sets of up to so many shingles have exact keys besides the blocks.
 SMALL = 12
 #: Bits in which the 64-bit fingerprints of two texts at the least similarity may differ: the mean is 13, the deviation 3.
@@ -186,16 +188,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _FACTS = ("node", "n", "print", "rest")
 
 
-def _met(left: DataFrame, right: DataFrame | None = None) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame | None = None, apart: bool = False) -> DataFrame:
     """Pairs of rows of one block (of both tables, or of the one given) that sizes and Hamming distance leave possible, as (a, b) with a < b.
 
-    Rows have block, node, n (shingles), print, and rest: how many shingles the two may share at most.
+    Rows have block, node, n (shingles), print, and rest: how many shingles the two may share at most;
+    with `apart` also root, which the two must not have in common.
     """
-    one, two = (df.select("block", *(F.col(c).alias(f"{c}_{side}") for c in _FACTS)) for df, side in ((left, "a"), (right or left, "b")))
+    facts = (*_FACTS, "root") if apart else _FACTS
+    one, two = (df.select("block", *(F.col(c).alias(f"{c}_{side}") for c in facts)) for df, side in ((left, "a"), (right or left, "b")))
     least, most = F.least("n_a", "n_b").cast("double"), F.greatest("n_a", "n_b")
     close = (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= FAR_BITS) | (least <= SMALL)
     shared = F.least("rest_a", "rest_b").cast("double")
     rows = one.join(two, "block").where("node_a <> node_b" if right else "node_a < node_b").where(close & (shared * shared >= SHARE * least * most))
+    rows = rows.where("root_a <> root_b") if apart else rows
     return rows.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
@@ -217,7 +222,8 @@ def crowd_links(sets: DataFrame) -> DataFrame:
     many of these cannot be similar to any text there and leave the shingle. Of the others the one
     with the fewest is the leader, compared with all; texts that are similar to no leader give further
     leaders, eight times as many in each round, until none are left. So every text is similar to a
-    leader, or was compared with all texts with which it could be linked.
+    leader, or was compared with all texts with which it could be linked. Texts that are then in
+    different classes are compared with each other, so classes lack no link of these blocks.
 
     sets has node, n, print and shingles.
     """
@@ -243,7 +249,23 @@ def crowd_links(sets: DataFrame) -> DataFrame:
         fresh = _verified(_met(leads, many), sets)
         done = leads.select("node").union(fresh.select("a")).union(fresh.select("b")).distinct()
         found, open_, k = found.union(fresh), durable(open_.join(done, "node", "left_anti")), 8 * k
-    return found
+    return found.union(_between_classes(many, durable(found), sets))
+
+
+def _between_classes(many: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among texts of a block that the links found leave in different classes, all such pairs being compared.
+
+    A text of a block meets CELL others of it in one group at most, so a large block is many groups.
+    """
+    rows = many.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = durable(rows)
+    mixed = rows.groupBy("block").agg(F.count("*").alias("crowd"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    rows = durable(rows.join(checked(durable(mixed.select("block", "crowd"))), "block"))
+    cells = F.ceil(F.col("crowd") / CELL).cast("int")
+    own, all_ = F.pmod(F.xxhash64("node"), cells).cast("int"), F.sequence(F.lit(0), cells - 1)
+    one = rows.withColumn("cell", own).withColumn("block", F.struct("block", "cell"))
+    two = rows.withColumn("cell", F.explode(all_)).withColumn("block", F.struct("block", "cell"))
+    return _verified(_met(one, two, apart=True), sets)
 
 
 def similar_texts(texts: DataFrame, shingles: Callable[[DataFrame], DataFrame]) -> DataFrame:

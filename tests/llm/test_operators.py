@@ -212,6 +212,26 @@ def test_crowd_of_near_copies_is_one_class(spark):
     assert got <= want and {x for p in want for x in p} == {x for p in got for x in p} and len(got) < len(want) / 4
 
 
+def test_texts_that_follow_different_leaders_are_one_class(spark, monkeypatch):
+    """Two crowds, and a text beside each: the two texts are similar to each other, and only they connect the crowds."""
+    rng = random.Random(50)
+    line = [rng.getrandbits(64) for _ in range(450)]
+    sets = [line[:300]] * 14 + [line[150:]] * 14
+    # Others make the outer ends of the line common, so that the crowds come first in every block that the two texts share.
+    sets += [part + [rng.getrandbits(64) for _ in range(300)] for part in (line[:50], line[400:]) for _ in range(30)]
+    sets += [line[50:350], line[100:400]]
+    sets = [np.array(sorted(s), np.uint64) for s in sets]
+    rows = [(i, len(s), simhash.fingerprint(s), s.view(np.int64).tolist()) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node long, n long, print long, shingles array<long>").cache()
+    monkeypatch.setattr(simhash, "CELL", 7)
+    got = {(r.a, r.b) for r in simhash.crowd_links(table).collect()}
+    reached = {0}
+    while more := {y for p in got if reached & {*p} for y in p} - reached:
+        reached |= more
+    assert all(similar({*rows[a][3]}, {*rows[b][3]}) for a, b in got) and (88, 89) in got
+    assert reached == {*range(28), 88, 89}
+
+
 # --- 2: mixing ---------------------------------------------------------------------------------
 
 
