@@ -313,6 +313,35 @@ def test_many_models_in_shared_passes(spark):
     assert sorted(map(sorted, groups)) == [list(range(40 * i, 40 * i + 40)) for i in range(4)]
 
 
+def test_models_are_compared_together_and_rows_dealt_evenly(spark, monkeypatch):
+    """One product for all models, rows of one file over all cores, sums of many tasks added before the driver."""
+    import numpy as np
+
+    from tallyframe.operators import clusters
+
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(3000, 3))
+    df = spark.createDataFrame([(v.tolist(),) for v in points], "v array<double>").coalesce(1)
+    monkeypatch.setattr(clusters, "_FILE_ROWS", 300)
+    every = clusters._dealt(df, "v")
+    held = [r["count"] for r in every.groupBy("_metadata.file_path").count().collect()]
+    assert len(held) == 2 * spark.sparkContext.defaultParallelism and max(held) - min(held) <= len(held)
+
+    sizes = [2, 2, 3, 5]
+    stack = rng.normal(size=(12, 3))
+    near, far = clusters._nearest(points, sizes, stack)
+    for m, (at, k) in enumerate(((0, 2), (2, 2), (4, 3), (7, 5))):
+        squares = ((points[:, None] - stack[at : at + k]) ** 2).sum(2)
+        assert (near[:, m] == at + squares.argmin(1)).all() and np.allclose(far[:, m], squares.min(1))
+
+    first = {k: np.vstack([points[:k], [[99.0] * 3]]) for k in (4, 2)}  # a centre without rows stays
+    want = clusters.fit(every, first, passes=3)
+    monkeypatch.setattr(clusters, "_PARTS", 2)
+    got = clusters.fit(every.repartition(9), first, passes=3)
+    for k in first:
+        assert np.allclose(want[k][0], got[k][0]) and abs(want[k][1] - got[k][1]) < 1e-6 and (got[k][0][-1] == 99).all()
+
+
 def test_tables_are_deleted_on_demand(spark, monkeypatch, tmp_path):
     from tallyframe import storage
 
