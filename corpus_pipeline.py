@@ -13,12 +13,22 @@ from tallyframe.llm.queries import labelled
 
 #: Documents of this toxicity score or more are rejected.
 TOXIC = 0.5
+#: Whole documents that a Python worker gets at once, at most; of Spark's 10,000 the JVM and the worker hold a copy each.
+BATCH = 1_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def hand_over_few(spark: SparkSession) -> None:
+    """From now on the session hands BATCH rows at most to a Python worker at once; a smaller setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    spark.conf.set(setting, str(min(now, BATCH) if now > 0 else BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labelled documents of sf_dir."""
+    hand_over_few(spark)
     name = free_name(docs, "score")
     scored = toxicity.score(docs, toxicity.fit(labelled(spark, sf_dir)), keep=tuple(docs.columns), name=name)
     return scored.where(F.col(name) < TOXIC).select(*fields(docs))
@@ -32,11 +42,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    hand_over_few(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark windows."""
+    hand_over_few(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 

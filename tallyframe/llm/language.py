@@ -91,20 +91,22 @@ def identify(
     smaller name; score rises from a half with the margin to the next one. lang_accepted is false
     where the margin is narrow. Null texts and those without a letter are `und` with score 0, as is
     every text if no language is known. One row per document; long texts are compressed piece by
-    piece; there is no shuffle.
+    piece; there is no shuffle. A text that is kept goes to the workers once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(content)
+    place = keep.index(text) if text in keep else len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                found = [_decide(t, compressors) for t in batch.column(len(keep)).to_pylist()]
+                found = [_decide(t, compressors) for t in batch.column(place).to_pylist()]
                 new = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
                 names = [*keep, "lang_pred", "score", "lang_accepted"]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], names)
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, lang_accepted boolean"
-    return docs.select(*keep, F.col(text).alias(free_name(docs, "text_"))).mapInArrow(predict, schema)
+    more = [] if text in keep else [F.col(text).alias(free_name(docs, "text_"))]
+    return docs.select(*keep, *more).mapInArrow(predict, schema)

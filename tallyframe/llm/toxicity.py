@@ -152,9 +152,11 @@ def score(
     """The kept columns with the score (under the given name), the probability of label 1, of each whole text.
 
     Null and empty texts have no features and score by the bias alone. One row per document,
-    repeated rows included; no shuffle; the broadcast holds the non-zero weights only.
+    repeated rows included; no shuffle; the broadcast holds the non-zero weights only. A text that is
+    kept goes to the workers once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = keep.index(text) if text in keep else len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, values, bias = shared.value
@@ -164,10 +166,11 @@ def score(
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sums = [float(weights[features(t, hashes)].sum(dtype=np.float64)) + bias for t in batch.column(len(keep)).to_pylist()]
+                sums = [float(weights[features(t, hashes)].sum(dtype=np.float64)) + bias for t in batch.column(place).to_pylist()]
                 out = 1 / (1 + np.exp(-np.clip(np.array(sums), -35, 35)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, name])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"{quoted(c)} {kinds[c]}" for c in keep) + f", {quoted(name)} double"
-    return docs.select(*map(quoted, keep), F.col(text).alias(free_name(docs, "text_"))).mapInArrow(predict, schema)
+    more = [] if text in keep else [F.col(text).alias(free_name(docs, "text_"))]
+    return docs.select(*map(quoted, keep), *more).mapInArrow(predict, schema)

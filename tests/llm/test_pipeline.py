@@ -6,7 +6,7 @@ import re
 
 import corpus_pipeline as P
 import duckdb
-from tallyframe.llm import queries, toxicity
+from tallyframe.llm import language, queries, toxicity
 from tallyframe.llm.common import durable
 from tallyframe.llm.oracles import ORACLES
 
@@ -32,6 +32,26 @@ def test_toxic_documents_go(spark):
     assert {r.doc_id for r in P.drop_toxic(spark, docs, SF).collect()} == want
 
 
+def test_texts_go_to_workers_once_and_a_few_at_a_time(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(queries.labelled(spark, SF))
+    for columns in (["text", "doc_id"], ["doc_id", "text", "lang"]):
+        scored = toxicity.score(docs, model, keep=tuple(columns))
+        assert "text_" not in scored._jdf.queryExecution().toString()
+        assert {(r.doc_id, r.score) for r in scored.collect()} == {(r.doc_id, r.score) for r in toxicity.score(docs, model).collect()}
+    named = language.identify(docs, {}, keep=("text", "doc_id"))
+    assert "text_" not in named._jdf.queryExecution().toString() and named.count() == docs.count()
+    before = spark.conf.get(setting)
+    try:
+        for held, want in (("10000", P.BATCH), ("0", P.BATCH), ("200", 200)):
+            spark.conf.set(setting, held)
+            P.drop_toxic(spark, docs, SF)
+            assert int(spark.conf.get(setting)) == want
+    finally:
+        spark.conf.set(setting, before)
+
+
 def folded(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
