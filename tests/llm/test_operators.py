@@ -329,6 +329,55 @@ def test_chains_are_optimal():
         assert all(a < c and b < d for (a, b), (c, d) in itertools.pairwise(first))
 
 
+def test_ascending_matches_chain_as_others_do():
+    rng = random.Random(29)
+    for k in range(60):
+        i = np.cumsum([rng.choice((1, 2, 5, 40, 90)) for _ in range(rng.randrange(1, 60))])
+        j = np.cumsum([rng.choice((1, 2, 5, 40, 90)) for _ in i])
+        mixed = rng.sample(range(len(i)), len(i))
+        fast = passages.chains(i[mixed], j[mixed])
+        # One more match far off, in the other direction, takes the general way and stands alone.
+        general = passages.chains(np.append(i + 10, 5), np.append(j, 10**6))
+        assert fast == [[(a - 10, b) for a, b in c] for c in general if c != [(5, 10**6)]], k
+
+
+def test_ends_of_a_passage_against_word_by_word_sums():
+    rng = random.Random(31)
+    for n in (0, 1, 5, 255, 256, 257, 700):
+        for share in (0.0, 0.1, 0.3, 1.0):
+            a = np.array([rng.randrange(9) for _ in range(n)], np.uint16)
+            b = np.where([rng.random() < share for _ in range(n)], a + 9, a).astype(np.uint16)
+            best = score = taken = 0
+            for at, (x, y) in enumerate(zip(a, b, strict=True)):
+                score += 1 if x == y else -2
+                if score > best:
+                    best, taken = score, at + 1
+                if best - score > passages.DROP:
+                    break
+            assert passages._extend(a, b) == (taken, int((a[:taken] == b[:taken]).sum()))
+
+
+def test_a_text_of_many_pairs_is_seeded_once_a_task(monkeypatch):
+    import pyarrow as pa
+
+    rng, seen, real = random.Random(37), [], passages.seeds
+    monkeypatch.setattr(passages, "seeds", lambda codes: seen.append(1) or real(codes))
+    texts = [passages.encode(" ".join(words(rng, 80, 10**6)), passages._Codes()).tobytes() for _ in range(20)]
+    pairs = [(p % 20, 19 - p % 20) for p in range(900)]
+    columns = [[p for p, _ in pairs], [q for _, q in pairs], [texts[p] for p, _ in pairs], [texts[q] for _, q in pairs]]
+    list(passages._compared(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "x", "y"])])))
+    assert len(seen) == 20
+    h = real(np.frombuffer(texts[0], np.uint16))
+    codes = np.frombuffer(texts[0], np.uint16)
+    every = passages.grams(codes, passages.K)
+    least = {k + int(every[k : k + passages.DENSE].argmin()) for k in range(len(every) - passages.DENSE + 1)}
+    assert set(h[1].tolist()) == least and (every[h[1]].view(np.int64) == h[0]).all()
+    monkeypatch.setattr(passages, "HORNER", 9)
+    fast = passages.grams(codes, 9)
+    monkeypatch.setattr(passages, "HORNER", 1)
+    assert fast.tolist() == passages.grams(codes, 9).tolist()
+
+
 def test_passages(spark):
     rng = random.Random(9)
     fresh = lambda n: words(rng, n, 10**6)
