@@ -21,6 +21,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 EPOCHS = 3
 #: Least positive rows among those set aside, for the decision point to be moved.
 CALIBRATE = 10
+#: Features whose weights are looked at together.
+_PART = 1 << 16
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -65,10 +67,10 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label:
     chosen = chosen.where(F.col("unit") < F.lit(int((1 << 40) * min(1.0, rows / max(1, count)))))
     most = F.lit(3).cast("long") * F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0))
     chosen = chosen.withColumn("most", most).where(F.col("most") <= SAMPLE_FEATURES // 20)
-    held, cut = 0, 1 << 40
+    total, cut = 0, 1 << 40
     for place, size in sorted((r.unit, r.most) for r in chosen.select("unit", "most").collect()):
-        held += size
-        if held > SAMPLE_FEATURES:
+        total += size
+        if total > SAMPLE_FEATURES:
             cut = place
             break
     chosen = chosen.where(F.col("unit") < F.lit(cut)).drop("unit", "most")
@@ -79,10 +81,13 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", label:
             found = [features(t, hashes) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), batch.column(1)], ["x", "label"])
 
-    xs, ys = [], []
+    # The rows' features stand in one buffer: thousands of small arrays would leave the driver's memory in pieces.
+    held, ends, ys = bytearray(), [], []
     for row in chosen.mapInArrow(encode, "x binary, label double").toLocalIterator():
-        xs.append(np.frombuffer(row.x, np.int32))
+        held += row.x
+        ends.append(len(held) // 4)
         ys.append(row.label)
+    xs = np.split(np.frombuffer(held, np.int32), ends[:-1]) if ends else []
     order = sorted(range(len(xs)), key=lambda i: (xxhash.xxh64_intdigest(xs[i].tobytes(), 3), ys[i]))
     aside = order[::5]
     shift = _shift([xs[i] for i in aside], [ys[i] for i in aside], train([xs[i] for k, i in enumerate(order) if k % 5], [ys[i] for k, i in enumerate(order) if k % 5]))
@@ -106,9 +111,11 @@ def train(xs: list[np.ndarray], ys: list[float]) -> tuple[np.ndarray, np.ndarray
             z0 += g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / ALPHA * w0
             n0 += g * g
             w0 = -z0 / ((BETA + np.sqrt(n0)) / ALPHA + L2)
-    w = np.where(np.abs(z) > L1, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2), 0.0)
-    kept = np.flatnonzero(w).astype(np.int32)
-    return kept, w[kept].astype(np.float32), float(w0)
+    # Few pass the L1 term; results for all would be several arrays of the size of z in the driver.
+    some = np.concatenate([at + np.flatnonzero(np.abs(z[at : at + _PART]) > L1) for at in range(0, len(z), _PART)])
+    zx = z[some]
+    w = (np.sign(zx) * L1 - zx) / ((BETA + np.sqrt(n[some])) / ALPHA + L2)
+    return some[w != 0].astype(np.int32), w[w != 0].astype(np.float32), float(w0)
 
 
 def _shift(xs: list[np.ndarray], ys: list[float], model: tuple[np.ndarray, np.ndarray, float]) -> float:

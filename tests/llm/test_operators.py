@@ -906,6 +906,18 @@ def test_toxicity_training_against_brute_force():
     assert np.allclose(values, [want[f] for f in sorted(want)], atol=1e-4)
 
 
+def test_training_makes_no_large_results_in_between():
+    import tracemalloc
+
+    rows = [np.array([k % 7, 50 + k % 3], np.int32) for k in range(90)]
+    tracemalloc.start()
+    try:
+        toxicity.train(rows, [float(k % 7 == 0) for k in range(90)])
+        assert tracemalloc.get_traced_memory()[1] < 8 * 1.2 * (2 << toxicity.BITS)  # two sums of doubles, and little else
+    finally:
+        tracemalloc.stop()
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = queries.queries()["op9_toxicity"](spark, sf).where("held_out")
