@@ -23,8 +23,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SHARE = SIMILAR * SIMILAR
 #: Wide fingerprint of that stage: blocks, and shingles sampled for each; blocks of up to PAIRED texts give all pairs.
 BLOCKS, SAMPLED, PAIRED = 24, 3, 12
-#: Texts of a crowded block that a group compares with all others of it.
-CELL = 256
+#: Texts of a crowded block that a group compares with all others of it, and the ratio of sizes that parts such a block.
+CELL, BAND = 256, 1.25
 #: Sets of up to so many shingles have exact keys besides the blocks.
 SMALL = 12
 #: Bits in which the 64-bit fingerprints of two texts at the least similarity may differ: the mean is 13, the deviation 3.
@@ -219,11 +219,11 @@ def crowd_links(sets: DataFrame) -> DataFrame:
     With shingles in order of how many sets hold them, two sets of the least similarity share one of
     the first n - SHARE * n + 1 of either. Shingles held there by up to PAIRED texts give all pairs.
     A commoner one comes after a set's rare shingles, which the other set then lacks; texts with too
-    many of these cannot be similar to any text there and leave the shingle. Of the others the one
+    many of these cannot be similar to any text there and leave the shingle (_by_size). Of the others the one
     with the fewest is the leader, compared with all; texts that are similar to no leader give further
     leaders, eight times as many in each round, until none are left. So every text is similar to a
-    leader, or was compared with all texts with which it could be linked. Texts that are then in
-    different classes are compared with each other, so classes lack no link of these blocks.
+    leader, or led a block itself. Texts that are then in different classes and have not led the block
+    are compared with each other, so classes lack no link of these blocks.
 
     sets has node, n, print and shingles.
     """
@@ -237,33 +237,60 @@ def crowd_links(sets: DataFrame) -> DataFrame:
     rows = durable(rows.select("node", "n", "print", place.alias("place"), (F.col("n") - place).alias("rest"), F.col("s.block").alias("block")))
     sizes = durable(rows.groupBy("block").agg(F.count("*").alias("crowd"), F.min("place").alias("least")).where("crowd > 1"))
     rows = durable(rows.join(checked(sizes), "block"))
-    few = rows.where(F.col("crowd") <= PAIRED)
-    found = _verified(_met(few), sets)
     rest = F.col("rest").cast("double")
-    many = durable(rows.where((F.col("crowd") > PAIRED) & (rest * rest >= SHARE * F.col("n") * (rest + F.col("least")))).drop("crowd", "least"))
-    open_, k = durable(many.select("node").distinct()), 1
+    few = rows.where(F.col("crowd") <= PAIRED)
+    many = rows.where((F.col("crowd") > PAIRED) & (rest * rest >= SHARE * F.col("n") * (rest + F.col("least")))).drop("crowd", "least")
+    many = _by_size(many)
+    less = many.where(F.col("crowd") <= PAIRED)
+    found = _verified(_met(few).union(_met(less)), sets)
+    many = durable(many.where(F.col("crowd") > PAIRED).drop("crowd"))
+    open_, k, led = durable(many.select("node").distinct()), 1, many.select("block", "node").limit(0)
     while not open_.isEmpty():
         order = Window.partitionBy("block").orderBy("place", "node")
         leads = many.join(checked(open_), "node").withColumn("i", F.row_number().over(order)).where(F.col("i") <= k)
         leads = durable(leads.drop("i"))
         fresh = _verified(_met(leads, many), sets)
         done = leads.select("node").union(fresh.select("a")).union(fresh.select("b")).distinct()
-        found, open_, k = found.union(fresh), durable(open_.join(done, "node", "left_anti")), 8 * k
-    return found.union(_between_classes(many, durable(found), sets))
+        found, led, k = found.union(fresh), led.union(leads.select("block", "node")), 8 * k
+        open_ = durable(open_.join(done, "node", "left_anti"))
+    return found.union(_between_classes(many.join(led, ["block", "node"], "left_anti"), durable(found), sets))
+
+
+def _by_size(rows: DataFrame) -> DataFrame:
+    """Rows of blocks by block and size of the smaller text of a pair, without those that can be similar to no other there; crowd counts the rest.
+
+    `block` becomes a pair of block and band of sizes. A text is in the band of its size, and below it in those of
+    the smaller texts that it can be similar to. It shares no more than `rest`, so of two texts the smaller shares
+    SIMILAR of its own shingles at least, and the larger is no larger than the square of what it shares allows. So of
+    a crowd on one template, texts with too much of their own leave, as all others there are too large for them.
+    """
+    slack = 1e-9
+    n, rest = F.col("n").cast("double"), F.col("rest").cast("double")
+    band = lambda size: F.floor(F.log(size) / math.log(BAND)).cast("int")
+    rows = rows.withColumn("most", rest * rest / (SHARE * n) * (1 + slack))
+    lowest, highest = band(SHARE * n * (1 - slack)), band(F.least(n, "most"))
+    rows = rows.withColumn("band", F.explode(F.sequence(lowest, F.greatest(lowest, highest))))
+    rows = durable(rows.withColumn("block", F.struct("block", "band")).withColumn("small", (F.col("band") == band(n)) & (F.col("most") >= n)))
+    least = durable(rows.where("small").groupBy("block").agg(F.min("n").alias("least")))
+    rows = durable(rows.join(checked(least), "block").where("most >= least").drop("most", "band", "small", "least"))
+    sizes = durable(rows.groupBy("block").agg(F.count("*").alias("crowd")).where("crowd > 1"))
+    return durable(rows.join(checked(sizes), "block"))
 
 
 def _between_classes(many: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among texts of a block that the links found leave in different classes, all such pairs being compared.
 
-    A text of a block meets CELL others of it in one group at most, so a large block is many groups.
+    Texts outside the largest class of a block make groups of some CELL, each of which meets all texts of the block
+    once: those of the largest class are not compared with each other, and a few texts beside it are one group.
     """
     rows = many.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = durable(rows)
-    mixed = rows.groupBy("block").agg(F.count("*").alias("crowd"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    rows = durable(rows.join(checked(durable(mixed.select("block", "crowd"))), "block"))
-    cells = F.ceil(F.col("crowd") / CELL).cast("int")
+    held = rows.groupBy("block", "root").agg(F.count("*").alias("held")).groupBy("block")
+    mixed = held.agg(F.max_by("root", F.struct("held", "root")).alias("main"), (F.sum("held") - F.max("held")).alias("others")).where("others > 0")
+    rows = durable(rows.join(checked(durable(mixed)), "block"))
+    cells = F.ceil(F.col("others") / CELL).cast("int")
     own, all_ = F.pmod(F.xxhash64("node"), cells).cast("int"), F.sequence(F.lit(0), cells - 1)
-    one = rows.withColumn("cell", own).withColumn("block", F.struct("block", "cell"))
+    one = rows.where("root <> main").withColumn("cell", own).withColumn("block", F.struct("block", "cell"))
     two = rows.withColumn("cell", F.explode(all_)).withColumn("block", F.struct("block", "cell"))
     return _verified(_met(one, two, apart=True), sets)
 

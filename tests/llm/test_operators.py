@@ -232,6 +232,72 @@ def test_texts_that_follow_different_leaders_are_one_class(spark, monkeypatch):
     assert reached == {*range(28), 88, 89}
 
 
+def classes_of(n, pairs):
+    """The least number that each of n numbers is connected with."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def table_of(spark, sets):
+    sets = [np.array(sorted(s), np.uint64) for s in sets]
+    rows = [(i, len(s), simhash.fingerprint(s), s.view(np.int64).tolist()) for i, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "node long, n long, print long, shingles array<long>").cache()
+
+
+def test_crowds_of_many_sizes_lose_no_link(spark, monkeypatch):
+    """Sets of 60 to 200 shingles around three that overlap, many just within or beyond the least similarity."""
+    rng = random.Random(61)
+    line = [rng.getrandbits(64) for _ in range(320)]
+    sets = []
+    for k in range(240):
+        base = line[60 * (k % 3) : 60 * (k % 3) + rng.choice((70, 100, 130, 170, 200))]
+        kept = rng.sample(base, int(len(base) * rng.uniform(0.7, 1)))
+        sets.append(set(kept) | {rng.getrandbits(64) for _ in range(rng.randrange(0, 30))})
+    want = {(a, b) for a, b in itertools.combinations(range(240), 2) if similar(sets[a], sets[b])}
+    table = table_of(spark, sets)
+    for paired, cell in ((2, 5), (12, 256)):
+        monkeypatch.setattr(simhash, "PAIRED", paired)
+        monkeypatch.setattr(simhash, "CELL", cell)
+        got = {(r.a, r.b) for r in simhash.crowd_links(table).collect()}
+        assert got <= want and classes_of(240, got) == classes_of(240, want)
+    assert 3 < len({*classes_of(240, want)}) < 200
+
+
+def test_a_crowd_with_unlike_texts_beside_it_is_not_copied(spark, monkeypatch):
+    """Near copies of one template, of which a fifth has too much of its own: rows compared grow no faster than the crowd."""
+    rng = random.Random(62)
+    line = [rng.getrandbits(64) for _ in range(146)]
+    sets = []
+    for k in range(400):
+        own = rng.randrange(36, 46) if k % 5 == 0 else rng.randrange(0, 20)
+        at = rng.randrange(146 - own)
+        sets.append({*line[:at], *line[at + own :], *(rng.getrandbits(64) for _ in range(own))})
+    want = {(a, b) for a, b in itertools.combinations(range(400), 2) if similar(sets[a], sets[b])}
+    met, compared = simhash._met, []
+
+    def counted(left, right=None, apart=False):
+        if apart:
+            compared.append((left.count(), right.count()))
+        return met(left, right, apart)
+
+    monkeypatch.setattr(simhash, "_met", counted)
+    monkeypatch.setattr(simhash, "CELL", 16)
+    table = table_of(spark, sets)
+    got = {(r.a, r.b) for r in simhash.crowd_links(table).collect()}
+    assert got <= want and classes_of(400, got) == classes_of(400, want)
+    held = table.selectExpr("explode(shingles) s").groupBy("s").count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert all(right <= held / 10 for _, right in compared), (compared, held)
+
+
 # --- 2: mixing ---------------------------------------------------------------------------------
 
 
